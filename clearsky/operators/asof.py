@@ -105,6 +105,7 @@ def merge_signal(
     leap_seconds: int = GPS_LEAP_SECONDS,
     tolerance_seconds: float = 2.0,
     right_order: Sequence[str] = (),
+    chunk_seconds: float = CHUNK_SECONDS,
 ) -> DataFrame:
     """Attach the mean C/N0 and cycle slips of an observation recording.
 
@@ -124,6 +125,7 @@ def merge_signal(
         ["mean_cnr_epoch", "cycle_slips_epoch"],
         tolerance_seconds,
         right_order=right_order,
+        chunk_seconds=chunk_seconds,
     )
 
 

@@ -236,26 +236,33 @@ def cut_points(df: DataFrame, order: Sequence[str], positions: Sequence[int]) ->
     return [_cut_point(df, list(order), int(p)) for p in positions]
 
 
+SORT_TIES_UP_TO = 200_000
+
+
+def _as_number(df: DataFrame, column: str) -> Column:
+    return micros(column) if df.schema[column].dataType.typeName().startswith("timestamp") else F.col(column)
+
+
 def _cut_point(df: DataFrame, order: list[str], position: int) -> tuple | None:
     key: list = []
-    rest, left = df, position
-    for column in order:
-        number = f"_{column}_n"
-        kind = rest.schema[column].dataType.typeName()
-        as_number = micros(column) if kind.startswith("timestamp") else F.col(column)
-        numbered = rest.withColumn(number, as_number)
+    rest, left = df.select(*[_as_number(df, c).alias(c) for c in order]), position
+    for level, column in enumerate(order):
         found = (
-            counted_values(numbered, number)
+            counted_values(rest, column)
             .where(F.col("n_cum") > left)
-            .agg(F.min_by(F.struct(number, "n", "n_cum"), F.col(number)).alias("hit"))
+            .agg(F.min_by(F.struct(column, "n", "n_cum"), F.col(column)).alias("hit"))
             .first()
         )["hit"]
         if found is None:
             return None
-        value, ties, upto = found[number], found["n"], found["n_cum"]
+        value, ties = found[column], found["n"]
         key.append(value)
-        left -= upto - ties
-        rest = numbered.where(F.col(number) == F.lit(value)).drop(number)
+        left -= found["n_cum"] - ties
+        rest = rest.where(F.col(column) == F.lit(value))
+        tail = order[level + 1 :]
+        if tail and ties <= SORT_TIES_UP_TO:  # few rows tie: sort just these
+            row = rest.orderBy(*tail).offset(int(left)).select(*tail).first()
+            return (*key, *row)
     return tuple(key)
 
 
@@ -265,7 +272,6 @@ def before_cut(df: DataFrame, order: Sequence[str], key: tuple | None) -> Column
         return F.lit(True)
     result = F.lit(False)
     for column, value in reversed(list(zip(order, key, strict=True))):
-        kind = df.schema[column].dataType.typeName()
-        as_number = micros(column) if kind.startswith("timestamp") else F.col(column)
+        as_number = _as_number(df, column)
         result = (as_number < F.lit(value)) | ((as_number == F.lit(value)) & result)
     return result

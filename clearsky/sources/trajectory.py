@@ -18,7 +18,7 @@ from clearsky.functions.scalars import (
     sequence_clock,
 )
 from clearsky.operators.asof import nearest_asof_join
-from clearsky.operators.ordered import running_sums
+from clearsky.operators.ordered import CHUNK_SECONDS, running_sums
 from clearsky.schemas import FIX_MODE_TO_STATUS
 
 CAMPUS_GPS_8 = ["utime", "fix_mode", "num_sats", "lat_rad", "lng_rad", "alt_m", "track_deg", "speed_ms"]
@@ -93,14 +93,18 @@ def campus_error(rows: DataFrame) -> DataFrame:
     ).dropna(subset=["err_m"])
 
 
-def campus_epochs(fixes: DataFrame, errors: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    """Campus fixes with the position error within 0.5 s split on both axes."""
+def campus_epochs(
+    fixes: DataFrame, errors: DataFrame | None, by: Sequence[str], tolerance_seconds: float = 0.5,
+    right_order: Sequence[str] = (), chunk_seconds: float = CHUNK_SECONDS,
+) -> DataFrame:
+    """Campus fixes with the nearest position error split evenly on both axes."""
     if errors is None:
         joined = fixes.withColumn("err_m", F.lit(None).cast("double"))
     else:
         joined = nearest_asof_join(
-            fixes, errors, by, "timestamp", "error_time", ["err_m"], tolerance_seconds=0.5
-        )
+            fixes, errors, by, "timestamp", "error_time", ["err_m"], tolerance_seconds,
+            right_order=right_order, chunk_seconds=chunk_seconds,
+        )
     sigma = horizontal_split(F.col("err_m"))
     return joined.withColumns({"lat_sigma": sigma, "lon_sigma": sigma})
 
