@@ -138,25 +138,33 @@ def nmea_epochs(lines: DataFrame, date_hint: Column | str | None = None) -> Data
     parts, at = F.col("parts"), F.struct(*LINE_ORDER)
     date = F.coalesce(F.col("_date"), hint)
 
-    def last_of(kind: str, value: Column, talker: str | None = None) -> Column:
-        hit = (F.col("kind") == kind) & value.isNotNull()
+    def of(kind: str, value: Column, talker: str | None = None) -> Column:
+        hit = F.col("kind") == kind
         if talker is not None:
             hit = hit & (F.col("talker") == talker)
-        return F.max_by(value, F.when(hit, at))
+        return F.when(hit, value)
 
     gns = F.when(F.size(parts) >= 8, _int_or_zero(parts, 7))
-    cnr = F.when(F.col("kind") == "GSV", F.struct(at.alias("at"), gsv_cnr(parts).alias("v")))
-    merged = placed.groupBy("path", "file_name", "epoch").agg(
-        last_of("GGA", gga_fields(parts, date)).alias("gga"),
-        last_of("GSA", gsa_fields(parts)).alias("gsa"),
-        last_of("GST", gst_fields(parts)).alias("gst"),
-        last_of("GBS", gbs_fields(parts)).alias("gbs"),
-        last_of("GNS", gns, "GN").alias("all_sats"),
-        last_of("GNS", gns, "GP").alias("gps_sats"),
-        last_of("GNS", gns, "GL").alias("glo_sats"),
-        last_of("GNS", gns, "GA").alias("gal_sats"),
-        last_of("GNS", gns, "GB").alias("bds_sats"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(cnr)), lambda s: s["v"])).alias("cnr_list"),
+    read = placed.select(
+        "path", "file_name", "epoch", at.alias("at"),
+        of("GGA", gga_fields(parts, date)).alias("gga"),
+        of("GSA", gsa_fields(parts)).alias("gsa"),
+        of("GST", gst_fields(parts)).alias("gst"),
+        of("GBS", gbs_fields(parts)).alias("gbs"),
+        of("GNS", gns, "GN").alias("all_sats"),
+        of("GNS", gns, "GP").alias("gps_sats"),
+        of("GNS", gns, "GL").alias("glo_sats"),
+        of("GNS", gns, "GA").alias("gal_sats"),
+        of("GNS", gns, "GB").alias("bds_sats"),
+        of("GSV", gsv_cnr(parts)).alias("cnr"),
+    )
+    heard = F.when(F.col("cnr").isNotNull(), F.struct("at", "cnr"))
+    merged = read.groupBy("path", "file_name", "epoch").agg(
+        *[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
+            for c in ("gga", "gsa", "gst", "gbs", "all_sats", "gps_sats", "glo_sats", "gal_sats", "bds_sats")
+        ],
+        F.flatten(F.transform(F.array_sort(F.collect_list(heard)), lambda s: s["cnr"])).alias("cnr_list"),
     )
     return merged.where(F.col("gga.timestamp").isNotNull()).select(
         "path",
