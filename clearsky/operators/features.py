@@ -138,10 +138,10 @@ def window_features(
             "_gbs_std": over(F.stddev_samp("_gbs")),
         }
     ).where((F.col("_n") >= 2) & F.col("_own"))
-    return _finish(framed, session, ts, keep, cnr_fallback)
+    return finish_features(framed, session, ts, keep, cnr_fallback)
 
 
-def _finish(framed: DataFrame, session: Sequence[str], ts: str, keep: Sequence[str], cnr_fallback: bool) -> DataFrame:
+def finish_features(framed: DataFrame, session: Sequence[str], ts: str, keep: Sequence[str], cnr_fallback: bool) -> DataFrame:
     """Per-row arithmetic on the window aggregates."""
     col, lit, when = F.col, F.lit, F.when
     n, hdop, pdop, vdop = col("num_satellites"), col("hdop"), col("pdop"), col("vdop")

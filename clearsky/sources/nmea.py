@@ -21,15 +21,23 @@ from clearsky.sources.lines import LINE_ORDER, number_records, read_lines
 SENTENCES = ["GGA", "GNS", "GSA", "GST", "GBS", "GSV", "RMC"]
 
 
-def sentences(lines: DataFrame) -> DataFrame:
-    """Valid sentences with ``talker``, ``kind`` and ``parts`` (checksum removed)."""
-    text = F.regexp_replace(F.trim("line"), r"\*[^*]*$", "")
-    split = lines.where(F.trim("line").startswith("$")).withColumn("parts", F.split(text, ","))
-    head = F.substring(F.col("parts")[0], F.lit(2), F.length(F.col("parts")[0]))
-    return (
-        split.where(F.size("parts") >= 2)
-        .withColumn("kind", F.right(head, F.lit(3)))
-        .withColumn("talker", F.expr("substring(parts[0], 2, greatest(length(parts[0]) - 4, 0))"))
+def sentences(lines: DataFrame, kinds: Sequence[str] = tuple(SENTENCES)) -> DataFrame:
+    """Sentences of the given kinds with ``talker``, ``kind`` and ``parts`` (checksum removed).
+
+    The kind is read off the start of the line, so other lines are never split.
+    """
+    text = F.trim("line")
+    head = F.substring_index(text, ",", 1)
+    found = lines.where(
+        text.startswith("$") & text.contains(",") & F.right(head, F.lit(3)).isin(*kinds)
+    )
+    after_star = F.length(F.substring_index(text, "*", -1)) + 1
+    body = F.when(text.contains("*"), F.left(text, F.length(text) - after_star)).otherwise(text)
+    return found.select(
+        *lines.columns,
+        F.split(body, ",").alias("parts"),
+        F.right(head, F.lit(3)).alias("kind"),
+        F.substring(head, F.lit(2), F.greatest(F.length(head) - 4, F.lit(0))).alias("talker"),
     )
 
 
@@ -125,7 +133,7 @@ def nmea_epochs(lines: DataFrame, date_hint: Column | str | None = None) -> Data
     are rows without time of day. Fixes without position are kept.
     """
     hint = F.lit(date_hint).cast("date") if isinstance(date_hint, str) or date_hint is None else date_hint
-    kinds = sentences(lines).where(F.col("kind").isin(*SENTENCES))
+    kinds = sentences(lines)
     is_gga = F.col("kind") == "GGA"
     numbered = number_records(
         kinds.withColumn("_date", F.when(F.col("kind") == "RMC", nmea_date(field(F.col("parts"), 9)))),
@@ -208,7 +216,7 @@ def nmea_fix_pairs(lines: DataFrame) -> DataFrame:
     A GGA without GSA before the next GGA yields nothing; RMC sentences between
     the two add ``gps_valid``. The time stays the sentence's text.
     """
-    wanted = sentences(lines).where(F.col("kind").isin("GGA", "GSA", "RMC"))
+    wanted = sentences(lines, ["GGA", "GSA", "RMC"])
     numbered = number_records(wanted, {"epoch": F.col("kind") == "GGA"}).where("epoch > 0")
     parts, at = F.col("parts"), F.struct(*LINE_ORDER)
     gga = F.struct(
