@@ -87,16 +87,16 @@ class TrailingWindow(StatefulProcessor):
         self.rows = handle.getListState("rows", T.StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values("_us", kind="stable")
+        new = pd.concat(list(rows), ignore_index=True).sort_values("epoch_us", kind="stable")
         kept = [tuple(r) for r in self.rows.get()]
         out = []
-        for row in new.itertuples(index=False):
-            us = int(row._us)
-            mine = (us, *[None if pd.isna(v) else float(v) for v in (getattr(row, c) for c in HISTORY)])
+        for row in new.to_dict("records"):
+            us = int(row["epoch_us"])
+            mine = (us, *[None if pd.isna(row[c]) else float(row[c]) for c in HISTORY])
             kept.append(mine)
             kept.sort(key=lambda r: r[0])
             window = [r for r in kept if us - self.window_us <= r[0] <= us]
-            out.append({"_us": us, **{c: getattr(row, c) for c in CURRENT},
+            out.append({"epoch_us": us, **{c: row[c] for c in CURRENT},
                         "w_us": [r[0] for r in window],
                         **{f"w_{c}": [r[i + 1] for r in window] for i, c in enumerate(HISTORY)}})
         newest = kept[-1][0]
@@ -153,11 +153,11 @@ def trailing_features(
     schema = epochs.schema
     key_fields = [schema[k] for k in keys]
     slim = epochs.withWatermark(ts, lateness).select(
-        *keys, ts, micros(ts).alias("_us"), *[F.col(c).cast("double").alias(c) for c in [*HISTORY, *CURRENT]]
+        *keys, ts, micros(ts).alias("epoch_us"), *[F.col(c).cast("double").alias(c) for c in [*HISTORY, *CURRENT]]
     )
     out_schema = T.StructType(
         [
-            T.StructField("_us", T.LongType()),
+            T.StructField("epoch_us", T.LongType()),
             *[T.StructField(c, T.DoubleType()) for c in CURRENT],
             T.StructField("w_us", T.ArrayType(T.LongType())),
             *[T.StructField(f"w_{c}", T.ArrayType(T.DoubleType())) for c in HISTORY],
@@ -169,7 +169,7 @@ def trailing_features(
     )
     last = lambda c: F.get(f"w_{c}", F.size(f"w_{c}") - 1)
     named = windows.select(
-        *keys, "_us", F.timestamp_micros("_us").alias(ts), *CURRENT,
+        *keys, F.col("epoch_us").alias("_us"), F.timestamp_micros("epoch_us").alias(ts), *CURRENT,
         last("num_satellites").alias("num_satellites"), last("solution_age").alias("solution_age"),
         last("fix_quality").cast("int").alias("fix_quality"),
         F.size("w_us").alias("_n"), F.get("w_us", F.lit(0)).alias("_first_us"),
