@@ -112,9 +112,9 @@ def ensemble_importance(model: Model, names: Sequence[str], df: DataFrame, top:
 
 def _top_share(rows: DataFrame, top: int) -> DataFrame:
     largest = rows.agg(F.max("importance").alias("_top"))
-    best = rows.orderBy(F.desc("importance"), "feature").limit(top)
     share = F.when(F.col("_top") > 0, F.col("importance") / F.when(F.col("_top") > 0, F.col("_top")))
-    return attach(best, largest).select("feature", "importance", share.alias("relative"))
+    related = attach(rows, largest).select("feature", "importance", share.alias("relative"))
+    return related.orderBy(F.desc("importance"), "feature").limit(top)
 
 
 def permutation_importance(
