@@ -22,7 +22,7 @@ def _two(c: Column) -> Column:
 def numbered_events(spark, sf) -> DataFrame:
     """Events with small integers to write into fields."""
     ts = F.col("ts").cast("timestamp")
-    return table(spark, sf, "events").select(
+    rows = table(spark, sf, "events").select(
         "event_id",
         F.concat(F.lit("u"), F.col("user_id")).alias("path"),
         F.concat(F.lit("u"), F.col("user_id"), F.lit(".txt")).alias("file_name"),
@@ -34,6 +34,8 @@ def numbered_events(spark, sf) -> DataFrame:
         "event_type",
         "user_id",
     )
+    # Lines come from splits of files: one piece per file and split, as a text scan gives them.
+    return rows.repartition("path", "block")
 
 
 _N = """
@@ -44,7 +46,7 @@ n AS (SELECT event_id, 'u' || user_id AS path, ts, CAST(regexp_extract(props, '(
 def as_lines(rows: DataFrame, texts: list[Column]) -> DataFrame:
     """Stack the texts of each event as consecutive lines; null texts give no line."""
     return (
-        rows.select("path", "file_name", "block", "us", "event_id", F.posexplode(F.array(*texts)).alias("_i", "line"))
+        rows.select("path", "file_name", "block", "us", F.posexplode(F.array(*texts)).alias("_i", "line"))
         .where("line is not null")
         .select("path", "file_name", "block", (F.col("us") * 16 + F.col("_i")).alias("pos"), "line")
     )

@@ -14,16 +14,26 @@ WGS84_F = 1.0 / 298.257223563
 
 def number(c: Column, kind: str = "double") -> Column:
     """Number in a text field; null when empty, malformed or NaN."""
-    value = F.trim(c).try_cast(kind)
-    if kind in ("double", "float"):
-        return F.when(~F.isnan(value), value)
-    return value
+    value = F.nullif(F.trim(c), F.lit("")).try_cast(kind)
+    return F.nanvl(value, F.lit(None)) if kind in ("double", "float") else value
+
+
+def numbers(parts: Column) -> Column:
+    """All fields of a split line as numbers, null where a field is none.
+
+    One small function applied per field: a projection that spells out a cast
+    for each of many fields grows past what the virtual machine compiles. Fields
+    that cannot start a number are not tried, as a failing cast is slow.
+    """
+    return F.transform(
+        F.transform(parts, lambda x: F.trim(x)),
+        lambda x: F.when((x >= "+") & (x < ":"), F.nanvl(x.try_cast("double"), F.lit(None))),
+    )
 
 
 def field(parts: Column, index: int) -> Column:
     """Field ``index`` (0-based) of a split line, null when absent or empty."""
-    value = F.get(parts, F.lit(index))
-    return F.when(value != "", value)
+    return F.nullif(F.get(parts, F.lit(index)), F.lit(""))
 
 
 def code_map(code: Column, values: dict[int, float], other: float | None = None) -> Column:

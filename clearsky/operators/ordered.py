@@ -61,30 +61,47 @@ def with_halo(
     )
 
 
-def running_sums(
+def running(
     df: DataFrame,
     by: Sequence[str],
     chunk: str,
     order: Sequence[str | Column],
-    sums: dict[str, Column],
+    sums: dict[str, Column] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Add inclusive running sums per group, exact across chunks.
+    """Running sums and last known values per group, exact across chunks.
+
+    ``sums`` adds inclusive running sums; ``carry`` fills nulls of columns with
+    the latest earlier value, however far back. ``chunk`` must not decrease
+    along ``order``. Rows with equal ``order`` are taken in an arbitrary
+    sequence, so give a full order.
 
-    ``chunk`` must not decrease along ``order``. Rows with equal ``order`` get
-    their sums in an arbitrary sequence, so give a full order.
+    Two passes over the rows: one aggregate to a row per chunk, and one sorted
+    pass inside the chunks that starts from what the earlier chunks left.
     """
+    sums = sums or {}
     keys = [*by, chunk]
-    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    per_chunk = df.groupBy(*keys).agg(
+        *[F.sum(c).alias(f"_off_{n}") for n, c in sums.items()],
+        *[
+            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_carry_{c}")
+            for c in carry
+        ],
+    )
     earlier = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_off_{n}") for n in sums]
+    starts = per_chunk.select(
+        *keys,
+        *[F.coalesce(F.sum(f"_off_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in sums],
+        *[F.last(f"_carry_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in carry],
     )
     inside = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = df.join(offsets, keys)
-    return joined.select(
-        *[F.col(c) for c in df.columns],
+    filled = {
+        c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carry_{c}")) for c in carry
+    }
+    return df.join(starts, keys).select(
+        *[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns],
         *[
             (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_off_{n}")).alias(n)
             for n, c in sums.items()
@@ -92,6 +109,18 @@ def running_sums(
     )
 
 
+def running_sums(
+    df: DataFrame, by: Sequence[str], chunk: str, order: Sequence[str | Column], sums: dict[str, Column]
+) -> DataFrame:
+    return running(df, by, chunk, order, sums=sums)
+
+
+def carry_forward(
+    df: DataFrame, by: Sequence[str], chunk: str, order: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    return running(df, by, chunk, order, carry=columns)
+
+
 def row_index(
     df: DataFrame,
     by: Sequence[str],
@@ -117,39 +146,6 @@ def row_blocks(
     )
 
 
-def carry_forward(
-    df: DataFrame,
-    by: Sequence[str],
-    chunk: str,
-    order: Sequence[str],
-    columns: Sequence[str],
-) -> DataFrame:
-    """Fill nulls with the latest earlier value of the group.
-
-    ``chunk`` as for ``running_sums``; the lookback has no bound, so the last
-    value of each chunk is handed on by a second pass over one row per chunk.
-    """
-    keys = [*by, chunk]
-    lasts = df.groupBy(*keys).agg(
-        *[
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_last_{c}")
-            for c in columns
-        ]
-    )
-    earlier = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(
-        *keys, *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in columns]
-    )
-    inside = (
-        Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    joined = df.join(carried, keys)
-    filled = {
-        c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carry_{c}")) for c in columns
-    }
-    return joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
-
-
 def forward_fill(
     df: DataFrame,
     by: Sequence[str],

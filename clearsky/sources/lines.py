@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearsky.operators.ordered import running_sums
+from clearsky.operators.ordered import running
 
 LINE_ORDER = ["block", "pos"]
 
@@ -32,16 +32,12 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], pattern: str | N
     )
 
 
-def number_records(lines: DataFrame, markers: dict[str, Column]) -> DataFrame:
+def number_records(lines: DataFrame, markers: dict[str, Column], carry: Sequence[str] = ()) -> DataFrame:
     """Running count of marker lines per file: the number of the open record.
 
-    Lines before the first marker get 0. Works split by split, so one very
-    large recording is not pulled into one task.
+    Lines before the first marker get 0. ``carry`` names columns whose last
+    known value holds on. Works split by split, so one very large recording is
+    not pulled into one task.
     """
-    return running_sums(
-        lines,
-        ["path"],
-        "block",
-        ["pos"],
-        {name: F.when(hit, F.lit(1)).otherwise(F.lit(0)).cast("long") for name, hit in markers.items()},
-    )
+    counts = {name: F.when(hit, F.lit(1)).otherwise(F.lit(0)).cast("long") for name, hit in markers.items()}
+    return running(lines, ["path"], "block", ["pos"], counts, carry)

@@ -14,8 +14,8 @@ from clearsky.functions.scalars import (
     nmea_degrees_legacy,
     nmea_time,
     number,
+    numbers,
 )
-from clearsky.operators.ordered import carry_forward
 from clearsky.sources.lines import LINE_ORDER, number_records, read_lines
 
 SENTENCES = ["GGA", "GNS", "GSA", "GST", "GBS", "GSV", "RMC"]
@@ -41,85 +41,72 @@ def sentences(lines: DataFrame, kinds: Sequence[str] = tuple(SENTENCES)) -> Data
     )
 
 
-def _int_or_zero(parts: Column, index: int) -> Column:
-    text = field(parts, index)
-    return F.when(text.isNull(), F.lit(0)).otherwise(number(text, "int"))
+def _at(values: Column, index: int) -> Column:
+    return F.get(values, F.lit(index))
 
 
-def gga_fields(parts: Column, date: Column) -> Column:
+def _bad(parts: Column, nums: Column, index: int) -> Column:
+    """A field that is present but no number."""
+    return (F.coalesce(_at(parts, index), F.lit("")) != "") & _at(nums, index).isNull()
+
+
+def _count(nums: Column, index: int) -> Column:
+    return F.coalesce(_at(nums, index), F.lit(0.0)).cast("int")
+
+
+def gga_fields(parts: Column, nums: Column, date: Column) -> Column:
     """Struct of the position sentence; null when it is short or malformed."""
-    age_text = field(parts, 13)
-    malformed = (
-        _int_or_zero(parts, 6).isNull()
-        | _int_or_zero(parts, 7).isNull()
-        | _bad_number(parts, 8)
-        | _bad_number(parts, 9)
-        | _bad_number(parts, 13)
-    )
+    malformed = _bad(parts, nums, 6)
+    for i in (7, 8, 9, 13):
+        malformed = malformed | _bad(parts, nums, i)
     return F.when(
         (F.size(parts) >= 10) & ~malformed,
         F.struct(
             nmea_time(field(parts, 1), date).alias("timestamp"),
-            nmea_degrees(field(parts, 2), F.get(parts, F.lit(3)), 2).alias("lat"),
-            nmea_degrees(field(parts, 4), F.get(parts, F.lit(5)), 3).alias("lon"),
-            _int_or_zero(parts, 6).alias("fix_quality"),
-            _int_or_zero(parts, 7).alias("num_sats"),
-            number(field(parts, 8)).alias("hdop"),
-            number(field(parts, 9)).alias("alt"),
-            F.coalesce(number(age_text), F.lit(0.0)).alias("solution_age"),
+            nmea_degrees(field(parts, 2), _at(parts, 3), 2).alias("lat"),
+            nmea_degrees(field(parts, 4), _at(parts, 5), 3).alias("lon"),
+            _count(nums, 6).alias("fix_quality"),
+            _count(nums, 7).alias("num_sats"),
+            _at(nums, 8).alias("hdop"),
+            _at(nums, 9).alias("alt"),
+            F.coalesce(_at(nums, 13), F.lit(0.0)).alias("solution_age"),
         ),
     )
 
 
-def _bad_number(parts: Column, index: int) -> Column:
-    """A field that is present but no number."""
-    text = field(parts, index)
-    return text.isNotNull() & F.trim(text).try_cast("double").isNull()
+def _fields(parts: Column, nums: Column, least: int, names: dict[str, int], strict: bool = False) -> Column:
+    """Struct of numbers at given positions of a sentence with enough fields.
 
+    ``strict``: a malformed one of them makes the sentence void.
+    """
+    ok = F.size(parts) >= least
+    if strict:
+        for i in names.values():
+            ok = ok & ~_bad(parts, nums, i)
+    return F.when(ok, F.struct(*[_at(nums, i).alias(n) for n, i in names.items()]))
 
-def gsa_fields(parts: Column) -> Column:
-    """(pdop, hdop, vdop); null when short or malformed."""
-    bad = _bad_number(parts, 15) | _bad_number(parts, 16) | _bad_number(parts, 17)
-    return F.when(
-        (F.size(parts) >= 18) & ~bad,
-        F.struct(
-            number(field(parts, 15)).alias("pdop"),
-            number(field(parts, 16)).alias("hdop"),
-            number(field(parts, 17)).alias("vdop"),
-        ),
-    )
 
+def gsa_fields(parts: Column, nums: Column) -> Column:
+    return _fields(parts, nums, 18, {"pdop": 15, "hdop": 16, "vdop": 17}, strict=True)
 
-def gst_fields(parts: Column) -> Column:
-    return F.when(
-        F.size(parts) >= 9,
-        F.struct(
-            number(field(parts, 2)).alias("rms_error"),
-            number(field(parts, 6)).alias("lat_sigma"),
-            number(field(parts, 7)).alias("lon_sigma"),
-            number(field(parts, 8)).alias("alt_sigma"),
-        ),
-    )
 
+def gst_fields(parts: Column, nums: Column) -> Column:
+    return _fields(parts, nums, 9, {"rms_error": 2, "lat_sigma": 6, "lon_sigma": 7, "alt_sigma": 8})
 
-def gbs_fields(parts: Column) -> Column:
-    return F.when(
-        F.size(parts) >= 8,
-        F.struct(
-            number(field(parts, 2)).alias("gbs_lat_err"),
-            number(field(parts, 3)).alias("gbs_lon_err"),
-            number(field(parts, 4)).alias("gbs_alt_err"),
-        ),
-    )
+
+def gbs_fields(parts: Column, nums: Column) -> Column:
+    return _fields(parts, nums, 8, {"gbs_lat_err": 2, "gbs_lon_err": 3, "gbs_alt_err": 4})
 
 
-def gsv_cnr(parts: Column) -> Column:
+def gns_count(parts: Column, nums: Column) -> Column:
+    """Satellites used; null when the sentence is short or the count malformed."""
+    return F.when((F.size(parts) >= 8) & ~_bad(parts, nums, 7), _count(nums, 7))
+
+
+def gsv_cnr(nums: Column) -> Column:
     """Signal strengths above zero of one satellites-in-view sentence."""
-    values = F.transform(
-        F.filter(F.sequence(F.lit(7), F.lit(7 + 4 * 63), F.lit(4)), lambda i: i < F.size(parts)),
-        lambda i: F.trim(F.get(parts, i)).try_cast("double"),
-    )
-    return F.filter(values, lambda v: v.isNotNull() & (v > 0) & ~F.isnan(v))
+    strengths = F.filter(nums, lambda v, i: (i >= 7) & (i % 4 == 3))
+    return F.filter(strengths, lambda v: v > 0)
 
 
 def nmea_epochs(lines: DataFrame, date_hint: Column | str | None = None) -> DataFrame:
@@ -135,11 +122,11 @@ def nmea_epochs(lines: DataFrame, date_hint: Column | str | None = None) -> Data
     hint = F.lit(date_hint).cast("date") if isinstance(date_hint, str) or date_hint is None else date_hint
     kinds = sentences(lines)
     is_gga = F.col("kind") == "GGA"
-    numbered = number_records(
+    dated = number_records(
         kinds.withColumn("_date", F.when(F.col("kind") == "RMC", nmea_date(field(F.col("parts"), 9)))),
         {"epoch": is_gga},
+        carry=["_date"],
     )
-    dated = carry_forward(numbered, ["path"], "block", ["pos"], ["_date"])
     early = (F.col("epoch") == 0) & F.col("kind").isin("GSV", "GSA")
     placed = dated.withColumn("epoch", F.when(early, F.lit(1)).otherwise(F.col("epoch"))).where("epoch > 0")
 
@@ -152,19 +139,20 @@ def nmea_epochs(lines: DataFrame, date_hint: Column | str | None = None) -> Data
             hit = hit & (F.col("talker") == talker)
         return F.when(hit, value)
 
-    gns = F.when(F.size(parts) >= 8, _int_or_zero(parts, 7))
-    read = placed.select(
+    nums = F.col("nums")
+    gns = gns_count(parts, nums)
+    read = placed.withColumn("nums", numbers(parts)).select(
         "path", "file_name", "epoch", at.alias("at"),
-        of("GGA", gga_fields(parts, date)).alias("gga"),
-        of("GSA", gsa_fields(parts)).alias("gsa"),
-        of("GST", gst_fields(parts)).alias("gst"),
-        of("GBS", gbs_fields(parts)).alias("gbs"),
+        of("GGA", gga_fields(parts, nums, date)).alias("gga"),
+        of("GSA", gsa_fields(parts, nums)).alias("gsa"),
+        of("GST", gst_fields(parts, nums)).alias("gst"),
+        of("GBS", gbs_fields(parts, nums)).alias("gbs"),
         of("GNS", gns, "GN").alias("all_sats"),
         of("GNS", gns, "GP").alias("gps_sats"),
         of("GNS", gns, "GL").alias("glo_sats"),
         of("GNS", gns, "GA").alias("gal_sats"),
         of("GNS", gns, "GB").alias("bds_sats"),
-        of("GSV", gsv_cnr(parts)).alias("cnr"),
+        of("GSV", gsv_cnr(nums)).alias("cnr"),
     )
     heard = F.when(F.col("cnr").isNotNull(), F.struct("at", "cnr"))
     merged = read.groupBy("path", "file_name", "epoch").agg(
