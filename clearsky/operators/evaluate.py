@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearsky.operators.ordered import counted_values, exact_quantiles
+from clearsky.operators.ordered import counted_values, exact_quantiles, settled
 from clearsky.schemas import CLASS_NAMES
+from clearsky.session import cut_lineage
 
 CLASSES = tuple(CLASS_NAMES)
 
@@ -171,7 +172,7 @@ def score_counts(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     negatives = F.col("n") - F.col("positives")
     below_neg = F.col("n_cum") - F.col("positives_cum") - negatives
     return (
-        counts.join(totals, list(by))
+        counts.join(settled(totals), list(by))
         .where("p_total > 0 and n_total > 0")
         .select(
             *by, "score", "positives", negatives.alias("negatives"), "p_total", "n_total",
@@ -229,7 +230,7 @@ def calibration(scores: DataFrame, by: Sequence[str], bins: int = 10, least_posi
         F.sum("positive").alias("_p"),
         F.avg(F.pow(F.col("score") - F.col("positive"), 2)).alias("brier"),
     )
-    known = edges.join(stats.where(F.col("_p") >= least_positives), by)
+    known = settled(edges.join(stats.where(F.col("_p") >= least_positives), by))
     place = _add([(F.col(f"_e{i}") < F.col("score")).cast("int") for i in range(1, bins)])
     return (
         scores.join(known, by)
@@ -278,6 +279,7 @@ def lead_times(
         F.array_sort(F.collect_list(F.when(F.col("_event"), F.col("_i")))).alias("_events"),
         F.array_sort(F.collect_list(F.when(F.col("_alert"), F.col("_i")))).alias("_alerts"),
     )
+    per_block = cut_lineage(per_block)  # read twice: to chain the blocks and to mark events
     start = F.col("_block") * block_rows
 
     def resume(first: Column) -> Column:

@@ -205,7 +205,7 @@ def exact_quantiles(
     group_size = (
         df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
     )
-    sized = counts.join(group_size, list(by)) if by else attach(counts, group_size)
+    sized = counts.join(settled(group_size), list(by)) if by else attach(counts, group_size)
     aggs = []
     for name, p in probabilities.items():
         at = F.lit(float(p)) * (F.col("_rows") - 1)
@@ -216,6 +216,24 @@ def exact_quantiles(
     return sized.groupBy(*by).agg(*aggs)
 
 
+SMALL_ROWS = 10_000
+
+
+def settled(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A small result as a local table, a larger one as it is.
+
+    For totals per class, horizon or session that are joined back to many rows.
+    With few groups a shuffled join would put a large share of the rows in one
+    task. At most ``most + 1`` rows are fetched to find out; a table within the
+    limit then has a known size and is broadcast, a larger one has enough keys
+    for a shuffled join.
+    """
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        return df
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of an ungrouped aggregate (always a single row) to each row."""
     return df.join(F.broadcast(one_row))

@@ -18,6 +18,7 @@ from clearsky.operators.ordered import (
     row_blocks,
     row_index,
     running_sums,
+    settled,
 )
 from clearsky.schemas import CNR_FEATURES, HORIZONS, SOURCE_GROUPS, SOURCE_SPLIT_RULES, WINDOW_ROWS
 
@@ -90,12 +91,12 @@ def session_splits(
         .when(F.col("_at") <= train + val, "validation")
         .otherwise("test")
     )
-    return placed.join(sizes, "group").select(session, "group", split.alias("split"))
+    return placed.join(settled(sizes), "group").select(session, "group", split.alias("split"))
 
 
 def session_split(df: DataFrame, splits: DataFrame, session: str = "scenario") -> DataFrame:
     """Attach session splits to rows; sessions without one go to train."""
-    joined = df.join(splits.select(session, "split"), session, "left")
+    joined = df.join(settled(splits.select(session, "split")), session, "left")
     return joined.withColumn("split", F.coalesce("split", F.lit("train")))
 
 
@@ -189,7 +190,7 @@ def fill_session_median(df: DataFrame, columns: Sequence[str], session: Sequence
     """Median of the session, 0 where the session has no value at all."""
     out = df
     for c in columns:
-        medians = exact_quantiles(df, c, {f"_median_{c}": 0.5}, session)
+        medians = settled(exact_quantiles(df, c, {f"_median_{c}": 0.5}, session))
         out = (
             out.join(medians, list(session), "left")
             .withColumn(c, F.coalesce(F.col(c), F.col(f"_median_{c}"), F.lit(0.0)))
@@ -208,7 +209,7 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ).alias("r")
     ).select("r.*")
     medians = exact_quantiles(long, "value", {"m": 0.5}, ["column"])
-    return medians.agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"median_{c}") for c in columns])
+    return settled(medians).agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"median_{c}") for c in columns])
 
 
 def fill_geometry(df: DataFrame, satellites: str = "num_satellites") -> DataFrame:
@@ -303,27 +304,22 @@ def training_windows(
         F.array(*[F.col(c).cast("float") for c in features]).alias("_x"),
     )
     indexed = row_index(slim, session, ts, order, chunk_seconds, "end_idx")
-    sizes = df.groupBy(*session).agg(F.count(F.lit(1)).alias("_rows"))
-    blocks = row_blocks(indexed, "end_idx", block_rows, before=rows - 1, after=far)
+    blocks = row_blocks(indexed, "end_idx", block_rows, before=rows - 1, after=far + 1)
     ordered = Window.partitionBy(*session, "_block").orderBy("end_idx")
     built = blocks.withColumns(
         {
             "X": F.collect_list("_x").over(ordered.rowsBetween(-(rows - 1), 0)),
             **{f"y_{h}s": F.lead(label, h).over(ordered) for h in horizons},
+            "_far": F.lead("end_idx", far).over(ordered),
+            "_beyond": F.lead("end_idx", far + 1).over(ordered),
         }
     )
-    whole = (
-        F.col("_own")
-        & (F.col("end_idx") >= rows)
-        & (F.col("_rows") > rows + far)
-        & (F.col("end_idx") + far <= F.col("_rows"))
-    )
-    return (
-        built.where(F.col("_own") & (F.col("end_idx") >= rows))
-        .join(sizes, list(session))
-        .where(whole)
-        .select(*session, ts, "end_idx", *keep, "X", *[f"y_{h}s" for h in horizons])
-    )
+    # The rows looked ahead to tell how long the session is: the first window also
+    # needs one row past its longest horizon, later windows have shown it already.
+    long_enough = (F.col("end_idx") > rows) | F.col("_beyond").isNotNull()
+    return built.where(
+        F.col("_own") & (F.col("end_idx") >= rows) & F.col("_far").isNotNull() & long_enough
+    ).select(*session, ts, "end_idx", *keep, "X", *[f"y_{h}s" for h in horizons])
 
 
 def flatten_windows(df: DataFrame, column: str = "X", name: str = "features") -> DataFrame:
@@ -339,7 +335,7 @@ def encode_labels(df: DataFrame, label: str, name: str = "label_code") -> DataFr
     # One row per class, numbered in a single small task.
     classes = df.select(label).where(F.col(label).isNotNull()).distinct()
     codes = classes.withColumn(name, F.row_number().over(Window.orderBy(label)) - 1)
-    return df.join(codes, label, "left")
+    return df.join(settled(codes), label, "left")
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -350,4 +346,4 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
         label,
         (F.sum("_n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("_n"))).alias(name),
     )
-    return df.join(weights, label)
+    return df.join(settled(weights), label)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clearsky.functions.labels import scenario_of
 from clearsky.functions.scalars import degrees_to_metres
-from clearsky.operators.ordered import attach, exact_quantiles
+from clearsky.operators.ordered import attach, exact_quantiles, settled
 from clearsky.schemas import FEATURES
 
 
@@ -103,7 +103,7 @@ def phone_statistics(fixes: DataFrame, status: DataFrame | None, by: Sequence[st
         F.pow(F.col("latitude") - F.col("_lat"), 2) + F.pow(F.col("longitude") - F.col("_lon"), 2)
     )
     out = (
-        fixes.join(centre, by)
+        fixes.join(settled(centre), by)
         .groupBy(*by)
         .agg(
             F.min("unix_time_ms").alias("start_ms"),
@@ -187,7 +187,7 @@ def quadratic_trends(
     scale = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))
     u = (F.col(x) - F.col("_mid")) / scale
     sums = (
-        usable.join(ranges, by)
+        usable.join(settled(ranges), by)
         .withColumn("_u", u)
         .groupBy(*by, "_lo", "_hi", "_mid")
         .agg(

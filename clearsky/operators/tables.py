@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearsky.functions.scalars import group_of
-from clearsky.operators.ordered import micros, row_index
+from clearsky.operators.ordered import micros, row_index, settled
 from clearsky.schemas import CLIP_BOUNDS, DOP_DEFAULTS, EPOCH, NOT_FEATURES
 
 
@@ -133,7 +133,7 @@ def session_seconds(df: DataFrame, by: Sequence[str], ts: str, name: str = "t_se
     """Seconds since the first row of the session."""
     starts = df.groupBy(*by).agg(F.min(ts).alias("_start"))
     return (
-        df.join(starts, list(by))
+        df.join(settled(starts), list(by))
         .withColumn(name, (micros(ts) - micros("_start")) / 1e6)
         .drop("_start")
     )
