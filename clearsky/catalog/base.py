@@ -56,9 +56,14 @@ CHUNK = 10 * DAY
 
 
 def events_as_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    return as_epochs(table(spark, sf, "events"))
+
+
+def as_epochs(events: DataFrame) -> DataFrame:
+    """Epoch columns of a table or stream of events."""
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     v, u = F.col("value"), F.col("user_id")
-    base = table(spark, sf, "events").withColumn("k", k)
+    base = events.withColumn("k", k)
     k = F.col("k")
     return base.select(
         "event_id",
