@@ -296,26 +296,29 @@ def lead_times(
     )
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block").reset_index(drop=True)
-        entry, alert = [], []
-        offset, known, previous = 0, None, None
-        for at, exits_, last in zip(pdf["_block"], pdf["_exits"], pdf["_last_alert"], strict=True):
-            if previous is not None and at != previous + 1:
-                offset = 0  # a gap in the numbering is longer than any skip
-            entry.append(offset)
-            alert.append(known)
-            offset = int(exits_[offset])
-            known = known if pd.isna(last) else int(last)
-            previous = at
-        out = pdf[[*by, "_block"]].copy()
-        out["_entry"] = pd.array(entry, dtype="Int64")
-        out["_known"] = pd.array(alert, dtype="Int64")
-        return out
-
-    chained = chain_in.groupBy(*by).applyInPandas(
-        chain, f"{key_types}, _block long, _entry long, _known long"
-    )
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session_, offset, known, previous = None, 0, None, None
+        for pdf in batches:
+            entry, alert = [], []
+            keys = zip(*[pdf[c] for c in by], strict=True)
+            for key, at, exits_, last in zip(keys, pdf["_block"], pdf["_exits"], pdf["_last_alert"], strict=True):
+                if key != session_:
+                    session_, offset, known = key, 0, None
+                elif at != previous + 1:
+                    offset = 0  # a gap in the numbering is longer than any skip
+                entry.append(offset)
+                alert.append(known)
+                offset = int(exits_[offset])
+                known = known if pd.isna(last) else int(last)
+                previous = at
+            out = pdf[[*by, "_block"]].copy()
+            out["_entry"] = pd.array(entry, dtype="Int64")
+            out["_known"] = pd.array(alert, dtype="Int64")
+            yield out
+
+    # Rows of a session follow each other in one partition: one short row per block.
+    in_order = chain_in.repartition(*by).sortWithinPartitions(*by, "_block")
+    chained = in_order.mapInPandas(chain, f"{key_types}, _block long, _entry long, _known long")
     taken = F.aggregate(
         "_events",
         F.struct(

@@ -58,9 +58,10 @@ def window_features(
     ).withColumn("_us", us)
     part = Window.partitionBy(*session, "_chunk")
     if tiebreak:
-        rows = rows.withColumn(
-            "_tie", F.row_number().over(Window.partitionBy(*session, "_chunk", "_us").orderBy(*tiebreak)) - 1
-        )
+        # Place among the rows of one time, from row numbers in the partitioning of the frames.
+        rows = rows.withColumn("_rn", F.row_number().over(part.orderBy("_us", *tiebreak)))
+        peers = part.orderBy("_us").rangeBetween(0, 0)
+        rows = rows.withColumn("_tie", F.col("_rn") - F.min("_rn").over(peers))
         # What a 64-bit position leaves beside the time span goes to the order of equal times;
         # twice the room, so that a frame takes in all rows at its start and none before it.
         bits = 61 - int((chunk_seconds + window_seconds) * 1_000_000).bit_length()
