@@ -5,13 +5,10 @@ Results and checkpoints go to a new folder below ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearsky.catalog.base import DAY, EPOCHS_SQL, FRAME_DAYS, as_epochs, query, rnd, sql_rnd, table
+from clearsky.catalog.base import DAY, EPOCHS_SQL, FRAME_DAYS, as_epochs, query, rnd, shared_folder, sql_rnd, table
 from clearsky.catalog.features import _WINDOW_SQL
 from clearsky.functions.labels import quality_label
 from clearsky.streaming import live
@@ -27,9 +24,7 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_to_end(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Process all that is there and return what was emitted."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="run-")  # unset only in local tests
-    folder = f"{base}/live-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "live")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clearsky import sinks
 from clearsky.catalog.base import CHUNK, DAY, EPOCHS_SQL, events_as_epochs, query, rnd, sql_rnd, table
 from clearsky.catalog.joins import _NAMED, named_sources
 from clearsky.operators import prep
@@ -263,13 +264,16 @@ SELECT event_id, end_idx, {", ".join(f"y_{h}s" for h in horizons)}, 2 * len(la)
 FROM w WHERE end_idx >= {rows} AND end_idx + {far} <= n AND n > {rows + far}"""
 
 
-def _window_query(rows: int, horizons: tuple[int, ...]):
+def _window_query(rows: int, horizons: tuple[int, ...], stored: str | None = None):
     def run(spark, sf):
         ep = events_as_epochs(spark, sf).withColumn("label", F.col("fix_quality") % 3)
         w = prep.training_windows(
             ep, ["hdop", "fix_quality"], ["source"], rows=rows, horizons=horizons, keep=["event_id"],
             chunk_seconds=3 * DAY, block_rows=40,
         )
+        if stored is not None:
+            sinks.save_windows(w.withColumn("split", F.lit("train")), stored)
+            w = sinks.load_windows(spark, stored, ["train"]).drop("split")
         flat = prep.flatten_windows(w)
         x = F.col("features")
         weighted = F.aggregate(
