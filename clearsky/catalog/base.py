@@ -8,13 +8,13 @@ date an epoch, an order line one satellite's observation.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clearsky.session import shared_folder  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -36,12 +36,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster shares (a temporary one only where none is set, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 # Both engines round to ``places`` decimals. The tiny shift keeps values that end exactly on a
 # half (means of two-decimal numbers often do) away from the rounding edge.
 def rnd(c: Column | str, places: int = 6) -> Column:
