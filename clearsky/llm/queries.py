@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clearsky.llm import exact_dedup, packing, pii, sharding
-from clearsky.llm.base import documents
+from clearsky.llm import exact_dedup, language, packing, pii, sharding, toxicity
+from clearsky.llm.base import crc_of_id, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,15 +28,32 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), ranks)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_of_id(F.col("doc_id")) % 3 == 1
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_of_id(F.col("doc_id")) % 4 == 2
+    grammar = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    return toxicity.score(docs, grammar).withColumn("held_out", held_out)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_pii": op2_pii,
     "op5_packing": op5_packing,
+    "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 
