@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearsky.llm.base import fresh, slices
@@ -147,3 +147,211 @@ def tiles_of(nodes: DataFrame) -> DataFrame:
         .where("before is not null or after is not null")
         .drop("after")
     )
+
+
+def best_neighbours(tiles: DataFrame, percent: int) -> DataFrame:
+    """a, b: each node with the smaller neighbour that stands before it in most tiles; a row per node at most."""
+    near = tiles.where(F.col("before_n") * 100 >= F.col("n") * percent)
+    return (
+        near.groupBy("node", "before")
+        .agg(F.count("*").alias("tiles"))
+        .groupBy(F.col("node").alias("b"))
+        .agg(F.max(F.struct("tiles", "before")).alias("best"))
+        .select(F.col("best.before").alias("a"), "b")
+    )
+
+
+def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest overlap that links sets whose sizes add up to ``n``."""
+    return -(-percent * n // (100 + percent))
+
+
+def _bound(bits: np.ndarray, n: int, others: np.ndarray, other_n: np.ndarray) -> np.ndarray:
+    """The most that the overlap can be: a bit set on one side only stands for a shingle of that side only."""
+    mine = n - np.bitwise_count(bits & ~others).sum(axis=1, dtype=np.int64)
+    theirs = other_n - np.bitwise_count(others & ~bits).sum(axis=1, dtype=np.int64)
+    return np.minimum(mine, theirs)
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps allow a link."""
+
+    @F.pandas_udf("boolean")
+    def possible(bits_a: pd.Series, n_a: pd.Series, bits_b: pd.Series, n_b: pd.Series) -> pd.Series:
+        out = []
+        for x, nx, y, ny in zip(bits_a, n_a, bits_b, n_b, strict=True):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            width = min(len(x), len(y))
+            most = _bound(folded(x, width), nx, folded(y, width)[None], np.array([ny]))[0]
+            out.append(most >= _least_overlap(nx + ny, percent))
+        return pd.Series(out, dtype=bool)
+
+    a = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
+    b = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
+    return pairs.join(a, "a").join(b, "b").where(possible("bits_a", "n_a", "bits_b", "n_b")).select("a", "b")
+
+
+def compare_tile(node: np.ndarray, n: np.ndarray, group: np.ndarray, bits: list, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a tile (rows by size) from different groups that size band and bitmaps allow."""
+    kinds, sizes = np.unique(group, return_counts=True)
+    if len(kinds) == 1:
+        return []
+    largest = kinds[np.argmax(sizes)] if sizes.max() * 2 > len(node) else None
+    widths = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
+    matrix = {w: np.frombuffer(b"".join(bits[i] for i in np.flatnonzero(widths == w)), np.uint8).reshape(-1, w) for w in np.unique(widths)}
+    row_of = np.empty(len(node), dtype=np.int64)
+    for w in matrix:
+        row_of[widths == w] = np.arange((widths == w).sum())
+    out = []
+    for r in np.flatnonzero(group != largest) if largest is not None else range(1, len(node)):
+        low = np.searchsorted(n, -(-percent * n[r] // 100), side="left")
+        # Members of the largest group are not walked themselves, so look beyond this row for them.
+        high = np.searchsorted(n, n[r] * 100 // percent, side="right") if largest is not None else r
+        others = np.arange(low, high)
+        fits = group[others] != group[r]
+        if largest is not None:
+            fits &= (others < r) | (group[others] == largest)
+        others = others[fits]
+        for w in np.unique(widths[others]):
+            some = others[widths[others] == w]
+            width = min(w, widths[r])
+            mine = folded(matrix[widths[r]][row_of[r]], width)
+            theirs = matrix[w][row_of[some]]
+            while theirs.shape[1] > width:
+                half = theirs.shape[1] // 2
+                theirs = theirs[:, :half] | theirs[:, half:]
+            ok = _bound(mine, n[r], theirs, n[some]) >= _least_overlap(n[some] + n[r], percent)
+            out += [(min(node[r], node[s]), max(node[r], node[s])) for s in some[ok]]
+    return out
+
+
+def across_groups(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b: all pairs of a tile in different components that size band and bitmaps allow."""
+    grouped = tiles.select("tile", "node", "n").join(labels, "node", "left")
+    grouped = grouped.withColumn("group", F.coalesce("root", "node")).drop("root")
+    mixed = grouped.groupBy("tile").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h")
+    rows = (
+        grouped.join(mixed, "tile", "left_semi")
+        .join(nodes.select("node", "bits"), "node")
+        .repartition("tile")
+        .sortWithinPartitions("tile", "n", "node")
+    )
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def of(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+            return compare_tile(
+                pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["group"].to_numpy(), pdf["bits"].tolist(), percent
+            )
+
+        open_tile = None  # the last tile of a batch may go on in the next
+        for batch in batches:
+            if open_tile is not None:
+                batch = pd.concat([open_tile, batch], ignore_index=True)
+            tile = batch["tile"].to_numpy()
+            edges = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+            found = []
+            for a, b in zip([0, *edges[:-1]], edges, strict=False):
+                found += of(batch.iloc[a:b])
+            open_tile = batch.iloc[edges[-1] if len(edges) else 0 :]
+            yield pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype=np.int64)
+        if open_tile is not None:
+            yield pd.DataFrame(sorted(set(of(open_tile))), columns=["a", "b"], dtype=np.int64)
+
+    return rows.mapInPandas(compared, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs that link: exact intersection of sorted arrays, made again from the texts.
+
+    Only texts of a candidate's id are read; the list of ids is a stored table, so that Spark
+    knows its size when it chooses between a broadcast and a shuffle of the texts.
+    """
+    either = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = stored(nodes.join(either, "node", "left_semi").select("node", F.col("doc_id").alias("wanted_id")), "wanted")
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(
+        wanted, F.col("i").eqNullSafe(F.col("wanted_id")), "left_semi"
+    )
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["t"].tolist()
+            for a, b in slices(texts):
+                rows = []
+                for found in sets(texts[a:b], k):
+                    raw = found.tobytes()
+                    rows.append((np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), "<i8")[0], raw))
+                yield pd.DataFrame(rows, columns=["node", "shingles"])
+
+    made = texts.mapInPandas(again, "node long, shingles binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    made = stored(made, "shingles")
+
+    @F.pandas_udf("boolean")
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(100 * both >= percent * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    a = made.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    b = made.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(a, "a").join(b, "b").where(linked("x", "y")).select("a", "b")
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """node, root (the smallest node of its component) for all nodes with a link but the roots.
+
+    Large and small stars in turn; each round is aggregated before it is joined and
+    written to the shared folder, and the distance to the root shrinks by a constant factor.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges, before = stored(edges, "edges"), None
+    while True:
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before or state[0] == 0:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+        edges = stored(small.where("u <> v").distinct(), "edges")
+
+
+def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of each row."""
+    signed = stored(signatures(docs, k, percent, id_col, text_col), "signed")
+    all_nodes = nodes_of(signed)
+    nodes = stored(all_nodes.drop("prefix"), "nodes")
+    tiles = stored(tiles_of(all_nodes), "tiles")
+    proposed = stored(bounded(best_neighbours(tiles, percent), nodes, percent), "proposed")
+    first = stored(verified(proposed, nodes, docs, k, percent, id_col, text_col), "links")
+    rest = stored(across_groups(tiles, nodes, connected(first), percent), "across")
+    second = verified(rest, nodes, docs, k, percent, id_col, text_col)
+    labels = connected(stored(first.union(second), "links"))
+
+    of_node = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = of_node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = of_node.join(least, "root").select("node", "component_id")
+    return signed.join(found, "node", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id of each component, with all its columns.
+
+    Rows without an id stay, since nothing tells them apart; rows with one id are one document.
+    """
+    (gone,) = fresh(docs, "gone_id")
+    found = components(docs, k, percent, id_col, text_col)
+    kept = found.where("doc_id = component_id").select("doc_id")
+    lost = found.where("doc_id <> component_id").select("doc_id").join(kept, "doc_id", "left_anti")
+    lost = stored(lost.distinct().withColumnRenamed("doc_id", gone), "gone")
+    return docs.join(lost, docs[id_col] == F.col(gone), "left_anti")
+

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clearsky.llm import exact_dedup, language, packing, pii, sharding, toxicity
+from clearsky.llm import exact_dedup, jaccard_join, language, packing, pii, sharding, toxicity
 from clearsky.llm.base import crc_of_id, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(documents(spark, sf_dir), k=4, percent=85)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
