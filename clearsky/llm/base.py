@@ -29,7 +29,7 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` characters (one row at least), to bound memory."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -149,3 +149,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("doc_id"), *keep, inferred(text_col).alias("found")).select(
         "doc_id", *keep, "found.lang_pred", "found.score", "found.mixture"
     )
+
+
+def determined(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in one of the model's languages."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: infer(t, shipped.value)[0] != UNDETERMINED).astype(bool)
+
+    return docs.where(known(text_col))

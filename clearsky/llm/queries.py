@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clearsky.llm import exact_dedup, jaccard_join, language, packing, pii, sharding, toxicity
+from clearsky.llm import (
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    language,
+    packing,
+    pii,
+    quality,
+    sharding,
+    substring_dedup,
+    toxicity,
+)
 from clearsky.llm.base import crc_of_id, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +34,18 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is the host, the language section its path."""
+    docs = documents(spark, sf_dir)
+    classifier = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, classifier, F.col("source"), F.col("lang"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contaminated(documents(spark, sf_dir), benchmark)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack_documents(documents(spark, sf_dir), ranks)
@@ -39,6 +62,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(documents(spark, sf_dir), k=4, percent=85)
 
@@ -54,9 +81,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_pii": op2_pii,
+    "op3_quality": op3_quality,
+    "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,

@@ -14,6 +14,8 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BYTE[65:91] = _BYTE[97:123]
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+_NO_WORD = _BLANK.copy()  # also ASCII punctuation
+_NO_WORD[[c for c in range(128) if not chr(c).isalnum()]] = True
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -36,12 +38,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the place of each text's first word (one more at the end)."""
+def hashed(texts: list, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the place of each text's first word (one more at the end).
+
+    ``plain`` takes runs of letters and digits for words.
+    """
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
     text_end = np.cumsum(np.fromiter((len(p) + 1 for p in parts), dtype=np.int64, count=len(parts)))
-    blank = _BLANK[data]
+    blank = (_NO_WORD if plain else _BLANK)[data]
     first = ~blank
     first[1:] &= blank[:-1]
     starts = np.flatnonzero(first)

@@ -1,14 +1,61 @@
-"""Corpus preparation from raw documents to packed sequences."""
+"""Corpus preparation: documents of a known language, without copies and benchmark items, packed for training.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the
+last give the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clearsky.llm import decontamination, exact_dedup, jaccard_join, language, packing
+from clearsky.session import stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages: those without any letter go."""
+    return language.determined(docs, language.fit(docs))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five words, similarity 0.8; the smallest id of each group stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
 
-from clearsky.llm import exact_dedup
+STAGES: list[tuple[str, Stage]] = [
+    ("language", known_language),
+    ("exact dedup", without_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", packed),
+]
 
-STAGES = [("exact dedup", lambda spark, docs, sf_dir: exact_dedup.deduplicate(docs))]
+#: Tokens, mixtures and latent directions have no SQL; the tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, "stage")
+    return docs
