@@ -44,7 +44,7 @@ PARAPHRASE = 0.6
 
 
 def word_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    words, places = hashed(texts, plain=True)
+    words, places = hashed([t.lower() if t else t for t in texts], plain=True)
     return (words >> np.uint64(32)).astype(np.uint32), places
 
 
