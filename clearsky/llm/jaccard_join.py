@@ -4,20 +4,22 @@ Two documents link when the distinct word shingles of both share at least
 ``percent`` of a hundred of their union. The steps:
 
 1. Documents of equal shingle sets form one *node*. A node has its set's size, a
-   hashed bitmap of as many bits as the set has shingles (a power of two), and a
+   hashed bitmap of two to four bits a shingle (a power of two), and a
    prefix: the shingles that come first in one fixed order, so many that two linked
    nodes share one. The order puts shingles rare in the whole corpus first; its
    counts live in ``1 << 20`` hashed places, whatever the corpus.
 2. A *tile* is all nodes with the same prefix shingle, in order of size. Only sizes
-   within the band ``percent`` of each other can link.
-3. First, each node proposes the neighbour of lesser size with which it shares most
-   tiles; exact sorted-array intersection decides. Linked nodes form components.
+   within the band ``percent`` of each other can link, and only if their first shared shingle
+   leaves both enough shingles after it.
+3. First, each node proposes ``PROPOSALS`` partners: of the ``REACH`` nodes before it in each tile
+   those whose bitmaps allow most overlap; exact sorted-array intersection decides. Linked nodes form
+   components.
 4. Then tiles compare all nodes of *different* components: bits set on one side only
    bound the overlap from above, and pairs within the bound are intersected exactly.
-   Groups of copies are one component by then and give no pairs.
+   Groups of copies are mostly one component by then and give few pairs.
 5. Components of all links, by alternating hooking and shortcutting.
 
-Steps 2-4 lose no link between different components, so components are exact.
+Step 4 has no reach or cap, so no link between different components is lost; components are exact.
 Node numbers are 64 bits of a digest; a second digest is compared and a clash stops
 the job with an error.
 
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearsky.llm.base import fresh, slices
@@ -45,6 +47,9 @@ from clearsky.session import stored
 WORDS = 5
 PERCENT = 80
 PLACES = 1 << 20
+REACH = 256
+PROPOSALS = 3
+LARGE_TILE = 2048
 
 
 def frequencies(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarray:
@@ -69,7 +74,7 @@ def frequencies(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarray:
 
 def bitmap(found: np.ndarray) -> np.ndarray:
     width = 64
-    while width < len(found):
+    while width < 2 * len(found):
         width *= 2
     bits = np.zeros(width, dtype=bool)
     bits[(found & np.uint64(width - 1)).astype(np.int64)] = True
@@ -101,7 +106,7 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", te
                     order = (often.value[place].astype(np.uint64) << np.uint64(43)) | (found >> np.uint64(21))
                     least = n + percent * n // -100 + 1
                     node, proof = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), "<i8")
-                    prefix = np.partition(order, least - 1)[:least].view(np.int64)
+                    prefix = np.sort(np.partition(order, least - 1)[:least]).view(np.int64)
                     rows.append((n, node, proof, bitmap(found).tobytes(), prefix))
                 out = pd.DataFrame(rows, columns=["n_shingles", "node", "proof", "bits", "prefix"])
                 out["node"] = pd.array([r[1] for r in rows], dtype="Int64")
@@ -132,33 +137,22 @@ def nodes_of(signed: DataFrame) -> DataFrame:
     )
 
 
-def tiles_of(nodes: DataFrame) -> DataFrame:
-    """tile, node, n, and the next smaller node of the tile, for tiles of two nodes or more."""
-    by_size = Window.partitionBy("tile").orderBy("n", "node")
-    return (
-        nodes.select(F.explode("prefix").alias("tile"), "node", "n")
-        .withColumns(
-            {
-                "before": F.lag("node").over(by_size),
-                "before_n": F.lag("n").over(by_size),
-                "after": F.lead("node").over(by_size),
-            }
-        )
-        .where("before is not null or after is not null")
-        .drop("after")
-    )
+def tiles_of(nodes: DataFrame, percent: int) -> DataFrame:
+    """tile, pos, node, n: rows that could be the first shared shingle with another row of the tile."""
 
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _by_whole_tiles(batches):
+            tile, pos, n = (frame[c].to_numpy() for c in ("tile", "pos", "n"))
+            x, y = pairs_in_tiles(tile, pos, n, np.arange(len(n)), percent, REACH)
+            # Beyond the reach nothing is known of a row, so it stays.
+            beyond = np.zeros(len(n), dtype=bool)
+            beyond[REACH:] = tile[REACH:] == tile[:-REACH]
+            beyond[: len(n) - REACH] |= beyond[REACH:]
+            yield frame[np.isin(np.arange(len(n)), np.concatenate([x, y])) | beyond]
 
-def best_neighbours(tiles: DataFrame, percent: int) -> DataFrame:
-    """a, b: each node with the smaller neighbour that stands before it in most tiles; a row per node at most."""
-    near = tiles.where(F.col("before_n") * 100 >= F.col("n") * percent)
-    return (
-        near.groupBy("node", "before")
-        .agg(F.count("*").alias("tiles"))
-        .groupBy(F.col("node").alias("b"))
-        .agg(F.max(F.struct("tiles", "before")).alias("best"))
-        .select(F.col("best.before").alias("a"), "b")
-    )
+    rows = nodes.select(F.posexplode("prefix").alias("pos", "tile"), "node", "n").select("tile", "pos", "node", "n")
+    sorted_rows = rows.repartition("tile").sortWithinPartitions("tile", "n", "node")
+    return sorted_rows.mapInPandas(met, rows.schema)
 
 
 def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -173,25 +167,44 @@ def _bound(bits: np.ndarray, n: int, others: np.ndarray, other_n: np.ndarray) ->
     return np.minimum(mine, theirs)
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps allow a link."""
-
-    @F.pandas_udf("boolean")
-    def possible(bits_a: pd.Series, n_a: pd.Series, bits_b: pd.Series, n_b: pd.Series) -> pd.Series:
-        out = []
-        for x, nx, y, ny in zip(bits_a, n_a, bits_b, n_b, strict=True):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            width = min(len(x), len(y))
-            most = _bound(folded(x, width), nx, folded(y, width)[None], np.array([ny]))[0]
-            out.append(most >= _least_overlap(nx + ny, percent))
-        return pd.Series(out, dtype=bool)
+def margins(bits: list, n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Most possible overlap less the least that links, for rows ``x`` with smaller (or equal) rows ``y``."""
+    out = np.empty(len(x), dtype=np.int64)
+    widths = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
+    for w in np.unique(widths[y]):
+        at = np.flatnonzero(widths[y] == w)
+        used = np.unique(np.concatenate([x[at], y[at]]))
+        rows = np.array([folded(np.frombuffer(bits[k], np.uint8), w) for k in used]).view(np.uint64)
+        for k in range(0, len(at), 4096):
+            pair = at[k : k + 4096]
+            mine, theirs = rows[np.searchsorted(used, x[pair])], rows[np.searchsorted(used, y[pair])]
+            a = n[x[pair]] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
+            b = n[y[pair]] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
+            out[pair] = np.minimum(a, b) - _least_overlap(n[x[pair]] + n[y[pair]], percent)
+    return out
 
-    a = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
-    return pairs.join(a, "a").join(b, "b").where(possible("bits_a", "n_a", "bits_b", "n_b")).select("a", "b")
 
+def pairs_in_tiles(tile: np.ndarray, pos: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, reach: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x and smaller rows y of one tile, of different groups, that can link with this shingle as their first.
 
-def compare_tile(node: np.ndarray, n: np.ndarray, group: np.ndarray, bits: list, percent: int) -> list[tuple[int, int]]:
+    Sizes must lie in the band, and after the first shared shingle both prefixes must leave enough.
+    """
+    xs, ys = [], []
+    x, d = np.arange(len(tile)), 0
+    while len(x) and (reach is None or d < reach):
+        d += 1
+        x = x[x >= d]
+        # Rows lie by size: beyond the band at one distance, beyond it at all greater ones.
+        x = x[(tile[x] == tile[x - d]) & (n[x - d] * 100 >= percent * n[x])]
+        y = x - d
+        most = np.minimum(n[x] - pos[x], n[y] - pos[y])
+        apart = (group[x] != group[y]) & (most >= _least_overlap(n[x] + n[y], percent))
+        xs.append(x[apart])
+        ys.append(y[apart])
+    return np.concatenate([*xs, x[:0]]), np.concatenate([*ys, x[:0]])
+
+
+def compare_tile(node: np.ndarray, pos: np.ndarray, n: np.ndarray, group: np.ndarray, bits: list, percent: int) -> list[tuple[int, int]]:
     """Pairs of a tile (rows by size) from different groups that size band and bitmaps allow."""
     kinds, sizes = np.unique(group, return_counts=True)
     if len(kinds) == 1:
@@ -208,7 +221,8 @@ def compare_tile(node: np.ndarray, n: np.ndarray, group: np.ndarray, bits: list,
         # Members of the largest group are not walked themselves, so look beyond this row for them.
         high = np.searchsorted(n, n[r] * 100 // percent, side="right") if largest is not None else r
         others = np.arange(low, high)
-        fits = group[others] != group[r]
+        most = np.minimum(n[r] - pos[r], n[others] - pos[others])
+        fits = (group[others] != group[r]) & (most >= _least_overlap(n[others] + n[r], percent))
         if largest is not None:
             fits &= (others < r) | (group[others] == largest)
         others = others[fits]
@@ -225,37 +239,75 @@ def compare_tile(node: np.ndarray, n: np.ndarray, group: np.ndarray, bits: list,
     return out
 
 
+def _by_whole_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows, cut so that no tile lies in two frames."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        tile = batch["tile"].to_numpy()
+        cut = int(np.searchsorted(tile != tile[-1], False)) if tile[0] == tile[-1] else int(np.flatnonzero(tile != tile[-1])[-1]) + 1
+        if held and held[-1]["tile"].iloc[-1] != tile[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        if cut:
+            yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
+            held = []
+        held.append(batch.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _in_tiles(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
+    rows = tiles.join(nodes.select("node", "bits"), "node")
+    return rows.repartition("tile").sortWithinPartitions("tile", "n", "node")
+
+
+def proposals(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each node b the most promising node a within reach; ``PROPOSALS`` rows per node at most."""
+
+    def proposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _by_whole_tiles(batches):
+            node, n, bits = frame["node"].to_numpy(), frame["n"].to_numpy(), frame["bits"].tolist()
+            x, y = pairs_in_tiles(frame["tile"].to_numpy(), frame["pos"].to_numpy(), n, np.arange(len(n)), percent, REACH)
+            margin = margins(bits, n, x, y, percent)
+            out = pd.DataFrame({"margin": margin, "a": node[y], "b": node[x]})
+            out = out[out["margin"] >= 0].sort_values(["margin", "a"], ascending=False)
+            yield out.drop_duplicates(["a", "b"]).groupby("b").head(PROPOSALS)
+
+    found = _in_tiles(tiles, nodes).mapInPandas(proposed, "margin long, a long, b long")
+    # A node's prefix bounds its proposals before the best are taken.
+    best = F.slice(F.sort_array(F.collect_set(F.struct("margin", "a")), asc=False), 1, PROPOSALS)
+    tops = found.groupBy("b").agg(best.alias("tops")).select("b", F.explode("tops").alias("top"))
+    return tops.select(F.col("top.a").alias("a"), "b")
+
+
 def across_groups(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """a, b: all pairs of a tile in different components that size band and bitmaps allow."""
-    grouped = tiles.select("tile", "node", "n").join(labels, "node", "left")
+    grouped = tiles.join(labels, "node", "left")
     grouped = grouped.withColumn("group", F.coalesce("root", "node")).drop("root")
     mixed = grouped.groupBy("tile").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h")
-    rows = (
-        grouped.join(mixed, "tile", "left_semi")
-        .join(nodes.select("node", "bits"), "node")
-        .repartition("tile")
-        .sortWithinPartitions("tile", "n", "node")
-    )
+    rows = _in_tiles(grouped.join(mixed, "tile", "left_semi"), nodes)
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def of(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-            return compare_tile(
-                pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["group"].to_numpy(), pdf["bits"].tolist(), percent
-            )
-
-        open_tile = None  # the last tile of a batch may go on in the next
-        for batch in batches:
-            if open_tile is not None:
-                batch = pd.concat([open_tile, batch], ignore_index=True)
-            tile = batch["tile"].to_numpy()
-            edges = np.flatnonzero(tile[1:] != tile[:-1]) + 1
-            found = []
-            for a, b in zip([0, *edges[:-1]], edges, strict=False):
-                found += of(batch.iloc[a:b])
-            open_tile = batch.iloc[edges[-1] if len(edges) else 0 :]
-            yield pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype=np.int64)
-        if open_tile is not None:
-            yield pd.DataFrame(sorted(set(of(open_tile))), columns=["a", "b"], dtype=np.int64)
+        for frame in _by_whole_tiles(batches):
+            tile, pos, node, n, group = (frame[c].to_numpy() for c in ("tile", "pos", "node", "n", "group"))
+            bits = frame["bits"].tolist()
+            edges = np.append(np.flatnonzero(np.append(True, tile[1:] != tile[:-1])), len(tile))
+            large = np.repeat(np.diff(edges) > LARGE_TILE, np.diff(edges))
+            small = np.flatnonzero(~large)
+            x, y = pairs_in_tiles(tile[small], pos[small], n[small], group[small], percent, None)
+            x, y = small[x], small[y]
+            pair = np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
+            _, once = np.unique(pair, axis=0, return_index=True) if len(pair) else (None, np.zeros(0, np.int64))
+            x, y = x[once], y[once]
+            ok = margins(bits, n, x, y, percent) >= 0
+            out = [pd.DataFrame({"a": np.minimum(node[x], node[y])[ok], "b": np.maximum(node[x], node[y])[ok]})]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a > LARGE_TILE:
+                    found = compare_tile(node[a:b], pos[a:b], n[a:b], group[a:b], bits[a:b], percent)
+                    out.append(pd.DataFrame(found, columns=["a", "b"], dtype=np.int64))
+            yield pd.concat(out, ignore_index=True)
 
     return rows.mapInPandas(compared, "a long, b long").distinct()
 
@@ -326,8 +378,8 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col:
     signed = stored(signatures(docs, k, percent, id_col, text_col), "signed")
     all_nodes = nodes_of(signed)
     nodes = stored(all_nodes.drop("prefix"), "nodes")
-    tiles = stored(tiles_of(all_nodes), "tiles")
-    proposed = stored(bounded(best_neighbours(tiles, percent), nodes, percent), "proposed")
+    tiles = stored(tiles_of(all_nodes, percent), "tiles")
+    proposed = stored(proposals(tiles, nodes, percent), "proposed")
     first = stored(verified(proposed, nodes, docs, k, percent, id_col, text_col), "links")
     rest = stored(across_groups(tiles, nodes, connected(first), percent), "across")
     second = verified(rest, nodes, docs, k, percent, id_col, text_col)
