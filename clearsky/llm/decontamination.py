@@ -240,7 +240,7 @@ def search(hashed_docs: DataFrame, items: list[tuple[object, str]], coordinates:
         if len(w)
     ]
     parts = [(k, words[k] if len(words[k]) <= 4 * BLOCK else w) for k, w in parts]
-    latent = _unit(np.array([coordinates[w % TERMS].sum(axis=0) for _, w in parts]).reshape(len(parts), -1))
+    latent = _unit(np.array([coordinates[w % TERMS].sum(axis=0) for _, w in parts]).reshape(len(parts), coordinates.shape[1]))
     owner = np.array([k for k, _ in parts], dtype=np.int64)
     names = [name for name, _ in items]
     bits = np.array([np.bitwise_or.reduce(rare_bits(w, idf), axis=0) for _, w in parts], dtype=np.uint64).reshape(-1, 8)
