@@ -246,11 +246,9 @@ WITH li AS (
   SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_tax,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn
   FROM lineitem),
-st AS (
-  SELECT l_suppkey, l_shipdate, min(rn) AS first_rn FROM li GROUP BY ALL),
 lo AS (
-  SELECT li.*, (SELECT min(s.first_rn) FROM st s WHERE s.l_suppkey = li.l_suppkey
-      AND s.l_shipdate >= li.l_shipdate - INTERVAL 30 DAY) AS lo_rn
+  SELECT li.*, min(rn) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate
+      RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS lo_rn
   FROM li),
 cum AS (
   SELECT *, sum(l_quantity) OVER w AS q, count(*) OVER w AS c
