@@ -146,8 +146,8 @@ def tiles_of(nodes: DataFrame, percent: int) -> DataFrame:
             x, y = pairs_in_tiles(tile, pos, n, np.arange(len(n)), percent, REACH)
             # Beyond the reach nothing is known of a row, so it stays.
             beyond = np.zeros(len(n), dtype=bool)
-            beyond[REACH:] = tile[REACH:] == tile[:-REACH]
-            beyond[: len(n) - REACH] |= beyond[REACH:]
+            far = np.flatnonzero(tile[REACH:] == tile[: max(0, len(tile) - REACH)])
+            beyond[far] = beyond[far + REACH] = True
             yield frame[np.isin(np.arange(len(n)), np.concatenate([x, y])) | beyond]
 
     rows = nodes.select(F.posexplode("prefix").alias("pos", "tile"), "node", "n").select("tile", "pos", "node", "n")
