@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,13 +74,15 @@ class TrailingWindow(StatefulProcessor):
     """Keeps the last seconds of a session and emits, per epoch, the window it closes.
 
     Rows of one trigger are taken in time order. Rows up to the watermark are
-    accepted; the state holds the window length plus nothing else, and an idle
-    session is dropped by a timer.
+    accepted; the state holds the window length and the lateness, so that a late
+    epoch finds its whole window. An idle session is dropped by a timer. An epoch
+    is emitted once: rows that arrive after it do not change its window.
     """
 
-    def __init__(self, keys: Sequence[str], ts: str, window_seconds: float):
+    def __init__(self, keys: Sequence[str], ts: str, window_seconds: float, lateness_us: int):
         self.keys, self.ts = list(keys), ts
         self.window_us = int(window_seconds * 1_000_000)
+        self.held_us = self.window_us + lateness_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -88,22 +91,29 @@ class TrailingWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True).sort_values("epoch_us", kind="stable")
-        kept = [tuple(r) for r in self.rows.get()]
+        records = new.to_dict("records")
+        # Kept rows first, so that among equal times a row of this trigger comes last.
+        merged = [(tuple(r), None) for r in self.rows.get()]
+        merged += [
+            ((int(row["epoch_us"]), *[None if pd.isna(row[c]) else float(row[c]) for c in HISTORY]), row) for row in records
+        ]
+        merged.sort(key=lambda m: m[0][0])
+        kept = [m[0] for m in merged]
+        times = np.array([r[0] for r in kept], dtype=np.int64)
+        firsts = np.searchsorted(times, times - self.window_us, side="left")
         out = []
-        for row in new.to_dict("records"):
-            us = int(row["epoch_us"])
-            mine = (us, *[None if pd.isna(row[c]) else float(row[c]) for c in HISTORY])
-            kept.append(mine)
-            kept.sort(key=lambda r: r[0])
-            window = [r for r in kept if us - self.window_us <= r[0] <= us]
-            out.append({"epoch_us": us, **{c: row[c] for c in CURRENT},
+        for end, (first, (_, row)) in enumerate(zip(firsts, merged, strict=True), start=1):
+            if row is None:
+                continue
+            window = kept[first:end]
+            out.append({"epoch_us": window[-1][0], **{c: row[c] for c in CURRENT},
                         "w_us": [r[0] for r in window],
                         **{f"w_{c}": [r[i + 1] for r in window] for i, c in enumerate(HISTORY)}})
         newest = kept[-1][0]
-        self.rows.put([r for r in kept if r[0] >= newest - self.window_us])
+        self.rows.put(kept[int(np.searchsorted(times, newest - self.held_us, side="left")) :])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer[0] if isinstance(timer, (list, tuple)) else timer)
-        self.handle.registerTimer((newest + 2 * self.window_us) // 1000)
+        self.handle.registerTimer((newest + self.window_us + self.held_us) // 1000)
         frame = pd.DataFrame(out)
         for name, value in zip(self.keys, key, strict=True):
             frame[name] = value
@@ -117,6 +127,13 @@ class TrailingWindow(StatefulProcessor):
         pass
 
 
+def _micros_of(df: DataFrame, interval: str) -> int:
+    """Microseconds of an interval text, read as Spark reads the watermark's."""
+    epoch = F.timestamp_micros(F.lit(0))
+    one = df.sparkSession.range(1).select(F.unix_micros(epoch + F.lit(interval).cast("interval")))
+    return one.first()[0]
+
+
 def _known(name: str) -> Column:
     return F.filter(name, lambda v: v.isNotNull())
 
@@ -165,7 +182,7 @@ def trailing_features(
         ]
     )
     windows = slim.groupBy(*keys).transformWithStateInPandas(
-        TrailingWindow(keys, ts, window_seconds), out_schema, "Append", "EventTime"
+        TrailingWindow(keys, ts, window_seconds, _micros_of(epochs, lateness)), out_schema, "Append", "EventTime"
     )
     last = lambda c: F.get(f"w_{c}", F.size(f"w_{c}") - 1)
     named = windows.select(

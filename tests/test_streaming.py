@@ -48,6 +48,30 @@ def test_trailing_features_equal_batch(spark, stream, tmp_path):
             assert same(row[f], got[k][f], 1e-7), (k, f, row[f], got[k][f])
 
 
+def test_late_epochs_find_their_whole_window(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    fields = ", ".join(f"{c} {'int' if c == 'fix_quality' else 'double'}" for c in [*live.HISTORY, *live.CURRENT])
+    schema = f"source string, scenario string, timestamp timestamp, {fields}"
+    # Every ten seconds; 75 comes after 100, within the lateness, and 4 far too late.
+    arrivals = [*range(0, 101, 10), 75, 110, 4]
+    for s in arrivals:
+        cells = [4 if c == "fix_quality" else float(s + 1) for c in [*live.HISTORY, *live.CURRENT]]
+        row = ("a", "x", t0 + timedelta(seconds=s), *cells)
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = live.trailing_features(source(spark, folder), KEYS, "timestamp", 30, "60 seconds")
+    found = {int((r["timestamp"].replace(tzinfo=timezone.utc) - t0).total_seconds()): r["mean_cnr"] for r in run(spark, stream, tmp_path).collect()}
+    seen = []
+    want = {}
+    for s in arrivals[:-1]:
+        seen.append(s)
+        window = [x + 1 for x in seen if s - 30 <= x <= s]
+        if len(window) > 1:
+            want[s] = sum(window) / len(window)
+    assert found.keys() == want.keys() and 75 in found and 4 not in found
+    assert all(abs(found[s] - want[s]) < 1e-9 for s in want)
+
+
 def test_duplicates_are_dropped(spark, stream, tmp_path):
     folder, pdf = stream
     doubled = source(spark, folder).select(*KEYS, "timestamp", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
