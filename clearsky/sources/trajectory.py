@@ -18,7 +18,7 @@ from clearsky.functions.scalars import (
     sequence_clock,
 )
 from clearsky.operators.asof import nearest_asof_join
-from clearsky.operators.ordered import CHUNK_SECONDS, running_sums
+from clearsky.operators.ordered import CHUNK_SECONDS, attach, running_sums
 from clearsky.schemas import FIX_MODE_TO_STATUS
 
 CAMPUS_GPS_8 = ["utime", "fix_mode", "num_sats", "lat_rad", "lng_rad", "alt_m", "track_deg", "speed_ms"]
@@ -214,10 +214,15 @@ def standard_trajectory(df: DataFrame, spec: TrajectorySpec = VEHICLE, order: Se
     elif isinstance(table.schema[time_column].dataType, T.NumericType):
         when = epoch_to_timestamp(F.col(time_column))
         if spec.sequence_below is not None:
-            top = table.agg(F.max(time_column)).first()[0]  # one number decides for the file
-            if top is not None and top < spec.sequence_below:
+            # The largest number of a file decides for that file alone.
+            files = [c for c in kept if c == "path"]
+            counter = F.coalesce(F.max(time_column) < spec.sequence_below, F.lit(False)).alias("_counter")
+            tops = table.groupBy(*files).agg(counter)
+            if len(order) >= 2 or tops.where("_counter").head(1):
                 by_row = True
-                when = sequence_clock(F.col("_row"), step_seconds=spec.clock_step)
+                table = table.join(tops, files) if files else attach(table, tops)
+                made_up = sequence_clock(F.col("_row"), step_seconds=spec.clock_step)
+                when = F.when(F.col("_counter"), made_up).otherwise(when)
     else:
         text = F.col(time_column).cast("string")
         when = F.coalesce(F.try_to_timestamp(text), epoch_to_timestamp(number(text)))

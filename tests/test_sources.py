@@ -192,6 +192,11 @@ def test_trajectory_families(spark, put):
     seq = put("c.csv", "index,latitude,longitude\n1,1,1\n2,2,2\n3,3,3\n")
     rows = trajectory.read_trajectory(spark, seq, trajectory.URBAN).orderBy("timestamp").collect()
     assert [r["timestamp"].microsecond for r in rows] == [0, 10000, 20000]
+    timed = put("timed.csv", "index,latitude,longitude\n1700000000,5,5\n1700000001,6,6\n")
+    rows = trajectory.read_trajectory(spark, [seq, timed], trajectory.URBAN).collect()
+    at = {r["latitude"]: r["timestamp"] for r in rows}
+    assert [at[k].microsecond for k in (1, 2, 3)] == [0, 10000, 20000] and at[1].year == 2024
+    assert (at[5], at[6]) == (datetime(2023, 11, 14, 22, 13, 20), datetime(2023, 11, 14, 22, 13, 21))
     untimed = put("d.csv", "latitude,longitude\n1,1\n2,2\n")
     rows = trajectory.read_trajectory(spark, untimed, trajectory.STREET).orderBy("timestamp").collect()
     assert [r["timestamp"].second for r in rows] == [0, 1]
