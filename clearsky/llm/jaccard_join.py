@@ -50,6 +50,8 @@ PLACES = 1 << 20
 REACH = 256
 PROPOSALS = 3
 LARGE_TILE = 2048
+BLOCK_PAIRS = 1 << 19
+BLOCK_BYTES = 1 << 23
 
 
 def frequencies(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarray:
@@ -143,12 +145,13 @@ def tiles_of(nodes: DataFrame, percent: int) -> DataFrame:
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _by_whole_tiles(batches):
             tile, pos, n = (frame[c].to_numpy() for c in ("tile", "pos", "n"))
-            x, y = pairs_in_tiles(tile, pos, n, np.arange(len(n)), percent, REACH)
+            stays = np.zeros(len(n), dtype=bool)
+            for x, y in pairs_in_tiles(tile, pos, n, np.arange(len(n)), percent, REACH):
+                stays[x] = stays[y] = True
             # Beyond the reach nothing is known of a row, so it stays.
-            beyond = np.zeros(len(n), dtype=bool)
             far = np.flatnonzero(tile[REACH:] == tile[: max(0, len(tile) - REACH)])
-            beyond[far] = beyond[far + REACH] = True
-            yield frame[np.isin(np.arange(len(n)), np.concatenate([x, y])) | beyond]
+            stays[far] = stays[far + REACH] = True
+            yield frame[stays]
 
     rows = nodes.select(F.posexplode("prefix").alias("pos", "tile"), "node", "n").select("tile", "pos", "node", "n")
     sorted_rows = rows.repartition("tile").sortWithinPartitions("tile", "n", "node")
@@ -175,8 +178,9 @@ def margins(bits: list, n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: in
         at = np.flatnonzero(widths[y] == w)
         used = np.unique(np.concatenate([x[at], y[at]]))
         rows = np.array([folded(np.frombuffer(bits[k], np.uint8), w) for k in used]).view(np.uint64)
-        for k in range(0, len(at), 4096):
-            pair = at[k : k + 4096]
+        step = max(1, BLOCK_BYTES // int(w))
+        for k in range(0, len(at), step):
+            pair = at[k : k + step]
             mine, theirs = rows[np.searchsorted(used, x[pair])], rows[np.searchsorted(used, y[pair])]
             a = n[x[pair]] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
             b = n[y[pair]] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
@@ -184,12 +188,13 @@ def margins(bits: list, n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: in
     return out
 
 
-def pairs_in_tiles(tile: np.ndarray, pos: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, reach: int | None) -> tuple[np.ndarray, np.ndarray]:
+def pairs_in_tiles(tile: np.ndarray, pos: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows x and smaller rows y of one tile, of different groups, that can link with this shingle as their first.
 
     Sizes must lie in the band, and after the first shared shingle both prefixes must leave enough.
+    They come in blocks of about ``BLOCK_PAIRS``, so that a tile of any size takes bounded memory.
     """
-    xs, ys = [], []
+    xs, ys, held = [], [], 0
     x, d = np.arange(len(tile)), 0
     while len(x) and (reach is None or d < reach):
         d += 1
@@ -201,21 +206,26 @@ def pairs_in_tiles(tile: np.ndarray, pos: np.ndarray, n: np.ndarray, group: np.n
         apart = (group[x] != group[y]) & (most >= _least_overlap(n[x] + n[y], percent))
         xs.append(x[apart])
         ys.append(y[apart])
-    return np.concatenate([*xs, x[:0]]), np.concatenate([*ys, x[:0]])
+        held += len(xs[-1])
+        if held >= BLOCK_PAIRS:
+            yield np.concatenate(xs), np.concatenate(ys)
+            xs, ys, held = [], [], 0
+    if held:
+        yield np.concatenate(xs), np.concatenate(ys)
 
 
-def compare_tile(node: np.ndarray, pos: np.ndarray, n: np.ndarray, group: np.ndarray, bits: list, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a tile (rows by size) from different groups that size band and bitmaps allow."""
+def compare_tile(node: np.ndarray, pos: np.ndarray, n: np.ndarray, group: np.ndarray, bits: list, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a tile (rows by size) from different groups that size band and bitmaps allow, in blocks."""
     kinds, sizes = np.unique(group, return_counts=True)
     if len(kinds) == 1:
-        return []
+        return
     largest = kinds[np.argmax(sizes)] if sizes.max() * 2 > len(node) else None
     widths = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
     matrix = {w: np.frombuffer(b"".join(bits[i] for i in np.flatnonzero(widths == w)), np.uint8).reshape(-1, w) for w in np.unique(widths)}
     row_of = np.empty(len(node), dtype=np.int64)
     for w in matrix:
         row_of[widths == w] = np.arange((widths == w).sum())
-    out = []
+    xs, ys, held = [], [], 0
     for r in np.flatnonzero(group != largest) if largest is not None else range(1, len(node)):
         low = np.searchsorted(n, -(-percent * n[r] // 100), side="left")
         # Members of the largest group are not walked themselves, so look beyond this row for them.
@@ -235,8 +245,14 @@ def compare_tile(node: np.ndarray, pos: np.ndarray, n: np.ndarray, group: np.nda
                 half = theirs.shape[1] // 2
                 theirs = theirs[:, :half] | theirs[:, half:]
             ok = _bound(mine, n[r], theirs, n[some]) >= _least_overlap(n[some] + n[r], percent)
-            out += [(min(node[r], node[s]), max(node[r], node[s])) for s in some[ok]]
-    return out
+            xs.append(np.full(ok.sum(), node[r]))
+            ys.append(node[some[ok]])
+            held += len(xs[-1])
+        if held >= BLOCK_PAIRS:
+            yield np.concatenate(xs), np.concatenate(ys)
+            xs, ys, held = [], [], 0
+    if held:
+        yield np.concatenate(xs), np.concatenate(ys)
 
 
 def _by_whole_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,12 +284,16 @@ def proposals(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def proposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _by_whole_tiles(batches):
-            node, n, bits = frame["node"].to_numpy(), frame["n"].to_numpy(), frame["bits"].tolist()
-            x, y = pairs_in_tiles(frame["tile"].to_numpy(), frame["pos"].to_numpy(), n, np.arange(len(n)), percent, REACH)
-            margin = margins(bits, n, x, y, percent)
-            out = pd.DataFrame({"margin": margin, "a": node[y], "b": node[x]})
-            out = out[out["margin"] >= 0].sort_values(["margin", "a"], ascending=False)
-            yield out.drop_duplicates(["a", "b"]).groupby("b").head(PROPOSALS)
+            tile, pos, node, n = (frame[c].to_numpy() for c in ("tile", "pos", "node", "n"))
+            bits = frame["bits"].tolist()
+            best = pd.DataFrame({"margin": [], "a": [], "b": []}, dtype=np.int64)
+            for x, y in pairs_in_tiles(tile, pos, n, np.arange(len(n)), percent, REACH):
+                margin = margins(bits, n, x, y, percent)
+                ok = margin >= 0
+                more = pd.DataFrame({"margin": margin[ok], "a": node[y[ok]], "b": node[x[ok]]})
+                best = pd.concat([best, more]).sort_values(["margin", "a"], ascending=False)
+                best = best.drop_duplicates(["a", "b"]).groupby("b").head(PROPOSALS)
+            yield best
 
     found = _in_tiles(tiles, nodes).mapInPandas(proposed, "margin long, a long, b long")
     # A node's prefix bounds its proposals before the best are taken.
@@ -296,18 +316,15 @@ def across_groups(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent
             edges = np.append(np.flatnonzero(np.append(True, tile[1:] != tile[:-1])), len(tile))
             large = np.repeat(np.diff(edges) > LARGE_TILE, np.diff(edges))
             small = np.flatnonzero(~large)
-            x, y = pairs_in_tiles(tile[small], pos[small], n[small], group[small], percent, None)
-            x, y = small[x], small[y]
-            pair = np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
-            _, once = np.unique(pair, axis=0, return_index=True) if len(pair) else (None, np.zeros(0, np.int64))
-            x, y = x[once], y[once]
-            ok = margins(bits, n, x, y, percent) >= 0
-            out = [pd.DataFrame({"a": np.minimum(node[x], node[y])[ok], "b": np.maximum(node[x], node[y])[ok]})]
+            for x, y in pairs_in_tiles(tile[small], pos[small], n[small], group[small], percent, None):
+                x, y = small[x], small[y]
+                pair = pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+                once = np.flatnonzero(~pair.duplicated().to_numpy())
+                yield pair.iloc[once[margins(bits, n, x[once], y[once], percent) >= 0]]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b - a > LARGE_TILE:
-                    found = compare_tile(node[a:b], pos[a:b], n[a:b], group[a:b], bits[a:b], percent)
-                    out.append(pd.DataFrame(found, columns=["a", "b"], dtype=np.int64))
-            yield pd.concat(out, ignore_index=True)
+                    for u, v in compare_tile(node[a:b], pos[a:b], n[a:b], group[a:b], bits[a:b], percent):
+                        yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
 
     return rows.mapInPandas(compared, "a long, b long").distinct()
 
