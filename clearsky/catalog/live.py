@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clearsky.catalog.base import DAY, EPOCHS_SQL, FRAME_DAYS, as_epochs, query, rnd, shared_folder, sql_rnd, table
 from clearsky.catalog.features import _WINDOW_SQL
 from clearsky.functions.labels import quality_label
+from clearsky.schemas import FEATURES
 from clearsky.streaming import live
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -80,14 +81,11 @@ def live_recording_sessions(spark, sf):
     return run_to_end(spark, stream).select("source", F.unix_micros("start").alias("start_us"), "epochs")
 
 
-_LIVE = ["mean_cnr", "std_cnr", "cnr_trend", "sat_drop_rate", "fix_transitions", "position_variance", "clock_bias", "residual_mean"]
-
-
 @query(
     "live_trailing_features",
     _WINDOW_SQL
     + " SELECT e.source, epoch_us(e.timestamp) AS us, "
-    + ", ".join(f"{sql_rnd(f'f.{c}', 9 if c == 'sat_drop_rate' else 6)} AS {c}" for c in _LIVE)
+    + ", ".join(f"{sql_rnd(f'f.{c}', 9 if c == 'sat_drop_rate' else 6)} AS {c}" for c in FEATURES)
     + " FROM feats f JOIN epochs e USING (event_id)",
 )
 def live_trailing_features(spark, sf):
@@ -96,7 +94,7 @@ def live_trailing_features(spark, sf):
     out = run_to_end(spark, stream)
     return out.select(
         "source", F.unix_micros("timestamp").alias("us"),
-        *[rnd(c, 9 if c == "sat_drop_rate" else 6).alias(c) for c in _LIVE],
+        *[rnd(c, 9 if c == "sat_drop_rate" else 6).alias(c) for c in FEATURES],
     )
 
 

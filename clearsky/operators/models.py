@@ -127,11 +127,11 @@ def permutation_importance(
     numberings exchange their features. One pairing serves all features: a
     scoring pass takes the rows once per feature with that value replaced.
     """
-    from clearsky.operators.ordered import running_sums
+    from clearsky.operators.ordered import hash_chunk, running_sums
 
     def hashed(salt: int, name: str, frame: DataFrame) -> DataFrame:
         key = F.xxhash64(F.lit(seed), F.lit(salt), F.col(row_id))
-        keyed = frame.withColumn("_key", key).withColumn("_chunk", F.shiftright("_key", 54))
+        keyed = frame.withColumn("_key", key).withColumn("_chunk", hash_chunk(frame, "_key"))
         return running_sums(keyed, [], "_chunk", ["_key", row_id], {name: F.lit(1).cast("long")})
 
     base = df.select(row_id, features, label)

@@ -159,15 +159,24 @@ def forward_fill(
     return carry_forward(chunked, by, "_chunk", list(order or [ts]), columns).drop("_chunk")
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_chunk(df: DataFrame, key: str) -> Column:
+    """Chunk of a 64-bit hash: even chunks in the hash's order, one per shuffle partition."""
+    return F.shiftright(F.shiftright(key, 32) * F.lit(_shuffle_partitions(df)).cast("long"), 32)
+
+
 def value_chunks(df: DataFrame, value: str, chunk: str = "_chunk") -> DataFrame:
     """Chunks of about equal size over the range of a numeric column.
 
-    The edges come from a mergeable quantile sketch (at most 1024 numbers reach
-    the driver). Equal values always share a chunk; chunks keep the value order.
+    There are as many as ``spark.sql.shuffle.partitions``, so they grow with what the
+    session is set up for. The edges come from a mergeable quantile sketch (as many numbers
+    reach the driver). Equal values always share a chunk; chunks keep the value order.
     The column must be free of nulls and NaN.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(1024, max(8, parts))
+    buckets = max(2, _shuffle_partitions(df))
     as_double = df.withColumn("_value", F.col(value).cast("double"))
     fitted = QuantileDiscretizer(
         numBuckets=buckets, inputCol="_value", outputCol=chunk, relativeError=1.0 / (4 * buckets)
@@ -243,16 +252,13 @@ def cut_points(df: DataFrame, order: Sequence[str], positions: Sequence[int]) ->
     """The ``order`` keys of the rows at the given 0-based positions of a global sort.
 
     No row is sorted as a whole: the first key column is located by running
-    counts over its distinct values, then only the rows that tie on it are
-    looked at for the next column. One key tuple per position reaches the
+    counts over its distinct values, then the rows that tie on it are looked at
+    in the same way for the next column. One key tuple per position reaches the
     driver. Numeric or timestamp columns; positions past the end give ``None``.
     """
     return [_cut_point(df, list(order), int(p)) for p in positions]
 
 
-SORT_TIES_UP_TO = 200_000
-
-
 def _as_number(df: DataFrame, column: str) -> Column:
     return micros(column) if df.schema[column].dataType.typeName().startswith("timestamp") else F.col(column)
 
@@ -273,10 +279,8 @@ def _cut_point(df: DataFrame, order: list[str], position: int) -> tuple | None:
         key.append(value)
         left -= found["n_cum"] - ties
         rest = rest.where(F.col(column) == F.lit(value))
-        tail = order[level + 1 :]
-        if tail and ties <= SORT_TIES_UP_TO:  # few rows tie: sort just these
-            row = rest.orderBy(*tail).offset(int(left)).select(*tail).first()
-            return (*key, *row)
+        if ties == 1 and order[level + 1 :]:  # a single row is left: its other columns are the rest of the key
+            return (*key, *rest.select(*order[level + 1 :]).first())
     return tuple(key)
 
 

@@ -15,6 +15,7 @@ from clearsky.operators.ordered import (
     cut_points,
     exact_quantiles,
     forward_fill,
+    hash_chunk,
     row_blocks,
     row_index,
     running_sums,
@@ -81,8 +82,9 @@ def session_splits(
     """
     grouped = sessions.withColumn("group", group_of(F.col(source), rules, default_group))
     keyed = grouped.withColumn("_key", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(session))))
-    # The hash is uniform, so its first digits cut a group of any size into even chunks.
-    chunked = keyed.withColumn("_chunk", F.conv(F.substring("_key", 1, 3), 16, 10).cast("long"))
+    # The hash is uniform, so its first 60 bits, moved to the whole range, cut a group of any size into even chunks.
+    head = F.shiftleft(F.conv(F.substring("_key", 1, 15), 16, 10).cast("long") - F.lit(1 << 59), 4)
+    chunked = keyed.withColumn("_head", head).withColumn("_chunk", hash_chunk(keyed, "_head"))
     placed = running_sums(chunked, ["group"], "_chunk", ["_key", session], {"_at": F.lit(1).cast("long")})
     sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
     train, val = split_sizes(F.col("_n"))
