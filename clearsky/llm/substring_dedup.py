@@ -8,15 +8,17 @@ c..r, and so has the hash of token c as its signature. A text of n tokens has ab
 
 1. Signatures met in more than one document are kept, all others leave before any join.
 2. *Interval join* inside a document: windows of two hash functions agree on passages if their
-   intersection holds both anchors c and ``least`` tokens. Such a pair of signatures is the key
-   under which documents meet, so that ``AGREE`` = 2 of ``HASHES`` min-hashes are equal and
-   a frequent line alone brings nobody together.
-3. The smallest document of a key is its leader; each other one is a candidate against the
-   leader only, linear in the size of any group of copies. Candidates of one pair on
-   one diagonal (distance between the anchors) are one row.
-4. Verification: the leader's tokens travel to the other text, and the passage grows from the
-   anchor as long as ``similarity`` of the aligned tokens are equal; with words put in or left out
-   the Jaccard similarity of the aligned stretch decides.
+   intersection holds an anchor c of both and ``least`` tokens. Such a pair of signatures is a key;
+   what keys of two documents or more cover of a text are its *ranges*, so that ``AGREE`` = 2 of
+   ``HASHES`` min-hashes are equal there and a frequent line alone brings nobody together.
+3. Inside the ranges documents meet under *runs*: ``RUN`` tokens, picked by winnowing so that any
+   equal stretch of ``RUN + PICK - 1`` tokens has the same run picked in both texts. The smallest
+   document of a run is its leader and each other one a candidate against it, linear in the size of
+   any group of copies. Texts that share more than the leader has meet under the runs it lacks.
+4. Verification: the leader's tokens travel to the other text. A stretch passes if on one diagonal
+   ``similarity`` of the aligned tokens are equal.
+5. Runs that lie in no accepted stretch are open. Around them (in every document that has them)
+   texts meet under all passages of ``least`` tokens: equal ones are found whatever leads their runs.
 
 Repeated rows of one document do not count as a repetition. The leader of a passage keeps it.
 
@@ -41,6 +43,8 @@ from clearsky.session import stored
 WORDS = 5
 LEAST_WORDS = 50
 HASHES = 3
+RUN = 8
+PICK = 7
 SIMILARITY = 0.8
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (j + 1) % (1 << 64)) for j in range(8)]
 
@@ -100,26 +104,36 @@ def windows(docs: DataFrame, least: int, hashes: int, id_col: str = "doc_id", te
 
 
 def agreements(shared: DataFrame, least: int) -> DataFrame:
-    """Interval join per document: key, doc_id, c (the first anchor), low, high of passages two hash functions agree on."""
+    """Interval join per document: key, doc_id, low, high of passages two hash functions agree on."""
     kind = shared.schema["doc_id"].dataType.simpleString()
-    rows = shared.repartition("doc_id").sortWithinPartitions("doc_id", "hash", "l")
+    rows = shared.repartition("doc_id").sortWithinPartitions("doc_id", "hash", "l", "r", "sig", "c")
 
     def of(pdf: pd.DataFrame) -> list[pd.DataFrame]:
         out = []
-        sig, l, c, r = (pdf[x].to_numpy() for x in ("sig", "l", "c", "r"))
-        h = pdf["hash"].to_numpy()
+        h, l, c, r, sig = (pdf[x].to_numpy() for x in ("hash", "l", "c", "r", "sig"))
+        first = np.ones(len(h), dtype=bool)  # the places of one tied minimum are neighbours
+        first[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1]) | (sig[1:] != sig[:-1])
+        wide = np.int64(1) << np.int64(32)
+        places = (np.cumsum(first) - 1) * wide + c
+        h, l, r, sig = h[first], l[first], r[first], sig[first]
+
+        def held(which, low, high):
+            at = np.searchsorted(places, which * wide + low)
+            return (at < len(places)) & (places[np.minimum(at, len(places) - 1)] <= which * wide + high)
+
         for i in range(h.max()):
             for j in range(i + 1, h.max() + 1):
                 one, two = np.flatnonzero(h == i), np.flatnonzero(h == j)
                 for a in range(0, len(one), 512):
                     x = one[a : a + 512, None]
-                    low, high = np.maximum(l[x], l[two]), np.minimum(r[x], r[two])
-                    near, far = np.minimum(c[x], c[two]), np.maximum(c[x], c[two])
-                    p, q = np.nonzero((low <= near) & (far <= high) & (high - low + 1 >= least))
-                    if len(p):
-                        m, n = one[a : a + 512][p], two[q]
+                    p, q = np.nonzero(np.minimum(r[x], r[two]) - np.maximum(l[x], l[two]) + 1 >= least)
+                    m, n = one[a : a + 512][p], two[q]
+                    low, high = np.maximum(l[m], l[n]), np.minimum(r[m], r[n])
+                    ok = held(m, low, high) & held(n, low, high)
+                    m, n, low, high = m[ok], n[ok], low[ok], high[ok]
+                    if len(m):
                         key = mix(mix(sig[m].view(np.uint64)) + sig[n].view(np.uint64)).view(np.int64)
-                        out.append(pd.DataFrame({"key": key, "c": c[m], "low": low[p, q], "high": high[p, q]}))
+                        out.append(pd.DataFrame({"key": key, "low": low, "high": high}))
         return [frame.assign(doc_id=pdf["doc_id"].iloc[0]) for frame in out]
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,41 +146,96 @@ def agreements(shared: DataFrame, least: int) -> DataFrame:
             found = [f for a, b in zip([0, *edges[:-1]], edges, strict=False) for f in of(batch.iloc[a:b])]
             rest = batch.iloc[edges[-1] if len(edges) else 0 :]
             if found:
-                yield pd.concat(found)[["key", "doc_id", "c", "low", "high"]]
+                yield pd.concat(found)[["key", "doc_id", "low", "high"]]
         if rest is not None and len(rest) and (found := of(rest)):
-            yield pd.concat(found)[["key", "doc_id", "c", "low", "high"]]
+            yield pd.concat(found)[["key", "doc_id", "low", "high"]]
+
+    return rows.mapInPandas(joined, f"key long, doc_id {kind}, low int, high int")
+
+
+def ranges(agreed: DataFrame) -> DataFrame:
+    """doc_id, spans (low, high) where a document agrees with another one."""
+    keys = agreed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
+    return (
+        agreed.join(keys.select("key"), "key", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.collect_set(F.struct("low", "high")).alias("spans"))  # a text's own windows at most
+    )
+
+
+def picked(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the runs that winnowing picks: the last smallest of each ``PICK`` neighbours."""
+    grams = shingles(found, np.array([0, len(found)]), RUN)[0][: max(0, len(found) - RUN + 1)]
+    if len(grams) < PICK:
+        return grams[:0], np.zeros(0, dtype=np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(grams[::-1], PICK)
+    at = np.unique(len(grams) - 1 - (np.arange(len(views)) + views.argmin(axis=1)))
+    return grams[at], at
+
+
+def within(spans: list, size: int) -> np.ndarray:
+    """Which of ``size`` tokens lie in one of the spans (low, high)."""
+    steps = np.zeros(size + 1, dtype=np.int64)
+    for span in spans:
+        steps[max(0, span[0])] += 1
+        steps[min(size, span[1] + 1)] -= 1
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _by_text(texts: DataFrame, spans: DataFrame, make, names: list[str], kind: str) -> DataFrame:
+    """doc_id and the columns ``make(tokens, spans)`` gives for each text of ``spans``."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch["t"].tolist()
+            for a, b in slices(rows):
+                for i, found in enumerate(tokens(rows[a:b]), a):
+                    where = [tuple(s.values()) for s in batch["spans"].iloc[i]]
+                    out = pd.DataFrame(dict(zip(names, make(found, where), strict=True)))
+                    out.insert(0, "doc_id", batch["doc_id"].iloc[i])
+                    if len(out):
+                        yield out
+
+    schema = f"doc_id {kind}, {', '.join(n + (' long' if n == 'gram' else ' int') for n in names)}"
+    return texts.join(spans, texts["i"] == spans["doc_id"]).select("doc_id", "t", "spans").mapInPandas(made, schema)
+
+
+def runs_of(found: np.ndarray, spans: list) -> tuple[np.ndarray, np.ndarray]:
+    grams, at = picked(found)
+    inside = within(spans, len(found))
+    keep = inside[at] & inside[at + RUN - 1] if len(at) else np.zeros(0, dtype=bool)
+    return grams[keep].view(np.int64), at[keep].astype(np.int32)
 
-    return rows.mapInPandas(joined, f"key long, doc_id {kind}, c int, low int, high int")
 
+def passages_of(found: np.ndarray, spans: list, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """All passages of ``least`` tokens around a text's open runs."""
+    inside = within([(s[0] - least, s[0] + RUN + least) for s in spans], len(found))
+    grams = shingles(found, np.array([0, len(found)]), least)[0]
+    at = np.flatnonzero(inside[: len(found) - least + 1] & inside[least - 1 :]) if len(found) >= least else np.zeros(0, int)
+    return grams[at].view(np.int64), at.astype(np.int32)
 
-def candidates(agreed: DataFrame) -> DataFrame:
-    """doc_id, leader, shift, c, low, high, leader_low, leader_high: a row per pair and diagonal."""
+
+def candidates(runs: DataFrame, margin: int) -> DataFrame:
+    """doc_id, leader, anchors, leader_low, leader_high: a row per pair, with what it needs of the leader's text."""
+    places = runs.groupBy("gram", "doc_id").agg(F.collect_list("c").alias("cs"))
     leaders = (
-        agreed.groupBy("key")
+        places.groupBy("gram")
         .agg(
-            F.min(F.struct("doc_id", "c", "low", "high")).alias("first"),
+            F.min(F.struct("doc_id", F.array_min("cs").alias("a"), F.array_max("cs").alias("z"))).alias("first"),
             F.max("doc_id").alias("last"),
         )
         .where("first.doc_id <> last")
-        .select(
-            "key",
-            F.col("first.doc_id").alias("leader"),
-            F.col("first.c").alias("leader_c"),
-            F.col("first.low").alias("leader_low"),
-            F.col("first.high").alias("leader_high"),
-        )
+        .select("gram", F.col("first.doc_id").alias("leader"), F.col("first.a").alias("a"), F.col("first.z").alias("z"))
     )
+    block = 256  # few different stretches of one leader
     return (
-        agreed.join(leaders, "key")
+        places.join(leaders, "gram")
         .where("doc_id <> leader")
-        .withColumn("shift", F.col("c") - F.col("leader_c"))
-        .groupBy("doc_id", "leader", "shift")
+        .groupBy("doc_id", "leader")
         .agg(
-            F.collect_set("c").alias("anchors"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
-            F.min("leader_low").alias("leader_low"),
-            F.max("leader_high").alias("leader_high"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("cs")))).alias("anchors"),
+            (F.floor(F.greatest(F.lit(0), F.min("a") - margin) / block) * block).cast("int").alias("leader_low"),
+            (F.ceil((F.max("z") + RUN + margin) / block) * block).cast("int").alias("leader_high"),
         )
     )
 
@@ -179,28 +248,27 @@ def grown(own: np.ndarray, other: np.ndarray, at: int, similarity: float) -> tup
     return at - int(left[-1] if len(left) else 0), at + int(right[-1] if len(right) else 0) + 1
 
 
-def verify_pair(own: np.ndarray, theirs: np.ndarray, first: int, shift: int, anchors: list[int], least: int, similarity: float) -> list[tuple[int, int, float]]:
-    """Spans (start, end, similarity) of ``own`` that repeat ``theirs``, which begins at token ``first`` of its text."""
-    low, high = max(0, first + shift), min(len(own), first + shift + len(theirs))
-    if high - low < least:
-        return []
-    mine, other = own[low:high], theirs[low - first - shift : high - first - shift]
+def verify_pair(own: np.ndarray, theirs: np.ndarray, anchors: list[int], least: int, similarity: float) -> list[tuple[int, int, float]]:
+    """Spans (start, end, similarity) of ``own`` that repeat a stretch of ``theirs``; anchors are runs of both."""
+    order = np.argsort(theirs, kind="stable")
+    ranked = theirs[order]
+    at = np.array(sorted(anchors), dtype=np.int64)
+    a, b = np.searchsorted(ranked, own[at]), np.searchsorted(ranked, own[at], side="right")
+    meets: dict[int, list[int]] = {}
+    for c, p, q in zip(at.tolist(), a.tolist(), b.tolist(), strict=True):
+        for place in order[p:q].tolist():
+            meets.setdefault(c - place, []).append(c)
     out: list[tuple[int, int, float]] = []
-    for c in sorted(anchors):
-        at = c - low
-        if not 0 <= at < len(mine) or (out and c < out[-1][1]):
-            continue
-        a, b = grown(mine, other, at, similarity)
-        if b - a >= least:
-            out.append((low + a, low + b, float((mine[a:b] == other[a:b]).mean())))
-            continue
-        # Words put in or left out move the diagonal: compare what lies around the anchor as sets.
-        a, b = max(0, at - least), min(len(mine), at + least)
-        x, y = np.unique(mine[a:b]), np.unique(other[a:b])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        alike = both / (len(x) + len(y) - both)
-        if b - a >= least and alike >= similarity:
-            out.append((low + a, low + b, float(alike)))
+    for shift, places in meets.items():
+        low, high = max(0, shift), min(len(own), shift + len(theirs))
+        mine, other, done = own[low:high], theirs[low - shift : high - shift], -1
+        for c in places:
+            if c < done:
+                continue
+            a, b = grown(mine, other, c - low, similarity)
+            if b - a >= least:
+                done = low + b
+                out.append((low + a, low + b, float((mine[a:b] == other[a:b]).mean())))
     return out
 
 
@@ -221,12 +289,13 @@ def repeated_passages(
     )
     shared = every.join(stored(repeated, "signatures"), "sig", "left_semi")
     agreed = stored(agreements(shared, least), "agreed")
-    found = stored(candidates(agreed), "candidates")
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    runs = stored(_by_text(texts, ranges(agreed), runs_of, ["gram", "c"], kind), "runs")
+    found = stored(candidates(runs, 2 * least), "candidates")
     wanted = (
         found.groupBy("leader")
-        .agg(F.collect_set(F.struct("leader_low", "leader_high")).alias("spans"))  # a text's own windows at most
+        .agg(F.collect_set(F.struct("leader_low", "leader_high")).alias("spans"))  # multiples of a block
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,7 +306,7 @@ def repeated_passages(
                 for i, found in enumerate(tokens(texts[a:b]), a):
                     for span in batch["spans"].iloc[i]:
                         low, high = span["leader_low"], span["leader_high"]
-                        rows.append((batch["leader"].iloc[i], low, high, found[low : high + 1].tobytes()))
+                        rows.append((batch["leader"].iloc[i], low, high, found[low:high].tobytes()))
                 yield pd.DataFrame(rows, columns=["leader", "leader_low", "leader_high", "passage"])
 
     passages = (
@@ -247,7 +316,7 @@ def repeated_passages(
         .dropDuplicates(["leader", "leader_low", "leader_high"])
     )
     offered = found.join(passages, ["leader", "leader_low", "leader_high"]).select(
-        "doc_id", "leader", "shift", "anchors", F.col("leader_low").alias("first"), "passage"
+        "doc_id", "leader", "anchors", "passage"
     )
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,18 +327,54 @@ def repeated_passages(
                 for i, own in enumerate(tokens(texts[a:b]), a):
                     row = batch.iloc[i]
                     theirs = np.frombuffer(row["passage"], np.uint64)
-                    for low, high, alike in verify_pair(
-                        own, theirs, row["first"], row["shift"], list(row["anchors"]), least, similarity
-                    ):
+                    anchors = [c for c in row["anchors"] if c < len(own)]  # another row of the id may be shorter
+                    for low, high, alike in verify_pair(own, theirs, anchors, least, similarity):
                         rows.append((row["doc_id"], row["leader"], low, high + WORDS - 1, alike))
             yield pd.DataFrame(rows, columns=["doc_id", "keep_id", "start_word", "end_word", "similarity"])
 
-    spans = (
+    spans = stored(
         texts.join(offered, texts["i"] == offered["doc_id"])
-        .select("doc_id", "t", "leader", "shift", "anchors", "first", "passage")
-        .mapInPandas(verified, f"doc_id {kind}, keep_id {kind}, start_word long, end_word long, similarity double")
+        .select("doc_id", "t", "leader", "anchors", "passage")
+        .mapInPandas(verified, f"doc_id {kind}, keep_id {kind}, start_word long, end_word long, similarity double"),
+        "spans",
+    )
+    return merged(spans.unionByName(equal_passages(texts, runs, spans, least, kind)))
+
+
+def equal_passages(texts: DataFrame, runs: DataFrame, spans: DataFrame, least: int, kind: str) -> DataFrame:
+    """Spans of equal passages around the runs that no accepted stretch of their text covers."""
+    settled = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("done"))
+    covered = F.exists("done", lambda s: (s["start_word"] <= F.col("c")) & (F.col("c") + RUN + WORDS - 1 <= s["end_word"]))
+    several = runs.groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("z")).where("first <> z")
+    left = (
+        runs.join(several.select("gram", "first"), "gram")
+        .where("doc_id <> first")
+        .join(settled, "doc_id", "left")
+        .where(F.coalesce(~covered, F.lit(True)))
+        .select("gram")
+        .distinct()
+    )
+    around = (
+        runs.join(left, "gram", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.collect_set(F.struct("c")).alias("spans"))
+    )
+    grams = stored(_by_text(texts, around, lambda t, s: passages_of(t, s, least), ["gram", "c"], kind), "equal")
+    leaders = (
+        grams.groupBy("gram").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("z")).where("keep_id <> z")
+    )
+    return (
+        grams.join(leaders, "gram")
+        .where("doc_id <> keep_id")
+        .select(
+            "doc_id",
+            "keep_id",
+            F.col("c").cast("long").alias("start_word"),
+            (F.col("c") + least + WORDS - 1).cast("long").alias("end_word"),
+            F.lit(1.0).alias("similarity"),
+        )
+        .distinct()
     )
-    return merged(spans)
 
 
 def merged(spans: DataFrame) -> DataFrame:

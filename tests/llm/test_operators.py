@@ -293,6 +293,23 @@ def test_compact_windows_cover_every_passage():
                 assert any(x <= a and b - 1 <= z and values[c] == values[a:b].min() for x, c, z in found)
 
 
+def _planted(spark, rng, bodies):
+    """Documents of foreign words with ``bodies`` (lists of words) in the middle, in order of their ids."""
+    foreign = lambda n: [f"f{v}" for v in rng.integers(0, 1 << 40, n)]
+    rows = [(i, " ".join(foreign(60) + body + foreign(60))) for i, body in enumerate(bodies)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_passages_beside_a_leader_that_fails(spark):
+    rng, bodies = np.random.default_rng(7), []
+    for k in range(20):
+        words = [f"p{k}x{j}" for j in range(50)]
+        # Each of two smaller texts has 35 of the 50 words, together all of them.
+        bodies += [words[:35], words[15:], words, words]
+    pairs = {(r.doc_id, r.keep_id) for r in substring_dedup.repeated_passages(_planted(spark, rng, bodies)).collect()}
+    assert {(4 * k + 3, 4 * k + 2) for k in range(20)} <= pairs
+
+
 # 9 Jaccard join
 def brute_components(texts, k, percent):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
