@@ -4,7 +4,7 @@ The tokens of a text are its five-word shingles. For each of ``HASHES`` hash fun
 Cartesian tree of the hashed tokens groups all passages of ``least`` tokens or more by their
 min-hash: a *compact window* (l, c, r) stands for every passage that begins in l..c, ends in
 c..r, and so has the hash of token c as its signature. A text of n tokens has about
-2 n / least windows for each hash function; equal minima share one window.
+2 n / least windows for each hash function; equal minima give the window once for each of their places.
 
 1. Signatures met in more than one document are kept, all others leave before any join.
 2. *Interval join* inside a document: windows of two hash functions agree on passages if their
@@ -42,7 +42,7 @@ from clearsky.session import stored
 
 WORDS = 5
 LEAST_WORDS = 50
-HASHES = 3
+HASHES = 5
 RUN = 8
 PICK = 7
 SIMILARITY = 0.8
@@ -56,14 +56,14 @@ def tokens(texts: list, k: int = WORDS) -> list[np.ndarray]:
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of every node of the Cartesian tree that spans ``least`` values, equal minima in one."""
+    """(l, c, r) of every node of the Cartesian tree that spans ``least`` values, once for each place of a tied minimum."""
     out, todo = [], [(0, len(values))]
     while todo:
         low, high = todo.pop()
         part = values[low:high]
         c = int(part.argmin())
         ties = np.flatnonzero(part[c + 1 :] == part[c])
-        out.append((low, low + c, high - 1))
+        out += [(low, low + c + t, high - 1) for t in (0, *(ties + 1).tolist())]
         if c >= least:
             todo.append((low, low + c))
         if len(ties):

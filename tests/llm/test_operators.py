@@ -310,6 +310,16 @@ def test_passages_beside_a_leader_that_fails(spark):
     assert {(4 * k + 3, 4 * k + 2) for k in range(20)} <= pairs
 
 
+def test_full_copy_after_a_partial_one(spark):
+    rng, bodies = np.random.default_rng(9), []
+    for k in range(20):
+        words = [f"p{k}x{j}" for j in range(50)]
+        gap = [f"g{v}" for v in rng.integers(0, 1 << 40, 60)]
+        bodies += [words, words[5:45] + gap + words]
+    rows = substring_dedup.repeated_passages(_planted(spark, rng, bodies)).collect()
+    assert all(any(r.doc_id == 2 * k + 1 and r.start_word <= 160 and r.end_word >= 210 for r in rows) for k in range(20))
+
+
 # 9 Jaccard join
 def brute_components(texts, k, percent):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
