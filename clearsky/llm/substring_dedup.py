@@ -16,7 +16,8 @@ c..r, and so has the hash of token c as its signature. A text of n tokens has ab
    document of a run is its leader and each other one a candidate against it, linear in the size of
    any group of copies. Texts that share more than the leader has meet under the runs it lacks.
 4. Verification: the leader's tokens travel to the other text. A stretch passes if on one diagonal
-   ``similarity`` of the aligned tokens are equal.
+   ``similarity`` of the aligned tokens are equal, or if an alignment over neighbouring diagonals
+   (words put in or left out) has that Jaccard similarity between its own start and end.
 5. Runs that lie in no accepted stretch are open. Around them (in every document that has them)
    texts meet under all passages of ``least`` tokens: equal ones are found whatever leads their runs.
 
@@ -45,6 +46,7 @@ LEAST_WORDS = 50
 HASHES = 5
 RUN = 8
 PICK = 7
+BAND = 8
 SIMILARITY = 0.8
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (j + 1) % (1 << 64)) for j in range(8)]
 
@@ -248,6 +250,48 @@ def grown(own: np.ndarray, other: np.ndarray, at: int, similarity: float) -> tup
     return at - int(left[-1] if len(left) else 0), at + int(right[-1] if len(right) else 0) + 1
 
 
+def aligned(own: np.ndarray, theirs: np.ndarray, low: int, high: int, shifts: list[int], least: int, similarity: float) -> list[tuple[int, int, float]]:
+    """Stretches of ``own[low:high]`` whose alignment over the diagonals ``shifts`` has the Jaccard similarity."""
+    runs = []
+    for d in shifts:
+        a, b = max(low, d), min(high, d + len(theirs))
+        if a < b:
+            equal = np.diff(np.concatenate([[0], (own[a:b] == theirs[a - d : b - d]).view(np.int8), [0]]))
+            runs += [(a + x, a + y, d) for x, y in zip(np.flatnonzero(equal == 1), np.flatnonzero(equal == -1), strict=True)]
+    path: list[tuple[int, int, int]] = []  # in order in both texts; longer runs first win their place
+    for x, y, d in sorted(runs, key=lambda run: run[0] - run[1]):
+        if all(
+            (y <= p and y - d <= p - e) or (x >= q and x - d >= q - e) for p, q, e in path
+        ):
+            path.append((x, y, d))
+    if not path:
+        return []
+    path.sort()
+    x, y, d = (np.array(v, dtype=np.int64) for v in zip(*path, strict=True))
+    both = np.concatenate([[0], np.cumsum(y - x)])
+    out: list[tuple[int, int, float]] = []
+    i = 0
+    while i < len(x):
+        m = both[i + 1 :] - both[i]
+        wide = np.maximum(y[i:] - x[i], least)
+        tall = np.maximum((y[i:] - d[i:]) - (x[i] - d[i]), least)
+        alike = m / (wide + tall - m)
+        good = np.flatnonzero(alike >= similarity - 1e-9)
+        if len(good):
+            k = int(good[-1])
+            a, b = int(x[i]), int(y[i + k])
+            # Other tokens at the ends fill the shortest passage.
+            left = min(max(0, least - (b - a)), len(own) - b)
+            b += left
+            a = max(0, min(a, b - least))
+            if b - a >= least and len(theirs) >= least:
+                out.append((a, b, float(alike[k])))
+            i += k + 1
+        else:
+            i += 1
+    return out
+
+
 def verify_pair(own: np.ndarray, theirs: np.ndarray, anchors: list[int], least: int, similarity: float) -> list[tuple[int, int, float]]:
     """Spans (start, end, similarity) of ``own`` that repeat a stretch of ``theirs``; anchors are runs of both."""
     order = np.argsort(theirs, kind="stable")
@@ -269,6 +313,22 @@ def verify_pair(own: np.ndarray, theirs: np.ndarray, anchors: list[int], least:
             if b - a >= least:
                 done = low + b
                 out.append((low + a, low + b, float((mine[a:b] == other[a:b]).mean())))
+    # Words put in or left out move the diagonal: what no single diagonal covers is aligned over neighbouring ones.
+    covered = within([(a, b - 1) for a, b, _ in out], len(own))
+    groups: list[tuple[list[int], list[int]]] = []
+    for shift in sorted(meets):
+        left = [c for c in meets[shift] if not covered[c]]
+        if left and groups and shift - groups[-1][0][-1] <= BAND:
+            groups[-1][0].append(shift)
+            groups[-1][1].extend(left)
+        elif left:
+            groups.append(([shift], left))
+    for shifts, places in groups:
+        places = sorted(places)
+        cuts = [0, *[k for k in range(1, len(places)) if places[k] - places[k - 1] > 4 * least], len(places)]
+        for p, q in zip(cuts[:-1], cuts[1:], strict=True):
+            low, high = max(0, places[p] - 2 * least), min(len(own), places[q - 1] + 2 * least)
+            out += aligned(own, theirs, low, high, list(range(shifts[0] - BAND, shifts[-1] + BAND + 1)), least, similarity)
     return out
 
 

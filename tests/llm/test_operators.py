@@ -310,6 +310,18 @@ def test_passages_beside_a_leader_that_fails(spark):
     assert {(4 * k + 3, 4 * k + 2) for k in range(20)} <= pairs
 
 
+def test_passages_with_a_word_put_in_and_changed(spark):
+    rng, bodies = np.random.default_rng(8), []
+    for k in range(100):
+        words = [f"p{k}x{j}" for j in range(50)]
+        at = int(rng.integers(1, 49))
+        bodies += [words, words[:at] + ["new"] + words[at + (k % 2) :]]
+    pairs = {(r.doc_id, r.keep_id) for r in substring_dedup.repeated_passages(_planted(spark, rng, bodies)).collect()}
+    near = {k for k in range(100) if (2 * k + 1, 2 * k) in pairs}
+    print("near recall: put in", len([k for k in near if k % 2 == 0]), "changed", len([k for k in near if k % 2]), "of 50")
+    assert pairs == {(2 * k + 1, 2 * k) for k in near} and len(near) >= 97
+
+
 def test_full_copy_after_a_partial_one(spark):
     rng, bodies = np.random.default_rng(9), []
     for k in range(20):
