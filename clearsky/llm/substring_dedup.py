@@ -8,9 +8,8 @@ c..r, and so has the hash of token c as its signature. A text of n tokens has ab
 
 1. Signatures met in more than one document are kept, all others leave before any join.
 2. *Interval join* inside a document: windows of two hash functions agree on passages if their
-   intersection holds an anchor c of both and ``least`` tokens. Such a pair of signatures is a key;
-   what keys of two documents or more cover of a text are its *ranges*, so that ``AGREE`` = 2 of
-   ``HASHES`` min-hashes are equal there and a frequent line alone brings nobody together.
+   intersection holds an anchor c of both and ``least`` tokens. What such pairs cover of a text, 2 of
+   ``HASHES`` min-hashes that other texts have as well, are its *ranges*: one row a document.
 3. Inside the ranges documents meet under *runs*: ``RUN`` tokens, picked by winnowing so that any
    equal stretch of ``RUN + PICK - 1`` tokens has the same run picked in both texts. The smallest
    document of a run is its leader and each other one a candidate against it, linear in the size of
@@ -105,19 +104,20 @@ def windows(docs: DataFrame, least: int, hashes: int, id_col: str = "doc_id", te
     return rows.mapInPandas(made, f"doc_id {kind}, hash int, sig long, l int, c int, r int")
 
 
-def agreements(shared: DataFrame, least: int) -> DataFrame:
-    """Interval join per document: key, doc_id, low, high of passages two hash functions agree on."""
+def ranges(shared: DataFrame, least: int) -> DataFrame:
+    """Interval join per document: doc_id, spans (low, high) of the passages two hash functions agree on."""
     kind = shared.schema["doc_id"].dataType.simpleString()
     rows = shared.repartition("doc_id").sortWithinPartitions("doc_id", "hash", "l", "r", "sig", "c")
 
-    def of(pdf: pd.DataFrame) -> list[pd.DataFrame]:
-        out = []
+    def of(pdf: pd.DataFrame) -> list[tuple]:
+        """The document with its disjoint spans, if there are any."""
         h, l, c, r, sig = (pdf[x].to_numpy() for x in ("hash", "l", "c", "r", "sig"))
         first = np.ones(len(h), dtype=bool)  # the places of one tied minimum are neighbours
         first[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1]) | (sig[1:] != sig[:-1])
         wide = np.int64(1) << np.int64(32)
         places = (np.cumsum(first) - 1) * wide + c
-        h, l, r, sig = h[first], l[first], r[first], sig[first]
+        h, l, r = h[first], l[first], r[first]
+        steps = np.zeros(int(r.max()) + 2, dtype=np.int64)
 
         def held(which, low, high):
             at = np.searchsorted(places, which * wide + low)
@@ -132,11 +132,11 @@ def agreements(shared: DataFrame, least: int) -> DataFrame:
                     m, n = one[a : a + 512][p], two[q]
                     low, high = np.maximum(l[m], l[n]), np.minimum(r[m], r[n])
                     ok = held(m, low, high) & held(n, low, high)
-                    m, n, low, high = m[ok], n[ok], low[ok], high[ok]
-                    if len(m):
-                        key = mix(mix(sig[m].view(np.uint64)) + sig[n].view(np.uint64)).view(np.int64)
-                        out.append(pd.DataFrame({"key": key, "low": low, "high": high}))
-        return [frame.assign(doc_id=pdf["doc_id"].iloc[0]) for frame in out]
+                    steps += np.bincount(low[ok], minlength=len(steps)) - np.bincount(high[ok] + 1, minlength=len(steps))
+        inside = np.diff(np.concatenate([[0], (np.cumsum(steps) > 0).astype(np.int8), [0]]))
+        spans = zip(np.flatnonzero(inside == 1).tolist(), (np.flatnonzero(inside == -1) - 1).tolist(), strict=True)
+        found = [{"low": a, "high": b} for a, b in spans]
+        return [(pdf["doc_id"].iloc[0], found)] if found else []
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # the last document of a batch may go on in the next
@@ -148,21 +148,11 @@ def agreements(shared: DataFrame, least: int) -> DataFrame:
             found = [f for a, b in zip([0, *edges[:-1]], edges, strict=False) for f in of(batch.iloc[a:b])]
             rest = batch.iloc[edges[-1] if len(edges) else 0 :]
             if found:
-                yield pd.concat(found)[["key", "doc_id", "low", "high"]]
+                yield pd.DataFrame(found, columns=["doc_id", "spans"])
         if rest is not None and len(rest) and (found := of(rest)):
-            yield pd.concat(found)[["key", "doc_id", "low", "high"]]
+            yield pd.DataFrame(found, columns=["doc_id", "spans"])
 
-    return rows.mapInPandas(joined, f"key long, doc_id {kind}, low int, high int")
-
-
-def ranges(agreed: DataFrame) -> DataFrame:
-    """doc_id, spans (low, high) where a document agrees with another one."""
-    keys = agreed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
-    return (
-        agreed.join(keys.select("key"), "key", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("low", "high")).alias("spans"))  # a text's own windows at most
-    )
+    return rows.mapInPandas(joined, f"doc_id {kind}, spans array<struct<low: int, high: int>>")
 
 
 def picked(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,10 +338,10 @@ def repeated_passages(
         every.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("sig")
     )
     shared = every.join(stored(repeated, "signatures"), "sig", "left_semi")
-    agreed = stored(agreements(shared, least), "agreed")
+    agreed = ranges(shared, least)
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    runs = stored(_by_text(texts, ranges(agreed), runs_of, ["gram", "c"], kind), "runs")
+    runs = stored(_by_text(texts, agreed, runs_of, ["gram", "c"], kind), "runs")
     found = stored(candidates(runs, 2 * least), "candidates")
     wanted = (
         found.groupBy("leader")
