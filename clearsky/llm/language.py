@@ -107,7 +107,7 @@ def _mixture(p: np.ndarray, weight: np.ndarray, rounds: int) -> tuple[np.ndarray
     return share, float(weight @ np.log(p @ share))
 
 
-def infer(text: str | None, model: Model, rounds: int = 20, most: int = 3) -> tuple[str, float, dict[str, float]]:
+def infer(text: str | None, model: Model, rounds: int = 20) -> tuple[str, float, dict[str, float]]:
     """Prediction, score, and the chosen languages with their proportions."""
     grams = trigrams(text) if text and model.languages else ()
     if not len(grams):
@@ -121,10 +121,14 @@ def infer(text: str | None, model: Model, rounds: int = 20, most: int = 3) -> tu
     best, chosen, shares = float(alone.max()), order, np.ones(1)
     n = weight.sum() / 3
     if len(model.languages) > 1:
-        full, _ = _mixture(p, weight, rounds)
+        full, fits = _mixture(p, weight, rounds)
+        # No mixture fits better than this (the log-likelihood is concave), so larger sets cannot rise above it.
+        limit = fits + weight.sum() * np.log(((weight / (p @ full)) @ p).max() / weight.sum())
         ranked = np.argsort(-full, kind="stable")
         best -= np.log(n + 1)
-        for k in range(2, min(most, len(ranked)) + 1):
+        for k in range(2, len(ranked) + 1):
+            if limit / 3 - k * np.log(n + 1) <= best:
+                break
             members = ranked[:k]
             share, fits = _mixture(p[:, members], weight, rounds)
             if (value := fits / 3 - k * np.log(n + 1)) > best:

@@ -247,6 +247,14 @@ def test_language(spark, docs, odd, none):
     assert set(mixture) >= {a, b}
 
 
+def test_a_text_in_all_languages(docs):
+    model = language.fit(docs)
+    by = {r.lang: r.text for r in docs.where("n_chars > 2000").collect()}
+    assert len(by) == len(model.languages) == 4
+    _, score, mixture = language.infer(" ".join(t[:1000] for t in by.values()), model)
+    assert set(mixture) == set(by) and score < 0.4
+
+
 # 7 exact dedup
 def test_exact_dedup(odd, none, docs):
     rows = exact_dedup.verdicts(odd).collect()
