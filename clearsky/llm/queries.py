@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clearsky.llm import (
+    bpe,
     decontamination,
     exact_dedup,
     jaccard_join,
@@ -17,6 +18,7 @@ from clearsky.llm import (
     packing,
     pii,
     quality,
+    ranked_search,
     sharding,
     substring_dedup,
     toxicity,
@@ -78,6 +80,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, grammar).withColumn("held_out", held_out)
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_pii": op2_pii,
@@ -89,6 +99,8 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op12_bpe": op12_bpe,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -103,6 +115,33 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": _OP7}
+_OP13 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), tf AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY r, doc_id, term),
+d AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+s AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM i) GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, s),
+sc AS (
+  SELECT item_id, r, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term) JOIN d USING (r), s
+  GROUP BY item_id, r, doc_id
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS nth FROM sc WHERE score > 0
+)
+SELECT item_id, nth::INT AS rank, doc_id, score FROM k WHERE nth <= 10
+"""
+
+ORACLES: dict[str, str] = {"op7_exact_dedup": _OP7, "op13_ranked_search": _OP13}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
