@@ -12,6 +12,7 @@ import corpus_pipeline
 from clearsky.llm import (
     bpe,
     decontamination,
+    divergence,
     exact_dedup,
     jaccard_join,
     language,
@@ -80,6 +81,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, grammar).withColumn("held_out", held_out)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op11_divergence": op11_divergence,
     "op12_bpe": op12_bpe,
     "op13_ranked_search": op13_ranked_search,
     "pipeline": corpus_pipeline.run,
@@ -115,6 +121,42 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d
+), kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+tot AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS nn FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (
+  SELECT tot.lang, tot.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (nn + v) AS p
+  FROM tot JOIN kept k ON k.lang = tot.lang JOIN v ON v.lang = tot.lang
+  LEFT JOIN c ON c.lang = tot.lang AND c.source = tot.source AND c.term = k.term
+), lp AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(ln) + any_value(v)) AS q
+  FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(nn) AS ln FROM tot GROUP BY lang) USING (lang) GROUP BY lang, term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN lp USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 _OP13 = r"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -142,6 +184,6 @@ sc AS (
 SELECT item_id, nth::INT AS rank, doc_id, score FROM k WHERE nth <= 10
 """
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": _OP7, "op13_ranked_search": _OP13}
+ORACLES: dict[str, str] = {"op7_exact_dedup": _OP7, "op11_divergence": _OP11, "op13_ranked_search": _OP13}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

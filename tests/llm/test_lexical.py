@@ -5,11 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from clearsky.llm import bpe, ranked_search
+from clearsky.llm import bpe, divergence, ranked_search
 from llm.test_operators import ROWS, SCHEMA
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -121,3 +122,67 @@ def test_search_on_odd_rows(spark, odd, none):
     assert as_rows(ranked_search.search(odd, items)) == by_item(want)
     assert ranked_search.search(none, items).count() == 0
     assert ranked_search.search(odd, items.where("item_id > 9")).count() == 0
+
+
+LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def brute_audit(rows, top=200):
+    """[(lang, source, part, item, value, rank)] from plain counting with Python's integers."""
+    counts, holders = defaultdict(Counter), defaultdict(set)
+    for r, (lang, source, text) in enumerate(rows):
+        terms = LETTERS.findall((text or "").translate(UPPER))
+        counts[lang or "", source or ""].update(terms)
+        for term in terms:
+            holders[lang or "", term].add(r)
+    out = []
+    share = lambda n, total, v: 1 + 10**9 * (n + 1) // (total + v)
+    for lang in {k for k, _ in counts}:
+        kept = sorted(t for (k, t), r in holders.items() if k == lang and len(r) >= 3)
+        of = {s: {t: c[t] for t in kept} for (k, s), c in counts.items() if k == lang}
+        p = {s: {t: share(c[t], sum(c.values()), len(kept)) for t in kept} for s, c in of.items()}
+        whole = {t: sum(c[t] for c in of.values()) for t in kept}
+        q = {t: share(n, sum(whole.values()), len(kept)) for t, n in whole.items()}
+        for a in of:
+            pairs = [(-sum((p[a][t] - p[b][t]) ** 2 // p[b][t] for t in kept), b) for b in of if b != a]
+            more = [(-((p[a][t] - q[t]) ** 2 // q[t]), t) for t in kept if of[a][t] and p[a][t] > q[t]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(more)[:top])):
+                out += [(lang, a, part, item, -v, k + 1) for k, (v, item) in enumerate(found)]
+    return sorted(out)
+
+
+def audited(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_divergence_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "SLICE", 3000)  # many slices
+    rng = random.Random(7)
+    words = [f"{a}{b}{end}" for a in ("ba", "Ko", "ñu", "été") for b in ("", "lo", "-lo", "'s") for end in ("", ",", "!", "9x", "\xa0q")]
+    blanks = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r\n", "\x1c"]
+    rows = []
+    for _ in range(600):
+        lang = rng.choices(["en", "de", None, "x"], [6, 3, 1, 0.05])[0]
+        text = "".join(w + rng.choice(blanks) for w in rng.choices(words, [1 / (k + 1) ** 2 for k in range(len(words))], k=rng.randint(0, 12)))
+        rows.append((lang, rng.choice(["a", "b", "c", None, "z" * 30]), rng.choice([text, text, text, None])))
+    rows += [("lone", "a", "once only words"), ("lone", "b", ""), ("dup", "a", "same same"), ("dup", "b", "same"), ("dup", "b", "same")]
+    rows += [("en", "a", "KO-lo baba ba ba")] * 50
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(5)
+    assert audited(divergence.audit(docs)) == brute_audit(rows)
+    assert audited(divergence.audit(docs, top=3)) == brute_audit(rows, 3)
+
+
+def test_shares_are_exact_for_large_counts():
+    rng = random.Random(8)
+    for _ in range(500):
+        total, kept = rng.randint(0, 8 * 10**15), rng.randint(1, 10**6)
+        n = rng.randint(0, total)
+        assert divergence.shares(np.array([n]), total, kept)[0] == 1 + 10**9 * (n + 1) // (total + kept)
+
+
+def test_divergence_on_odd_rows(spark, odd, none):
+    rows = [(g, s, t) for _, t, g, s in ROWS]
+    assert audited(divergence.audit(odd)) == brute_audit(rows)
+    assert divergence.audit(none).count() == 0
+    with pytest.raises(ValueError):
+        divergence.term_counts(odd, min_docs=4)
