@@ -2,23 +2,23 @@
 
 1. :func:`chunk_counts` cuts every whole text at blanks and counts its chunks. A row
    stands for one chunk of one language in one slice of a task: how often each
-   source has it, in how many documents it lies, and the least and greatest of
-   their row numbers. The table is written once.
-2. :func:`chunk_terms` tokenizes each globally distinct chunk once.
-3. Its terms are joined back. Occurrences are summed per (language, source, term);
-   a language keeps a term that enough of its documents hold. A document lies in one
-   slice, so the documents of a chunk are a plain sum; where they are fewer than
-   needed, least and greatest row number name them all, and only these few are told
-   apart when chunks give the same term.
-4. Each kept term becomes one row with its counts by source. Tasks turn blocks of
+   source has it, and the row numbers of up to ``min_docs`` documents that hold it.
+2. :func:`chunk_terms` deals the rows by chunk and passes over them in order. Where a
+   chunk's rows end they are one, and the chunk is tokenized: each globally distinct chunk
+   once. Its terms take over its counts and row numbers.
+3. :func:`term_counts` deals these by language and term and passes over them in the
+   same way. Sets of at most ``min_docs`` row numbers unite to sets of at most as
+   many, which is enough to know exactly which terms have so many documents.
+4. Each kept term is one row with its counts by source. Tasks turn blocks of
    such rows into shares ``p = 1 + 10^9 (count + 1) div (N + V)`` and sum
    ``(p - q)^2 div q`` over their rows for all pairs of sources of a language; they
    also give the ``top`` terms of each source against its whole language. Spark sums
    and ranks. All numbers are 64-bit integers, quotients by long division.
 
-One language or source may hold any share of the rows: rows are dealt by chunk, then
-by term, and totals are joined with salted keys. What a task holds grows with the square of
-the number of sources of a language, as the result does.
+One language or source may hold any share of the rows: a slice gives a chunk one row for
+each language, so the most frequent chunk has as many rows as there are slices, and a pass keeps one
+of them. Totals are joined with salted keys. What a task of the last step holds grows with
+the square of the number of sources of a language, as the result does.
 
 Cases: a null text, lang or source counts as empty; groups and languages without
 terms have shares of no terms, hence distances of 0; row numbers tell documents
@@ -28,7 +28,9 @@ further columns are ignored; a very long text is one row in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from heapq import nsmallest
 
 import numpy as np
@@ -40,13 +42,14 @@ from pyspark.sql import functions as F
 
 from clearsky.session import stored
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+FOLD = {c: c + 32 for c in range(65, 91)}
 TOP = 200
 SCALE = 10**9
-SLICE = 1 << 24
+SLICE = 1 << 25
 ROWS_OUT = 1 << 16
-
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ROWS_IN = 1 << 17
+COUNTED = "rows array<long>, sources array<string>, counts array<long>"
 
 
 def _narrow(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -82,7 +85,7 @@ def _begins(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _counted(rows: pa.Table, first_id: int) -> pa.Table | None:
+def _counted(rows: pa.Table, first_id: int, most: int) -> pa.Table | None:
     """Chunks of a slice; rows are put in the order of their groups first, so one sort serves all."""
     langs = rows.column("lang").combine_chunks().dictionary_encode()
     sources = rows.column("source").combine_chunks().dictionary_encode()
@@ -100,87 +103,174 @@ def _counted(rows: pa.Table, first_id: int) -> pa.Table | None:
     code, row = np.divmod(pairs, len(rows))
     entries = _begins(code, lang[row], source[row])
     heads = _begins(code, lang[row])
-    ids = first_id + order[row]
-    last = np.append(heads[1:], len(row)) - 1
+    ends = np.append(heads[1:], len(row))
+    held = np.minimum(ends - heads, most)
+    some = np.repeat(heads - np.cumsum(held) + held, held) + np.arange(held.sum())
     offsets = np.searchsorted(entries, np.append(heads, len(row))).astype(np.int32)
     return pa.table(
         {
-            "lang": langs.dictionary.take(pa.array(lang[row[heads]])),
             "chunk": chunks.dictionary.take(pa.array(code[heads])),
-            "n": np.diff(np.append(heads, len(row))),
-            "low": np.minimum(ids[heads], ids[last]),
-            "high": np.maximum(ids[heads], ids[last]),
+            "lang": langs.dictionary.take(pa.array(lang[row[heads]])),
+            "rows": _lists(held, pa.array(first_id + order[row[some]])),
             "sources": pa.ListArray.from_arrays(offsets, sources.dictionary.take(pa.array(source[row[entries]]))),
             "counts": pa.ListArray.from_arrays(offsets, pa.array(np.add.reduceat(times, entries).astype(np.int64))),
         }
     )
 
 
-def chunk_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, chunk, n (documents), low, high (row numbers), sources, counts: some rows per chunk and language."""
+def _lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), values)
+
+
+def chunk_counts(
+    docs: DataFrame, min_docs: int = 3, text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
+) -> DataFrame:
+    """chunk, lang, rows, sources, counts: a row for each chunk and language of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_id = TaskContext.get().partitionId() << 40
         for rows in _sliced(batches):
-            found = _counted(rows, next_id)
+            found = _counted(rows, next_id, min_docs)
             next_id += len(rows)
             if found is not None:
                 yield from found.to_batches(max_chunksize=ROWS_OUT)
 
-    return _narrow(docs, text_col, lang_col, source_col).mapInArrow(
-        run, "lang string, chunk string, n long, low long, high long, sources array<string>, counts array<long>"
-    )
+    return _narrow(docs, text_col, lang_col, source_col).mapInArrow(run, f"chunk string, lang string, {COUNTED}")
+
+
+def _joined(table: pa.Table, keys: list[str], most: int) -> pa.Table:
+    """Neighbouring rows of equal keys as one: counts by source summed, row numbers united up to ``most``."""
+    table = table.combine_chunks()
+    codes = [table.column(k).combine_chunks().dictionary_encode().indices.to_numpy() for k in keys]
+    begins = _begins(*codes)
+    group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(table))))
+
+    def of_lists(name: str) -> tuple[np.ndarray, pa.Array]:
+        lists = table.column(name).combine_chunks()
+        return np.repeat(group, lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+
+    owner, ids = of_lists("rows")
+    ids = ids.to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, owner))
+    owner, ids = owner[order], ids[order]
+    new = _begins(owner, ids)
+    owner, ids = owner[new], ids[new]
+    first = np.searchsorted(owner, owner)
+    kept = np.arange(len(owner)) - first < most
+    owner, ids = owner[kept], ids[kept]
+
+    holder, names = of_lists("sources")
+    names = names.dictionary_encode()
+    counts = of_lists("counts")[1].to_numpy(zero_copy_only=False)
+    width = max(1, len(names.dictionary))
+    pairs = holder * width + names.indices.to_numpy()
+    order = np.argsort(pairs, kind="stable")
+    new = _begins(pairs[order])
+    pairs = pairs[order][new]
+    sums = np.add.reduceat(counts[order], new) if len(new) else counts
+    n = len(begins)
+    out = {k: table.column(k).take(pa.array(begins)) for k in keys}
+    out["rows"] = _lists(np.bincount(owner, minlength=n), pa.array(ids))
+    lengths = np.bincount(pairs // width, minlength=n)
+    out["sources"] = _lists(lengths, names.dictionary.take(pa.array(pairs % width)))
+    out["counts"] = _lists(lengths, pa.array(sums))
+    return pa.table(out)
+
+
+def _pass_over(
+    rows: DataFrame, keys: list[str], most: int, then: Callable[[pa.Table], pa.Table], schema: str, last_key: str
+) -> DataFrame:
+    """Deal rows by key, join the rows of each key in order, and hand whole keys to ``then``.
 
+    ``last_key`` (one of the keys) closes a run: rows of its last value wait for the next batch,
+    joined to one row per key.
+    """
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """chunk, term, times: each distinct chunk is tokenized once."""
-    folded = F.translate("chunk", _UPPER, _LOWER)
-    return (
-        chunks.select("chunk")
-        .distinct()
-        .select("chunk", F.explode(F.regexp_extract_all(folded, F.lit(TERM), F.lit(0))).alias("term"))
-        .groupBy("chunk", "term")
-        .agg(F.count("*").alias("times"))
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []
+        size = 0
 
+        def closed(table: pa.Table, end: bool) -> tuple[pa.Table, pa.Table]:
+            table = _joined(table, keys, most)
+            if end:
+                return table, table.slice(len(table))
+            values = table.column(last_key).combine_chunks().dictionary_encode().indices.to_numpy()
+            cut = int(_begins(values)[-1]) if len(values) else 0
+            return table.slice(0, cut), table.slice(cut)
 
-def kept_terms(joined: DataFrame, min_docs: int) -> DataFrame:
-    """lang, term of the terms in at least ``min_docs`` documents of the language.
+        for batch in batches:
+            waiting.append(pa.Table.from_batches([batch]))
+            size += len(batch)
+            if size >= ROWS_IN:
+                whole, rest = closed(pa.concat_tables(waiting), False)
+                waiting, size = [rest], 0
+                if len(whole):
+                    yield from then(whole).to_batches(max_chunksize=ROWS_OUT)
+        if waiting:
+            whole, _ = closed(pa.concat_tables(waiting), True)
+            if len(whole):
+                yield from then(whole).to_batches(max_chunksize=ROWS_OUT)
+
+    return rows.repartition(*keys[: keys.index(last_key) + 1]).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def tokenized(chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Terms of distinct chunks, one after the other: term, times in its chunk; and the terms of each chunk."""
+    terms, times = [], []
+    lengths = np.zeros(len(chunks), dtype=np.int64)
+    for k, chunk in enumerate(chunks):
+        found = TERM.findall(chunk.translate(FOLD))
+        if len(found) > 1:
+            counted = Counter(found)
+            terms += counted
+            times += counted.values()
+            lengths[k] = len(counted)
+        elif found:
+            terms += found
+            times.append(1)
+            lengths[k] = 1
+    return terms, np.array(times, dtype=np.int64), lengths
+
+
+def chunk_terms(chunks: DataFrame, min_docs: int = 3) -> DataFrame:
+    """lang, term, rows, sources, counts: each distinct chunk tokenized once, its terms joined back."""
+
+    def then(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        distinct = table.column("chunk").combine_chunks().dictionary_encode()
+        terms, times, lengths = tokenized(distinct.dictionary.to_pylist())
+        starts = np.cumsum(lengths) - lengths
+        code = distinct.indices.to_numpy()
+        each = lengths[code]
+        row = np.repeat(np.arange(len(table)), each)
+        term = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + starts[code[row]]
+        out = table.select(["lang", "rows", "sources", "counts"]).take(pa.array(row)).combine_chunks()
+        counts = out.column("counts").combine_chunks()
+        entries = counts.value_lengths().to_numpy(zero_copy_only=False)
+        scaled = counts.flatten().to_numpy(zero_copy_only=False) * np.repeat(times[term], entries)
+        return pa.table(
+            {
+                "lang": out.column("lang"),
+                "term": pa.array(terms, pa.string()).take(pa.array(term)),
+                "rows": out.column("rows"),
+                "sources": out.column("sources"),
+                "counts": _lists(entries, pa.array(scaled)),
+            }
+        )
 
-    A chunk in enough documents stands for itself by ``min_docs`` numbers that are no
-    row's; one in fewer gives the numbers of its rows.
-    """
-    per_chunk = joined.groupBy("chunk", "lang", "term").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
-    )
-    marks = F.when(F.col("n") >= min_docs, F.array(*(F.lit(-k).cast("long") for k in range(1, min_docs + 1))))
-    rows = F.explode(marks.otherwise(F.array_distinct(F.array("low", "high"))))
-    return (
-        per_chunk.select("lang", "term", rows.alias("row"))
-        .distinct()
-        .groupBy("lang", "term")
-        .agg(F.count("*").alias("holders"))
-        .where(F.col("holders") >= min_docs)
-        .select("lang", "term")
-    )
+    return _pass_over(chunks, ["chunk", "lang"], min_docs, then, f"lang string, term string, {COUNTED}", "chunk")
 
 
 def term_counts(chunks: DataFrame, min_docs: int = 3) -> DataFrame:
-    """lang, term, sources, counts of the kept terms: one row each."""
-    if min_docs not in (1, 2, 3):
-        raise ValueError("least and greatest row number tell up to two documents apart: min_docs is 1, 2 or 3")
-    joined = chunks.join(chunk_terms(chunks), "chunk")
-    summed = (
-        joined.select("lang", "term", "times", F.explode(F.arrays_zip("sources", "counts")).alias("entry"))
-        .groupBy("lang", "term", F.col("entry.sources").alias("source"))
-        .agg(F.sum(F.col("entry.counts") * F.col("times")).alias("count"))
-    )
-    return (
-        summed.join(kept_terms(joined, min_docs), ["lang", "term"], "left_semi")
-        .groupBy("lang", "term")
-        .agg(F.collect_list(F.struct("source", "count")).alias("entries"))
-        .select("lang", "term", F.col("entries.source").alias("sources"), F.col("entries.count").alias("counts"))
-    )
+    """lang, term, sources, counts of the terms in at least ``min_docs`` documents of the language: one row each."""
+
+    def then(table: pa.Table) -> pa.Table:
+        lists = table.column("rows").combine_chunks()
+        held = lists.value_lengths().to_numpy(zero_copy_only=False)
+        return table.filter(pa.array(held >= min_docs)).select(["lang", "term", "sources", "counts"])
+
+    schema = "lang string, term string, sources array<string>, counts array<long>"
+    return _pass_over(chunk_terms(chunks, min_docs), ["lang", "term"], min_docs, then, schema, "term")
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int, kept: int) -> np.ndarray:
@@ -274,7 +364,8 @@ def audit(
     the source that its language has less of. Ranks run from the greatest value, then by item.
     """
     spark = docs.sparkSession
-    terms = stored(term_counts(stored(chunk_counts(docs, text_col, lang_col, source_col), "chunks"), min_docs), "terms")
+    chunks = chunk_counts(docs, min_docs, text_col, lang_col, source_col)
+    terms = stored(term_counts(chunks, min_docs), "terms")
     occurring = _narrow(docs, text_col, lang_col, source_col).select("lang", "source").distinct()
     summed = (
         terms.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("entry"))

@@ -127,7 +127,7 @@ def test_search_on_odd_rows(spark, odd, none):
 LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def brute_audit(rows, top=200):
+def brute_audit(rows, top=200, min_docs=3):
     """[(lang, source, part, item, value, rank)] from plain counting with Python's integers."""
     counts, holders = defaultdict(Counter), defaultdict(set)
     for r, (lang, source, text) in enumerate(rows):
@@ -138,7 +138,7 @@ def brute_audit(rows, top=200):
     out = []
     share = lambda n, total, v: 1 + 10**9 * (n + 1) // (total + v)
     for lang in {k for k, _ in counts}:
-        kept = sorted(t for (k, t), r in holders.items() if k == lang and len(r) >= 3)
+        kept = sorted(t for (k, t), r in holders.items() if k == lang and len(r) >= min_docs)
         of = {s: {t: c[t] for t in kept} for (k, s), c in counts.items() if k == lang}
         p = {s: {t: share(c[t], sum(c.values()), len(kept)) for t in kept} for s, c in of.items()}
         whole = {t: sum(c[t] for c in of.values()) for t in kept}
@@ -156,7 +156,9 @@ def audited(df):
 
 
 def test_divergence_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "SLICE", 3000)  # many slices
+    monkeypatch.setattr(divergence, "SLICE", 3000)  # many slices, and passes that end amid a key
+    monkeypatch.setattr(divergence, "ROWS_IN", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     rng = random.Random(7)
     words = [f"{a}{b}{end}" for a in ("ba", "Ko", "ñu", "été") for b in ("", "lo", "-lo", "'s") for end in ("", ",", "!", "9x", "\xa0q")]
     blanks = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r\n", "\x1c"]
@@ -169,7 +171,9 @@ def test_divergence_equals_brute_force(spark, monkeypatch):
     rows += [("en", "a", "KO-lo baba ba ba")] * 50
     docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(5)
     assert audited(divergence.audit(docs)) == brute_audit(rows)
-    assert audited(divergence.audit(docs, top=3)) == brute_audit(rows, 3)
+    assert audited(divergence.audit(docs, top=3, min_docs=8)) == brute_audit(rows, 3, 8)
+    assert audited(divergence.audit(docs, min_docs=1)) == brute_audit(rows, 200, 1)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_shares_are_exact_for_large_counts():
@@ -184,5 +188,3 @@ def test_divergence_on_odd_rows(spark, odd, none):
     rows = [(g, s, t) for _, t, g, s in ROWS]
     assert audited(divergence.audit(odd)) == brute_audit(rows)
     assert divergence.audit(none).count() == 0
-    with pytest.raises(ValueError):
-        divergence.term_counts(odd, min_docs=4)
