@@ -6,13 +6,16 @@ plays the byte split of a large file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearsky.catalog.base import query, rnd, sql_rnd, table
+from clearsky.catalog.base import ORACLES, query, rnd, sql_rnd, table
 from clearsky.functions import scalars as sc
+from clearsky.session import shared_folder
 from clearsky.sources import listing, nmea, phone, rinex, solution, trajectory
-from clearsky.sources.lines import number_records
+from clearsky.sources.lines import number_records, read_lines
 
 
 def _two(c: Column) -> Column:
@@ -52,6 +55,20 @@ def as_lines(rows: DataFrame, texts: list[Column]) -> DataFrame:
     )
 
 
+def as_files(lines: DataFrame, name: str) -> str:
+    """The lines written as text, one file per recording, in the shared folder; gives the folder."""
+    folder = shared_folder(lines.sparkSession, name)
+    ordered = lines.repartition("path").sortWithinPartitions("path", "block", "pos")
+    ordered.select("path", "line").write.partitionBy("path").text(folder)
+    return folder
+
+
+def of_recording(read: DataFrame) -> DataFrame:
+    """``path`` and ``file_name`` as the recording's, not as the file's that it was written to."""
+    name = F.regexp_extract("path", "path=([^/]*)/", 1)
+    return read.withColumns({"path": name, "file_name": F.concat(name, F.lit(".txt"))})
+
+
 def _clock(ts: Column) -> Column:
     return F.concat(_two(F.hour(ts)), _two(F.minute(ts)), _two(F.second(ts)), F.lit(".25"))
 
@@ -109,8 +126,8 @@ e AS (SELECT path, epoch_us(day::TIMESTAMP) + (hour(ts) * 3600 + minute(ts) * 60
 """
 
 
-def _nmea(spark, sf):
-    e = nmea.nmea_epochs(nmea_lines(spark, sf))
+def _nmea(lines: DataFrame) -> DataFrame:
+    e = nmea.nmea_epochs(lines)
     return e.select(
         "path", F.unix_micros("timestamp").alias("us"), "lat", "lon", "fix_quality", "num_satellites", "hdop", "alt",
         "solution_age", "pdop", "vdop", "rms_error", "lat_sigma", "alt_sigma", "gbs_lat_err", "gbs_lon_err", "glo_sats",
@@ -128,13 +145,18 @@ _NMEA_GROUPS = {
 }
 
 
+_NMEA_COLUMNS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
 def _register_nmea(name: str, columns: list[str]) -> None:
     fuzzy = {"lat", "lon"}
     sql = _NMEA + "SELECT path, us, " + ", ".join(f"{sql_rnd(c, 9)} AS {c}" if c in fuzzy else c for c in columns) + " FROM e"
 
-    @query(name, sql)
-    def run(spark, sf):
-        return _nmea(spark, sf).select("path", "us", *[rnd(c, 9).alias(c) if c in fuzzy else F.col(c) for c in columns])
+    def chosen(lines: DataFrame) -> DataFrame:
+        return _nmea(lines).select("path", "us", *[rnd(c, 9).alias(c) if c in fuzzy else F.col(c) for c in columns])
+
+    _NMEA_COLUMNS[name] = chosen
+    query(name, sql)(lambda spark, sf: chosen(nmea_lines(spark, sf)))
 
 
 for _name, _columns in _NMEA_GROUPS.items():
@@ -220,6 +242,10 @@ def rinex_lines(spark, sf) -> DataFrame:
     return as_lines(files, padded).unionByName(body)
 
 
+def rinex_records(spark, sf) -> DataFrame:
+    return of_recording(rinex.read_records(spark, as_files(rinex_lines(spark, sf), "observations")))
+
+
 _OBS = f"""
 WITH {_N},
 o AS (SELECT path, ts, k, c, epoch_us(date_trunc('second', ts)) + 500000 AS us,
@@ -235,7 +261,7 @@ o AS (SELECT path, ts, k, c, epoch_us(date_trunc('second', ts)) + 500000 AS us,
 SELECT * FROM m WHERE n_cnr > 0""",
 )
 def rinex_epochs_snr_digit(spark, sf):
-    out = rinex.observation_epochs(rinex_lines(spark, sf), "snr_indicator")
+    out = rinex.observation_epochs(rinex_records(spark, sf), "snr_indicator")
     return out.select(
         "path", F.unix_micros("timestamp").alias("us"), F.size("cnr_list").alias("n_cnr"),
         F.aggregate("cnr_list", F.lit(0.0), lambda s, v: s + v).alias("sum_cnr"), "cycle_slips",
@@ -250,7 +276,7 @@ def rinex_epochs_snr_digit(spark, sf):
 SELECT * FROM m WHERE n_cnr > 0""",
 )
 def rinex_epochs_direct(spark, sf):
-    out = rinex.observation_epochs(rinex_lines(spark, sf), "direct_s1c")
+    out = rinex.observation_epochs(rinex_records(spark, sf), "direct_s1c")
     return out.select(
         "path", F.unix_micros("timestamp").alias("us"), F.size("cnr_list").alias("n_cnr"),
         F.aggregate("cnr_list", F.lit(0.0), lambda s, v: s + v).alias("sum_cnr"),
@@ -271,27 +297,33 @@ _MID = "([NULL, 10.0, 14.5, 20.5, 26.5, 32.5, 38.5, 44.5, 50.5, 56.0])"
 SELECT path, satellite, constellation, us, cnr, {sql_rnd("(us - min(us) OVER (PARTITION BY path)) / 1e6")} AS t_sec FROM l""",
 )
 def rinex_observations_long(spark, sf):
-    out = rinex.observation_long(rinex_lines(spark, sf))
+    out = rinex.observation_long(rinex_records(spark, sf))
     return out.select("path", "satellite", "constellation", F.unix_micros("epoch_utc").alias("us"), "cnr", rnd("t_sec").alias("t_sec"))
 
 
 @query(
     "rinex_observation_codes",
     _OBS
-    + """, l AS (SELECT path, us, 'GPS' AS constellation, 'S1C' AS code, (15 + k % 60)::VARCHAR || '.250' AS text FROM o
-  UNION ALL SELECT path, us, 'GLONASS', 'L2C', (c % 1000000)::VARCHAR || '.12530' FROM o WHERE has_r
-  UNION ALL SELECT path, us, 'GLONASS', 'S1C', '33.000' FROM o WHERE has_r)
+    + """, v AS (SELECT *, (c % 1000000)::VARCHAR || '.125' AS value FROM o),
+l AS (SELECT path, us, 'GPS' AS constellation, 'G05' AS prn, 'C1C' AS code, value || ' ' || (k % 10) AS text FROM v
+  UNION ALL SELECT path, us, 'GPS', 'G05', 'L1C', value || (k % 4) || ((k + 3) % 10) FROM v
+  UNION ALL SELECT path, us, 'GPS', 'G05', 'S1C', (15 + k % 60)::VARCHAR || '.250' FROM v
+  UNION ALL SELECT path, us, 'GLONASS', 'R11', 'C1C', value || ' 2' FROM v WHERE has_r
+  UNION ALL SELECT path, us, 'GLONASS', 'R11', 'L1C', '1' FROM v WHERE has_r
+  UNION ALL SELECT path, us, 'GLONASS', 'R11', 'L2C', value || '30' FROM v WHERE has_r
+  UNION ALL SELECT path, us, 'GLONASS', 'R11', 'S1C', '33.000' FROM v WHERE has_r)
 SELECT * FROM l""",
 )
 def rinex_observation_codes(spark, sf):
-    maps = rinex.observation_maps(rinex_lines(spark, sf))
-    rows = maps.select("path", F.unix_micros("epoch_time").alias("us"), "constellation", F.explode("observations").alias("code", "text"))
-    return rows.where("code = 'S1C' or code = 'L2C'")
+    maps = rinex.observation_maps(rinex_records(spark, sf))
+    return maps.select(
+        "path", F.unix_micros("epoch_time").alias("us"), "constellation", "prn", F.explode("observations").alias("code", "text")
+    )
 
 
 @query("rinex_first_date", "SELECT 'u' || user_id AS path, '2024-01-01' AS first_date FROM events GROUP BY user_id")
 def rinex_first_date(spark, sf):
-    out = rinex.first_observation_date(rinex_lines(spark, sf))
+    out = rinex.first_observation_date(rinex_records(spark, sf))
     return out.select("path", F.col("first_date").cast("string").alias("first_date"))
 
 
@@ -373,7 +405,11 @@ def solution_fixes_untimed(spark, sf):
 
 @query("solution_positions", _POS + " SELECT path, us, latitude, longitude, altitude FROM s WHERE k % 19 <> 0")
 def solution_positions(spark, sf):
-    out = solution.solution_fixes(solution_lines(spark, sf), "position")
+    return _solution_positions(solution_lines(spark, sf))
+
+
+def _solution_positions(lines: DataFrame) -> DataFrame:
+    out = solution.solution_fixes(lines, "position")
     return out.select("path", F.unix_micros("timestamp").alias("us"), "latitude", "longitude", "altitude")
 
 
@@ -419,7 +455,11 @@ def phone_fix_records(spark, sf):
   k % 2 = 0 AS used_in_fix FROM n WHERE k % 3 <> 0 AND k % 11 <> 0""",
 )
 def phone_status_records(spark, sf):
-    out = phone.status_records(phone_lines(spark, sf))
+    return _phone_status(phone_lines(spark, sf))
+
+
+def _phone_status(lines: DataFrame) -> DataFrame:
+    out = phone.status_records(lines)
     return out.select("path", "unix_time_ms", "signal_count", "svid", "cn0_dbhz", "used_in_fix")
 
 
@@ -649,3 +689,19 @@ def source_tags(spark, sf):
         "c_custkey", listing.dotted_tail(stem, 3).alias("receiver"),
         listing.traversal_date(F.concat(F.lit("/data/"), F.lit("2014-08-11-10-22-21"))).alias("day"), label.alias("label"), time.alias("time_token"),
     )
+
+
+# ---- the same recordings read from text files -----------------------------------------------------------
+
+
+def _from_files(name: str, like: str, lines: Callable[[SparkSession, str], DataFrame], run: Callable[[DataFrame], DataFrame]) -> None:
+    """Register ``name``: lines written as files and read by splits give what ``like`` gives."""
+
+    @query(name, ORACLES[like])
+    def read(spark, sf):
+        return run(of_recording(read_lines(spark, as_files(lines(spark, sf), name))))
+
+
+_from_files("read_nmea_positions", "nmea_positions", nmea_lines, lambda lines: _NMEA_COLUMNS["nmea_positions"](lines))
+_from_files("read_solution_positions", "solution_positions", solution_lines, _solution_positions)
+_from_files("read_phone_status", "phone_status_records", phone_lines, _phone_status)

@@ -12,16 +12,21 @@ from clearsky.operators.ordered import running
 LINE_ORDER = ["block", "pos"]
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
+def read_lines(
+    spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None, separator: str | None = None
+) -> DataFrame:
     """``path, file_name, block, pos, line`` of text files.
 
     Large files are read in splits. ``block`` is the byte offset of the split a
     line came from and ``pos`` grows along the lines of a split, so the pair
     orders a file. Only that order is meaningful, not the value of ``pos``.
+    ``separator`` stands between lines in place of the line end.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
+    if separator:
+        reader = reader.option("lineSep", separator)
     text = reader.text(paths if isinstance(paths, str) else list(paths))
     return text.select(
         F.col("_metadata.file_path").alias("path"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearsky.functions.scalars import digit, fixed_field, number, snr_digit_to_cnr
@@ -22,37 +24,65 @@ NAV_FIELDS = [
 ]
 
 
-def _header_label(text: str) -> Column:
-    return F.substring("line", 61, 20).contains(text)
+def _label(line: Column) -> Column:
+    return F.substring(line, 61, 20)
+
+
+def read_records(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
+    """``path, file_name, block, pos, record``: one row per epoch of observation files.
+
+    A line that starts with ``>`` opens an epoch, so the files are cut at
+    line feed and ``>`` together: wherever a split begins, an epoch arrives whole in
+    one row, without its ``>``. The row that holds the end of the header is the
+    header of its file. (A header in which a line starts with ``>`` is not read.)
+    """
+    return read_lines(spark, paths, pattern, separator="\n>").withColumnRenamed("line", "record")
+
+
+def _is_header(record: Column) -> Column:
+    return record.contains("END OF HEADER")
+
+
+def _lines(record: Column) -> Column:
+    return F.split(record, "\r?\n")
 
 
 def sectioned(lines: DataFrame) -> DataFrame:
-    """Add ``epoch`` (number of the open epoch) and ``body`` (past the header)."""
+    """Add ``body`` (past the header)."""
     ends = F.col("line").contains("END OF HEADER")
-    numbered = number_records(lines, {"epoch": F.col("line").startswith(">"), "_ended": ends})
+    numbered = number_records(lines, {"_ended": ends})
     return numbered.withColumn("body", (F.col("_ended") > 0) & ~ends).drop("_ended")
 
 
-def observation_codes(lines: DataFrame) -> DataFrame:
-    """``path, system, codes``: observation codes in column order, from the headers.
+def observation_codes(records: DataFrame) -> DataFrame:
+    """``path, codes``: per file a map from system to its observation codes in column order.
 
     A header line with a blank system continues the one above.
     """
-    rows = lines.where(_header_label("SYS / # / OBS TYPES")).select(
-        "path",
-        *LINE_ORDER,
-        F.when(F.substring("line", 1, 1) != " ", F.substring("line", 1, 1)).alias("system"),
-        F.filter(F.split(F.trim(F.substring("line", 8, 53)), r"\s+"), lambda c: c != "").alias("codes"),
+    rows = F.filter(_lines(F.col("record")), lambda line: _label(line).contains("SYS / # / OBS TYPES"))
+    headers = records.where(_is_header(F.col("record"))).select("path", rows.alias("rows"))
+    named = F.transform(
+        "rows",
+        lambda line, i: F.struct(
+            F.try_element_at(
+                F.filter(
+                    F.transform(F.slice("rows", F.lit(1), i + 1), lambda above: F.substring(above, 1, 1)),
+                    lambda system: system != " ",
+                ),
+                F.lit(-1),
+            ).alias("system"),
+            F.filter(F.split(F.trim(F.substring(line, 8, 53)), r"\s+"), lambda c: c != "").alias("codes"),
+        ),
     )
-    # Header lines only: a few per file.
-    above = Window.partitionBy("path").orderBy(*LINE_ORDER)
-    named = rows.withColumn("system", F.last("system", ignorenulls=True).over(above))
-    ordered = F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "codes")))
-    return (
-        named.where(F.col("system").isNotNull())
-        .groupBy("path", "system")
-        .agg(F.flatten(F.transform(ordered, lambda s: s["codes"])).alias("codes"))
+    known = headers.select("path", F.filter(named, lambda row: row["system"].isNotNull()).alias("named"))
+    systems = F.array_distinct(F.col("named.system"))
+    codes = F.transform(
+        systems,
+        lambda system: F.flatten(
+            F.transform(F.filter("named", lambda row: row["system"] == system), lambda row: row["codes"])
+        ),
     )
+    return known.select("path", F.map_from_arrays(systems, codes).alias("codes"))
 
 
 def epoch_time(line: Column) -> Column:
@@ -70,17 +100,35 @@ def epoch_time(line: Column) -> Column:
     )
 
 
-def satellite_lines(lines: DataFrame, systems: str = "GRECJSI") -> DataFrame:
-    """Epoch and satellite lines of the bodies, satellite lines with their codes."""
-    rows = sectioned(lines).where("body and epoch > 0")
-    kept = rows.where(
-        F.col("line").startswith(">") | (F.length("line") >= 3) & F.substring("line", 1, 1).isin(*systems)
+def epochs(records: DataFrame, systems: str = "GRECJSI") -> DataFrame:
+    """``path, file_name, block, pos, timestamp, satellites``: one row per record with a valid time.
+
+    A satellite is ``line, system, data`` and the ``codes`` of its system, in the order of the
+    record. Headers, one row a file, come back by a join on the file; epochs stay where they were read.
+    """
+    body = records.where(~_is_header(F.col("record"))).join(observation_codes(records), "path")
+    lines = _lines(F.col("record"))
+    wanted = F.filter(
+        F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))),
+        lambda line: (F.length(line) >= 3) & F.substring(line, 1, 1).isin(*systems),
     )
-    return (
-        kept.withColumn("system", F.substring("line", 1, 1))
-        .join(observation_codes(lines), ["path", "system"], "left")
-        .withColumn("data", F.expr("substring(line, 4)"))
+    satellites = F.transform(
+        wanted,
+        lambda line: F.struct(
+            line.alias("line"),
+            F.substring(line, 1, 1).alias("system"),
+            F.substring(line, F.lit(4), F.length(line)).alias("data"),
+            F.try_element_at("codes", F.substring(line, 1, 1)).alias("codes"),
+        ),
     )
+    opening = F.concat(F.lit(">"), F.ltrim(F.get(lines, F.lit(0)), F.lit(">")))
+    return body.select(
+        "path",
+        "file_name",
+        *LINE_ORDER,
+        epoch_time(opening).alias("timestamp"),
+        F.filter(satellites, lambda s: s["codes"].isNotNull()).alias("satellites"),
+    ).where("timestamp is not null")
 
 
 def best_cnr(data: Column, codes: Column, mode: str) -> Column:
@@ -113,106 +161,101 @@ def cycle_slips(data: Column, codes: Column) -> Column:
     return F.coalesce(F.size(F.filter(flags, lambda d: d.bitwiseAND(1) == 1)), F.lit(0))
 
 
-def observation_epochs(lines: DataFrame, mode: str = "snr_indicator") -> DataFrame:
+def observation_epochs(records: DataFrame, mode: str = "snr_indicator") -> DataFrame:
     """``path, timestamp (GPS time), cnr_list, cycle_slips`` per epoch.
 
     Epochs without any C/N0 are dropped; of two epochs with one time the later
     in the file stays.
     """
-    sats = satellite_lines(lines)
-    is_epoch = F.col("line").startswith(">")
-    has_codes = F.col("codes").isNotNull()
-    per_line = sats.select(
-        "path", "file_name", "epoch", *LINE_ORDER,
-        F.when(is_epoch, epoch_time(F.col("line"))).alias("timestamp"),
-        F.when(~is_epoch & has_codes, best_cnr(F.col("data"), F.col("codes"), mode)).alias("cnr"),
-        F.when(~is_epoch & has_codes, cycle_slips(F.col("data"), F.col("codes"))).alias("slips"),
-    )
-    ordered = F.array_sort(
-        F.collect_list(F.when(F.col("cnr").isNotNull(), F.struct(*LINE_ORDER, "cnr")))
-    )
-    epochs = (
-        per_line.groupBy("path", "file_name", "epoch")
-        .agg(
-            F.max("timestamp").alias("timestamp"),
-            F.transform(ordered, lambda s: s["cnr"]).alias("cnr_list"),
-            F.coalesce(F.sum("slips"), F.lit(0)).cast("int").alias("cycle_slips"),
-        )
-        .where(F.col("timestamp").isNotNull() & (F.size("cnr_list") > 0))
+    slips = F.transform("satellites", lambda s: cycle_slips(s["data"], s["codes"]))
+    cnr = F.transform("satellites", lambda s: best_cnr(s["data"], s["codes"], mode))
+    measured = epochs(records).select(
+        "path",
+        "file_name",
+        *LINE_ORDER,
+        "timestamp",
+        F.filter(cnr, lambda v: v.isNotNull()).alias("cnr_list"),
+        F.aggregate(slips, F.lit(0), lambda total, n: total + n).alias("cycle_slips"),
     )
     return (
-        epochs.groupBy("path", "file_name", "timestamp")
-        .agg(F.max_by(F.struct("cnr_list", "cycle_slips"), "epoch").alias("r"))
+        measured.where(F.size("cnr_list") > 0)
+        .groupBy("path", "file_name", "timestamp")
+        .agg(F.max_by(F.struct("cnr_list", "cycle_slips"), F.struct(*LINE_ORDER)).alias("r"))
         .select("path", "file_name", "timestamp", "r.cnr_list", "r.cycle_slips")
     )
 
 
 def read_observations(spark: SparkSession, paths, mode: str = "snr_indicator") -> DataFrame:
-    return observation_epochs(read_lines(spark, paths), mode)
+    return observation_epochs(read_records(spark, paths), mode)
 
 
-def observation_long(lines: DataFrame) -> DataFrame:
+def observation_long(records: DataFrame) -> DataFrame:
     """One row per epoch and satellite (G, E, R, C): ``epoch_utc, satellite,
     constellation, cnr, t_sec``.
 
     The digit of the first phase observation above zero counts, else that of the
-    first observation above zero; ``t_sec`` runs from the first epoch of a file.
+    first observation above zero; ``t_sec`` runs from the first epoch of a file
+    that has satellites.
     """
-    sats = satellite_lines(lines, systems="GERC")
-    data, codes = F.col("data"), F.col("codes")
-    full = F.transform(
-        codes,
-        lambda c, i: F.struct(
-            c.startswith("L").alias("phase"),
-            digit(F.substring(fixed_field(data, i), 16, 1)).alias("d"),
-        ),
+    seen = epochs(records, systems="GERC").where(
+        F.exists("satellites", lambda s: F.size(s["codes"]) > 0)
     )
-    good = F.filter(full, lambda s: s["d"] > 0)
-    first_phase = F.get(F.filter(good, lambda s: s["phase"]), F.lit(0))["d"]
-    first_any = F.get(good, F.lit(0))["d"]
-    is_epoch = F.col("line").startswith(">")
-    epochs = sats.where(is_epoch).select("path", "epoch", epoch_time(F.col("line")).alias("epoch_utc"))
-    rows = sats.where(~is_epoch & codes.isNotNull() & (F.size("codes") > 0)).select(
-        "path",
-        "file_name",
-        "epoch",
-        F.trim(F.substring("line", 1, 3)).alias("satellite"),
-        F.col("system").alias("constellation"),
-        snr_digit_to_cnr(F.coalesce(first_phase, first_any), "midpoints").alias("cnr"),
-    )
-    timed = rows.join(epochs.where("epoch_utc is not null"), ["path", "epoch"])
-    start = timed.groupBy("path").agg(F.min("epoch_utc").alias("_start"))
+    starts = seen.groupBy("path").agg(F.min("timestamp").alias("_start"))
+
+    def cnr(s: Column) -> Column:
+        full = F.transform(
+            s["codes"],
+            lambda c, i: F.struct(
+                c.startswith("L").alias("phase"),
+                digit(F.substring(fixed_field(s["data"], i), 16, 1)).alias("d"),
+            ),
+        )
+        good = F.filter(full, lambda f: f["d"] > 0)
+        first_phase = F.get(F.filter(good, lambda f: f["phase"]), F.lit(0))["d"]
+        return snr_digit_to_cnr(F.coalesce(first_phase, F.get(good, F.lit(0))["d"]), "midpoints")
+
     seconds = (F.unix_micros("epoch_utc") - F.unix_micros("_start")) / 1e6
-    return timed.join(start, "path").select(
-        "path", "file_name", "epoch_utc", "satellite", "constellation", "cnr", seconds.alias("t_sec")
+    return (
+        seen.select("path", "file_name", F.col("timestamp").alias("epoch_utc"), F.explode("satellites").alias("s"))
+        .where(F.size("s.codes") > 0)
+        .join(starts, "path")
+        .select(
+            "path",
+            "file_name",
+            "epoch_utc",
+            F.trim(F.substring("s.line", 1, 3)).alias("satellite"),
+            F.col("s.system").alias("constellation"),
+            cnr(F.col("s")).alias("cnr"),
+            seconds.alias("t_sec"),
+        )
     )
 
 
-def observation_maps(lines: DataFrame) -> DataFrame:
+def observation_maps(records: DataFrame) -> DataFrame:
     """Per satellite line a map from observation code to its text value."""
-    sats = satellite_lines(lines, systems="GRECJS")
-    data, codes = F.col("data"), F.col("codes")
-    is_epoch = F.col("line").startswith(">")
-    epochs = sats.where(is_epoch).select("path", "epoch", epoch_time(F.col("line")).alias("epoch_time"))
-    count = F.least(F.floor(F.length("data") / 16).cast("int"), F.size("codes"))
+    rows = epochs(records, systems="GRECJS").select(
+        "path", "file_name", *LINE_ORDER, F.col("timestamp").alias("epoch_time"), F.posexplode("satellites").alias("nth", "s")
+    )
+    data, codes = F.col("s.data"), F.col("s.codes")
+    count = F.least(F.floor(F.length(data) / 16).cast("int"), F.size(codes))
     used = F.slice(codes, F.lit(1), count)
     values = F.map_from_arrays(used, F.transform(used, lambda c, i: F.trim(fixed_field(data, i))))
     names = F.create_map(*[F.lit(v) for kv in SYSTEM_NAMES.items() for v in kv])
-    return (
-        sats.where(~is_epoch & codes.isNotNull())
-        .select(
-            "path", "file_name", "epoch", *LINE_ORDER,
-            names[F.col("system")].alias("constellation"),
-            F.trim(F.substring("line", 1, 3)).alias("prn"),
-            values.alias("observations"),
-        )
-        .join(epochs, ["path", "epoch"])
-    )
+    return rows.select(
+        "path",
+        "file_name",
+        *LINE_ORDER,
+        "nth",
+        "epoch_time",
+        names[F.col("s.system")].alias("constellation"),
+        F.trim(F.substring("s.line", 1, 3)).alias("prn"),
+        values.alias("observations"),
+    )
 
 
 def navigation_records(lines: DataFrame) -> DataFrame:
     """One row per broadcast ephemeris record: satellite, epoch, clock, 26 orbit fields."""
-    body = sectioned(lines).where(F.col("body") & (F.trim("line") != "")).drop("epoch")
+    body = sectioned(lines).where(F.col("body") & (F.trim("line") != ""))
     opens = F.substring("line", 1, 1) != " "
     records = (
         number_records(body, {"record": opens})
@@ -248,13 +291,13 @@ def navigation_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def first_observation_date(lines: DataFrame) -> DataFrame:
+def first_observation_date(records: DataFrame) -> DataFrame:
     """``path, first_date`` from the header line TIME OF FIRST OBS."""
-    ended = number_records(lines, {"_ended": F.col("line").contains("END OF HEADER")})
-    hit = ended.where((F.col("_ended") == 0) & _header_label("TIME OF FIRST OBS"))
-    t = F.split(F.trim(F.substring("line", 1, 60)), r"\s+")
+    lines = F.filter(_lines(F.col("record")), lambda line: _label(line).contains("TIME OF FIRST OBS"))
+    t = F.split(F.trim(F.substring(F.get(lines, F.lit(0)), 1, 60)), r"\s+")
     day = F.try_to_date(
         F.concat_ws("-", F.get(t, F.lit(0)), F.lpad(F.get(t, F.lit(1)), 2, "0"), F.lpad(F.get(t, F.lit(2)), 2, "0")),
         "yyyy-MM-dd",
     )
-    return hit.groupBy("path").agg(F.min_by(day, F.struct(*LINE_ORDER)).alias("first_date"))
+    found = records.where(_is_header(F.col("record"))).withColumn("first_date", day)
+    return found.where(F.size(lines) > 0).groupBy("path").agg(F.min_by("first_date", F.struct(*LINE_ORDER)).alias("first_date"))

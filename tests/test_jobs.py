@@ -49,7 +49,7 @@ def features(spark, tmp_path_factory):
         folders.append((name, f"scenario_{i}", f"case_{i}"))
     rules = spark.createDataFrame(folders, "folder string, source string, scenario string")
     fixes = recordings.tagged_by_folder(nmea.nmea_epochs(read_lines(spark, str(root), "*.nmea")), rules)
-    signal = recordings.tagged_by_folder(rinex.observation_epochs(read_lines(spark, str(root), "*.26O")), rules)
+    signal = recordings.tagged_by_folder(rinex.observation_epochs(rinex.read_records(spark, str(root), "*.26O")), rules)
     made = recordings.receiver_features(fixes, signal)
     out = str(tmp_path_factory.mktemp("features"))
     sinks.write_table(recordings.combined([made]), out)

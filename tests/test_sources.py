@@ -121,8 +121,9 @@ RINEX = "\n".join(
 )
 
 
-def test_rinex_epochs_both_modes(spark, put):
-    lines = read_lines(spark, put("x.26O", RINEX))
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_rinex_epochs_both_modes(spark, put, newline):
+    lines = rinex.read_records(spark, put("x.26O", RINEX, newline))
     digit = rinex.observation_epochs(lines, "snr_indicator").orderBy("timestamp").collect()
     assert [r["cnr_list"] for r in digit] == [[42.0, 48.0], [54.0]]  # later of two equal times
     assert digit[0]["cycle_slips"] == 2 and digit[0]["timestamp"] == datetime(2026, 5, 4, 11, 23, 37, 200000)
@@ -131,13 +132,45 @@ def test_rinex_epochs_both_modes(spark, put):
     assert rinex.first_observation_date(lines).first()["first_date"] == date(2026, 5, 4)
 
 
+def test_rinex_records_across_splits(spark, put):
+    epochs = "".join(f"> 2026 05 04 11 {k // 60:02d} {k % 60:02d}.0000000  0  2\nG05{20000000.125:14.3f} 5\nG07{k:14.3f} 7\n" for k in range(400))
+    path = put("big.26O", RINEX[: RINEX.index(">")] + epochs)
+    plain = rinex.observation_epochs(rinex.read_records(spark, path)).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        records = rinex.read_records(spark, path)
+        assert records.rdd.getNumPartitions() > 50
+        split = rinex.observation_epochs(records).collect()
+        first = [r["observations"] for r in rinex.observation_maps(records).orderBy("block", "pos", "nth").collect()[1:4:2]]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(split) == 400 and sorted(split) == sorted(plain)
+    assert [r["C1C"].split(".")[0] for r in first] == ["0", "1"]
+
+
+def test_rinex_plan_has_one_exchange_for_equal_times(spark, put):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    records = rinex.read_records(spark, put("x.26O", RINEX))
+    text = plan(rinex.observation_epochs(records))
+    assert text.count("FileScan text") == 2 and text.count("Exchange hashpartitioning") <= 3
+    assert plan(rinex.observation_long(records)).count("FileScan text") <= 4
+    assert "Exchange" not in plan(records)
+
+
+def test_rinex_without_header_or_epochs(spark, put):
+    header = RINEX[: RINEX.index(">")]
+    for text in ("", header, RINEX[RINEX.index(">") :], header + "> bad\nG05\n"):
+        records = rinex.read_records(spark, put("y.26O", text))
+        assert rinex.observation_epochs(records).count() == rinex.observation_long(records).count() == 0
+
+
 def test_rinex_long_and_maps(spark, put):
-    lines = read_lines(spark, put("x.26O", RINEX))
+    lines = rinex.read_records(spark, put("x.26O", RINEX))
     long = {(r["satellite"], r["t_sec"]): r["cnr"] for r in rinex.observation_long(lines).collect()}
     assert long[("G05", 0.0)] == 38.5  # first phase digit
     assert long[("R11", 0.0)] == 50.5
     assert long[("G05", 0.8)] is None and ("C07", 0.0) not in long  # no codes for that system
-    maps = rinex.observation_maps(lines).orderBy("pos").collect()
+    maps = rinex.observation_maps(lines).orderBy("pos", "nth").collect()
     assert maps[0]["observations"] == {"C1C": "20000000.125 7", "L1C": "100.516", "S1C": "44.250"}
     assert maps[0]["constellation"] == "GPS" and len(maps) == 5
 
