@@ -12,7 +12,8 @@ from sessions import same
 
 from clearsky.functions import labels
 from clearsky.operators import evaluate as ev
-from clearsky.operators import models, oversample, prep
+from clearsky.operators import models, neighbours, oversample, prep
+from clearsky.operators.neighbours import nearest
 from clearsky.operators.tables import clip, feature_columns, nan_to_null, repaired_splits
 
 
@@ -111,11 +112,43 @@ def make_classes(spark):
     return rows, spark.createDataFrame(rows, "y int, f array<double>")
 
 
-@pytest.mark.parametrize("limit", [oversample.EXACT_BYTES, 0])
-def test_synthetic_rows_lie_between_neighbours(spark, limit):
+@pytest.mark.parametrize("block_rows", [2, 7, 2000])
+@pytest.mark.parametrize("pivots", [1, 5, 40])
+def test_nearest_rows_are_exact(spark, pivots, block_rows):
+    rng = np.random.default_rng(pivots)
+    points = [(int(i % 3 > 1), [float(x) for x in rng.normal((i % 4) * 3, 1, size=5).round(1)]) for i in range(150)]
+    points += [(0, [1.0] * 5)] * 20 + [(2, [float(i)] * 5) for i in range(3)]  # copies, and a class smaller than k
+    rows = [(label, i, v) for i, (label, v) in enumerate(points)]
+    df = spark.createDataFrame(rows, "label int, id long, v array<double>").repartition(4)
+    got = nearest(df, 4, wanted="id % 2 = 0", pivots=pivots, block_rows=block_rows).collect()
+    found = {r["id"]: [(x["d"], x["other"]) for x in r["near"]] for r in got}
+    assert len(found) == len(got) and set(found) == {i for _, i, _ in rows if i % 2 == 0}
+    for label, i, v in rows:
+        if i in found:
+            all_d = sorted((((np.array(w) - np.array(v)) ** 2).sum(), j) for other, j, w in rows if other == label and j != i)
+            assert [j for _, j in found[i]] == [j for _, j in all_d[:4]]
+
+
+def test_nearest_rows_of_nothing(spark):
+    none = spark.createDataFrame([], "label int, id long, v array<double>")
+    assert nearest(none, 3).count() == 0 and nearest(none, 3).columns == ["label", "id", "near"]
+
+
+def test_visits_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 10)
+    rng = np.random.default_rng(3)
+    rows = [(0, i, [float(x) for x in rng.normal(size=3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "label int, id long, v array<double>")
+    for r in nearest(df, 3, pivots=4, block_rows=20).collect():
+        v = np.array(rows[r["id"]][2])
+        want = sorted((((np.array(w) - v) ** 2).sum(), j) for _, j, w in rows if j != r["id"])[:3]
+        assert [x["other"] for x in r["near"]] == [j for _, j in want]
+
+
+def test_synthetic_rows_lie_between_neighbours(spark):
     rows, df = make_classes(spark)
     sizes = oversample.class_sizes(df, "y")
-    out = oversample.synthetic_rows(df, "f", "y", sizes, 5, exact_bytes=limit).collect()
+    out = oversample.synthetic_rows(df, "f", "y", sizes, 5).collect()
     assert Counter(r["y"] for r in out) == {1: 240, 2: 200}
     near = 0
     for r in out:
@@ -125,7 +158,7 @@ def test_synthetic_rows_lie_between_neighbours(spark, limit):
         assert (mine == a).all(axis=1).any() and (mine == b).all(axis=1).any()
         d = np.sort(((mine - a) ** 2).sum(axis=1))
         near += ((b - a) ** 2).sum() <= d[5] + 1e-12  # d[0] is the row itself
-    assert near == len(out) if limit else near > 0.95 * len(out)
+    assert near == len(out)
     # Every copy of the hot vector has copies as its nearest rows.
     hot = [r for r in out if r["start"] == [5.0] * 6]
     assert len(hot) == 160 and all(r["end"] == [5.0] * 6 for r in hot)
