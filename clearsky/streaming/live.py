@@ -1,14 +1,14 @@
 """Live epochs: deduplication, time buckets, exact trailing features, sessions, class changes.
 
 Input is a stream of epoch rows with a session key and an event time. Late rows
-are bounded by a watermark; state is bounded by the window length.
+are bounded by a watermark; state is bounded by the window length. Trailing features
+and class changes chain: the event time of the one is that of the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from clearsky.functions.labels import label_name, quality_label
 from clearsky.operators.features import finish_features
 from clearsky.operators.ordered import micros
 from clearsky.schemas import WINDOW_SECONDS
+from clearsky.streaming.trailing import CURRENT, FIELDS, HISTORY, LATEST, TrailingWindow
 
 
 def without_duplicates(epochs: DataFrame, keys: Sequence[str], ts: str, lateness: str = "10 seconds") -> DataFrame:
@@ -62,70 +63,6 @@ def recording_sessions(
 
 # ---- exact trailing features ------------------------------------------------------------------
 
-# Columns whose history the features need.
-HISTORY = [
-    "mean_cnr_epoch", "num_satellites", "fix_quality", "solution_age", "lat_sigma", "lon_sigma",
-    "rms_error", "gbs_lat_err", "gbs_lon_err",
-]
-CURRENT = ["lat", "lon", "alt", "hdop", "pdop", "vdop", "cycle_slips_epoch"]
-
-
-class TrailingWindow(StatefulProcessor):
-    """Keeps the last seconds of a session and emits, per epoch, the window it closes.
-
-    Rows of one trigger are taken in time order. Rows up to the watermark are
-    accepted; the state holds the window length and the lateness, so that a late
-    epoch finds its whole window. An idle session is dropped by a timer. An epoch
-    is emitted once: rows that arrive after it do not change its window.
-    """
-
-    def __init__(self, keys: Sequence[str], ts: str, window_seconds: float, lateness_us: int):
-        self.keys, self.ts = list(keys), ts
-        self.window_us = int(window_seconds * 1_000_000)
-        self.held_us = self.window_us + lateness_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        fields = [T.StructField("us", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in HISTORY]]
-        self.rows = handle.getListState("rows", T.StructType(fields))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values("epoch_us", kind="stable")
-        records = new.to_dict("records")
-        # Kept rows first, so that among equal times a row of this trigger comes last.
-        merged = [(tuple(r), None) for r in self.rows.get()]
-        merged += [
-            ((int(row["epoch_us"]), *[None if pd.isna(row[c]) else float(row[c]) for c in HISTORY]), row) for row in records
-        ]
-        merged.sort(key=lambda m: m[0][0])
-        kept = [m[0] for m in merged]
-        times = np.array([r[0] for r in kept], dtype=np.int64)
-        firsts = np.searchsorted(times, times - self.window_us, side="left")
-        out = []
-        for end, (first, (_, row)) in enumerate(zip(firsts, merged, strict=True), start=1):
-            if row is None:
-                continue
-            window = kept[first:end]
-            out.append({"epoch_us": window[-1][0], **{c: row[c] for c in CURRENT},
-                        "w_us": [r[0] for r in window],
-                        **{f"w_{c}": [r[i + 1] for r in window] for i, c in enumerate(HISTORY)}})
-        newest = kept[-1][0]
-        self.rows.put(kept[int(np.searchsorted(times, newest - self.held_us, side="left")) :])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, (list, tuple)) else timer)
-        self.handle.registerTimer((newest + self.window_us + self.held_us) // 1000)
-        frame = pd.DataFrame(out)
-        for name, value in zip(self.keys, key, strict=True):
-            frame[name] = value
-        yield frame
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.rows.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
 
 def _micros_of(df: DataFrame, interval: str) -> int:
     """Microseconds of an interval text, read as Spark reads the watermark's."""
@@ -134,88 +71,62 @@ def _micros_of(df: DataFrame, interval: str) -> int:
     return one.first()[0]
 
 
-def _known(name: str) -> Column:
-    return F.filter(name, lambda v: v.isNotNull())
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double"))
-
-
-def _mean(values: Column) -> Column:
-    return F.when(F.size(values) > 0, _sum(values) / F.size(values))
-
-
-def _spread(values: Column, fewer: int) -> Column:
-    """Mean squared distance from the mean with ``n - fewer`` in the denominator."""
-    mean = _mean(values)
-    squares = _sum(F.transform(values, lambda v: (v - mean) * (v - mean)))
-    return F.when(F.size(values) > fewer, squares / (F.size(values) - fewer))
-
-
-def _steps(values: Column, step) -> Column:
-    """Sum of a function of neighbouring values."""
-    return _sum(F.transform(values, lambda v, i: F.when(i > 0, step(F.get(values, i - 1), v)).otherwise(F.lit(0.0))))
-
-
 def trailing_features(
     epochs: DataFrame, keys: Sequence[str], ts: str, window_seconds: float = WINDOW_SECONDS, lateness: str = "10 seconds",
     cnr_fallback: bool = True,
 ) -> DataFrame:
     """The 35 features of each arriving epoch over its trailing window.
 
-    The state hands out each epoch's window as arrays; the statistics are array
-    expressions, and the final arithmetic is that of the batch features.
+    The state hands out the summary of each epoch's window, a row of fixed width; the final
+    arithmetic is that of the batch features. ``ts`` stays the event time of what comes after.
     """
     schema = epochs.schema
-    key_fields = [schema[k] for k in keys]
     slim = epochs.withWatermark(ts, lateness).select(
         *keys, ts, micros(ts).alias("epoch_us"), *[F.col(c).cast("double").alias(c) for c in [*HISTORY, *CURRENT]]
     )
     out_schema = T.StructType(
         [
+            schema[ts],
             T.StructField("epoch_us", T.LongType()),
-            *[T.StructField(c, T.DoubleType()) for c in CURRENT],
-            T.StructField("w_us", T.ArrayType(T.LongType())),
-            *[T.StructField(f"w_{c}", T.ArrayType(T.DoubleType())) for c in HISTORY],
-            *key_fields,
+            *[T.StructField(c, T.DoubleType()) for c in [*CURRENT, *LATEST, *FIELDS]],
+            *[schema[k] for k in keys],
         ]
     )
     windows = slim.groupBy(*keys).transformWithStateInPandas(
-        TrailingWindow(keys, ts, window_seconds, _micros_of(epochs, lateness)), out_schema, "Append", "EventTime"
+        TrailingWindow(keys, ts, window_seconds, _micros_of(epochs, lateness)),
+        out_schema,
+        "Append",
+        "EventTime",
+        eventTimeColumnName=ts,
     )
-    last = lambda c: F.get(f"w_{c}", F.size(f"w_{c}") - 1)
-    named = windows.select(
-        *keys, F.col("epoch_us").alias("_us"), F.timestamp_micros("epoch_us").alias(ts), *CURRENT,
-        last("num_satellites").alias("num_satellites"), last("solution_age").alias("solution_age"),
-        last("fix_quality").cast("int").alias("fix_quality"),
-        F.size("w_us").alias("_n"), F.get("w_us", F.lit(0)).alias("_first_us"),
-        _known("w_mean_cnr_epoch").alias("cs"), _known("w_num_satellites").alias("ns"), _known("w_solution_age").alias("ages"),
-        _known("w_lat_sigma").alias("las"), _known("w_lon_sigma").alias("los"), _known("w_rms_error").alias("rms"),
-        F.transform("w_fix_quality", lambda v: F.coalesce(v, F.lit(0.0))).alias("fs"),
-        F.size(_known("w_gbs_lat_err")).alias("_gbs_n"),
-        F.zip_with("w_gbs_lat_err", "w_gbs_lon_err", lambda a, b: F.sqrt(
-            F.pow(F.coalesce(a, F.lit(0.0)), 2) + F.pow(F.coalesce(b, F.lit(0.0)), 2))).alias("gbs"),
+    col = F.col
+
+    def of(n: str, value: Column, least: int = 1) -> Column:
+        return F.when(col(n) >= least, value)
+
+    def sample_variance(name: str, n: str | None = None) -> Column:
+        n = n or f"{name}_n"
+        return of(n, col(f"{name}_m2") / F.greatest(col(n) - 1, F.lit(1.0)), 2)
+
+    n_cnr = col("cnr_n")
+    covered = col("cnr_placed") - (n_cnr - 1) / 2.0 * n_cnr * col("cnr_mean")
+    spread = n_cnr * (n_cnr * n_cnr - 1) / 12.0
+    framed = windows.where("rows >= 2").select(
+        *keys, ts, *CURRENT, "num_satellites", "solution_age", col("fix_quality").cast("int").alias("fix_quality"),
+        col("epoch_us").alias("_us"), col("first_us").cast("long").alias("_first_us"),
+        of("lat_n", col("lat_mean")).alias("_lat_std"), of("lon_n", col("lon_mean")).alias("_lon_std"),
+        sample_variance("lat").alias("_lat_var"), sample_variance("lon").alias("_lon_var"), col("lat_n").alias("_lat_n"),
+        of("cnr_n", col("cnr_mean")).alias("_cnr_mean"), of("cnr_n", col("cnr_min")).alias("_cnr_min"),
+        of("cnr_n", col("cnr_max")).alias("_cnr_max"),
+        of("cnr_n", F.sqrt(col("cnr_m2") / F.greatest(n_cnr, F.lit(1.0)))).alias("_cnr_std"),
+        F.when(n_cnr >= 3, covered / F.when(n_cnr >= 3, spread)).otherwise(F.lit(0.0)).alias("_cnr_trend"),
+        of("sat_n", col("sat_mean")).alias("_sat_mean"), of("sat_n", col("sat_min")).alias("_sat_min"),
+        col("sat_n").alias("_sat_n"), col("sat_drop").alias("_sat_drop"),
+        (col("fix_ok") / col("rows")).alias("_fix_share"), col("fix_changes").alias("_fix_changes"),
+        col("age_n").alias("_age_n"), col("age_steps").alias("_age_steps"),
+        of("rms_n", col("rms_mean")).alias("_rms_mean"), F.sqrt(sample_variance("rms")).alias("_rms_std"), col("rms_n").alias("_rms_n"),
+        col("gbs_mean").alias("_gbs_mean"), F.sqrt(sample_variance("gbs", "rows")).alias("_gbs_std"), col("gbs_n").alias("_gbs_n"),
     )
-    cs, n_cs = F.col("cs"), F.size("cs")
-    middle = (n_cs - 1) / 2.0
-    xy = _sum(F.transform(cs, lambda v, i: (i - middle) * v))
-    xx = n_cs * (n_cs * n_cs - 1) / 12.0
-    framed = named.select(
-        "*",
-        _mean(F.col("las")).alias("_lat_std"), _mean(F.col("los")).alias("_lon_std"),
-        _spread(F.col("las"), 1).alias("_lat_var"), _spread(F.col("los"), 1).alias("_lon_var"), F.size("las").alias("_lat_n"),
-        _mean(cs).alias("_cnr_mean"), F.array_min("cs").alias("_cnr_min"), F.array_max("cs").alias("_cnr_max"),
-        F.sqrt(_spread(cs, 0)).alias("_cnr_std"),
-        F.when(n_cs >= 3, xy / F.when(n_cs >= 3, xx)).otherwise(F.lit(0.0)).alias("_cnr_trend"),
-        _mean(F.col("ns")).alias("_sat_mean"), F.array_min("ns").alias("_sat_min"), F.size("ns").alias("_sat_n"),
-        _steps(F.col("ns"), lambda a, b: F.least(b - a, F.lit(0.0))).alias("_sat_drop"),
-        _mean(F.transform("fs", lambda v: (v >= 1).cast("double"))).alias("_fix_share"),
-        _steps(F.col("fs"), lambda a, b: (a != b).cast("double")).alias("_fix_changes"),
-        F.size("ages").alias("_age_n"), _steps(F.col("ages"), lambda a, b: F.abs(b - a)).alias("_age_steps"),
-        _mean(F.col("rms")).alias("_rms_mean"), F.sqrt(_spread(F.col("rms"), 1)).alias("_rms_std"), F.size("rms").alias("_rms_n"),
-        _mean(F.col("gbs")).alias("_gbs_mean"), F.sqrt(_spread(F.col("gbs"), 1)).alias("_gbs_std"),
-    ).where("_n >= 2")
     return finish_features(framed, keys, ts, (), cnr_fallback)
 
 
@@ -223,32 +134,68 @@ def trailing_features(
 
 
 class ClassChange(StatefulProcessor):
-    """Emits a row when the class of a session differs from the one before."""
+    """Emits a row when the class of a session differs from the one before.
+
+    Rows wait in state until the watermark has passed them, so they are compared in the order
+    of their times, however they arrive. One timer stands at the earliest waiting row; once
+    nothing waits it stands ``idle_us`` past the latest row, and the session is forgotten then.
+    """
 
-    def __init__(self, keys: Sequence[str], ts: str):
-        self.keys, self.ts = list(keys), ts
+    def __init__(self, keys: Sequence[str], ts: str, idle_us: int):
+        self.keys, self.ts, self.idle_us = list(keys), ts, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "label int")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, label int")
+        self.last = handle.getValueState("last", "us long, label int")
+
+    def _wake_at(self, us: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, (list, tuple)) else timer)
+        self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values(self.ts, kind="stable")
-        before = self.last.get()[0] if self.last.exists() else None
+        new = pd.concat(list(rows), ignore_index=True)
+        self.waiting.appendList([(int(us), int(label)) for us, label in zip(new["epoch_us"], new["label"], strict=True)])
+        self._wake_at(min(us for us, _ in self.waiting.get()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: r[0]) if self.waiting.exists() else []
+        last = self.last.get() if self.last.exists() else None
+        ready = [r for r in rows if r[0] <= passed]
+        rest = rows[len(ready) :]
         out = []
-        for when, label in zip(new[self.ts], new["label"], strict=True):
-            if before is not None and label != before:
-                out.append((*key, when, int(before), int(label)))
-            before = int(label)
-        if before is not None:
-            self.last.update((before,))
+        for us, label in ready:
+            if last is not None and us - last[0] > self.idle_us:
+                last = None  # the session had been forgotten by then
+            if last is not None and label != last[1]:
+                out.append((*key, pd.Timestamp(us, unit="us"), int(last[1]), int(label)))
+            last = (us, label)
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if last is not None and not rest and last[0] + self.idle_us <= passed:
+            self.last.clear()
+        elif last is not None:
+            self.last.update((int(last[0]), int(last[1])))
+            self._wake_at(rest[0][0] if rest else last[0] + self.idle_us)
+        elif rest:
+            self._wake_at(rest[0][0])
         yield pd.DataFrame(out, columns=[*self.keys, self.ts, "label_before", "label"])
 
     def close(self) -> None:
         pass
 
 
-def class_changes(labelled: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Alerts from a stream of labelled epochs (``label`` 0/1/2)."""
+def class_changes(labelled: DataFrame, keys: Sequence[str], ts: str, idle: str = "1 hour") -> DataFrame:
+    """Alerts from a stream of labelled epochs (``label`` 0/1/2) whose event time is ``ts``.
+
+    ``labelled`` needs a watermark on ``ts``: its own, or the one that :func:`trailing_features`
+    hands on. A session without rows for longer than ``idle`` starts anew.
+    """
     fields = [
         *[labelled.schema[k] for k in keys],
         labelled.schema[ts],
@@ -256,9 +203,14 @@ def class_changes(labelled: DataFrame, keys: Sequence[str], ts: str) -> DataFram
         T.StructField("label", T.IntegerType()),
     ]
     changes = (
-        labelled.select(*keys, ts, "label")
+        labelled.select(*keys, ts, micros(ts).alias("epoch_us"), "label")
         .groupBy(*keys)
-        .transformWithStateInPandas(ClassChange(keys, ts), T.StructType(fields), "Append", "None")
+        .transformWithStateInPandas(
+            ClassChange(keys, ts, _micros_of(labelled, idle)),
+            T.StructType(fields),
+            "Append",
+            "EventTime",
+        )
     )
     return changes.withColumn("alert", label_name(F.col("label")))
 

@@ -1,12 +1,16 @@
+import math
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from sessions import COLUMNS, make_sessions, same, to_spark
 
 from clearsky.operators.features import window_features
 from clearsky.schemas import FEATURES
-from clearsky.streaming import live
+from clearsky.streaming import live, trailing
+from clearsky.streaming.trailing import FIELDS, Trail
 
 KEYS = ["source", "scenario"]
 
@@ -100,15 +104,126 @@ def test_buckets_and_sessions(spark, tmp_path):
     assert sorted(r["epochs"] for r in recordings.collect()) == [2, 5]
 
 
-def test_class_changes(spark, tmp_path):
-    folder = str(tmp_path / "in")
+LABELLED = "source string, timestamp timestamp, label int"
+
+
+def arrive(spark, folder, rows):
+    """Each list of rows is a file of its own, in order."""
     t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    labels = [0, 0, 1, 1, 2, 0]
-    for i, label in enumerate(labels):
-        spark.createDataFrame([("a", t0 + timedelta(seconds=i), label)], "source string, timestamp timestamp, label int").coalesce(1).write.mode("append").parquet(folder)
-    out = run(spark, live.class_changes(source(spark, folder), ["source"], "timestamp"), tmp_path)
-    got = [(r["label_before"], r["label"], r["alert"]) for r in out.orderBy("timestamp").collect()]
-    assert got == [(0, 1, "WARNING"), (1, 2, "DEGRADED"), (2, 0, "CLEAN")]
+    for part in rows:
+        data = [(key, t0 + timedelta(seconds=s), label) for key, s, label in part]
+        spark.createDataFrame(data, LABELLED).coalesce(1).write.mode("append").parquet(folder)
+
+
+def alerts(spark, folder, tmp_path, lateness="20 seconds", idle="1 hour"):
+    labelled = source(spark, folder).withWatermark("timestamp", lateness)
+    out = run(spark, live.class_changes(labelled, ["source"], "timestamp", idle), tmp_path)
+    t0 = datetime(2024, 1, 1)
+    return [(r["source"], int((r["timestamp"].replace(tzinfo=None) - t0).total_seconds()), r["label_before"], r["label"], r["alert"])
+            for r in out.orderBy("source", "timestamp").collect()]
+
+
+def test_class_changes_in_order_of_time(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    # 3 arrives after 4 and 5, within the lateness; 1 after the watermark; the last row moves it past all.
+    arrive(spark, folder, [[("a", 0, 0), ("a", 2, 0)], [("a", 4, 2), ("a", 5, 2)], [("a", 3, 1)], [("b", 100, 0)], [("b", 101, 0)], [("a", 1, 2)], [("b", 9000, 1)], [("c", 90000, 0)]])
+    got = alerts(spark, folder, tmp_path, idle="10 days")
+    assert got == [("a", 3, 0, 1, "WARNING"), ("a", 4, 1, 2, "DEGRADED"), ("b", 9000, 0, 1, "WARNING")]
+
+
+def test_an_idle_session_starts_anew(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    arrive(spark, folder, [[("a", 0, 0)], [("b", 50, 0)], [("b", 9000, 1)], [("a", 9001, 2), ("a", 9002, 0)], [("c", 90000, 0)]])
+    got = alerts(spark, folder, tmp_path, idle="1 minute")
+    assert got == [("a", 9002, 2, 0, "CLEAN")]  # 0 to 2 lies across the pause, and so does b's change
+
+
+def test_chained_features_and_alerts(spark, tmp_path, stream):
+    folder, pdf = stream
+    flushed = str(tmp_path / "flushed")
+    spark.read.parquet(folder).orderBy("timestamp").coalesce(1).write.option("maxRecordsPerFile", 70).parquet(flushed)
+    end = pdf.tail(1).assign(source="~", timestamp=pdf["timestamp"].max() + timedelta(days=9)).reset_index(drop=True)
+    to_spark(spark, end).coalesce(1).write.mode("append").parquet(flushed)  # moves the watermark past all others
+    labels = live.live_labels(live.trailing_features(source(spark, flushed), KEYS, "timestamp", lateness="1 hour"))
+    got = run(spark, live.class_changes(labels, KEYS, "timestamp", "9 days"), tmp_path)
+    batch = live.live_labels(window_features(spark.read.parquet(folder), KEYS))
+    before = F.lag("label").over(Window.partitionBy(*KEYS).orderBy("timestamp"))
+    want = batch.withColumn("label_before", before).where("label_before <> label")
+    columns = [*KEYS, "timestamp", "label_before", "label"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert want.count() > 3
+
+
+def plain_window(rows, end, window_us):
+    """What a summary tells, from the rows themselves: ``rows`` are in the order of their times."""
+    us = rows[end][0]
+    inside = [r for r in rows[: end + 1] if r[0] >= us - window_us]
+    return inside
+
+
+def check_summaries(rng, rows, window_us, held_us, parts):
+    """Feed parts to a trail, as a session's state would, and compare each window."""
+    summaries, newest, kept, stored = {}, None, [], {}
+    for part in parts:
+        part = sorted(part, key=lambda r: r[0])
+        trail = Trail(window_us, held_us, summaries, newest, stored.__getitem__)
+        found, changed = trail.add(part)
+        kept = sorted(kept + part, key=lambda r: r[0])
+        place = {id(r): i for i, r in enumerate(kept)}
+        for r, summary in zip(part, found, strict=True):
+            told = dict(zip(FIELDS, summary, strict=True))
+            inside = plain_window(kept, place[id(r)], window_us)
+            cnr = [x[1][0] for x in inside if not math.isnan(x[1][0])]
+            sats = [x[1][1] for x in inside if not math.isnan(x[1][1])]
+            assert told["rows"] == len(inside) and told["first_us"] == inside[0][0]
+            assert told["cnr_n"] == len(cnr) and (not cnr or (told["cnr_min"], told["cnr_max"]) == (min(cnr), max(cnr)))
+            assert math.isclose(told["cnr_placed"], sum(i * v for i, v in enumerate(cnr)), rel_tol=1e-9, abs_tol=1e-9)
+            mean = sum(cnr) / len(cnr) if cnr else 0.0
+            assert math.isclose(told["cnr_m2"], sum((v - mean) ** 2 for v in cnr), rel_tol=1e-9, abs_tol=1e-6)
+            drops = sum(min(b - a, 0.0) for a, b in zip(sats, sats[1:]))
+            assert math.isclose(told["sat_drop"], drops, abs_tol=1e-9)
+            fixes = [0.0 if math.isnan(x[1][2]) else x[1][2] for x in inside]
+            assert told["fix_changes"] == sum(a != b for a, b in zip(fixes, fixes[1:]))
+        for b in trail.expired():
+            stored.pop(b, None)
+        stored |= {b: trail.open[b].rows for b in changed if b in trail.summaries}
+        summaries, newest = trail.summaries, trail.newest
+    return len(summaries)
+
+
+@pytest.mark.parametrize("window_us", [20, 1000, 30_000_000])
+def test_summaries_equal_plain_windows(window_us):
+    rng = random.Random(window_us)
+    cell = lambda: rng.choice([math.nan, float(rng.randint(0, 50)), rng.random() * 50])
+    rows, at = [], 10**15
+    for _ in range(400):
+        at += rng.choice([0, 1, window_us // 40, window_us // 3, window_us * 2])
+        rows.append((at, tuple(cell() for _ in range(9))))
+    parts = [rows[i : i + rng.randint(1, 40)] for i in range(0, 400, 40)]
+    late = [r for r in rows if r[0] > rows[-1][0] - window_us // 2 and not any(r is x for p in parts for x in p)]
+    assert check_summaries(rng, rows, window_us, 2 * window_us, [*parts, *([late] if late else [])]) <= 3 * 33
+
+
+def test_fifty_rows_a_second_take_linear_time():
+    """Twice the rate takes about twice the merges, not four times."""
+    counts = {}
+    for rate in (25, 50):
+        merges = 0
+        plain = trailing.merge
+
+        def counting(a, b, plain=plain):
+            nonlocal merges
+            merges += 1
+            return plain(a, b)
+
+        trailing.merge = counting
+        try:
+            trail = Trail(30_000_000, 40_000_000, {}, None, None)
+            trail.add([(i * 1_000_000 // rate, (40.0,) * 9) for i in range(rate * 120)])
+        finally:
+            trailing.merge = plain
+        counts[rate] = merges / (rate * 120)
+    assert counts[50] <= counts[25] * 1.1 and counts[50] < 8
 
 
 def test_history_columns_are_known():
