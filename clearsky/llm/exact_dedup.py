@@ -22,8 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearsky.llm.base import fresh
-
 SALTS = 16
 
 
@@ -96,17 +94,34 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    (digest,) = fresh(docs, "text_digest")
-    keyed = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
-    lost = (
-        verdicts(docs, id_col, text_col, salts)
-        .where(~F.col("kept"))
-        .groupBy(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_digest"))
-        .agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("repeats_winner"))
+    """The rows that stay, with all their columns.
+
+    A text's least row travels with it through the three stages, so nothing is joined back: two
+    exchanges of texts, each behind a combination of what a task has. A row carries its own text
+    only where it differs from the normalised one. Of rows that repeat both id and text any one stays.
+    """
+    (text,) = [f.name for f in docs.schema if f.name.lower() == text_col.lower()]
+    others = [f.name for f in docs.schema if f.name != text]
+    # Inside, all columns but the text are one struct: their names cannot clash with those used here.
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(others)]).alias("rest"),
+        docs[f"`{id_col}`"].alias("id"),
+        docs[f"`{text}`"].alias("text"),
+    ).withColumn("norm", normalised(F.col("text")))
+    own = F.when(F.col("text").isNull() | (F.col("text") != F.col("norm")), F.struct("text"))
+    keyed = rows.select(
+        F.unhex(F.sha2("norm", 256)).alias("digest"),
+        F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"),
+        "norm",
+        F.struct(F.col("id").isNull().alias("last"), "id", F.monotonically_increasing_id().alias("place")).alias("rank"),
+        F.struct("rest", own.alias("own")).alias("row"),
+    )
+
+    def least(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.min_by("row", "rank").alias("row"), F.min("rank").alias("rank"))
+
+    kept = least(least(keyed, "digest", "salt", "norm"), "digest", "norm")
+    whole = F.when(F.col("row.own").isNotNull(), F.col("row.own.text")).otherwise(F.col("norm"))
+    return kept.select(
+        *[whole.alias(c) if c == text else F.col(f"row.rest.c{others.index(c)}").alias(c) for c in docs.columns]
     )
-    same = keyed[id_col].eqNullSafe(F.col("gone_id")) & (keyed[digest] == F.col("gone_digest"))
-    once = keyed.join(lost, same, "left_anti")
-    # Rows that repeat both id and text of a winner; the exchange of the rows is the same as above.
-    again = keyed.join(lost.where("repeats_winner"), same, "left_semi").dropDuplicates([id_col, digest])
-    return once.unionByName(again).drop(digest)

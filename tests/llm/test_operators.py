@@ -275,6 +275,16 @@ def test_exact_dedup_keeps_one_of_repeated_winners(spark):
     assert sum(r.kept for r in exact_dedup.verdicts(df).collect()) == 2
 
 
+def test_exact_dedup_keeps_rows_whole(spark):
+    names = ["doc_id", "Text", "gone_id", "gone_digest", "digest", "salt", "norm", "rank", "row", "a.b"]
+    rows = [(2, "x  y", 1, None, "p", 7, "n", 1.5, "r", "q"), (1, "x\ty", 2, "d", "p", 7, "n", 2.5, None, "s"), (None, None, 3, "d", None, 7, "n", 1.5, "r", "q")]
+    kinds = ["long", "string", "int", "string", "string", "int", "string", "double", "string", "string"]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    kept = exact_dedup.deduplicate(df)
+    assert kept.columns == names and kept.dtypes == df.dtypes
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(rows[1:], key=repr)
+
+
 # 8 substring dedup
 def test_repeated_passages(docs, texts, odd, none):
     words = {i: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)] for i, t in texts.items()}
