@@ -161,22 +161,26 @@ def split_lookup_with_default(spark, sf):
 # ---- projections and filters ----------------------------------------------------------------------
 
 
+def _spread_over(low: float, high: float, i: int) -> str:
+    """From half the width below the bounds to half above; every seventh value is missing."""
+    width = high - low
+    return f"CASE WHEN event_id % 7 <> {i % 7} THEN {low - width / 2} + value * {width / 50} END"
+
+
 @query(
     "clip_to_bounds",
-    f"""WITH {EPOCHS_SQL}
-SELECT event_id, {", ".join(
-    f"CASE WHEN {c} IS NOT NULL THEN {sql_rnd(f'greatest(least({c}, {CLIP_BOUNDS[b][1]}), {CLIP_BOUNDS[b][0]})')} END AS {b}"
-    for c, b in (("lat_sigma * 3", "solution_status"), ("alt", "alt"), ("hdop", "dop_ratio"), ("pdop * 2", "pdop"),
-                 ("cycle_slips_epoch - 7", "sat_drop_rate"), ("mean_cnr_epoch * 2", "mean_cnr")))}
-FROM epochs""",
-)
+    "SELECT event_id, "
+    + ", ".join(
+        f"CASE WHEN {x} IS NOT NULL THEN {sql_rnd(f'greatest(least({x}, {high}), {low})')} END AS {c}"
+        for i, (c, (low, high)) in enumerate(CLIP_BOUNDS.items())
+        for x in [_spread_over(low, high, i)]
+    )
+    + " FROM events",
+)
 def clip_to_bounds(spark, sf):
-    df = events_as_epochs(spark, sf).select(
-        "event_id", (F.col("lat_sigma") * 3).alias("solution_status"), "alt", F.col("hdop").alias("dop_ratio"),
-        (F.col("pdop") * 2).alias("pdop"), (F.col("cycle_slips_epoch") - 7).alias("sat_drop_rate"),
-        (F.col("mean_cnr_epoch") * 2).alias("mean_cnr"),
-    )
-    out = clip(df)
+    """All columns that have bounds, with values on both sides of them."""
+    made = [F.expr(_spread_over(low, high, i)).cast("double").alias(c) for i, (c, (low, high)) in enumerate(CLIP_BOUNDS.items())]
+    out = clip(table(spark, sf, "events").select("event_id", *made))
     return out.select("event_id", *[rnd(c).alias(c) for c in out.columns if c != "event_id"])
 
 

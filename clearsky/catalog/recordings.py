@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clearsky.catalog.base import ORACLES, query, rnd, sql_rnd, table
@@ -55,9 +55,9 @@ def as_lines(rows: DataFrame, texts: list[Column]) -> DataFrame:
     )
 
 
-def as_files(lines: DataFrame, name: str) -> str:
+def as_files(lines: DataFrame, name: str, folder: str | None = None) -> str:
     """The lines written as text, one file per recording, in the shared folder; gives the folder."""
-    folder = shared_folder(lines.sparkSession, name)
+    folder = folder or shared_folder(lines.sparkSession, name)
     ordered = lines.repartition("path").sortWithinPartitions("path", "block", "pos")
     ordered.select("path", "line").write.partitionBy("path").text(folder)
     return folder
@@ -163,14 +163,39 @@ for _name, _columns in _NMEA_GROUPS.items():
     _register_nmea(_name, _columns)
 
 
+_GGA_SQL = f"""WITH {_N}, t AS (SELECT *, strftime(ts, '%H%M%S') || '.25' AS time,
+  CASE WHEN k % 9 = 0 THEN '' ELSE lpad((k % 60)::VARCHAR, 2, '0') || lpad((k % 59)::VARCHAR, 2, '0') || '.5000' END AS lat_text,
+  CASE WHEN k % 9 = 0 THEN '' ELSE lpad((k + 50)::VARCHAR, 3, '0') || lpad((k % 59)::VARCHAR, 2, '0') || '.2500' END AS lon_text,
+  CASE WHEN k % 9 = 0 THEN 0 ELSE k % 6 END AS fix, CASE WHEN k % 17 <> 0 THEN (k - 20)::DOUBLE END AS height FROM n)"""
+
+
 @query(
     "nmea_fix_pairs",
-    f"""WITH {_N} SELECT path, (k - 20)::DOUBLE AS altitude, CASE WHEN k % 9 = 0 THEN 0 ELSE k % 6 END AS fix_quality, count(*) AS n
-FROM n WHERE k % 9 <> 0 AND k % 17 <> 0 AND second(ts) >= 0 GROUP BY ALL""",
+    _GGA_SQL
+    + f"""SELECT path, time AS timestamp, {sql_rnd("(k % 60 + (k % 59 + 0.5) / 60) * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END", 9)} AS latitude,
+  {sql_rnd("(k + 50 + (k % 59 + 0.25) / 60) * CASE WHEN k % 4 < 2 THEN 1 ELSE -1 END", 9)} AS longitude, height AS altitude,
+  fix AS fix_quality, k % 30 AS num_satellites, 9.9::DOUBLE AS pdop, 9.9::DOUBLE AS hdop, 9.9::DOUBLE AS vdop, NULL::BOOLEAN AS gps_valid
+FROM t WHERE k % 9 <> 0""",
 )
 def nmea_fix_pairs(spark, sf):
-    pairs = nmea.nmea_fix_pairs(nmea_lines(spark, sf)).where("altitude is not null")
-    return pairs.groupBy("path", "altitude", "fix_quality").agg(F.count(F.lit(1)).alias("n"))
+    pairs = nmea.nmea_fix_pairs(nmea_lines(spark, sf))
+    return pairs.select(
+        "path", "timestamp", rnd("latitude", 9).alias("latitude"), rnd("longitude", 9).alias("longitude"), "altitude", "fix_quality",
+        "num_satellites", "pdop", "hdop", "vdop", "gps_valid",
+    )
+
+
+@query(
+    "nmea_fix_sentences",
+    _GGA_SQL
+    + """SELECT path, time, lat_text AS latitude, CASE WHEN k % 2 = 0 THEN 'N' ELSE 'S' END AS lat_direction, lon_text AS longitude,
+  CASE WHEN k % 4 < 2 THEN 'E' ELSE 'W' END AS lon_direction, fix::DOUBLE AS quality, (k % 30)::DOUBLE AS num_satellites,
+  CASE WHEN k % 13 <> 0 THEN k % 5 + 0.5 END AS hdop, height AS altitude, 'M' AS alt_unit, 7.0::DOUBLE AS geoidal_sep, 'M' AS geoidal_sep_unit,
+  CASE WHEN k % 3 = 0 THEN (k % 8)::VARCHAR ELSE '' END AS dgps_age, '' AS dgps_station FROM t""",
+)
+def nmea_fix_sentences(spark, sf):
+    """The table of fix sentences with all their fields."""
+    return nmea.nmea_tables(nmea_lines(spark, sf))["GGA"].drop("file_name", "block", "pos")
 
 
 @query(
@@ -413,6 +438,16 @@ def _solution_positions(lines: DataFrame) -> DataFrame:
     return out.select("path", F.unix_micros("timestamp").alias("us"), "latitude", "longitude", "altitude")
 
 
+@query(
+    "solution_fixes_vehicle",
+    _POS + " SELECT path, CASE WHEN k % 19 <> 0 THEN us END AS us, latitude, longitude, altitude, q, ns FROM s",
+)
+def solution_fixes_vehicle(spark, sf):
+    """The vehicle form keeps rows without a time."""
+    out = solution.solution_fixes(solution_lines(spark, sf), "vehicle")
+    return out.select("path", F.unix_micros("timestamp").alias("us"), "latitude", "longitude", "altitude", "q", "ns")
+
+
 def phone_lines(spark, sf) -> DataFrame:
     n = numbered_events(spark, sf)
     k, ms = F.col("k"), F.floor(F.col("us") / 1000).cast("string")
@@ -705,3 +740,71 @@ def _from_files(name: str, like: str, lines: Callable[[SparkSession, str], DataF
 _from_files("read_nmea_positions", "nmea_positions", nmea_lines, lambda lines: _NMEA_COLUMNS["nmea_positions"](lines))
 _from_files("read_solution_positions", "solution_positions", solution_lines, _solution_positions)
 _from_files("read_phone_status", "phone_status_records", phone_lines, _phone_status)
+
+
+def _lines_of_files(rows: DataFrame, header: Column, line: Column) -> DataFrame:
+    """One file per recording: its header, then a line per row."""
+    heads = rows.groupBy("path").agg(F.any_value(header).alias("line"))
+    first = heads.select("path", F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("pos"), "line")
+    return first.unionByName(rows.select("path", "block", F.col("us").alias("pos"), line.alias("line")))
+
+
+@query(
+    "read_mixed_trajectories",
+    f"""WITH {_N}, r AS (SELECT *, event_id % 1000000 AS i, row_number() OVER (PARTITION BY path ORDER BY us_, event_id) AS nth
+  FROM (SELECT *, epoch_us(ts) AS us_ FROM n)),
+xyz AS (SELECT event_id, (k - 50) * 60000.0 + 1.0 AS x, 4000000.0 + c AS y, (k % 13 - 6) * 700000.0 AS z FROM r WHERE user_id % 4 = 3),
+g AS (SELECT event_id, degrees(lat) AS latitude, degrees(atan2(y, x)) AS longitude FROM ({_geodetic_sql()})),
+m AS (
+  SELECT path, epoch_us(date_trunc('second', ts)) AS us, k / 10.0 AS latitude, c / 100.0 AS longitude FROM r WHERE user_id % 4 = 0 AND k % 6 <> 0
+  UNION ALL SELECT path, 1704067200000000 + (nth - 1) * 10000, k / 10.0, c / 100.0 FROM r WHERE user_id % 4 = 1
+  UNION ALL SELECT path, epoch_us(date_trunc('second', ts)), k / 10.0, c / 100.0 FROM r WHERE user_id % 4 = 2
+  UNION ALL SELECT path, us_, latitude, longitude FROM r JOIN g USING (event_id) WHERE user_id % 4 = 3)
+SELECT path, us, {sql_rnd("latitude", 7)} AS latitude, {sql_rnd("longitude", 7)} AS longitude FROM m""",
+)
+def read_mixed_trajectories(spark, sf):
+    """Files of four headers and two clocks in one folder, each read by its own."""
+    n = numbered_events(spark, sf)
+    k, c, us = F.col("k"), F.col("c"), F.col("us")
+    kind = F.col("user_id") % 4
+    lat, lon = (k / 10.0).cast("string"), (c / 100.0).cast("string")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    header = (
+        F.when(kind == 0, " GPS_Time ,LAT,Lon ,Alt").when(kind == 1, "latitude,note,index,longitude")
+        .when(kind == 2, '"lon","lat","utc_time"').otherwise("z,y,x,time")
+    )
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("us", "event_id")).cast("string")
+    line = (
+        F.when(kind == 0, F.concat_ws(",", F.floor(us / 1e6).cast("string"), F.when(k % 6 != 0, lat).otherwise(""), lon, F.lit("5")))
+        .when(kind == 1, F.concat_ws(",", lat, F.lit('"a, b"'), nth, lon))
+        .when(kind == 2, F.concat_ws(",", lon, lat, stamp))
+        .otherwise(F.concat_ws(",", ((k % 13 - 6) * 700000.0).cast("string"), (c + 4000000.0).cast("string"),
+                               ((k - 50) * 60000.0 + 1.0).cast("string"), us.cast("string")))
+    )
+    lines = _lines_of_files(n.withColumns({"header": header, "text": line}), F.col("header"), F.col("text"))
+    out = of_recording(trajectory.read_trajectory(spark, as_files(lines, "trajectories"), trajectory.URBAN))
+    return out.select("path", F.unix_micros("timestamp").alias("us"), rnd("latitude", 7).alias("latitude"), rnd("longitude", 7).alias("longitude"))
+
+
+@query(
+    "read_feature_tables",
+    f"""WITH {_N} SELECT event_id::VARCHAR AS event_id, epoch_us(date_trunc('second', ts)) AS us,
+  CASE WHEN user_id % 3 <> 1 THEN path END AS source, CASE WHEN user_id % 3 <> 2 THEN k / 4.0 END AS hdop,
+  CASE WHEN user_id % 3 = 1 THEN k % 3 END AS label FROM n""",
+)
+def read_feature_tables(spark, sf):
+    """Feature files of three column sets below one folder as one table."""
+    n = numbered_events(spark, sf)
+    k, kind = F.col("k"), F.col("user_id") % 3
+    stamp, hdop, name = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), (k / 4.0).cast("string"), F.col("event_id").cast("string")
+    header = (
+        F.when(kind == 0, "event_id,timestamp,source,hdop").when(kind == 1, "label,hdop,timestamp,event_id").otherwise("source,event_id,timestamp")
+    )
+    line = (
+        F.when(kind == 0, F.concat_ws(",", name, stamp, "path", hdop))
+        .when(kind == 1, F.concat_ws(",", (k % 3).cast("string"), hdop, stamp, name))
+        .otherwise(F.concat_ws(",", "path", name, stamp))
+    )
+    lines = _lines_of_files(n.withColumns({"header": header, "text": line}), F.col("header"), F.col("text"))
+    out = listing.read_tables(spark, as_files(lines, "features"), "*.txt")
+    return out.select("event_id", F.unix_micros("timestamp").alias("us"), "source", "hdop", "label")

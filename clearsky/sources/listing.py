@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearsky.operators.tables import union_sources
+from clearsky.schemas import FEATURES
+from clearsky.sources.delimited import as_table, columns_of, read_delimited
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -71,31 +72,25 @@ def traversal_date(directory: Column) -> Column:
     return F.substring(F.substring_index(directory, "/", -1), 1, 10)
 
 
-def read_tables(spark: SparkSession, root: str, pattern: str = "*_features.csv") -> DataFrame:
-    """All feature files below a folder as one table; columns may differ by file."""
-    paths = [r["path"] for r in list_files(spark, root).where(F.col("name").like(_like(pattern))).select("path").collect()]
-    if not paths:
-        raise FileNotFoundError(f"no {pattern} below {root}")
-    headers: dict[tuple[str, ...], list[str]] = {}
-    first_lines = (
-        spark.read.text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
-            "value",
-        )
-        .where("block = 0")
-        .groupBy("path")
-        .agg(F.min_by("value", "pos").alias("header"))
-    )
-    for row in first_lines.collect():  # one short line per file
-        headers.setdefault(tuple(row["header"].split(",")), []).append(row["path"])
-    parts = [
-        spark.read.option("header", True).option("inferSchema", True).csv(group) for group in headers.values()
-    ]
-    return union_sources(parts)
+#: Kinds of the columns that feature files hold; any other column is text.
+KINDS = {
+    "timestamp": "timestamp", "label": "int", **dict.fromkeys(("source", "scenario", "label_name", "split"), "string"),
+    **dict.fromkeys(FEATURES, "double"),
+}
+
 
+def read_tables(
+    spark: SparkSession, root: str, pattern: str = "*_features.csv", types: Mapping[str, str] | None = None
+) -> DataFrame:
+    """All feature files below a folder as one table; columns may differ by file.
 
-def _like(glob: str) -> str:
-    return glob.replace("_", r"\_").replace("*", "%")
+    ``types`` declares the columns. Without it the table has every column that some file's
+    header names, of the kind that feature tables give it.
+    """
+    rows = read_delimited(spark, root, pattern)
+    if types is None:
+        names = columns_of(rows)
+        if not names:
+            raise FileNotFoundError(f"no {pattern} with rows below {root}")
+        types = {name: KINDS.get(name, "string") for name in names}
+    return as_table(rows, types)

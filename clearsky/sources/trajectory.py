@@ -20,6 +20,8 @@ from clearsky.functions.scalars import (
 from clearsky.operators.asof import nearest_asof_join
 from clearsky.operators.ordered import CHUNK_SECONDS, attach, running_sums
 from clearsky.schemas import FIX_MODE_TO_STATUS
+from clearsky.session import stored
+from clearsky.sources.delimited import cell, has, place_of, read_delimited
 
 CAMPUS_GPS_8 = ["utime", "fix_mode", "num_sats", "lat_rad", "lng_rad", "alt_m", "track_deg", "speed_ms"]
 CAMPUS_GPS_11 = ["utime", "mode", "num_sats", "lat", "lng", "alt", "track", "speed", "climb", "err_horiz", "err_vert"]
@@ -242,18 +244,61 @@ def standard_trajectory(df: DataFrame, spec: TrajectorySpec = VEHICLE, order: Se
 
 
 def read_trajectory(spark: SparkSession, paths, spec: TrajectorySpec = VEHICLE, comment: str = "#") -> DataFrame:
-    """``standard_trajectory`` of CSV files with a header."""
-    raw = (
-        spark.read.option("header", True)
-        .option("comment", comment)
-        .option("inferSchema", True)
-        .csv(paths)
+    """``standard_trajectory`` of delimited files, each by its own header and its own clock.
+
+    A file without a time column or without position columns is an error that names it.
+    """
+    rows = read_delimited(spark, paths, comment=comment, lower=True)
+    files = stored(_file_clocks(rows, spec), "clocks")
+    known = F.col("time_at").isNotNull() | F.lit(spec.clock_step is not None)
+    for what, good in (("time column", known), ("position columns", F.col("placed"))):
+        bad = files.where(~good).select("path", "header").limit(1).collect()
+        if bad:
+            raise ValueError(f"no {what} among {bad[0]['header']} of {bad[0]['path']}")
+    rows = rows.join(files.select("path", "time_at", "by_row"), "path")
+    timed = rows.where(~F.col("by_row")).withColumn("_row", F.lit(None).cast("long"))
+    counted = running_sums(rows.where("by_row"), ["path"], "block", ["pos"], {"_row": F.lit(1).cast("long")})
+    text = F.get("cells", (F.col("time_at") - 1).cast("int"))
+    clock = F.coalesce(epoch_to_timestamp(number(text)), F.try_to_timestamp(text))
+    if spec.clock_step is not None:
+        clock = F.when(F.col("by_row"), sequence_clock(F.col("_row"), step_seconds=spec.clock_step)).otherwise(clock)
+    geodetic, short = has("latitude", "longitude"), has("lat", "lon")
+    lat, lon, alt = ecef_to_geodetic(*[number(cell(c)) for c in "xyz"])
+    return (
+        timed.unionByName(counted)
+        .select(
+            "path",
+            "file_name",
+            clock.alias("timestamp"),
+            F.when(geodetic, number(cell("latitude"))).when(short, number(cell("lat"))).otherwise(lat).alias("latitude"),
+            F.when(geodetic, number(cell("longitude"))).when(short, number(cell("lon"))).otherwise(lon).alias("longitude"),
+            F.when(geodetic, number(cell("altitude"))).when(short, number(cell("altitude", "alt"))).otherwise(alt).alias("altitude"),
+        )
+        .dropna(subset=["latitude", "longitude"])
     )
-    placed = raw.select(
-        "*",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
+
+
+def _file_clocks(rows: DataFrame, spec: TrajectorySpec) -> DataFrame:
+    """``path, header, time_at, by_row, placed``: per file its time column, whether its clock
+    must be made up from the row number, and whether it has positions.
+    """
+    placed = has("latitude", "longitude") | has("lat", "lon") | has("x", "y", "z")
+    named = rows.groupBy("path").agg(F.any_value("header").alias("header")).withColumns(
+        {"time_at": place_of(*spec.time_columns), "placed": placed}
     )
-    return standard_trajectory(placed, spec, ["block", "pos"])
+    if spec.numeric_fallback:
+        # The first column of numbers only, in files that name no time.
+        nameless = rows.join(named.where("time_at is null").select("path"), "path", "left_semi")
+        cells = nameless.select("path", F.posexplode("cells").alias("i", "text")).where(F.trim("text") != "")
+        numeric = cells.groupBy("path", "i").agg(F.min(number(F.col("text")).isNotNull()).alias("all"))
+        first = numeric.where("all").groupBy("path").agg((F.min("i") + 1).cast("long").alias("_first"))
+        named = named.join(first, "path", "left").withColumn("time_at", F.coalesce("time_at", "_first")).drop("_first")
+    by_row = F.col("time_at").isNull()
+    if spec.sequence_below is not None:
+        # The largest number of a file decides for that file alone.
+        times = rows.join(named.select("path", "time_at"), "path")
+        top = F.max(number(F.get("cells", (F.col("time_at") - 1).cast("int"))))
+        tops = times.groupBy("path").agg(F.coalesce(top < spec.sequence_below, F.lit(False)).alias("_counter"))
+        named = named.join(tops, "path")
+        by_row = by_row | F.col("_counter")
+    return named.select("path", "header", "time_at", by_row.alias("by_row"), "placed")

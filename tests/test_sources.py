@@ -1,6 +1,6 @@
 """Readers on small text files written here."""
 
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,6 +277,35 @@ def test_tables_over_many_files(spark, put, tmp_path):
     assert out.where("source = 'b' and mean_cnr is null").count() == 2
 
 
+def test_each_file_has_its_own_header(spark, put, tmp_path):
+    put("t/a.csv", "# made by hand\n\ufeffepoch,x,y,z\n1700000000000000000,6378137.0,0,0\n".encode().decode("latin-1"))
+    put("t/b.csv", 'Lon,"Lat",n,index\r\n2.5,1.5,"x, y",7\r\n\r\n,1.5,,8\r\n3.5,1.5,,9,extra\r\n')
+    put("t/c.csv", "a,latitude,longitude\n5,1,2\n6,3,4\n")  # no time: its first column of numbers counts rows
+    put("t/d.csv", "latitude,longitude,time\n9,9,2024-05-04 01:02:03\n")
+    put("t/e.csv", "latitude,longitude,time\n")  # a header and nothing else
+    rows = trajectory.read_trajectory(spark, str(tmp_path / "t"), trajectory.URBAN).collect()
+    got = sorted((r["file_name"], round(r["latitude"], 6), round(r["longitude"], 6), r["timestamp"]) for r in rows)
+    at = datetime(2024, 1, 1)
+    tick = lambda n: at + timedelta(microseconds=10000 * n)
+    assert got == [
+        ("a.csv", 0.0, 0.0, datetime(2023, 11, 14, 22, 13, 20)),
+        ("b.csv", 1.5, 2.5, tick(0)), ("b.csv", 1.5, 3.5, tick(2)),
+        ("c.csv", 1.0, 2.0, tick(0)), ("c.csv", 3.0, 4.0, tick(1)),
+        ("d.csv", 9.0, 9.0, datetime(2024, 5, 4, 1, 2, 3)),
+    ]
+
+
+def test_headers_of_files_read_in_splits(spark, put):
+    path = put("long.csv", "latitude,longitude,index\n" + "".join(f"{k % 90},{k % 180},{k}\n" for k in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        rows = trajectory.read_trajectory(spark, path, trajectory.URBAN)
+        got = [(r["timestamp"].second * 100 + r["timestamp"].microsecond // 10000, r["latitude"], r["longitude"]) for r in rows.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == [(k, k % 90, k % 180) for k in range(500)]
+
+
 def test_markers_in_split_files(spark, put):
     path = put("m.txt", "".join(f"{'>' if i % 3 == 0 else ' '} line {i}\n" for i in range(200)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
