@@ -246,16 +246,9 @@ WITH li AS (
   SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_tax,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn
   FROM lineitem),
-lo AS (
-  SELECT li.*, min(rn) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate
-      RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS lo_rn
-  FROM li),
-cum AS (
-  SELECT *, sum(l_quantity) OVER w AS q, count(*) OVER w AS c
-  FROM lo WINDOW w AS (PARTITION BY l_suppkey ORDER BY rn)),
-o AS (SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_extendedprice,
-    a.rn - a.lo_rn + 1 AS n, (a.q - coalesce(b.q, 0)) AS s
-  FROM cum a LEFT JOIN cum b ON a.l_suppkey = b.l_suppkey AND b.rn = a.lo_rn - 1)
+cum AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY rn ROWS UNBOUNDED PRECEDING) AS q FROM li),
+o AS (SELECT *, rn - min(rn) OVER w + 1 AS n, q - min(q - l_quantity) OVER w AS s FROM cum
+  WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW))
 SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, {sql_rnd("s / n", 4)} AS mean_cnr FROM o WHERE n >= 2""",
 )
 def window_features_tied_times(spark, sf):

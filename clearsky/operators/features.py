@@ -26,10 +26,103 @@ from clearsky.schemas import (
     WINDOW_SECONDS,
 )
 
-def _slope_inside(value: str, position: str, frame) -> Column:
-    """Least-squares slope of the non-null values against their position."""
-    slope = F.regr_slope(value, position).over(frame)
-    return F.when(F.count(value).over(frame) >= 3, F.coalesce(slope, F.lit(0.0))).otherwise(F.lit(0.0))
+
+class _Frame:
+    """Aggregates over one frame."""
+
+    def __init__(self, frame: Window):
+        self.frame = frame
+
+    def count(self, c: str | Column) -> Column:
+        return F.count(c).over(self.frame)
+
+    def mean(self, c: str | Column) -> Column:
+        return F.avg(c).over(self.frame)
+
+    def variance(self, c: str, fewer: int) -> Column:
+        return (F.var_samp if fewer else F.var_pop)(c).over(self.frame)
+
+    def deviation(self, c: str, fewer: int) -> Column:
+        return (F.stddev_samp if fewer else F.stddev_pop)(c).over(self.frame)
+
+    def least(self, c: str) -> Column:
+        return F.min(c).over(self.frame)
+
+    def greatest(self, c: str) -> Column:
+        return F.max(c).over(self.frame)
+
+    def slope(self, value: str, position: str) -> Column:
+        """Least-squares slope of the non-null values against their position."""
+        slope = F.regr_slope(value, position).over(self.frame)
+        return F.when(self.count(value) >= 3, F.coalesce(slope, F.lit(0.0))).otherwise(F.lit(0.0))
+
+    def steps(self, c: str) -> Column:
+        """Sum without the step that leads into the first row."""
+        return F.sum(c).over(self.frame) - F.first(c, ignorenulls=True).over(self.frame)
+
+
+class _MergedFrames:
+    """The same over two frames that do not overlap: earlier times, and the rows of the same time so far.
+
+    Counts and sums add up, extremes are compared, squared deviations are merged with the
+    distance of the means. ``order`` numbers the rows.
+    """
+
+    def __init__(self, earlier: Window, peers: Window, order: str):
+        self.frames = (earlier, peers)
+        self.order = order
+
+    def _both(self, c: Column) -> tuple[Column, Column]:
+        return tuple(c.over(f) for f in self.frames)
+
+    def _numbers(self, c: Column) -> tuple[Column, Column]:
+        return tuple(F.coalesce(x, F.lit(0.0)) for x in self._both(c))
+
+    def count(self, c: str | Column) -> Column:
+        a, b = self._both(F.count(c))
+        return a + b
+
+    def _sum(self, c: str | Column) -> Column:
+        a, b = self._numbers(F.sum(c))
+        return a + b
+
+    def mean(self, c: str | Column) -> Column:
+        return self._sum(c) / F.nullif(self.count(c), F.lit(0).cast("long"))
+
+    def _products(self, x: Column, y: Column) -> Column:
+        """Sum of products of the distances from the means, for rows where both are known."""
+        known = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
+        x, y = F.when(known == 1, x), F.when(known == 1, y)
+        n_a, n_b = self._both(F.count(known))
+        own_a, own_b = self._numbers(F.covar_pop(x, y))
+        x_a, x_b = self._numbers(F.avg(x))
+        y_a, y_b = self._numbers(F.avg(y))
+        between = (x_b - x_a) * (y_b - y_a) * n_a * n_b / F.greatest(n_a + n_b, F.lit(1))
+        return own_a * n_a + own_b * n_b + between
+
+    def variance(self, c: str, fewer: int) -> Column:
+        n = self.count(c)
+        return F.when(n > fewer, self._products(F.col(c), F.col(c)) / F.greatest(n - fewer, F.lit(1)))
+
+    def deviation(self, c: str, fewer: int) -> Column:
+        return F.sqrt(self.variance(c, fewer))
+
+    def least(self, c: str) -> Column:
+        return F.least(*self._both(F.min(c)))
+
+    def greatest(self, c: str) -> Column:
+        return F.greatest(*self._both(F.max(c)))
+
+    def slope(self, value: str, position: str) -> Column:
+        v, at = F.col(value), F.col(position).cast("double")
+        placed = F.when(v.isNotNull(), at)
+        spread = self._products(placed, placed)
+        slope = self._products(v.cast("double"), placed) / F.when(spread > 0, spread)
+        return F.when(self.count(value) >= 3, F.coalesce(slope, F.lit(0.0))).otherwise(F.lit(0.0))
+
+    def steps(self, c: str) -> Column:
+        first = F.coalesce(*self._both(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(self.order)))))
+        return self._sum(c) - first
 
 
 def window_features(
@@ -47,7 +140,7 @@ def window_features(
     Rows whose window holds a single epoch are not emitted. Epochs of a session
     should have distinct times; when they do not, name ``tiebreak`` columns that
     order the copies, and a window ends at its own row instead of taking in
-    later rows of the same time. ``cnr_fallback=False`` leaves the signal
+    later rows of the same time (any number of rows may share a time). ``cnr_fallback=False`` leaves the signal
     columns null where the window has no C/N0, instead of estimating them from
     the fix quality. ``keep`` names further columns to pass through.
     """
@@ -57,29 +150,19 @@ def window_features(
         epochs.where(F.col(ts).isNotNull()), ts, chunk_seconds, before_seconds=window_seconds
     ).withColumn("_us", us)
     part = Window.partitionBy(*session, "_chunk")
+    ordered = part.orderBy("_us", *tiebreak)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up_to_previous = ordered.rowsBetween(Window.unboundedPreceding, -1)
     if tiebreak:
-        # Place among the rows of one time, from row numbers in the partitioning of the frames.
-        rows = rows.withColumn("_rn", F.row_number().over(part.orderBy("_us", *tiebreak)))
-        peers = part.orderBy("_us").rangeBetween(0, 0)
-        rows = rows.withColumn("_tie", F.col("_rn") - F.min("_rn").over(peers))
-        # What a 64-bit position leaves beside the time span goes to the order of equal times;
-        # twice the room, so that a frame takes in all rows at its start and none before it.
-        bits = 61 - int((chunk_seconds + window_seconds) * 1_000_000).bit_length()
-        if bits < 10:
-            raise ValueError("chunk_seconds and window_seconds are too long to order equal times")
-        tie = F.when(F.col("_tie") < (1 << bits), F.col("_tie").cast("long")).otherwise(
-            F.raise_error(F.lit("too many rows share one time in one session"))
+        rows = rows.withColumn("_rn", F.row_number().over(ordered))
+        same = Window.partitionBy(*session, "_chunk", "_us").orderBy(*tiebreak)
+        frame = _MergedFrames(
+            part.orderBy("_us").rangeBetween(-width_us, -1),
+            same.rowsBetween(Window.unboundedPreceding, Window.currentRow),
+            "_rn",
         )
-        start = F.col("_chunk") * F.lit(int(chunk_seconds * 1_000_000))
-        rows = rows.withColumn("_pos", (F.col("_us") - start) * F.lit(1 << (bits + 1)) + tie)
-        reach = (width_us << (bits + 1)) + (1 << bits)
     else:
-        rows = rows.withColumn("_pos", F.col("_us"))
-        reach = width_us
-    ordered = part.orderBy("_pos")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up_to_previous = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    frame = ordered.rangeBetween(-reach, Window.currentRow)
+        frame = _Frame(ordered.rangeBetween(-width_us, Window.currentRow))
 
     # Steps between neighbours. A window must not count the step that leads into
     # its first row, so each sum below takes that first step off again.
@@ -106,37 +189,34 @@ def window_features(
         }
     )
 
-    def over(c: Column) -> Column:
-        return c.over(frame)
-
     framed = stepped.withColumns(
         {
-            "_n": over(F.count(F.lit(1))),
-            "_first_us": over(F.min("_us")),
-            "_lat_std": over(F.avg("lat_sigma")),
-            "_lon_std": over(F.avg("lon_sigma")),
-            "_lat_var": over(F.var_samp("lat_sigma")),
-            "_lon_var": over(F.var_samp("lon_sigma")),
-            "_lat_n": over(F.count("lat_sigma")),
-            "_cnr_mean": over(F.avg("mean_cnr_epoch")),
-            "_cnr_min": over(F.min("mean_cnr_epoch")),
-            "_cnr_max": over(F.max("mean_cnr_epoch")),
-            "_cnr_std": over(F.stddev_pop("mean_cnr_epoch")),
-            "_cnr_trend": _slope_inside("mean_cnr_epoch", "_cnr_pos", frame),
-            "_sat_mean": over(F.avg("num_satellites")),
-            "_sat_min": over(F.min("num_satellites")),
-            "_sat_n": over(F.count("num_satellites")),
-            "_sat_drop": over(F.sum("_drop")) - over(F.first("_drop", ignorenulls=True)),
-            "_fix_share": over(F.avg((fix0 >= 1).cast("double"))),
-            "_fix_changes": over(F.sum("_fix_step")) - over(F.first("_fix_step")),
-            "_age_n": over(F.count("solution_age")),
-            "_age_steps": over(F.sum("_age_step")) - over(F.first("_age_step", ignorenulls=True)),
-            "_rms_mean": over(F.avg("rms_error")),
-            "_rms_std": over(F.stddev_samp("rms_error")),
-            "_rms_n": over(F.count("rms_error")),
-            "_gbs_n": over(F.count("gbs_lat_err")),
-            "_gbs_mean": over(F.avg("_gbs")),
-            "_gbs_std": over(F.stddev_samp("_gbs")),
+            "_n": frame.count(F.lit(1)),
+            "_first_us": frame.least("_us"),
+            "_lat_std": frame.mean("lat_sigma"),
+            "_lon_std": frame.mean("lon_sigma"),
+            "_lat_var": frame.variance("lat_sigma", 1),
+            "_lon_var": frame.variance("lon_sigma", 1),
+            "_lat_n": frame.count("lat_sigma"),
+            "_cnr_mean": frame.mean("mean_cnr_epoch"),
+            "_cnr_min": frame.least("mean_cnr_epoch"),
+            "_cnr_max": frame.greatest("mean_cnr_epoch"),
+            "_cnr_std": frame.deviation("mean_cnr_epoch", 0),
+            "_cnr_trend": frame.slope("mean_cnr_epoch", "_cnr_pos"),
+            "_sat_mean": frame.mean("num_satellites"),
+            "_sat_min": frame.least("num_satellites"),
+            "_sat_n": frame.count("num_satellites"),
+            "_sat_drop": frame.steps("_drop"),
+            "_fix_share": frame.mean((fix0 >= 1).cast("double")),
+            "_fix_changes": frame.steps("_fix_step"),
+            "_age_n": frame.count("solution_age"),
+            "_age_steps": frame.steps("_age_step"),
+            "_rms_mean": frame.mean("rms_error"),
+            "_rms_std": frame.deviation("rms_error", 1),
+            "_rms_n": frame.count("rms_error"),
+            "_gbs_n": frame.count("gbs_lat_err"),
+            "_gbs_mean": frame.mean("_gbs"),
+            "_gbs_std": frame.deviation("_gbs", 1),
         }
     ).where((F.col("_n") >= 2) & F.col("_own"))
     return finish_features(framed, session, ts, keep, cnr_fallback)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from sessions import make_sessions, same, to_spark
+from sessions import COLUMNS, make_sessions, same, to_spark
 
 from clearsky.operators.asof import merge_signal, nearest_asof_join
 from clearsky.operators.features import legacy_features, window_features
@@ -105,6 +105,42 @@ def test_tied_times_end_at_their_own_row(spark):
     assert got == {i: float(i) for i in range(1, 40)}
 
 
+def test_tied_times_equal_brute_force(spark):
+    pdf = make_sessions(9, (50, 120)).sort_values(["scenario", "timestamp"]).reset_index(drop=True)
+    start = pdf["timestamp"].min()
+    pdf["timestamp"] = [start + timedelta(seconds=i // 5 * 4) for i in range(len(pdf))]  # five rows share a time
+    columns = [c for c in pdf.columns if c not in (*KEYS, "timestamp")]
+    df = to_spark(spark, pdf).orderBy(F.rand(3))
+    unique = F.xxhash64(*[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in columns])
+    df = df.withColumn("id", unique)
+    got = {(r["scenario"], r["timestamp"], r["id"]): r for r in window_features(df, KEYS, tiebreak=["id"], keep=["id"], chunk_seconds=50).collect()}
+    total = 0
+    for scenario, rows in pd.DataFrame([r.asDict() for r in df.collect()]).groupby("scenario"):
+        rows = rows.sort_values(["timestamp", "id"]).to_dict("records")
+        for i in range(len(rows)):
+            # Its own row last: the brute force keys by time, so it is asked for one row at a time.
+            feats = brute_features(rows[: i + 1]).get(rows[i]["timestamp"]) if i else None
+            if feats:
+                total += 1
+                r = got[(scenario, rows[i]["timestamp"].to_pydatetime(), rows[i]["id"])]
+                for name, want in feats.items():
+                    assert same(r[name], want, 1e-7), (scenario, i, name, r[name], want)
+    assert total == len(got)
+
+
+def test_any_number_of_rows_may_share_a_time(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(
+        "id", F.lit("a").alias("source"), F.lit("b").alias("scenario"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("timestamp"),
+        F.lit(4).alias("fix_quality"),
+        *[F.when(F.col("id") >= 0, F.lit(1.0)).alias(c) for c in COLUMNS if c not in ("fix_quality", "mean_cnr_epoch")],
+        F.col("id").cast("double").alias("mean_cnr_epoch"),
+    )
+    out = window_features(rows, KEYS, tiebreak=["id"], keep=["id"]).select("id", "mean_cnr", "max_cnr")
+    r = out.agg(F.count(F.lit(1)), F.max(F.abs(F.col("mean_cnr") - F.col("id") / 2)), F.max(F.abs(F.col("max_cnr") - F.col("id")))).first()
+    assert r[0] == n - 1 and r[1] < 1e-3 and r[2] == 0
+
+
 def test_legacy_features(spark):
     rng = np.random.default_rng(2)
     rows = []
