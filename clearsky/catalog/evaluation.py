@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clearsky.catalog.base import EPOCHS_SQL, events_as_epochs, query, rnd, sql_rnd, table
+from clearsky.catalog.base import EPOCHS_SQL, events_as_epochs, query, rnd, shared_folder, sql_rnd, table
 from clearsky.functions.scalars import argmax, focal_loss, softmax
 from clearsky.operators import evaluate as ev
 from clearsky.operators import models
@@ -321,10 +321,19 @@ def model_comparison(spark, sf):
     return out.select("method", *[rnd(F.col(f"`{h}`")).alias(f"f1_{h}") for h in HORIZON_NAMES])
 
 
-@query("bootstrap_intervals")
+@query(
+    "bootstrap_intervals",
+    f"""WITH {PRED_SQL}, {_overall_sql('horizon')} SELECT horizon, {sql_rnd("macro_f1")} AS macro_f1, true AS inside, true AS ordered FROM o""",
+)
 def bootstrap_intervals(spark, sf):
-    """Random draws, so only rows are compared; tests check the spread against resampling."""
-    return ev.bootstrap_intervals(ev.confusion_cells(predictions(spark, sf)))
+    """Random draws, so what is compared is the metric itself and that its interval holds it;
+    tests check the spread against resampling."""
+    cells = ev.confusion_cells(predictions(spark, sf))
+    point = ev.overall_metrics(cells).select("horizon", "macro_f1")
+    low, high = F.col("macro_f1_low"), F.col("macro_f1_high")
+    return ev.bootstrap_intervals(cells).join(point, "horizon").select(
+        "horizon", rnd("macro_f1").alias("macro_f1"), F.col("macro_f1").between(low, high).alias("inside"), (low < high).alias("ordered")
+    )
 
 
 def _vectors(spark, sf):
@@ -333,23 +342,77 @@ def _vectors(spark, sf):
     return emb.select("vec_id", F.col("embedding").alias("features"), (F.col("label") % 3).alias("label"), split.alias("split"))
 
 
-@query("random_forest_scores")
+_SCORES_SQL = """SELECT vec_id, true AS distribution, true AS at_largest FROM embeddings WHERE vec_id % 5 = 0"""
+
+
+def _checked_scores(scored):
+    """Per row: are its probabilities a distribution, and is the class of the largest predicted?"""
+    total = F.aggregate("y_prob", F.lit(0.0), lambda s, x: s + x)
+    return scored.select(
+        "vec_id", ((F.abs(total - 1) < 1e-9) & (F.array_min("y_prob") >= 0)).alias("distribution"),
+        (F.get("y_prob", F.col("y_pred").cast("int")) == F.array_max("y_prob")).alias("at_largest"),
+    )
+
+
+@query("random_forest_scores", _SCORES_SQL)
 def random_forest_scores(spark, sf):
+    """The forest with its own defaults."""
     v = _vectors(spark, sf)
-    model = models.random_forest(v.where("split = 'train'"), "label", trees=20, depth=8)
-    return models.score(model, v.where("split = 'test'")).select("vec_id", "y_pred", "y_prob")
+    model = models.random_forest(v.where("split = 'train'"), "label")
+    return _checked_scores(models.score(model, v.where("split = 'test'")))
 
 
-@query("boosted_trees_scores")
+@query("boosted_trees_scores", _SCORES_SQL)
 def boosted_trees_scores(spark, sf):
     v = _vectors(spark, sf)
     model = models.boosted_trees(v.where("split = 'train'"), "label", rounds=3, depth=3)
-    return models.score(model, v.where("split = 'test'")).select("vec_id", "y_pred", "y_prob")
+    return _checked_scores(models.score(model, v.where("split = 'test'")))
 
 
-@query("permutation_importance")
+@query("permutation_importance", "SELECT 'planted' AS feature, 1.0 AS relative")
 def permutation_importance(spark, sf):
+    """Among 64 measured features one is planted that tells the class: it must come first."""
     v = _vectors(spark, sf)
-    model = models.random_forest(v.where("split = 'train'"), "label", trees=10, depth=5)
-    names = [f"e{i}" for i in range(64)]
-    return models.permutation_importance(model, v.where("split = 'test'"), names, "label", row_id="vec_id", top=15)
+    planted = F.concat(F.transform("features", lambda x: x.cast("double")), F.array(F.col("label").cast("double")))
+    v = v.withColumn("features", planted)
+    model = models.random_forest(v.where("split = 'train'"), "label", trees=100, depth=10)
+    names = [*[f"e{i}" for i in range(64)], "planted"]
+    found = models.permutation_importance(model, v.where("split = 'test'"), names, "label", row_id="vec_id", top=1)
+    return found.select("feature", "relative")
+
+
+@query(
+    "multi_horizon_scores",
+    "SELECT h AS horizon, count(*) AS n, count(*) AS distributions, count(*) AS at_largest FROM embeddings, (SELECT unnest(['5s', '15s', '30s']) AS h) WHERE vec_id % 5 = 0 GROUP BY h",
+)
+def multi_horizon_scores(spark, sf):
+    """Three models over one pass of the rows; each score is a distribution whose largest part is predicted."""
+    v = _vectors(spark, sf).withColumns({"y_15s": (F.col("vec_id") % 3).cast("int"), "y_30s": (F.col("vec_id") % 2).cast("int")})
+    truths = {"5s": "label", "15s": "y_15s", "30s": "y_30s"}
+    train, test = v.where("split = 'train'"), v.where("split = 'test'")
+    fitted = {h: models.random_forest(train, y, trees=20, depth=8) for h, y in truths.items()}
+    out = models.score_horizons(fitted, test, truths, keep=["vec_id"])
+    total = F.aggregate("y_prob", F.lit(0.0), lambda s, x: s + x)
+    return out.groupBy("horizon").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.abs(total - 1) < 1e-9, 1)).alias("distributions"),
+        F.count(F.when(F.get("y_prob", F.col("y_pred").cast("int")) == F.array_max("y_prob"), 1)).alias("at_largest"),
+    )
+
+
+@query(
+    "training_history_summary",
+    f"""WITH e AS (SELECT row_number() OVER (ORDER BY c_custkey) AS epoch, c_acctbal / 10000.0 AS a, c_nationkey / 25.0 AS b FROM customer),
+s AS (SELECT epoch, (a + b + a * b) / 3 AS val_f1, (b + b + a) / 3 AS train_f1, b AS train_loss, a AS val_loss FROM e)
+SELECT epoch AS best_epoch, {sql_rnd("val_f1")} AS best_val_f1, {sql_rnd("train_f1 - val_f1")} AS f1_gap, {sql_rnd("val_loss - train_loss")} AS loss_gap
+FROM s ORDER BY val_f1 DESC, epoch LIMIT 1""",
+)
+def training_history_summary(spark, sf):
+    """A training log, written as JSON arrays and read back: its best epoch."""
+    a, b = F.col("c_acctbal") / 10000.0, F.col("c_nationkey") / 25.0
+    values = {"train_loss": b, "val_loss": a, "train_f1_5s": b, "train_f1_15s": b, "train_f1_30s": a, "val_f1_5s": a, "val_f1_15s": b, "val_f1_30s": a * b}
+    rows = table(spark, sf, "customer").select("c_custkey", *[v.alias(n) for n, v in values.items()])
+    listed = F.sort_array(F.collect_list(F.struct("c_custkey", *values)))
+    folder = shared_folder(spark, "history")
+    rows.agg(listed.alias("l")).select(*[F.col(f"l.{n}").alias(n) for n in values]).write.json(folder)
+    summary = ev.history_summary(ev.training_history(spark, folder))
+    return summary.select(F.col("best_epoch").cast("long").alias("best_epoch"), *[rnd(c).alias(c) for c in ("best_val_f1", "f1_gap", "loss_gap")])

@@ -8,8 +8,12 @@ from clearsky import sinks
 from clearsky.catalog.base import query, rnd, shared_folder, sql_rnd, table
 from clearsky.catalog.evaluation import _OVERALL, _OVERALL_OUT, PRED_SQL, _overall_sql, predictions
 from clearsky.catalog.prep import _DIMS, _scaled_sql, _vectors, _window_query, _windows_sql
+from clearsky.catalog.recordings import as_files, of_recording, solution_lines
 from clearsky.operators import evaluate as ev
 from clearsky.operators.prep import apply_min_max, fit_min_max, scaler_table
+from clearsky.sources import solution
+from clearsky.sources.lines import read_lines
+
 
 @query(
     "stored_feature_table",
@@ -45,8 +49,10 @@ def stored_splits(spark, sf):
     path = shared_folder(spark, "splits")
     status = F.col("o_orderstatus")
     split = F.when(status == "F", "train").when(status == "O", "val").otherwise("test")
-    rows = sinks.reuse_or_build(spark, path, lambda: table(spark, sf, "orders").withColumn("split", split))
-    again = sinks.reuse_or_build(spark, path, lambda: rows.where("split = 'test'"))  # not run: stored rows win
+    orders = table(spark, sf, "orders").withColumn("split", split)
+    sinks.reuse_or_build(spark, path, lambda: orders.where("split = 'test'"), parameters={"of": "test"})
+    sinks.reuse_or_build(spark, path, lambda: orders, parameters={"of": "all"})  # other parameters: built anew
+    again = sinks.reuse_or_build(spark, path, lambda: orders.limit(0), parameters={"of": "all"})  # not run: stored rows win
     return again.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("ids"))
 
 
@@ -74,3 +80,53 @@ def stored_windows(spark, sf):
     """Windows written as nested arrays, reloaded and flattened."""
     path = shared_folder(spark, "windows")
     return _window_query(10, (1, 3, 6), path)(spark, sf)
+
+
+@query(
+    "ingested_recordings",
+    """SELECT 'u' || user_id AS path, count(*) AS n, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS growth FROM events
+WHERE CAST(regexp_extract(props, '(\\d+)', 1) AS INT) % 19 <> 0 GROUP BY user_id""",
+)
+def ingested_recordings(spark, sf):
+    """A store that grows twice: each recording is read once, by the run that found it new."""
+    root, path = shared_folder(spark, "recordings"), shared_folder(spark, "store")
+    late = F.substring("path", 2, 20).cast("long") % 3 == 0
+    lines = solution_lines(spark, sf)
+
+    def read(paths):
+        return of_recording(solution.solution_fixes(read_lines(spark, paths)).select("path", "file_name", "timestamp"))
+
+    n = 0
+    for part in (lines.where(~late), lines.where(late), None):
+        if part is not None:
+            as_files(part, "recordings", f"{root}/{n}")
+        n += 1
+        rows = sinks.ingest(spark, root, path, read, "*.txt", files_per_batch=100_000, parameters={"reader": "solution"})
+    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("batch").cast("int").alias("growth"))
+
+
+@query(
+    "classes_reported_while_stored",
+    """WITH c AS (SELECT CAST(regexp_extract(props, '(\\d+)', 1) AS INT) % 47 AS k FROM events),
+l AS (SELECT CASE WHEN k < 45 THEN k % 2 ELSE 2 END AS label FROM c)
+SELECT label, count(*) AS n, """
+    + sql_rnd("100.0 * count(*) / (SELECT count(*) FROM l)")
+    + """ AS pct, 100.0 * count(*) / (SELECT count(*) FROM l) < 5 AS rare FROM l GROUP BY label""",
+)
+def classes_reported_while_stored(spark, sf):
+    """Class shares and the warning on rare classes, observed by the write itself."""
+    k = F.regexp_extract("props", r"(\d+)", 1).cast("int") % 47
+    rows = table(spark, sf, "events").withColumn("label", F.when(k < 45, k % 2).otherwise(2).cast("int"))
+    report = sinks.write_with_class_report(rows, shared_folder(spark, "labelled"), columns=["event_id", "ts", "label"])
+    return report.withColumn("pct", rnd("pct"))
+
+
+@query(
+    "matches_reported_while_stored",
+    f"""WITH e AS (SELECT CASE WHEN event_id % 3 <> 0 THEN value END AS err FROM events)
+SELECT count(*) AS n, count(err) AS matched, {sql_rnd("avg(err)")} AS mean_error FROM e""",
+)
+def matches_reported_while_stored(spark, sf):
+    rows = table(spark, sf, "events").withColumn("err", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    report = sinks.write_with_match_report(rows, shared_folder(spark, "matched"), "err", columns=["event_id", "err"])
+    return report.withColumn("mean_error", rnd("mean_error"))

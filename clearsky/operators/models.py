@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml import Model, Transformer
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -93,14 +92,21 @@ def score(model: Transformer, df: DataFrame, features: str = "features") -> Data
 def score_horizons(
     models: dict[str, Transformer], df: DataFrame, truths: dict[str, str], features: str = "features", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Predictions of one model per horizon, stacked with ``horizon`` and ``y_true``."""
-    parts = [
-        score(m, df, features).select(
-            *keep, F.lit(h).alias("horizon"), F.col(truths[h]).alias("y_true"), "y_pred", "y_prob"
+    """Predictions of one model per horizon, stacked with ``horizon`` and ``y_true``.
+
+    All models run over one pass of the rows: each adds its scores beside those of the others, and
+    the row is then unfolded into one per horizon.
+    """
+    rows = df.select(*keep, features, *dict.fromkeys(truths[h] for h in models))
+    for i, model in enumerate(models.values()):
+        rows = score(model, rows, features).withColumnsRenamed({"y_pred": f"_pred_{i}", "y_prob": f"_prob_{i}"})
+    each = [
+        F.struct(
+            F.lit(h).alias("horizon"), F.col(truths[h]).alias("y_true"), F.col(f"_pred_{i}").alias("y_pred"), F.col(f"_prob_{i}").alias("y_prob")
         )
-        for h, m in models.items()
+        for i, h in enumerate(models)
     ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return rows.select(*keep, F.inline(F.array(*each)))
 
 
 def ensemble_importance(model: Model, names: Sequence[str], df: DataFrame, top: int = 15) -> DataFrame:

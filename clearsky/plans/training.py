@@ -57,7 +57,7 @@ def window_job(
     scaler_path: str | None = None,
     **windows,
 ) -> DataFrame:
-    """Windows of all splits, stored below ``path`` and reused unless ``force``."""
+    """Windows of all splits, stored below ``path``; reused for the same parameters unless ``force``."""
 
     def build() -> DataFrame:
         rows, names = prepared(labelled, session, ts, max_rows_per_source, scaler_path)
@@ -66,7 +66,8 @@ def window_job(
             return made
         return oversample_windows(cut_lineage(made), horizons=windows.get("horizons", HORIZONS))
 
-    return reuse_or_build(labelled.sparkSession, path, build, force)
+    parameters = {"session": list(session), "ts": ts, "oversampled": oversampled, "max_rows_per_source": max_rows_per_source, **windows}
+    return reuse_or_build(labelled.sparkSession, path, build, force, parameters)
 
 
 def baseline_predictions(
