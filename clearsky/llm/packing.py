@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents by exact-complement hashing.
 
 1. :func:`pieces` tokenises whole texts where they lie, cuts only documents
-   longer than ``capacity`` (the *last* piece is the short one) and numbers the
+   longer than ``capacity`` (the *first* piece is the short one) and numbers the
    pieces of each length inside their task. The narrow table is written once.
 2. The number of pieces of each length - ``capacity`` numbers, whatever the
    data - reaches the driver. :func:`plan` packs these numbers: from the longest
@@ -97,8 +97,10 @@ def pieces(
                 rows, which = [], []
                 for i in range(a, b):
                     ids = token_ids(texts[i], ranks_path, end)
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
+                    first = (len(ids) - 1) % capacity + 1
+                    for k, stop in enumerate(range(first, len(ids) + 1, capacity)):
+                        start = max(0, stop - capacity)
+                        part = ids[start:stop]
                         n = len(part)
                         rows.append(
                             (k, start, n, zlib.crc32(part), task, seen[n]) + ((part.tobytes(),) if with_ids else ())
@@ -144,15 +146,14 @@ def plan(available: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
                 break
             if gap - a <= a and left[a] and left[gap - a]:
                 take([long, a, gap - a])
-        if left[long] and gap > 2:
-            pairs = _pair_sums(left, gap)
-            for a in range(min(gap - 2, long), 0, -1):
-                if not left[long]:
+        for a in range(min(gap - 2, long), 0, -1):
+            if not left[long]:
+                break
+            # Every pair of that sum, one after the other, until the gap or its other part is used up.
+            for b in _pairs(left, gap - a) if left[a] else ():
+                take([long, a, b, gap - a - b])
+                if not left[long] or not left[a]:
                     break
-                b = pairs.get(gap - a)
-                if b is not None and left[a]:
-                    while left[long] and take([long, a, b, gap - a - b]):
-                        pass
     # What is left: longest first into the tightest gap, in groups of equal sequences.
     bins: dict[int, list[list]] = {}
     gaps = np.zeros(capacity + 1, dtype=np.int64)
@@ -181,17 +182,10 @@ def _open(bins: dict, gaps: np.ndarray, gap: int, lengths: list[int], times: int
     gaps[gap] += times
 
 
-def _pair_sums(left: np.ndarray, most: int) -> dict[int, int]:
-    """sum -> longer part of a pair of available lengths with that sum."""
-    there = np.flatnonzero(left[:most])
-    sums: dict[int, int] = {}
-    for total in range(2, most):
-        half = there[there * 2 >= total]
-        other = total - half
-        ok = half[(other > 0) & (left[np.maximum(other, 0)] > 0)]
-        if len(ok):
-            sums[total] = int(ok[0])
-    return sums
+def _pairs(left: np.ndarray, total: int) -> list[int]:
+    """The longer parts of all pairs of available lengths with this sum."""
+    half = np.arange((total + 1) // 2, total)
+    return half[(left[half] > 0) & (left[total - half] > 0)].tolist()
 
 
 def ranges(made: list[tuple[list[int], int]], capacity: int = CAPACITY) -> dict[int, np.ndarray]:

@@ -87,8 +87,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         .orderBy(F.xxhash64("sampled_id"), "sampled_id")
         .limit(max_labelled)
     )
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("sampled_id"))  # max_labelled rows at most
-    rows = sample.select(_features_udf()(text_col).alias("x"), F.col("label")).toPandas()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("sampled_id"))  # max_labelled rows at most
+    rows = sample.select(_features_udf()("text").alias("x"), F.col("label")).toPandas()
     y = (rows["label"] > 0).to_numpy(float)
     width = 2 * len(FEATURES)
     if not len(rows) or not 0 < y.mean() < 1:

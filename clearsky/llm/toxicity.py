@@ -145,8 +145,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
         .orderBy(F.xxhash64("sampled_id"), "sampled_id")
         .limit(most)
     )
-    found = docs.join(F.broadcast(chosen), docs[id_col] == F.col("sampled_id"))  # ``most`` rows at most
-    return found.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("sampled_label").alias("label"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("sampled_id"))  # ``most`` rows at most
+    return found.select("text", F.col("sampled_label").alias("label"))
 
 
 def stem_counts(sample: DataFrame) -> DataFrame:

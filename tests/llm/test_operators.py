@@ -209,6 +209,9 @@ def test_packing_round_trip(odd, none, docs, texts):
             at += length
         assert at <= 1024
     assert sum(r.length for r in rows) == sum(map(len, ids.values())) and len(ids) == len(texts)
+    # Only the first piece of a text may be shorter, and only texts beyond the capacity are cut.
+    assert all(r.length == 1024 for r in rows if r.piece) and any(r.piece > 1 for r in rows)
+    assert all(r.start == 0 if r.piece == 0 else r.start == (len(ids[r.doc_id]) - 1) % 1024 + 1 + 1024 * (r.piece - 1) for r in rows)
     assert len(bins) <= 1.1 * -(-sum(r.length for r in rows) // 1024)
     odd_rows = packing.pack_documents(odd, RANKS).collect()
     assert sum(r.piece == 0 for r in odd_rows) == len(ROWS)
@@ -216,6 +219,20 @@ def test_packing_round_trip(odd, none, docs, texts):
     assert packing.pack_documents(none, RANKS).count() == 0
 
 
+def test_plan_goes_on_to_other_pairs_of_a_sum():
+    # The same gap of 14 beside 70 and 16 is filled by three different pairs.
+    made = packing.plan({70: 4, 16: 4, 10: 2, 4: 2, 9: 1, 5: 1, 8: 1, 6: 1}, 100)
+    assert sum(times for _, times in made) == 4 and all(sum(parts) == 100 for parts, _ in made)
+
+
+def test_fits_take_any_further_columns(spark, odd):
+    names = {"task": "label", "node": "sampled_id", "digest": "sampled_label"}
+    docs = odd.withColumnsRenamed(names)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(10)], "doc_id long, quality int, toxic int")
+    assert quality.fit(docs, labels).weights.shape == quality.fit(odd, labels).weights.shape
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == len(ROWS)
+
+
 def test_plan_uses_each_piece_once():
     rng = np.random.default_rng(3)
     for size in (3, 50, 4000):
