@@ -9,6 +9,7 @@ from clearsky.functions.scalars import argmax, focal_loss, softmax
 from clearsky.operators import evaluate as ev
 from clearsky.operators import models
 from clearsky.operators.ordered import row_index
+from clearsky.plans import training
 
 HORIZON_NAMES = ["5s", "15s", "30s"]
 C = [0, 1, 2]
@@ -365,7 +366,7 @@ def random_forest_scores(spark, sf):
 @query("boosted_trees_scores", _SCORES_SQL)
 def boosted_trees_scores(spark, sf):
     v = _vectors(spark, sf)
-    model = models.boosted_trees(v.where("split = 'train'"), "label", rounds=3, depth=3)
+    model = models.boosted_trees(v.where("split = 'train'"), "label", rounds=20)
     return _checked_scores(models.score(model, v.where("split = 'test'")))
 
 
@@ -416,3 +417,14 @@ def training_history_summary(spark, sf):
     rows.agg(listed.alias("l")).select(*[F.col(f"l.{n}").alias(n) for n in values]).write.json(folder)
     summary = ev.history_summary(ev.training_history(spark, folder))
     return summary.select(F.col("best_epoch").cast("long").alias("best_epoch"), *[rnd(c).alias(c) for c in ("best_val_f1", "f1_gap", "loss_gap")])
+
+
+@query("evaluation_job", f"WITH {PRED_SQL}, {_overall_sql('horizon')} SELECT 'rule' AS method, horizon, n, {_OVERALL_OUT} FROM o")
+def evaluation_job(spark, sf):
+    """The whole report of one method, every table written as JSON; the overall metrics are read back."""
+    keys = ["horizon", "source", "scenario"]
+    p = row_index(predictions(spark, sf), keys, "timestamp", ["timestamp", "event_id"], 10 * 86400, "end_idx")
+    folder = shared_folder(spark, "evaluation")
+    training.write_report(training.evaluation_report({"rule": p}, scored=["rule"]), folder)
+    schema = "method string, horizon string, n bigint, " + ", ".join(f"{m} double" for m in _OVERALL)
+    return spark.read.schema(schema).json(f"{folder}/overall").withColumns({m: rnd(m) for m in _OVERALL})

@@ -90,18 +90,22 @@ def nmea_lines(spark, sf) -> DataFrame:
     )
     gns = F.when(k % 4 == 1, F.concat_ws(",", F.lit("$GNGNS"), _clock(ts), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit("AA"), (k % 45).cast("string"), F.lit("*11")))
     gl = F.when(k % 4 == 2, F.concat_ws(",", F.lit("$GLGNS"), _clock(ts), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit("AA"), (k % 9).cast("string"), F.lit("*11")))
+    others = [
+        F.when(hit, F.concat_ws(",", F.lit(f"${talker}GNS"), _clock(ts), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit("AA"), n.cast("string"), F.lit("*11")))
+        for talker, hit, n in (("GP", k % 4 == 3, k % 12), ("GA", k % 5 == 1, k % 11), ("GB", k % 5 == 2, k % 13))
+    ]
     blanks = [F.lit("") for _ in range(12)]
     gsa1 = F.concat_ws(",", F.lit("$GPGSA"), F.lit("A"), F.lit("3"), *blanks, F.lit("9.9"), F.lit("9.9"), F.lit("9.9*30"))
     gsa2 = F.when(k % 5 != 0, F.concat_ws(",", F.lit("$GLGSA"), F.lit("A"), F.lit("3"), *blanks, (k % 7).cast("string"), F.lit("1.0"), F.when(k % 6 == 0, "").otherwise(F.concat((k % 4).cast("string"), F.lit(".25"))), F.lit("*30")))
-    gst = F.when(k % 3 == 1, F.concat_ws(",", F.lit("$GPGST"), _clock(ts), (c / 100).cast("decimal(10,2)").cast("string"), F.lit("1"), F.lit("1"), F.lit("1"), (k % 10).cast("string"), F.lit(""), F.lit("2.5*77")))
-    gbs = F.when(k % 7 == 2, F.concat_ws(",", F.lit("$GPGBS"), _clock(ts), (k % 12).cast("string"), F.lit("0.5"), F.lit(""), F.lit(""), F.lit(""), F.lit("0.1*00")))
+    gst = F.when(k % 3 == 1, F.concat_ws(",", F.lit("$GPGST"), _clock(ts), (c / 100).cast("decimal(10,2)").cast("string"), F.lit("1"), F.lit("1"), F.lit("1"), (k % 10).cast("string"), (k % 4).cast("string"), F.lit("2.5*77")))
+    gbs = F.when(k % 7 == 2, F.concat_ws(",", F.lit("$GPGBS"), _clock(ts), (k % 12).cast("string"), F.lit("0.5"), (k % 6).cast("string"), F.lit(""), F.lit(""), F.lit("0.1*00")))
     gsv = F.concat_ws(
         ",", F.lit("$GBGSV"), F.lit("1"), F.lit("1"), F.lit("03"), F.lit("01"), F.lit("40"), F.lit("083"), (20 + k % 30).cast("string"),
         F.lit("02"), F.lit("17"), F.lit("308"), F.when(k % 2 == 0, "").otherwise((k % 3).cast("string")),
         F.lit("03"), F.lit("07"), F.lit("344"), F.concat((30 + k % 11).cast("string"), F.lit("*79")),
     )
     noise = F.when(k % 10 == 3, F.lit("# comment")).otherwise(F.lit("$GPDTM,W84,,00.0,N,00.0,E,00.0,W84*6F"))
-    return as_lines(n, [noise, F.when(F.second("ts") % 2 == 0, rmc), gga, gns, gl, gsa1, gsa2, gst, gbs, gsv])
+    return as_lines(n, [noise, F.when(F.second("ts") % 2 == 0, rmc), gga, gns, gl, *others, gsa1, gsa2, gst, gbs, gsv])
 
 
 # What the fields should read, straight from the numbers. The date is that of the latest RMC.
@@ -119,8 +123,10 @@ e AS (SELECT path, epoch_us(day::TIMESTAMP) + (hour(ts) * 3600 + minute(ts) * 60
   CASE WHEN k % 5 = 0 THEN 9.9 ELSE (k % 7)::DOUBLE END AS pdop,
   CASE WHEN k % 5 = 0 THEN 9.9 WHEN k % 6 <> 0 THEN k % 4 + 0.25 END AS vdop,
   CASE WHEN k % 3 = 1 THEN c / 100.0 END AS rms_error, CASE WHEN k % 3 = 1 THEN (k % 10)::DOUBLE END AS lat_sigma,
+  CASE WHEN k % 3 = 1 THEN (k % 4)::DOUBLE END AS lon_sigma, CASE WHEN k % 7 = 2 THEN (k % 6)::DOUBLE END AS gbs_alt_err,
   CASE WHEN k % 3 = 1 THEN 2.5 END AS alt_sigma, CASE WHEN k % 7 = 2 THEN (k % 12)::DOUBLE END AS gbs_lat_err,
   CASE WHEN k % 7 = 2 THEN 0.5 END AS gbs_lon_err, CASE WHEN k % 4 = 2 THEN k % 9 END AS glo_sats,
+  CASE WHEN k % 4 = 3 THEN k % 12 END AS gps_sats, CASE WHEN k % 5 = 1 THEN k % 11 END AS gal_sats, CASE WHEN k % 5 = 2 THEN k % 13 END AS bds_sats,
   2 + CASE WHEN k % 2 = 1 AND k % 3 > 0 THEN 1 ELSE 0 END AS n_cnr,
   (20 + k % 30 + 30 + k % 11 + CASE WHEN k % 2 = 1 THEN k % 3 ELSE 0 END)::DOUBLE AS sum_cnr FROM x)
 """
@@ -130,17 +136,17 @@ def _nmea(lines: DataFrame) -> DataFrame:
     e = nmea.nmea_epochs(lines)
     return e.select(
         "path", F.unix_micros("timestamp").alias("us"), "lat", "lon", "fix_quality", "num_satellites", "hdop", "alt",
-        "solution_age", "pdop", "vdop", "rms_error", "lat_sigma", "alt_sigma", "gbs_lat_err", "gbs_lon_err", "glo_sats",
+        "solution_age", "pdop", "vdop", "rms_error", "lat_sigma", "lon_sigma", "alt_sigma", "gbs_lat_err", "gbs_lon_err", "gbs_alt_err", "glo_sats", "gps_sats", "gal_sats", "bds_sats",
         F.size("cnr_list").alias("n_cnr"), F.aggregate("cnr_list", F.lit(0.0), lambda s, v: s + v).alias("sum_cnr"),
     )
 
 
 _NMEA_GROUPS = {
     "nmea_positions": ["lat", "lon", "fix_quality", "hdop", "alt", "solution_age"],
-    "nmea_satellite_counts": ["num_satellites", "glo_sats"],
+    "nmea_satellite_counts": ["num_satellites", "glo_sats", "gps_sats", "gal_sats", "bds_sats"],
     "nmea_geometry": ["pdop", "vdop"],
-    "nmea_error_estimates": ["rms_error", "lat_sigma", "alt_sigma"],
-    "nmea_fault_errors": ["gbs_lat_err", "gbs_lon_err"],
+    "nmea_error_estimates": ["rms_error", "lat_sigma", "lon_sigma", "alt_sigma"],
+    "nmea_fault_errors": ["gbs_lat_err", "gbs_lon_err", "gbs_alt_err"],
     "nmea_signal_lists": ["n_cnr", "sum_cnr"],
 }
 
@@ -237,14 +243,14 @@ def rinex_lines(spark, sf) -> DataFrame:
         F.lit("     3.04           OBSERVATION DATA    M                   RINEX VERSION / TYPE"),
         F.lit("G    3 C1C L1C S1C                                          SYS / # / OBS TYPES "),
         F.lit("R    4 C1C L1C"), F.lit("       L2C S1C"),
-        F.lit("  2024     1     1     0     0    0.0000000     GPS         TIME OF FIRST OBS   "),
+        F.concat(F.rpad(F.concat(F.date_format("day", "  yyyy     M     d"), F.lit("     0     0    0.0000000     GPS")), 60, " "), F.lit("TIME OF FIRST OBS   ")),
         F.lit("                                                            END OF HEADER       "),
     ]
     padded = [F.rpad(h, 60, " ") if i in (2, 3) else h for i, h in enumerate(header)]
     padded[2] = F.concat(padded[2], F.lit("SYS / # / OBS TYPES "))
     padded[3] = F.concat(padded[3], F.lit("SYS / # / OBS TYPES "))
     files = n.groupBy("path", "file_name").agg(
-        F.min("block").alias("block"), F.lit(0).cast("long").alias("us"), F.lit(0).alias("event_id")
+        F.min("block").alias("block"), F.lit(0).cast("long").alias("us"), F.lit(0).alias("event_id"), F.min("ts").alias("day")
     )
     epoch = F.concat(
         F.lit("> "), F.date_format(ts, "yyyy MM dd HH mm "), _two(F.second(ts)), F.lit(".5000000  0  3")
@@ -346,7 +352,7 @@ def rinex_observation_codes(spark, sf):
     )
 
 
-@query("rinex_first_date", "SELECT 'u' || user_id AS path, '2024-01-01' AS first_date FROM events GROUP BY user_id")
+@query("rinex_first_date", "SELECT 'u' || user_id AS path, strftime(min(ts), '%Y-%m-%d') AS first_date FROM events GROUP BY user_id")
 def rinex_first_date(spark, sf):
     out = rinex.first_observation_date(rinex_records(spark, sf))
     return out.select("path", F.col("first_date").cast("string").alias("first_date"))
@@ -711,7 +717,7 @@ def last_file_of_folder(spark, sf):
 
 @query(
     "source_tags",
-    """SELECT c_custkey, 'r' || c_custkey || '_x' AS receiver, '2014-08-11' AS day, lower(c_mktsegment) AS label, '10_' || (c_custkey % 60) || '_30' AS time_token
+    """SELECT c_custkey, 'r' || c_custkey || '_x' AS receiver, '2014-08-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') AS day, lower(c_mktsegment) AS label, '10_' || (c_custkey % 60) || '_30' AS time_token
 FROM customer""",
 )
 def source_tags(spark, sf):
@@ -722,7 +728,7 @@ def source_tags(spark, sf):
     label, time = listing.log_label(log)
     return table(spark, sf, "customer").select(
         "c_custkey", listing.dotted_tail(stem, 3).alias("receiver"),
-        listing.traversal_date(F.concat(F.lit("/data/"), F.lit("2014-08-11-10-22-21"))).alias("day"), label.alias("label"), time.alias("time_token"),
+        listing.traversal_date(F.concat(F.lit("/data/2014-08-"), _two(key % 28 + 1), F.lit("-10-22-21"))).alias("day"), label.alias("label"), time.alias("time_token"),
     )
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Model, Transformer
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearsky.functions.labels import cnr_rule
 from clearsky.functions.scalars import argmax, softmax
+from clearsky.operators.boosting import BoostedTrees, fit_boosted_trees
 from clearsky.operators.ordered import attach
 from clearsky.operators.prep import balanced_weights
 
@@ -60,25 +61,15 @@ def random_forest(
 def boosted_trees(
     train: DataFrame, label: str, features: str = "features", rounds: int = 400, depth: int = 6,
     rate: float = 0.05, seed: int = 42,
-) -> Model:
-    """Class-balanced boosted trees, one model per class against the rest."""
-    weighted = balanced_weights(_assembled(train, features), label)
-    booster = GBTClassifier(
-        featuresCol="_features",
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=rate,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
-        seed=seed,
-    )
-    return OneVsRest(
-        classifier=booster, featuresCol="_features", labelCol=label, weightCol="weight"
-    ).fit(weighted)
+) -> BoostedTrees:
+    """Class-balanced boosted trees: one model for all classes (see ``boosting.py``)."""
+    return fit_boosted_trees(train, label, features, rounds, depth, rate, seed=seed)
 
 
-def score(model: Transformer, df: DataFrame, features: str = "features") -> DataFrame:
+def score(model: Transformer | BoostedTrees, df: DataFrame, features: str = "features") -> DataFrame:
     """``y_pred`` and ``y_prob`` (one number per class) of each row."""
+    if isinstance(model, BoostedTrees):
+        return model.score(df, features)
     out = model.transform(_assembled(df, features))
     if "probability" in out.columns:
         prob: Column = vector_to_array("probability")

@@ -22,7 +22,7 @@ from clearsky.operators.prep import (
 from clearsky.operators.tables import clip, feature_columns, first_rows, repaired_splits
 from clearsky.schemas import HORIZONS, SESSION
 from clearsky.session import cut_lineage
-from clearsky.sinks import reuse_or_build, save_scaler
+from clearsky.sinks import reuse_or_build, save_scaler, write_metrics
 
 
 def prepared(
@@ -71,33 +71,49 @@ def window_job(
 
 
 def baseline_predictions(
-    windows: DataFrame, horizons: Sequence[int] = HORIZONS, forest: dict | None = None, boosting: dict | None = None
+    windows: DataFrame,
+    horizons: Sequence[int] = HORIZONS,
+    forest: dict | None = None,
+    boosting: dict | None = None,
+    signal: tuple[int, float, float] | None = None,
+    session: Sequence[str] = tuple(SESSION),
+    split: str = "test",
 ) -> dict[str, DataFrame]:
-    """Test predictions per method: ``horizon, y_true, y_pred``."""
-    flat = flatten_windows(windows)
-    train, test = flat.where("split = 'train'"), flat.where("split = 'test'")
-    keep = [c for c in ("source", "scenario", "end_idx") if c in windows.columns]
+    """Predictions per method on one split: session, ``end_idx``, ``horizon, y_true, y_pred, y_prob``.
 
-    def stack(parts: list[DataFrame]) -> DataFrame:
+    Majority class, C/N0 rule, random forest and boosted trees. ``signal`` is the place of the mean
+    C/N0 among the features, with the least value and the range it was scaled by; without it
+    the rule is left out, for its thresholds are in dB-Hz. Probabilities are null where a
+    method has none. Each table is cut from its lineage: models are fitted and applied once.
+    """
+    flat = flatten_windows(windows)
+    train, test = flat.where("split = 'train'"), flat.where(F.col("split") == split)
+    keep = [c for c in (*session, "end_idx") if c in windows.columns]
+    names = [f"{h}s" for h in horizons]
+    truths = {name: f"y_{name}" for name in names}
+    none = F.lit(None).cast("array<double>").alias("y_prob")
+
+    def stacked(predicted: dict[str, DataFrame]) -> DataFrame:
+        parts = [
+            df.select(*keep, F.lit(h).alias("horizon"), F.col(truths[h]).alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"), none)
+            for h, df in predicted.items()
+        ]
         return reduce(lambda a, b: a.unionByName(b), parts)
 
-    def each(fit_and_score) -> DataFrame:
-        return stack(
-            [
-                fit_and_score(f"y_{h}s").select(
-                    *keep, F.lit(f"{h}s").alias("horizon"), F.col(f"y_{h}s").alias("y_true"), "y_pred"
-                )
-                for h in horizons
-            ]
-        )
-
-    out = {
-        "MajorityClass": each(lambda y: models.majority_class(train, test, y)),
-        "RandomForest": each(lambda y: models.score(models.random_forest(train, y, **(forest or {})), test)),
+    out = {"MajorityClass": stacked({h: models.majority_class(train, test, y) for h, y in truths.items()})}
+    if signal is not None:
+        place, least, width = signal
+        unscaled = F.transform("X", lambda step: F.array(F.get(step, F.lit(place)).cast("double") * width + least))
+        ruled = models.cnr_rule_baseline(test.withColumn("X", unscaled), 0)
+        out["CNR_Threshold"] = stacked({h: ruled for h in names})
+    fitted = {
+        "RandomForest": {h: models.random_forest(train, y, **(forest or {})) for h, y in truths.items()},
+        "BoostedTrees": {h: models.boosted_trees(train, y, **(boosting or {})) for h, y in truths.items()},
     }
-    if boosting is not None:
-        out["BoostedTrees"] = each(lambda y: models.score(models.boosted_trees(train, y, **boosting), test))
-    return out
+    for method, of_horizon in fitted.items():
+        scored = models.score_horizons(of_horizon, test, truths, keep=keep)
+        out[method] = scored.withColumn("y_pred", F.col("y_pred").cast("int"))
+    return {method: cut_lineage(df) for method, df in out.items()}
 
 
 def metric_report(predictions: dict[str, DataFrame], horizons: Sequence[int] = HORIZONS) -> dict[str, DataFrame]:
@@ -105,14 +121,58 @@ def metric_report(predictions: dict[str, DataFrame], horizons: Sequence[int] = H
     cells = {name: ev.confusion_cells(df) for name, df in predictions.items()}
     overall = {name: ev.overall_metrics(c) for name, c in cells.items()}
     labels = [f"{h}s" for h in horizons]
-    tag = lambda name, df: df.select(F.lit(name).alias("method"), "*")
-
-    def stack(frames: dict[str, DataFrame]) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b), [tag(n, d) for n, d in frames.items()])
-
     return {
-        "overall": stack(overall),
-        "per_class": stack({n: ev.class_metrics(c) for n, c in cells.items()}),
-        "intervals": stack({n: ev.bootstrap_intervals(c) for n, c in cells.items()}),
+        "overall": _by_method(overall),
+        "per_class": _by_method({n: ev.class_metrics(c) for n, c in cells.items()}),
+        "intervals": _by_method({n: ev.bootstrap_intervals(c) for n, c in cells.items()}),
         "comparison": ev.model_comparison(overall, labels),
     }
+
+
+def _by_method(frames: dict[str, DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), [d.select(F.lit(n).alias("method"), "*") for n, d in frames.items()])
+
+
+def evaluation_report(
+    predictions: dict[str, DataFrame],
+    horizons: Sequence[int] = HORIZONS,
+    session: Sequence[str] = tuple(SESSION),
+    scored: Sequence[str] = ("RandomForest", "BoostedTrees"),
+    history_path: str | None = None,
+) -> dict[str, DataFrame]:
+    """Everything the evaluation tells, as one table each with a ``method`` column.
+
+    :func:`metric_report` and: confusion matrices, F1 by class and horizon, metrics by source, recall of
+    DEGRADED by scenario, lead times with summary and histogram; for the ``scored`` methods ROC and
+    precision-recall curves with their areas, and calibration; the training history where there is one.
+    """
+    labels = [f"{h}s" for h in horizons]
+    cells = {n: ev.confusion_cells(df) for n, df in predictions.items()}
+    by_source = {n: ev.overall_metrics(ev.confusion_cells(df, ["horizon", "source"]), ["horizon", "source"]) for n, df in predictions.items()}
+    leads = {n: cut_lineage(ev.lead_times(df, ["horizon", *session], "end_idx")) for n, df in predictions.items()}
+    with_scores = {n: cut_lineage(ev.class_scores(predictions[n])) for n in scored if n in predictions}
+    by = ["horizon", "class"]
+    out = metric_report(predictions, horizons) | {
+        "confusion": _by_method({n: ev.confusion_matrix(c) for n, c in cells.items()}),
+        "f1_by_horizon": _by_method({n: ev.f1_table(c, groups=labels) for n, c in cells.items()}),
+        "by_source": _by_method(by_source),
+        "degraded_recall": _by_method({n: ev.recall_by(df, ["horizon", "scenario"]) for n, df in predictions.items()}),
+        "lead_times": _by_method({n: ev.lead_time_summary(df, ["horizon"]) for n, df in leads.items()}),
+        "lead_histogram": _by_method({n: ev.lead_time_histogram(df) for n, df in leads.items()}),
+    }
+    for name, table in (
+        ("roc", ev.roc_curve), ("roc_auc", ev.roc_auc), ("pr", ev.pr_curve),
+        ("average_precision", ev.average_precision), ("calibration", ev.calibration),
+    ):
+        if with_scores:
+            out[name] = _by_method({n: table(df, by) for n, df in with_scores.items()})
+    if history_path is not None:
+        history = ev.training_history(next(iter(predictions.values())).sparkSession, history_path)
+        out |= {"history": history, "history_summary": ev.history_summary(history, labels)}
+    return out
+
+
+def write_report(report: dict[str, DataFrame], path: str) -> None:
+    """Every table of a report as JSON below its name."""
+    for name, table in report.items():
+        write_metrics(table, f"{path.rstrip('/')}/{name}")

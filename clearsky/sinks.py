@@ -171,7 +171,10 @@ def ingest(
         files.writeStream.foreachBatch(take).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    whole = spark.read.parquet(f"{base}/files").select("batch").distinct()
+    listed = _read_or_none(spark, f"{base}/files")
+    if listed is None:
+        raise FileNotFoundError(f"no {pattern} below {root}")
+    whole = listed.select("batch").distinct()
     return spark.read.parquet(f"{base}/rows").join(whole, "batch", "left_semi")
 
 

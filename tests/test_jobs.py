@@ -38,6 +38,9 @@ def write_recording(folder: Path, seconds: int, level: int) -> None:
     (folder / "SEPT1240.26O").write_text("\n".join(obs) + "\n")
 
 
+METHODS = ["MajorityClass", "CNR_Threshold", "RandomForest", "BoostedTrees"]
+
+
 @pytest.fixture(scope="module")
 def features(spark, tmp_path_factory):
     """Twelve recordings read, matched, windowed, labelled and split."""
@@ -86,13 +89,88 @@ def test_windows_and_baselines(spark, features, tmp_path):
     before = sorted(p.name for p in Path(path).rglob("*.parquet"))
     training.window_job(mixed, path, **settings)
     assert before == sorted(p.name for p in Path(path).rglob("*.parquet"))
-    predictions = training.baseline_predictions(w, (1, 3), forest={"trees": 5, "depth": 4})
-    report = training.metric_report(predictions, (1, 3))
-    assert report["overall"].count() == 4 and report["per_class"].count() == 12
+    at = names.index("mean_cnr")
+    low, width = params.select("min_mean_cnr", "range_mean_cnr").first()
+    predictions = training.baseline_predictions(
+        w, (1, 3), forest={"trees": 5, "depth": 4}, boosting={"rounds": 3, "depth": 3}, signal=(at, low, width)
+    )
+    assert {n: df.count() for n, df in predictions.items()} == dict.fromkeys(METHODS, 2 * counts["test"])
+    # The rule sees the C/N0 as it was measured: 18, 36 and 48 dB-Hz.
+    rule = {r["y_pred"] for r in predictions["CNR_Threshold"].select("y_pred").distinct().collect()}
+    assert rule <= {0, 1, 2} and rule
+    report = training.evaluation_report(predictions, (1, 3))
+    assert report["overall"].count() == 8 and report["per_class"].count() == 24 and report["confusion"].count() == 8 * 9
+    assert report["by_source"].count() == 4 * 2 * 2 and report["degraded_recall"].count() == 4 * 2 * 2
+    assert report["intervals"].count() == 8 and report["f1_by_horizon"].count() == 4 * 3
+    assert {r["method"] for r in report["roc_auc"].collect()} == {"RandomForest", "BoostedTrees"}
+    assert report["roc_auc"].count() == 2 * 2 * 3 and report["average_precision"].count() == 2 * 2 * 3
+    assert report["calibration"].where("class is null").count() == 0 and report["lead_times"].count() >= 4
+    assert report["roc"].where("fpr > 1 or tpr > 1").count() == 0 and report["pr"].count() > 0
+    training.write_report({n: report[n] for n in ("confusion", "roc_auc")}, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "confusion")).count() == 72
     assert set(report["comparison"].columns) == {"method", "1s", "3s"}
     sinks.write_metrics(report["overall"], str(tmp_path / "metrics"))
     lines = [json.loads(x) for p in (tmp_path / "metrics").glob("*.json") for x in p.read_text().splitlines()]
-    assert {x["method"] for x in lines} == {"MajorityClass", "RandomForest"} and all(0 <= x["accuracy"] <= 1 for x in lines)
+    assert {x["method"] for x in lines} == set(METHODS) and all(0 <= x["accuracy"] <= 1 for x in lines)
+
+
+def test_a_store_grows_exactly_once(spark, tmp_path):
+    root, path = tmp_path / "in", str(tmp_path / "store")
+    root.mkdir()
+    calls = []
+
+    def read(names):
+        calls.append(len(names))
+        rows = read_lines(spark, names).select("file_name", "line")
+        if len(calls) == 1:  # half of a batch is written, and the job is lost
+            rows.limit(1).write.parquet(f"{path}/rows/batch=0")
+            raise RuntimeError("lost")
+        return rows
+
+    with pytest.raises(FileNotFoundError):
+        sinks.ingest(spark, str(root), str(tmp_path / "none"), read, "*.txt")
+    for name in ("a", "b"):
+        (root / f"{name}.txt").write_text(f"{name}1\n{name}2\n")
+    with pytest.raises(Exception, match="lost"):
+        sinks.ingest(spark, str(root), path, read, "*.txt", parameters={"version": 1})
+    grow = lambda: sorted(r["line"] for r in sinks.ingest(spark, str(root), path, read, "*.txt", parameters={"version": 1}).collect())
+    assert grow() == ["a1", "a2", "b1", "b2"] == grow()
+    (root / "c.txt").write_text("c1\n")
+    (root / "c.log").write_text("no\n")
+    assert grow() == ["a1", "a2", "b1", "b2", "c1"] and calls == [2, 2, 1]
+    with pytest.raises(ValueError, match="other parameters"):
+        sinks.ingest(spark, str(root), path, read, "*.txt", parameters={"version": 2})
+
+
+def test_stores_know_their_parameters(spark, tmp_path):
+    path, built = str(tmp_path / "w"), []
+
+    def build(n, lost=False):
+        def rows():
+            built.append(n)
+            made = spark.range(n).select("id", F.lit("train").alias("split"))
+            return made.withColumn("x", F.raise_error(F.lit("lost"))) if lost else made
+
+        return rows
+
+    count = lambda n, **p: sinks.reuse_or_build(spark, path, build(n), parameters=p).count()
+    assert count(3, t=30) == 3 and count(9, t=30) == 3 and count(5, t=10) == 5 and count(9, t=10) == 5 and built == [3, 5]
+    assert sinks.reuse_or_build(spark, path, build(2), True, {"t": 10}).count() == 2
+    with pytest.raises(Exception, match="lost"):
+        sinks.reuse_or_build(spark, path, build(4, lost=True), parameters={"t": 1})
+    assert count(6, t=10) == 6  # what an interrupted store left is not taken
+    assert sinks.reuse_or_build(spark, str(tmp_path / "none"), lambda: build(1)().limit(0)).count() == 0
+    assert sinks.reuse_or_build(spark, str(tmp_path / "none"), build(8)).count() == 0  # an empty store is a store
+
+
+def test_reports_come_from_the_write(spark, tmp_path):
+    rows = spark.range(100).select("id", F.when(F.col("id") < 3, 2).otherwise(F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") < 40, F.col("id") * 1.0).alias("err"))
+    report = sinks.write_with_class_report(rows, str(tmp_path / "a"), columns=["id", "label"])
+    assert [tuple(r) for r in report.orderBy("label").collect()] == [(0, 48, 48.0, False), (1, 49, 49.0, False), (2, 3, 3.0, True)]
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 100
+    assert tuple(sinks.write_with_match_report(rows, str(tmp_path / "b"), "err", columns=["id", "err"]).first()) == (100, 40, 19.5)
+    assert tuple(sinks.write_with_match_report(rows.limit(0), str(tmp_path / "c"), "err", columns=["id", "err"]).first()) == (0, 0, None)
+    assert sinks.write_with_class_report(rows.limit(0), str(tmp_path / "d"), columns=["id", "label"]).count() == 0
 
 
 def test_other_sources(spark):

@@ -12,7 +12,7 @@ from sessions import same
 
 from clearsky.functions import labels
 from clearsky.operators import evaluate as ev
-from clearsky.operators import models, neighbours, oversample, prep
+from clearsky.operators import boosting, models, neighbours, oversample, prep
 from clearsky.operators.neighbours import nearest
 from clearsky.operators.tables import clip, feature_columns, nan_to_null, repaired_splits
 
@@ -315,12 +315,75 @@ def test_models_learn_and_explain(spark):
     lost = models.permutation_importance(forest, df, names, "label", "id").collect()
     assert lost[0]["feature"] == "b" and lost[0]["relative"] == 1.0 and all(r["relative"] < 0.2 for r in lost[1:])
     assert models.ensemble_importance(forest, names, df).first()["feature"] == "b"
-    boosted = models.boosted_trees(df, "label", rounds=5, depth=3, rate=0.3)
+    boosted = models.boosted_trees(df, "label", rounds=8, depth=3, rate=0.3)
     assert models.score(boosted, df).where("label = y_pred").count() > 360
     stacked = models.score_horizons({"5s": forest, "15s": boosted}, df, {"5s": "label", "15s": "label"}, keep=["id"])
     assert stacked.groupBy("horizon").count().where("count = 400").count() == 2
 
 
+def plain_boosting(model, x, y, w, rounds, depth, rate):
+    """The same trees from whole arrays, without blocks, groups of features or sampling."""
+    bins, k = model.binned(x), len(model.classes)
+    scores = np.zeros((len(y), k))
+    for _ in range(rounds):
+        e = np.exp(scores - scores.max(axis=1, keepdims=True))
+        p, step = e / e.sum(axis=1, keepdims=True), np.zeros_like(scores)
+        for c in range(k):
+            g, h = w * (p[:, c] - (y == c)), w * 2 * p[:, c] * (1 - p[:, c])
+
+            def grow(rows, level, c=c, g=g, h=h, step=step):
+                total_g, total_h = g[rows].sum(), h[rows].sum()
+                best = (1e-9, None)
+                for f in range(x.shape[1] if level < depth else 0):
+                    for cut in range(boosting.BINS - 1):
+                        left = rows[bins[rows, f] <= cut]
+                        gl, hl = g[left].sum(), h[left].sum()
+                        gr, hr = total_g - gl, total_h - hl
+                        if hl >= 1 and hr >= 1:
+                            gain = gl**2 / (hl + 1) + gr**2 / (hr + 1) - total_g**2 / (total_h + 1)
+                            if gain > best[0] + 1e-9:
+                                best = (gain, (f, cut))
+                if best[1] is None:
+                    step[rows, c] = -rate * total_g / (total_h + 1)
+                else:
+                    f, cut = best[1]
+                    grow(rows[bins[rows, f] <= cut], level + 1)
+                    grow(rows[bins[rows, f] > cut], level + 1)
+
+            grow(np.arange(len(y)), 0)
+        scores += step
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def test_boosting_equals_plain_trees(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(160, 3)).round(2)
+    y = (x[:, 0] + 0.3 * rng.normal(size=160) > 0).astype(int) + 2 * (x[:, 2] > 0.8)
+    y = np.minimum(y, 2)
+    df = spark.createDataFrame([(int(a), [float(v) for v in r]) for a, r in zip(y, x)], "label int, features array<double>").repartition(3)
+    model = boosting.fit_boosted_trees(df, "label", rounds=3, depth=2, rate=0.5, rows_share=2.0, columns_share=2.0)
+    w = len(y) / (3 * np.bincount(y)[y])
+    np.testing.assert_allclose(model.probabilities(x), plain_boosting(model, x, y, w, 3, 2, 0.5), atol=1e-9)
+
+
+def test_boosting_in_many_blocks_and_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 7))
+    y = np.where(x[:, 6] > 0.5, 7, np.where(x[:, 1] > 0, 3, 5))  # classes need not be 0, 1, 2
+    df = spark.createDataFrame([(int(a), [float(v) for v in r]) for a, r in zip(y, x)], "label int, features array<double>").repartition(4)
+    edges = np.quantile(x, np.arange(1, boosting.BINS) / boosting.BINS, axis=0).T
+    monkeypatch.setattr(boosting, "bin_edges", lambda *_: edges)  # a sketch's quantiles depend on the order of its parts
+    whole = boosting.fit_boosted_trees(df, "label", rounds=4, depth=3, rate=0.3, rows_share=2.0)
+    for name, value in (("FEATURE_GROUP", 2), ("CHECKPOINT", 2)):
+        monkeypatch.setattr(boosting, name, value)
+    parts = boosting.fit_boosted_trees(df, "label", rounds=4, depth=3, rate=0.3, rows_share=2.0)
+    np.testing.assert_allclose(parts.probabilities(x), whole.probabilities(x), atol=1e-9)
+    out = whole.score(df).select("label", "y_pred", "y_prob").toPandas()
+    assert set(out["y_pred"]) == {3, 5, 7} and (out["label"] == out["y_pred"]).mean() > 0.95
+    assert np.allclose(np.stack(out["y_prob"]).sum(axis=1), 1)
+
+
 def test_quadratic_trend_equals_polyfit(spark):
     from clearsky.operators.reports import quadratic_trends
 
