@@ -19,24 +19,33 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages: those without any letter go."""
+    """Documents in one of the learned languages: those without any letter, or without text, go.
+
+    Rows without an id are judged like all others.
+    """
     return language.determined(docs, language.fit(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text: the one of the smallest id, rows without an id last. Null counts as the empty text."""
     return exact_dedup.deduplicate(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words, similarity 0.8; the smallest id of each group stays."""
+    """One document of each group of near copies (five words, similarity 0.8): the one of the smallest id.
+
+    Rows without an id stay, and so do texts without a word.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in whose text no benchmark item is found. Rows without an id stay."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens: a row per piece of a document. A null text is its end token."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
