@@ -45,14 +45,15 @@ def read_delimited(
     comment: str | None = None,
     separator: str = ",",
     lower: bool = False,
+    bundled: bool = False,
 ) -> DataFrame:
     """``path, file_name, block, pos, header, cells``: the rows of delimited files with their own header.
 
     Empty lines and those that start with ``comment`` are passed over. ``lower`` takes the
-    header in lower case. Values that run over several lines are not supported, so that large
+    header in lower case; for ``bundled`` see ``read_lines``. Values that run over several lines are not supported, so that large
     files stay splittable.
     """
-    lines = read_lines(spark, paths, pattern).where(F.trim("line") != "")
+    lines = read_lines(spark, paths, pattern, bundled=bundled).where(F.trim("line") != "")
     if comment:
         lines = lines.where(~F.col("line").startswith(comment))
     headers = file_headers(lines, separator)

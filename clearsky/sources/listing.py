@@ -80,14 +80,15 @@ KINDS = {
 
 
 def read_tables(
-    spark: SparkSession, root: str, pattern: str = "*_features.csv", types: Mapping[str, str] | None = None
+    spark: SparkSession, root: str, pattern: str = "*_features.csv", types: Mapping[str, str] | None = None,
+    bundled: bool = False,
 ) -> DataFrame:
     """All feature files below a folder as one table; columns may differ by file.
 
     ``types`` declares the columns. Without it the table has every column that some file's
     header names, of the kind that feature tables give it.
-    """
-    rows = read_delimited(spark, root, pattern)
+    """
+    rows = read_delimited(spark, root, pattern, bundled=bundled)
     if types is None:
         names = columns_of(rows)
         if not names:

@@ -28,7 +28,9 @@ def _label(line: Column) -> Column:
     return F.substring(line, 61, 20)
 
 
-def read_records(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
+def read_records(
+    spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None, bundled: bool = False
+) -> DataFrame:
     """``path, file_name, block, pos, record``: one row per epoch of observation files.
 
     A line that starts with ``>`` opens an epoch, so the files are cut at
@@ -36,7 +38,7 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], pattern: str |
     one row, without its ``>``. The row that holds the end of the header is the
     header of its file. (A header in which a line starts with ``>`` is not read.)
     """
-    return read_lines(spark, paths, pattern, separator="\n>").withColumnRenamed("line", "record")
+    return read_lines(spark, paths, pattern, separator="\n>", bundled=bundled).withColumnRenamed("line", "record")
 
 
 def _is_header(record: Column) -> Column:

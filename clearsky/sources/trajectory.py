@@ -243,12 +243,14 @@ def standard_trajectory(df: DataFrame, spec: TrajectorySpec = VEHICLE, order: Se
     ).dropna(subset=["latitude", "longitude"])
 
 
-def read_trajectory(spark: SparkSession, paths, spec: TrajectorySpec = VEHICLE, comment: str = "#") -> DataFrame:
+def read_trajectory(
+    spark: SparkSession, paths, spec: TrajectorySpec = VEHICLE, comment: str = "#", bundled: bool = False
+) -> DataFrame:
     """``standard_trajectory`` of delimited files, each by its own header and its own clock.
 
     A file without a time column or without position columns is an error that names it.
     """
-    rows = read_delimited(spark, paths, comment=comment, lower=True)
+    rows = read_delimited(spark, paths, comment=comment, lower=True, bundled=bundled)
     files = stored(_file_clocks(rows, spec), "clocks")
     known = F.col("time_at").isNotNull() | F.lit(spec.clock_step is not None)
     for what, good in (("time column", known), ("position columns", F.col("placed"))):
@@ -263,9 +265,10 @@ def read_trajectory(spark: SparkSession, paths, spec: TrajectorySpec = VEHICLE,
     if spec.clock_step is not None:
         clock = F.when(F.col("by_row"), sequence_clock(F.col("_row"), step_seconds=spec.clock_step)).otherwise(clock)
     geodetic, short = has("latitude", "longitude"), has("lat", "lon")
-    lat, lon, alt = ecef_to_geodetic(*[number(cell(c)) for c in "xyz"])
+    lat, lon, alt = ecef_to_geodetic(*[F.col(f"_{c}") for c in "xyz"])
     return (
         timed.unionByName(counted)
+        .withColumns({f"_{c}": number(cell(c)) for c in "xyz"})  # read once a row, not once a step
         .select(
             "path",
             "file_name",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clearsky.functions import scalars as sc
 from clearsky.sources import listing, nmea, phone, rinex, solution, trajectory
-from clearsky.sources.lines import number_records, read_lines
+from clearsky.sources.lines import number_records, read_lines, write_bundles
 
 NMEA = """\
 garbage before
@@ -332,3 +332,33 @@ def test_scalar_edges(spark):
     assert r[0] == pytest.approx(31.2, abs=0.2) and r[1] == pytest.approx(121.5, abs=0.2)
     years = [one.select(sc.epoch_to_timestamp(F.lit(v))).first()[0].year for v in (1.7e9, 1.7e12, 1.7e15, 1.7e18)]
     assert years == [2023] * 4
+
+
+def test_bundles_keep_the_order_of_each_recording(spark, tmp_path):
+    """Many recordings in few files; headers first, lines of unknown place last, a null name as Spark names it."""
+    rows = [(f"u{i % 300}", i // 300, i, f"{i:05d}") for i in range(6000)]
+    rows += [(f"u{i}", -1, 0, "head\tof") for i in range(300)] + [(None, 0, 0, "first"), ("u7", None, None, "late"), ("u7", 0, 0, None)]
+    lines = spark.createDataFrame(rows, "path string, block long, pos long, line string").repartition(7, F.rand(1))
+    write_bundles(lines, str(tmp_path / "b"), 5)
+    assert len(list((tmp_path / "b").glob("*.txt"))) <= 5
+    found = {}
+    for r in read_lines(spark, str(tmp_path / "b"), bundled=True).orderBy("path", "block", "pos").collect():
+        found.setdefault(r["path"], []).append(r["line"])
+    assert found.pop("__HIVE_DEFAULT_PARTITION__") == ["first"] and len(found) == 300
+    assert all(found[f"u{i}"] == ["head\tof", *[f"{j:05d}" for j in range(i, 6000, 300)]] for i in range(300) if i != 7)
+    assert found["u7"][0] == "head\tof" and found["u7"][-1] == "late" and "" in found["u7"] and len(found["u7"]) == 23
+
+
+def test_bundled_observation_files_are_cut_at_epochs(spark, tmp_path):
+    rows = [(p, 0, i, t) for p in "ab" for i, t in enumerate(["RINEX", "END OF HEADER", f"> 1 {p}", "G01", f"> 2 {p}", "G02"])]
+    lines = spark.createDataFrame(rows, "path string, block long, pos long, line string")
+    write_bundles(lines, str(tmp_path / "o"), 1, F.col("line").startswith(">") | (F.col("line") == "RINEX"), ">")
+    got = [(r["path"], r["record"].strip()) for r in rinex.read_records(spark, str(tmp_path / "o"), bundled=True).orderBy("block", "pos").collect()]
+    assert got == [(p, t) for p in "ab" for t in ("RINEX\nEND OF HEADER", f"1 {p}\nG01", f"2 {p}\nG02")]
+
+
+def test_nmea_epochs_dealt_to_more_tasks_are_the_same(spark, put):
+    lines = read_lines(spark, put("a.nmea", NMEA * 5))
+    one, many = nmea.nmea_epochs(lines, "2026-05-04"), nmea.nmea_epochs(lines, "2026-05-04", tasks=40)
+    assert many.rdd.getNumPartitions() == 40
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
