@@ -19,14 +19,25 @@ from clearsky.functions.labels import accuracy_band, cnr_band
 from clearsky.operators import reports
 from clearsky.operators.tables import missing_values, session_seconds
 from clearsky.schemas import EXPECTED_SCENARIOS
+from clearsky.session import tasks_for
 
 CONSTELLATIONS = ["A", "N", "R"]
 
 
+OBSERVATIONS_A_TASK = 150_000
+
+
 def observations(spark, sf):
     return session_seconds(lineitem_as_observations(spark, sf), ["run"], "epoch_utc")
 
 
+def dealt_observations(spark, sf):
+    """Dealt by run and time into as many tasks as the observations ask for: aggregates by run, time and
+    more need no further exchange, and distinct times of a run are counted where they lie."""
+    tasks = tasks_for(table(spark, sf, "lineitem"), OBSERVATIONS_A_TASK)
+    return observations(spark, sf).repartition(tasks, "run", "t_sec")
+
+
 @query(
     "epoch_signal_statistics",
     f"""WITH {OBSERVATIONS_SQL}
@@ -34,7 +45,7 @@ SELECT run, t_sec, {sql_rnd("avg(cnr)")} AS mean_cnr, min(cnr) AS min_cnr, max(c
   count(DISTINCT satellite) AS sat_count FROM obs WHERE cnr IS NOT NULL GROUP BY run, t_sec""",
 )
 def epoch_signal_statistics(spark, sf):
-    out = reports.epoch_signal_stats(observations(spark, sf), ["run", "t_sec"])
+    out = reports.epoch_signal_stats(dealt_observations(spark, sf), ["run", "t_sec"])
     return out.select("run", "t_sec", rnd("mean_cnr").alias("mean_cnr"), "min_cnr", "max_cnr", "sat_count")
 
 
@@ -45,7 +56,7 @@ SELECT run, t_sec, constellation, {sql_rnd("avg(cnr)")} AS mean_cnr, count(DISTI
 FROM obs GROUP BY run, t_sec, constellation""",
 )
 def constellation_statistics(spark, sf):
-    out = reports.constellation_stats(observations(spark, sf), ["run", "t_sec"])
+    out = reports.constellation_stats(dealt_observations(spark, sf), ["run", "t_sec"])
     return out.withColumn("mean_cnr", rnd("mean_cnr"))
 
 
@@ -71,7 +82,7 @@ SELECT run, max(t_sec) AS duration_s, count(DISTINCT t_sec) AS total_epochs,
 FROM obs GROUP BY run""",
 )
 def run_summary(spark, sf):
-    out = reports.run_summary(observations(spark, sf), ["run"], constellations=CONSTELLATIONS)
+    out = reports.run_summary(dealt_observations(spark, sf), ["run"], constellations=CONSTELLATIONS)
     fuzzy = ["obs_per_epoch", "mean_cnr", "std_cnr", "below_30_pct", "below_25_pct", *[f"mean_cnr_{c}" for c in CONSTELLATIONS]]
     return out.withColumns({c: rnd(c) for c in fuzzy})
 
@@ -82,7 +93,7 @@ def run_summary(spark, sf):
 SELECT constellation AS scenario, run, t_sec, {sql_rnd("avg(cnr)")} AS mean_cnr FROM obs WHERE cnr IS NOT NULL GROUP BY ALL""",
 )
 def run_trends(spark, sf):
-    obs = observations(spark, sf).withColumnRenamed("constellation", "scenario")
+    obs = dealt_observations(spark, sf).withColumnRenamed("constellation", "scenario")
     return reports.run_trends(obs, ["scenario", "run"]).withColumn("mean_cnr", rnd("mean_cnr"))
 
 
@@ -94,7 +105,7 @@ SELECT constellation AS scenario, run, max(t_sec) AS duration_s, {sql_rnd("avg(c
 FROM obs GROUP BY ALL""",
 )
 def run_comparison(spark, sf):
-    obs = observations(spark, sf).withColumnRenamed("constellation", "scenario")
+    obs = dealt_observations(spark, sf).withColumnRenamed("constellation", "scenario")
     return reports.run_comparison(obs, ["scenario", "run"]).withColumns(
         {"mean_cnr": rnd("mean_cnr"), "below_25_pct": rnd("below_25_pct")}
     )

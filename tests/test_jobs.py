@@ -233,3 +233,17 @@ def test_flagship_matches_its_sql(spark):
     for name in ("labelled_classes", "nearest_asof_join_with_ties", "training_windows_short"):
         assert check.compare(spark, con, name, SF).startswith("ok"), name
     assert isinstance(con, duckdb.DuckDBPyConnection) and "labelled_classes" in entry.oracle_sql()
+
+
+def test_observations_are_dealt_by_their_number(spark, tmp_path):
+    """A task's share stays the same however few shuffle partitions the session has."""
+    from clearsky.catalog import reports
+
+    li = spark.range(400_000).selectExpr(
+        "id AS l_orderkey", "id % 7 AS l_partkey", "id % 3 AS l_suppkey", "cast(id % 7 AS int) AS l_linenumber", "1.0D AS l_quantity",
+        "1.0D AS l_extendedprice", "'A' AS l_returnflag", "timestamp_seconds(id % 1000) AS l_shipdate",
+    )
+    li.write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert reports.dealt_observations(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    row = reports.run_comparison(spark, str(tmp_path)).where("run = 0").first()
+    assert row["total_epochs"] == 1000 and row["mean_cnr"] == 1.0
