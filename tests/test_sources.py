@@ -335,9 +335,9 @@ def test_scalar_edges(spark):
 
 
 def test_bundles_keep_the_order_of_each_recording(spark, tmp_path):
-    """Many recordings in few files; headers first, lines of unknown place last, a null name as Spark names it."""
+    """Many recordings in few files; lines of unknown place first, a null name as Spark names it."""
     rows = [(f"u{i % 300}", i // 300, i, f"{i:05d}") for i in range(6000)]
-    rows += [(f"u{i}", -1, 0, "head\tof") for i in range(300)] + [(None, 0, 0, "first"), ("u7", None, None, "late"), ("u7", 0, 0, None)]
+    rows += [(f"u{i}", -1, 0, "head\tof") for i in range(300)] + [(None, 0, 0, "first"), ("u7", None, None, "unplaced"), ("u7", 0, 0, None)]
     lines = spark.createDataFrame(rows, "path string, block long, pos long, line string").repartition(7, F.rand(1))
     write_bundles(lines, str(tmp_path / "b"), 5)
     assert len(list((tmp_path / "b").glob("*.txt"))) <= 5
@@ -346,7 +346,16 @@ def test_bundles_keep_the_order_of_each_recording(spark, tmp_path):
         found.setdefault(r["path"], []).append(r["line"])
     assert found.pop("__HIVE_DEFAULT_PARTITION__") == ["first"] and len(found) == 300
     assert all(found[f"u{i}"] == ["head\tof", *[f"{j:05d}" for j in range(i, 6000, 300)]] for i in range(300) if i != 7)
-    assert found["u7"][0] == "head\tof" and found["u7"][-1] == "late" and "" in found["u7"] and len(found["u7"]) == 23
+    assert found["u7"][:2] == ["unplaced", "head\tof"] and "" in found["u7"] and len(found["u7"]) == 23
+
+
+def test_a_row_without_time_does_not_come_before_the_header(spark, tmp_path):
+    from clearsky.catalog.recordings import _lines_of_files, as_files
+
+    rows = spark.createDataFrame([("u1", 0, 5, "1,2"), ("u1", None, None, "3,4")], "path string, block long, us long, text string")
+    folder = as_files(_lines_of_files(rows, F.lit("lat,lon"), F.col("text")), "x", 2, str(tmp_path / "x"))
+    out = listing.read_tables(spark, folder, "*.txt", {"lat": "int", "lon": "int"}, bundled=True)
+    assert sorted(map(tuple, out.collect())) == [(1, 2), (3, 4)]
 
 
 def test_bundled_observation_files_are_cut_at_epochs(spark, tmp_path):
