@@ -15,6 +15,7 @@ from clearsky.functions.scalars import argmax, softmax
 from clearsky.operators.boosting import BoostedTrees, fit_boosted_trees
 from clearsky.operators.ordered import attach
 from clearsky.operators.prep import balanced_weights
+from clearsky.session import checkpoint_folder
 
 
 def majority_class(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
@@ -44,9 +45,12 @@ def random_forest(
 ) -> Model:
     """Class-balanced forest with at least five rows per leaf.
 
-    Spark limits the depth to 30. ``features`` is an array column.
+    Spark limits the depth to 30. ``features`` is an array column. Each row keeps the node it has
+    reached in every tree, cut from its lineage as the trees grow: without that, all trees so far go
+    out with every group of nodes and each row walks them again from the root.
     """
-    weighted = balanced_weights(_assembled(train, features), label)
+    checkpoint_folder(train.sparkSession)
+    weighted = balanced_weights(_assembled(train, features), label).select("_features", label, "weight")
     return RandomForestClassifier(
         featuresCol="_features",
         labelCol=label,
@@ -54,6 +58,7 @@ def random_forest(
         numTrees=trees,
         maxDepth=depth,
         minInstancesPerNode=5,
+        cacheNodeIds=True,
         seed=seed,
     ).fit(weighted)
 

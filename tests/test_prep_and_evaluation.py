@@ -302,6 +302,13 @@ def test_training_history(spark, tmp_path):
     assert r["best_epoch"] == 2 and same(r["best_val_f1"], 0.5) and same(r["f1_gap"], 0.4) and same(r["loss_gap"], 0.5)
 
 
+def test_forest_keeps_the_node_of_each_row(spark):
+    df = spark.createDataFrame([(i % 2, [float(i % 2), float(i)]) for i in range(40)], "label int, features array<double>")
+    forest = models.random_forest(df, "label", trees=3, depth=12)
+    assert forest.getCacheNodeIds() and spark.sparkContext.getCheckpointDir() is not None
+    assert [r["y_pred"] == r["label"] for r in models.score(forest, df).collect()] == [True] * 40
+
+
 def test_models_learn_and_explain(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 4))
