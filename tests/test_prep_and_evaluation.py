@@ -145,6 +145,25 @@ def test_visits_are_dealt_into_parts(spark, monkeypatch):
         assert [x["other"] for x in r["near"]] == [j for _, j in want]
 
 
+def test_nearest_rows_in_small_slices(spark, monkeypatch):
+    """Slices of queries, pairs and rows change nothing, with copies and classes mixed in a slice."""
+    for name, size in (("QUERIES", 3), ("PAIRS", 7), ("SLICE_ROWS", 5)):
+        monkeypatch.setattr(neighbours, name, size)
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(90, 3)), 1)
+    v[60:] = v[:30]
+    exact = ((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2)
+    ids = np.arange(90)
+    found = [r for part in neighbours.nearest_among(ids, v, ids, v, 4, np.full(90, np.inf)) for r in zip(*part)]
+    want = [(i, exact[i, j], j) for i in ids for j in [j for j in np.lexsort((ids, exact[i])) if j != i][:4]]
+    assert found == want
+    rows = [(int(i % 2), int(i), v[i].tolist()) for i in ids]
+    df = spark.createDataFrame(rows, "label int, id long, v array<double>")
+    for r in nearest(df, 3, pivots=5, block_rows=10).collect():
+        near = [j for j in np.lexsort((ids, exact[r["id"]])) if j != r["id"] and j % 2 == r["label"]][:3]
+        assert [x["other"] for x in r["near"]] == near
+
+
 def test_synthetic_rows_lie_between_neighbours(spark):
     rows, df = make_classes(spark)
     sizes = oversample.class_sizes(df, "y")
