@@ -10,6 +10,7 @@ from clearsky.operators import evaluate as ev
 from clearsky.operators import models
 from clearsky.operators.ordered import row_index
 from clearsky.plans import training
+from clearsky.session import stored, tasks_for
 
 HORIZON_NAMES = ["5s", "15s", "30s"]
 C = [0, 1, 2]
@@ -423,7 +424,10 @@ def training_history_summary(spark, sf):
 def evaluation_job(spark, sf):
     """The whole report of one method, every table written as JSON; the overall metrics are read back."""
     keys = ["horizon", "source", "scenario"]
-    p = row_index(predictions(spark, sf), keys, "timestamp", ["timestamp", "event_id"], 10 * 86400, "end_idx")
+    rows = predictions(spark, sf)
+    tasks = tasks_for(rows, training.ROWS_A_TASK)
+    # Many tables are made of the numbered rows: they are numbered once.
+    p = stored(row_index(rows, keys, "timestamp", ["timestamp", "event_id"], 10 * 86400, "end_idx", tasks), "predictions")
     folder = shared_folder(spark, "evaluation")
     training.write_report(training.evaluation_report({"rule": p}, scored=["rule"]), folder)
     schema = "method string, horizon string, n bigint, " + ", ".join(f"{m} double" for m in _OVERALL)

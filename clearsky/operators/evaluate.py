@@ -254,6 +254,7 @@ def lead_times(
     pred: str = "y_pred",
     skip: int = 15,
     block_rows: int = 20_000,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Steps between a DEGRADED sample and the latest alert before or at it.
 
@@ -265,6 +266,7 @@ def lead_times(
     block by block: each block works out where scanning resumes after it for
     every possible resume point (at most ``skip`` of them), a small table of one
     row per block chains these, and the blocks then mark their events at once.
+    ``tasks`` says into how many tasks the blocks are dealt (else the session's shuffle partitions).
     """
     by = list(session)
     block = F.floor(F.col(index) / block_rows).cast("long")
@@ -275,6 +277,8 @@ def lead_times(
         (F.col(truth) == 2).alias("_event"),
         (F.col(pred) >= 1).alias("_alert"),
     )
+    if tasks:
+        rows = rows.repartition(tasks, *by, "_block")
     per_block = rows.groupBy(*by, "_block").agg(
         F.array_sort(F.collect_list(F.when(F.col("_event"), F.col("_i")))).alias("_events"),
         F.array_sort(F.collect_list(F.when(F.col("_alert"), F.col("_i")))).alias("_alerts"),

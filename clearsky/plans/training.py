@@ -21,9 +21,11 @@ from clearsky.operators.prep import (
 )
 from clearsky.operators.tables import clip, feature_columns, first_rows, repaired_splits
 from clearsky.schemas import HORIZONS, SESSION
-from clearsky.session import cut_lineage
+from clearsky.session import cut_lineage, tasks_for
 from clearsky.sinks import reuse_or_build, save_scaler, write_metrics
 
+ROWS_A_TASK = 100_000  # predictions that are numbered, or searched for lead times, in one task
+
 
 def prepared(
     labelled: DataFrame,
@@ -147,9 +149,10 @@ def evaluation_report(
     precision-recall curves with their areas, and calibration; the training history where there is one.
     """
     labels = [f"{h}s" for h in horizons]
+    tasks = {n: tasks_for(df, ROWS_A_TASK) for n, df in predictions.items()}
     cells = {n: ev.confusion_cells(df) for n, df in predictions.items()}
     by_source = {n: ev.overall_metrics(ev.confusion_cells(df, ["horizon", "source"]), ["horizon", "source"]) for n, df in predictions.items()}
-    leads = {n: cut_lineage(ev.lead_times(df, ["horizon", *session], "end_idx")) for n, df in predictions.items()}
+    leads = {n: cut_lineage(ev.lead_times(df, ["horizon", *session], "end_idx", tasks=tasks[n])) for n, df in predictions.items()}
     with_scores = {n: cut_lineage(ev.class_scores(predictions[n])) for n in scored if n in predictions}
     by = ["horizon", "class"]
     out = metric_report(predictions, horizons) | {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sessions import COLUMNS, make_sessions, same, to_spark
 
 from clearsky.operators.asof import merge_signal, nearest_asof_join
+from clearsky.operators.evaluate import lead_times
 from clearsky.operators.features import legacy_features, window_features
 from clearsky.operators.ordered import (
     before_cut,
@@ -272,3 +273,22 @@ def test_first_rows_and_resample(spark):
 
 def test_feature_list():
     assert len(FEATURES) == 35 and len(set(FEATURES)) == 35
+
+
+def test_rows_stay_where_they_are_dealt(spark):
+    """Numbering deals the rows once, into the tasks asked for; only the chunk table moves to them."""
+    rows = [(f"s{i % 3}", datetime(2024, 1, 1) + timedelta(hours=i), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "s string, t timestamp, i int")
+    numbered = row_index(df, ["s"], "t", ["t", "i"], 86400, "n", tasks=13)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert "_chunk" in plan and ", 13), REPARTITION_BY_NUM" in plan
+    seen = sorted((r["s"], r["i"], r["n"]) for r in numbered.collect())
+    assert seen == sorted((f"s{i % 3}", i, i // 3 + 1) for i in range(200))
+
+
+def test_lead_times_dealt_into_tasks(spark):
+    rows = [(f"h{i % 2}", i // 2, (i // 2) % 23 // 11, (i * 7) % 3) for i in range(400)]
+    df = spark.createDataFrame([(h, i, 2 * y, p) for h, i, y, p in rows], "h string, i long, y_true int, y_pred int")
+    found = [sorted(map(tuple, lead_times(df, ["h"], "i", block_rows=30, tasks=t).collect())) for t in (None, 7)]
+    assert found[0] and found[0] == found[1]
