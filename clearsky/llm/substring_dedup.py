@@ -29,6 +29,7 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearsky.llm.base import slices
-from clearsky.llm.words import hashed, mix, shingles
+from clearsky.llm.words import hashed, mix, shingles, stretches
 from clearsky.session import stored
 
 WORDS = 5
@@ -56,103 +57,123 @@ def tokens(texts: list, k: int = WORDS) -> list[np.ndarray]:
     return [grams[a : max(a, b - k + 1)] for a, b in zip(places[:-1], places[1:], strict=True)]
 
 
-def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def _windows_of(values: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, l, c, r of the compact windows of many texts that begin at ``places`` (one more at the end).
+
+    A value is the minimum of a node that spans ``least`` values if it is that of some ``least`` values
+    around it. The next smaller values on both sides, the node's borders, are such minima themselves.
+    """
+    low, sizes, width = values, np.diff(places), 1
+    while width < least:
+        step = min(width, least - width)
+        low = np.concatenate([np.minimum(low[:-step], low[step:]), low[-step:]])
+        width += step
+    whole = np.arange(len(values)) + least <= np.repeat(places[1:], sizes)
+    high, width = np.where(whole, low, 0), 1
+    while width < least:
+        step = min(width, least - width)
+        high = np.concatenate([high[:step], np.maximum(high[step:], high[:-step])])
+        width += step
+    c = np.flatnonzero((high == values) & np.repeat(sizes >= least, sizes))
+    text = np.searchsorted(places, c, side="right") - 1
+    # A zero before and behind each text is smaller than all its values.
+    zeros, at = np.searchsorted(c, places) + np.arange(len(places)), np.arange(len(c)) + text + 1
+    v, place = np.zeros(len(c) + len(places), dtype=np.uint64), np.zeros(len(c) + len(places), dtype=np.int64)
+    v[at], place[at], place[zeros] = np.maximum(values[c], 1), c, places
+
+    def smaller(step: int) -> np.ndarray:
+        to, some = np.arange(len(v)) + step, at
+        while len(some):
+            some = some[v[to[some]] >= v[some]]
+            to[some] = to[to[some]]
+        return to[at]
+
+    before = smaller(-1)
+    left = place[before] + (v[before] > 0)
+    right = place[smaller(1)] - 1
+    return text, left - places[text], c - places[text], right - places[text]
+
+
+def compact_windows(values: np.ndarray, least: int) -> np.ndarray:
     """(l, c, r) of every node of the Cartesian tree that spans ``least`` values, once for each place of a tied minimum."""
-    out, todo = [], [(0, len(values))]
-    while todo:
-        low, high = todo.pop()
-        part = values[low:high]
-        c = int(part.argmin())
-        ties = np.flatnonzero(part[c + 1 :] == part[c])
-        out += [(low, low + c + t, high - 1) for t in (0, *(ties + 1).tolist())]
-        if c >= least:
-            todo.append((low, low + c))
-        if len(ties):
-            edges = [c, *(ties + c + 1).tolist()]
-            todo += [(low + a + 1, low + b) for a, b in zip(edges, edges[1:], strict=False) if b - a - 1 >= least]
-            c = edges[-1]
-        if high - low - c - 1 >= least:
-            todo.append((low + c + 1, high))
-    return out
+    if len(values) < least:
+        return np.zeros((0, 3), dtype=np.int64)
+    return np.stack(_windows_of(values, np.array([0, len(values)]), least)[1:], axis=1)
 
 
-def windows(docs: DataFrame, least: int, hashes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, hash, sig, l, c, r."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def windows(found: list[np.ndarray], least: int, hashes: int) -> Iterator[tuple[int, np.ndarray, tuple]]:
+    """hash, sig, (text number, l, c, r) of the compact windows of some texts, given by their tokens."""
+    places = np.concatenate([[0], np.cumsum([len(t) for t in found], dtype=np.int64)])
+    if places[-1] < least:
+        return
+    values = np.concatenate(found)
+    for j in range(hashes):
+        of = mix(values ^ _SEEDS[j])
+        text, left, c, right = _windows_of(of, places, least)
+        yield j, of[c + places[text]], (text, left, c, right)
+
+
+def signatures(texts: DataFrame, least: int, hashes: int) -> DataFrame:
+    """doc_id and sig of the windows of all ``texts`` (i, t)."""
+    kind = texts.schema["i"].dataType.simpleString()
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, names = batch["t"].tolist(), batch["i"]
-            for a, b in slices(texts):
-                rows, sigs, which = [], [], []
-                for i, found in enumerate(tokens(texts[a:b]), a):
-                    if len(found) < least:
-                        continue
-                    for j in range(hashes):
-                        values = mix(found ^ _SEEDS[j])
-                        spans = compact_windows(values, least)
-                        rows += [(j, *s) for s in spans]
-                        sigs.append(values[[s[1] for s in spans]])
-                        which += [i] * len(spans)
-                if rows:
-                    out = pd.DataFrame(np.array(rows, dtype=np.int32), columns=["hash", "l", "c", "r"])
-                    out["sig"] = np.concatenate(sigs).view(np.int64)
-                    out.insert(0, "doc_id", names.iloc[which].array)
-                    yield out[["doc_id", "hash", "sig", "l", "c", "r"]]
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(made, f"doc_id {kind}, hash int, sig long, l int, c int, r int")
-
-
-def ranges(shared: DataFrame, least: int) -> DataFrame:
-    """Interval join per document: doc_id, spans (low, high) of the passages two hash functions agree on."""
-    kind = shared.schema["doc_id"].dataType.simpleString()
-    rows = shared.repartition("doc_id").sortWithinPartitions("doc_id", "hash", "l", "r", "sig", "c")
-
-    def of(pdf: pd.DataFrame) -> list[tuple]:
-        """The document with its disjoint spans, if there are any."""
-        h, l, c, r, sig = (pdf[x].to_numpy() for x in ("hash", "l", "c", "r", "sig"))
-        first = np.ones(len(h), dtype=bool)  # the places of one tied minimum are neighbours
-        first[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1]) | (sig[1:] != sig[:-1])
-        wide = np.int64(1) << np.int64(32)
-        places = (np.cumsum(first) - 1) * wide + c
-        h, l, r = h[first], l[first], r[first]
-        steps = np.zeros(int(r.max()) + 2, dtype=np.int64)
-
-        def held(which, low, high):
-            at = np.searchsorted(places, which * wide + low)
-            return (at < len(places)) & (places[np.minimum(at, len(places) - 1)] <= which * wide + high)
-
-        for i in range(h.max()):
-            for j in range(i + 1, h.max() + 1):
-                one, two = np.flatnonzero(h == i), np.flatnonzero(h == j)
-                for a in range(0, len(one), 512):
-                    x = one[a : a + 512, None]
-                    p, q = np.nonzero(np.minimum(r[x], r[two]) - np.maximum(l[x], l[two]) + 1 >= least)
-                    m, n = one[a : a + 512][p], two[q]
-                    low, high = np.maximum(l[m], l[n]), np.minimum(r[m], r[n])
-                    ok = held(m, low, high) & held(n, low, high)
-                    steps += np.bincount(low[ok], minlength=len(steps)) - np.bincount(high[ok] + 1, minlength=len(steps))
-        inside = np.diff(np.concatenate([[0], (np.cumsum(steps) > 0).astype(np.int8), [0]]))
-        spans = zip(np.flatnonzero(inside == 1).tolist(), (np.flatnonzero(inside == -1) - 1).tolist(), strict=True)
-        found = [{"low": a, "high": b} for a, b in spans]
-        return [(pdf["doc_id"].iloc[0], found)] if found else []
-
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None  # the last document of a batch may go on in the next
-        for batch in batches:
-            if rest is not None:
-                batch = pd.concat([rest, batch], ignore_index=True)
-            doc = batch["doc_id"].to_numpy()
-            edges = np.flatnonzero(doc[1:] != doc[:-1]) + 1
-            found = [f for a, b in zip([0, *edges[:-1]], edges, strict=False) for f in of(batch.iloc[a:b])]
-            rest = batch.iloc[edges[-1] if len(edges) else 0 :]
-            if found:
-                yield pd.DataFrame(found, columns=["doc_id", "spans"])
-        if rest is not None and len(rest) and (found := of(rest)):
-            yield pd.DataFrame(found, columns=["doc_id", "spans"])
-
-    return rows.mapInPandas(joined, f"doc_id {kind}, spans array<struct<low: int, high: int>>")
+            rows = batch["t"].tolist()
+            for a, b in slices(rows):
+                for _, sigs, (text, *_) in windows(tokens(rows[a:b]), least, hashes):
+                    yield pd.DataFrame({"doc_id": batch["i"].iloc[a + text].array, "sig": sigs.view(np.int64)})
+
+    return texts.mapInPandas(made, f"doc_id {kind}, sig long")
+
+
+def agreed(h: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Interval join in a text: spans (low, high) of the passages that the windows of two hash functions agree on."""
+    order = np.lexsort((c, r, l, h))
+    h, l, c, r = h[order], l[order], c[order], r[order]
+    first = np.ones(len(h), dtype=bool)  # the places of one tied minimum are neighbours
+    first[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1])
+    wide = np.int64(1) << np.int64(32)
+    places = (np.cumsum(first) - 1) * wide + c
+    h, l, r = h[first], l[first], r[first]
+    steps = np.zeros(int(r.max()) + 2, dtype=np.int64)
+
+    def held(which, low, high):
+        at = np.searchsorted(places, which * wide + low)
+        return (at < len(places)) & (places[np.minimum(at, len(places) - 1)] <= which * wide + high)
+
+    starts = np.searchsorted(h, np.arange(h.max() + 2))
+    for i in range(h.max()):  # each window with those of all later functions
+        others = np.arange(starts[i + 1], len(h))
+        for a in range(starts[i], starts[i + 1], 512):
+            one = np.arange(a, min(a + 512, starts[i + 1]))
+            p, q = np.nonzero(np.minimum(r[one, None], r[others]) - np.maximum(l[one, None], l[others]) + 1 >= least)
+            m, n = one[p], others[q]
+            low, high = np.maximum(l[m], l[n]), np.minimum(r[m], r[n])
+            ok = held(m, low, high) & held(n, low, high)
+            steps += np.bincount(low[ok], minlength=len(steps)) - np.bincount(high[ok] + 1, minlength=len(steps))
+    inside = np.diff(np.concatenate([[0], (np.cumsum(steps) > 0).astype(np.int8), [0]]))
+    return list(zip(np.flatnonzero(inside == 1).tolist(), (np.flatnonzero(inside == -1) - 1).tolist(), strict=True))
+
+
+def ranges_of(found: list[np.ndarray], shared: np.ndarray, least: int, hashes: int) -> list[list[tuple[int, int]]]:
+    """The spans of each text that its windows with a signature in ``shared`` agree on."""
+    parts = []
+    shared = np.sort(shared)
+    for j, sigs, where in windows(found, least, hashes):
+        at = np.searchsorted(shared, sigs.view(np.int64))
+        keep = shared[np.minimum(at, len(shared) - 1)] == sigs.view(np.int64)
+        parts.append(np.stack([np.full(keep.sum(), j), *[w[keep] for w in where]]))
+    out: list[list[tuple[int, int]]] = [[] for _ in found]
+    if parts:
+        h, text, left, c, right = np.concatenate(parts, axis=1)
+        order = np.argsort(text, kind="stable")
+        edges = np.searchsorted(text[order], np.arange(len(found) + 1))
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if a < b:
+                some = order[a:b]
+                out[i] = agreed(h[some], left[some], c[some], right[some], least)
+    return out
 
 
 def picked(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,89 +195,114 @@ def within(spans: list, size: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _by_text(texts: DataFrame, spans: DataFrame, make, names: list[str], kind: str) -> DataFrame:
-    """doc_id and the columns ``make(tokens, spans)`` gives for each text of ``spans``."""
+def _by_text(texts: DataFrame, others: DataFrame, make, kind: str) -> DataFrame:
+    """doc_id, gram, c: what ``make(tokens of some texts, their cells of column x of others)`` gives for each text."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = batch["t"].tolist()
             for a, b in slices(rows):
-                for i, found in enumerate(tokens(rows[a:b]), a):
-                    where = [tuple(s.values()) for s in batch["spans"].iloc[i]]
-                    out = pd.DataFrame(dict(zip(names, make(found, where), strict=True)))
-                    out.insert(0, "doc_id", batch["doc_id"].iloc[i])
-                    if len(out):
-                        yield out
+                found = make(tokens(rows[a:b]), batch["x"].iloc[a:b].tolist())
+                which = np.repeat(np.arange(a, b), [len(at) for _, at in found])
+                if len(which):
+                    grams, at = (np.concatenate(v) for v in zip(*found, strict=True))
+                    yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[which].array, "gram": grams, "c": at})
 
-    schema = f"doc_id {kind}, {', '.join(n + (' long' if n == 'gram' else ' int') for n in names)}"
-    return texts.join(spans, texts["i"] == spans["doc_id"]).select("doc_id", "t", "spans").mapInPandas(made, schema)
+    joined = texts.join(others, texts["i"] == others["doc_id"]).select("doc_id", "t", "x")
+    return joined.mapInPandas(made, f"doc_id {kind}, gram long, c int")
 
 
 def runs_of(found: np.ndarray, spans: list) -> tuple[np.ndarray, np.ndarray]:
+    if not spans:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
     grams, at = picked(found)
     inside = within(spans, len(found))
     keep = inside[at] & inside[at + RUN - 1] if len(at) else np.zeros(0, dtype=bool)
     return grams[keep].view(np.int64), at[keep].astype(np.int32)
 
 
-def passages_of(found: np.ndarray, spans: list, least: int) -> tuple[np.ndarray, np.ndarray]:
+def passages_of(found: np.ndarray, opened: list, least: int) -> tuple[np.ndarray, np.ndarray]:
     """All passages of ``least`` tokens around a text's open runs."""
-    inside = within([(s[0] - least, s[0] + RUN + least) for s in spans], len(found))
-    grams = shingles(found, np.array([0, len(found)]), least)[0]
+    inside = within([(c - least, c + RUN + least) for c in opened], len(found))
     at = np.flatnonzero(inside[: len(found) - least + 1] & inside[least - 1 :]) if len(found) >= least else np.zeros(0, int)
-    return grams[at].view(np.int64), at.astype(np.int32)
+    return stretches(found, at, least).view(np.int64), at.astype(np.int32)
 
 
-def candidates(runs: DataFrame, margin: int) -> DataFrame:
-    """doc_id, leader, anchors, leader_low, leader_high: a row per pair, with what it needs of the leader's text."""
-    places = runs.groupBy("gram", "doc_id").agg(F.collect_list("c").alias("cs"))
-    leaders = (
-        places.groupBy("gram")
-        .agg(
-            F.min(F.struct("doc_id", F.array_min("cs").alias("a"), F.array_max("cs").alias("z"))).alias("first"),
-            F.max("doc_id").alias("last"),
-        )
-        .where("first.doc_id <> last")
-        .select("gram", F.col("first.doc_id").alias("leader"), F.col("first.a").alias("a"), F.col("first.z").alias("z"))
+def led(runs: DataFrame) -> DataFrame:
+    """doc_id, gram, c of the runs with a smaller document, their leader; and its first and last place a, z of the run."""
+    of = Window.partitionBy("gram")
+    leading = F.when(F.col("doc_id") == F.col("leader"), F.col("c"))
+    return (
+        runs.withColumn("leader", F.min("doc_id").over(of))
+        .withColumn("last", F.max("doc_id").over(of))
+        .withColumn("a", F.min(leading).over(of))
+        .withColumn("z", F.max(leading).over(of))
+        .where((F.col("leader") != F.col("last")) & (F.col("doc_id") != F.col("leader")))
+        .drop("last")
     )
+
+
+def candidates(runs: DataFrame, margin: int) -> DataFrame:
+    """doc_id, leader, anchors, leader_low, leader_high: a row per pair of ``led`` runs, with what it needs of the leader's text."""
     block = 256  # few different stretches of one leader
-    return (
-        places.join(leaders, "gram")
-        .where("doc_id <> leader")
-        .groupBy("doc_id", "leader")
-        .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("cs")))).alias("anchors"),
-            (F.floor(F.greatest(F.lit(0), F.min("a") - margin) / block) * block).cast("int").alias("leader_low"),
-            (F.ceil((F.max("z") + RUN + margin) / block) * block).cast("int").alias("leader_high"),
-        )
+    return runs.groupBy("doc_id", "leader").agg(
+        F.collect_set("c").alias("anchors"),
+        (F.floor(F.greatest(F.lit(0), F.min("a") - margin) / block) * block).cast("int").alias("leader_low"),
+        (F.ceil((F.max("z") + RUN + margin) / block) * block).cast("int").alias("leader_high"),
     )
 
 
-def grown(own: np.ndarray, other: np.ndarray, at: int, similarity: float) -> tuple[int, int]:
-    """The longest stretch around ``at`` whose either side has ``similarity`` of equal tokens."""
-    score = (own == other) - similarity
-    right = np.flatnonzero(np.cumsum(score[at:]) >= -1e-9)
-    left = np.flatnonzero(np.cumsum(score[at::-1]) >= -1e-9)
-    return at - int(left[-1] if len(left) else 0), at + int(right[-1] if len(right) else 0) + 1
+def grown(equal: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The longest stretch around each place ``at`` of a diagonal whose either side has ``similarity`` of equal tokens."""
+    sums = np.concatenate([[0], np.cumsum(equal - similarity)])
+    ahead = np.maximum.accumulate(sums[::-1])[::-1]  # the last sum that is not below a bound is the last such maximum
+    behind = np.minimum.accumulate(sums)
+    starts = np.searchsorted(-behind, -(sums[at + 1] + 1e-9), side="left")
+    return starts, np.searchsorted(-ahead, -(sums[at] - 1e-9), side="right") - 1
 
 
-def aligned(own: np.ndarray, theirs: np.ndarray, low: int, high: int, shifts: list[int], least: int, similarity: float) -> list[tuple[int, int, float]]:
-    """Stretches of ``own[low:high]`` whose alignment over the diagonals ``shifts`` has the Jaccard similarity."""
-    runs = []
-    for d in shifts:
-        a, b = max(low, d), min(high, d + len(theirs))
-        if a < b:
-            equal = np.diff(np.concatenate([[0], (own[a:b] == theirs[a - d : b - d]).view(np.int8), [0]]))
-            runs += [(a + x, a + y, d) for x, y in zip(np.flatnonzero(equal == 1), np.flatnonzero(equal == -1), strict=True)]
-    path: list[tuple[int, int, int]] = []  # in order in both texts; longer runs first win their place
-    for x, y, d in sorted(runs, key=lambda run: run[0] - run[1]):
-        if all(
-            (y <= p and y - d <= p - e) or (x >= q and x - d >= q - e) for p, q, e in path
-        ):
-            path.append((x, y, d))
-    if not path:
+def matches(own: np.ndarray, order: np.ndarray, ranked: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Equal places (of ``own``, only those in ``at``; of the text with these ranked tokens), about ``most`` at a time."""
+    a, b = np.searchsorted(ranked, own[at]), np.searchsorted(ranked, own[at], side="right")
+    upto = np.cumsum(b - a)
+    p = 0
+    while p < len(at):
+        q = max(p + 1, int(np.searchsorted(upto, (upto[p - 1] if p else 0) + most, side="right")))
+        n = (b - a)[p:q]
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(at[p:q], n), order[np.repeat(a[p:q], n) + offset]
+        p = q
+
+
+def aligned(
+    own: np.ndarray, order: np.ndarray, ranked: np.ndarray, low: int, high: int, shifts: tuple[int, int], least: int, similarity: float
+) -> list[tuple[int, int, float]]:
+    """Stretches of ``own[low:high]`` whose alignment over the diagonals ``shifts`` (first, last) has the Jaccard similarity.
+
+    ``order`` and ``ranked``: the other text's tokens by value.
+    """
+    found = []
+    for x, place in matches(own, order, ranked, np.arange(low, high)):
+        near = (x - place >= shifts[0]) & (x - place <= shifts[1])
+        found.append((x[near], x[near] - place[near]))
+    x, d = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+    # Each place of own is equal once at most, and the lengths are least or more.
+    if len(np.unique(x)) * (1 + similarity) < 2 * least * similarity - 1e-6:
         return []
-    path.sort()
+    by = np.lexsort((x, d))
+    x, d = x[by], d[by]
+    opens = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1] + 1)]))
+    sizes = np.diff(np.append(opens, len(x)))
+    by = opens[np.argsort(-sizes, kind="stable")]
+    path: list[tuple[int, int, int]] = []  # in order in both texts; longer runs first win their place
+    for x, n, d in zip(x[by].tolist(), -np.sort(-sizes), d[by].tolist(), strict=True):
+        y = x + int(n)
+        k = bisect.bisect_left(path, (x, y, d))
+        if k and not (x >= path[k - 1][1] and x - d >= path[k - 1][1] - path[k - 1][2]):
+            continue
+        if k < len(path) and not (y <= path[k][0] and y - d <= path[k][0] - path[k][2]):
+            continue
+        path.insert(k, (x, y, d))
     x, y, d = (np.array(v, dtype=np.int64) for v in zip(*path, strict=True))
     both = np.concatenate([[0], np.cumsum(y - x)])
     out: list[tuple[int, int, float]] = []
@@ -274,7 +320,7 @@ def aligned(own: np.ndarray, theirs: np.ndarray, low: int, high: int, shifts: li
             left = min(max(0, least - (b - a)), len(own) - b)
             b += left
             a = max(0, min(a, b - least))
-            if b - a >= least and len(theirs) >= least:
+            if b - a >= least and len(order) >= least:
                 out.append((a, b, float(alike[k])))
             i += k + 1
         else:
@@ -286,39 +332,66 @@ def verify_pair(own: np.ndarray, theirs: np.ndarray, anchors: list[int], least:
     """Spans (start, end, similarity) of ``own`` that repeat a stretch of ``theirs``; anchors are runs of both."""
     order = np.argsort(theirs, kind="stable")
     ranked = theirs[order]
-    at = np.array(sorted(anchors), dtype=np.int64)
-    a, b = np.searchsorted(ranked, own[at]), np.searchsorted(ranked, own[at], side="right")
-    meets: dict[int, list[int]] = {}
-    for c, p, q in zip(at.tolist(), a.tolist(), b.tolist(), strict=True):
-        for place in order[p:q].tolist():
-            meets.setdefault(c - place, []).append(c)
+    at = np.unique(np.array(anchors, dtype=np.int64))
+    # Equal tokens on each diagonal; too few of them make no passage.
+    counts = np.zeros(len(own) + len(theirs), dtype=np.int64)
+    for x, place in matches(own, order, ranked, np.arange(len(own))):
+        counts += np.bincount(x - place + len(theirs), minlength=len(counts))
+    likely = np.flatnonzero(counts >= least * similarity - 1)
     out: list[tuple[int, int, float]] = []
-    for shift, places in meets.items():
+    whole = (0, 0)  # the widest equal stretch: spans inside it say nothing new
+    for shift in (likely[np.argsort(-counts[likely], kind="stable")] - len(theirs)).tolist():
         low, high = max(0, shift), min(len(own), shift + len(theirs))
-        mine, other, done = own[low:high], theirs[low - shift : high - shift], -1
-        for c in places:
-            if c < done:
-                continue
-            a, b = grown(mine, other, c - low, similarity)
-            if b - a >= least:
-                done = low + b
-                out.append((low + a, low + b, float((mine[a:b] == other[a:b]).mean())))
+        if whole[0] <= low and high <= whole[1]:
+            continue
+        equal = own[low:high] == theirs[low - shift : high - shift]
+        places = at[np.searchsorted(at, low) : np.searchsorted(at, high)] - low
+        places = places[equal[places]]
+        if not len(places):
+            continue
+        starts, ends = grown(equal, places, similarity)
+        wide, done = ends - starts >= least, -1
+        for c, a, b in zip(places[wide].tolist(), starts[wide].tolist(), ends[wide].tolist(), strict=True):
+            if c >= done:
+                done = b
+                out.append((low + a, low + b, float(np.count_nonzero(equal[a:b]) / (b - a))))
+                if out[-1][2] == 1 and b - a > whole[1] - whole[0]:
+                    whole = (low + a, low + b)
     # Words put in or left out move the diagonal: what no single diagonal covers is aligned over neighbouring ones.
     covered = within([(a, b - 1) for a, b, _ in out], len(own))
-    groups: list[tuple[list[int], list[int]]] = []
-    for shift in sorted(meets):
-        left = [c for c in meets[shift] if not covered[c]]
-        if left and groups and shift - groups[-1][0][-1] <= BAND:
-            groups[-1][0].append(shift)
-            groups[-1][1].extend(left)
-        elif left:
-            groups.append(([shift], left))
-    for shifts, places in groups:
-        places = sorted(places)
-        cuts = [0, *[k for k in range(1, len(places)) if places[k] - places[k - 1] > 4 * least], len(places)]
-        for p, q in zip(cuts[:-1], cuts[1:], strict=True):
-            low, high = max(0, places[p] - 2 * least), min(len(own), places[q - 1] + 2 * least)
-            out += aligned(own, theirs, low, high, list(range(shifts[0] - BAND, shifts[-1] + BAND + 1)), least, similarity)
+    left = list(matches(own, order, ranked, at[~covered[at]]))
+    if not left:
+        return out
+    places, theirs_at = (np.concatenate(v) for v in zip(*left, strict=True))
+    by = np.argsort(places - theirs_at, kind="stable")
+    places, shifts = places[by], (places - theirs_at)[by]
+    cuts = [0, *(np.flatnonzero(np.diff(shifts) > BAND) + 1).tolist(), len(shifts)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if i == j:
+            continue
+        some = np.unique(places[i:j])
+        edges = [0, *(np.flatnonzero(np.diff(some) > 4 * least) + 1).tolist(), len(some)]
+        for p, q in zip(edges[:-1], edges[1:], strict=True):
+            low, high = max(0, int(some[p]) - 2 * least), min(len(own), int(some[q - 1]) + 2 * least)
+            near = (int(shifts[i]) - BAND, int(shifts[j - 1]) + BAND)
+            out += aligned(own, order, ranked, low, high, near, least, similarity)
+    return out
+
+
+def widest(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """The spans that lie in no other one, each with the highest similarity of all it overlaps with, directly or by others."""
+    out: list[tuple[int, int, float]] = []
+    island: list[tuple[int, int]] = []
+    best = reach = -1.0
+
+    for a, b, alike in [*sorted(spans, key=lambda s: (s[0], -s[1])), (1 << 62, 1 << 62, 0.0)]:
+        if a - (WORDS - 1) > reach:  # spans of tokens: their words overlap or touch a little longer
+            out += [(x, y, best) for x, y in island]
+            island, best, reach = [], -1.0, -1.0
+        if b > reach:
+            island.append((a, b))
+            reach = b
+        best = max(best, alike)
     return out
 
 
@@ -333,16 +406,22 @@ def repeated_passages(
     """doc_id, keep_id, start_word, end_word, similarity: passages of a text that another one keeps."""
     least = least_words - WORDS + 1
     kind = docs.schema[id_col].dataType.simpleString()
-    every = stored(windows(docs, least, hashes, id_col, text_col), "windows")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    of = Window.partitionBy("sig")
     repeated = (
-        every.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("sig")
+        signatures(texts, least, hashes)
+        .withColumn("a", F.min("doc_id").over(of))
+        .withColumn("z", F.max("doc_id").over(of))
+        .where("a <> z")
     )
-    shared = every.join(stored(repeated, "signatures"), "sig", "left_semi")
-    agreed = ranges(shared, least)
+    shared = repeated.groupBy("doc_id").agg(F.collect_set("sig").alias("x"))
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    runs = stored(_by_text(texts, agreed, runs_of, ["gram", "c"], kind), "runs")
-    found = stored(candidates(runs, 2 * least), "candidates")
+    def runs_in(found: list[np.ndarray], sigs: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        spans = ranges_of(found, np.concatenate(sigs), least, hashes)
+        return [runs_of(t, s) for t, s in zip(found, spans, strict=True)]
+
+    runs = stored(_by_text(texts, shared, runs_in, kind), "runs")
+    found = stored(candidates(led(runs), 2 * least), "candidates")
     wanted = (
         found.groupBy("leader")
         .agg(F.collect_set(F.struct("leader_low", "leader_high")).alias("spans"))  # multiples of a block
@@ -371,45 +450,69 @@ def repeated_passages(
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            texts = batch["t"].tolist()
+            texts, passages, anchors = (batch[x].tolist() for x in ("t", "passage", "anchors"))
+            which, rows = [], []
             for a, b in slices(texts):
-                for i, own in enumerate(tokens(texts[a:b]), a):
-                    row = batch.iloc[i]
-                    theirs = np.frombuffer(row["passage"], np.uint64)
-                    anchors = [c for c in row["anchors"] if c < len(own)]  # another row of the id may be shorter
-                    for low, high, alike in verify_pair(own, theirs, anchors, least, similarity):
-                        rows.append((row["doc_id"], row["leader"], low, high + WORDS - 1, alike))
-            yield pd.DataFrame(rows, columns=["doc_id", "keep_id", "start_word", "end_word", "similarity"])
-
-    spans = stored(
+                several = list(dict.fromkeys(texts[a:b]))  # a text comes once for each of its leaders
+                of = dict(zip(several, tokens(several), strict=True))
+                for i in range(a, b):
+                    own, theirs, at = of[texts[i]], np.frombuffer(passages[i], np.uint64), np.asarray(anchors[i])
+                    at = at[at < len(own)]  # another row of the id may be shorter
+                    made = [
+                        (x, y + WORDS - 1, alike, None) for x, y, alike in widest(verify_pair(own, theirs, at, least, similarity))
+                    ]
+                    which += [i] * len(made)
+                    rows += made
+                    opened = at[~inside_one([m[:2] for m in made], at)]
+                    if len(opened):
+                        grams = shingles(own, np.array([0, len(own)]), RUN)[0][opened].view(np.int64)
+                        which += [i] * len(opened)
+                        rows += [(c, None, None, g) for c, g in zip(opened.tolist(), grams.tolist(), strict=True)]
+            out = batch[["doc_id", "leader"]].iloc[which].reset_index(drop=True).set_axis(["doc_id", "keep_id"], axis=1)
+            for name, kind_, cells in zip(names, ("Int64", "Int64", "Float64", "Int64"), zip(*rows, strict=True) if rows else [()] * 4, strict=True):
+                out[name] = pd.array(cells, dtype=kind_)
+            yield out
+
+    names = ["start_word", "end_word", "similarity", "gram"]
+    verdicts = stored(
         texts.join(offered, texts["i"] == offered["doc_id"])
         .select("doc_id", "t", "leader", "anchors", "passage")
-        .mapInPandas(verified, f"doc_id {kind}, keep_id {kind}, start_word long, end_word long, similarity double"),
+        .mapInPandas(
+            verified, f"doc_id {kind}, keep_id {kind}, start_word long, end_word long, similarity double, gram long"
+        ),
         "spans",
     )
-    return merged(spans.unionByName(equal_passages(texts, runs, spans, least, kind)))
+    spans = verdicts.where("gram IS NULL").drop("gram")
+    opened = verdicts.where("gram IS NOT NULL").select("doc_id", F.col("start_word").alias("c"), "gram")
+    return merged(spans.unionByName(equal_passages(texts, runs, opened, spans, least, kind)))
 
 
-def equal_passages(texts: DataFrame, runs: DataFrame, spans: DataFrame, least: int, kind: str) -> DataFrame:
-    """Spans of equal passages around the runs that no accepted stretch of their text covers."""
-    settled = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("done"))
+def inside_one(spans: list[tuple[int, int]], at: np.ndarray) -> np.ndarray:
+    """Which runs, by their first words, lie in one of the spans of words (start, end)."""
+    if not spans:
+        return np.zeros(len(at), dtype=bool)
+    starts, ends = np.array(sorted(spans)).T
+    k = np.searchsorted(starts, at, side="right") - 1
+    return (k >= 0) & (np.maximum.accumulate(ends)[np.maximum(k, 0)] >= at + RUN + WORDS - 1)
+
+
+def equal_passages(texts: DataFrame, runs: DataFrame, opened: DataFrame, spans: DataFrame, least: int, kind: str) -> DataFrame:
+    """Spans of equal passages around the runs that no accepted stretch of their text covers.
+
+    ``opened``: doc_id, c, gram of the runs that no stretch shared with their leader covers.
+    """
+    some = spans.join(opened.select("doc_id").distinct(), "doc_id", "left_semi")
+    settled = some.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("done"))
     covered = F.exists("done", lambda s: (s["start_word"] <= F.col("c")) & (F.col("c") + RUN + WORDS - 1 <= s["end_word"]))
-    several = runs.groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("z")).where("first <> z")
     left = (
-        runs.join(several.select("gram", "first"), "gram")
-        .where("doc_id <> first")
-        .join(settled, "doc_id", "left")
+        opened.join(settled, "doc_id", "left")
         .where(F.coalesce(~covered, F.lit(True)))
         .select("gram")
         .distinct()
     )
-    around = (
-        runs.join(left, "gram", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("c")).alias("spans"))
-    )
-    grams = stored(_by_text(texts, around, lambda t, s: passages_of(t, s, least), ["gram", "c"], kind), "equal")
+    around = runs.join(left, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("c").alias("x"))
+    made = lambda found, places: [passages_of(t, c, least) for t, c in zip(found, places, strict=True)]
+    grams = stored(_by_text(texts, around, made, kind), "equal")
     leaders = (
         grams.groupBy("gram").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("z")).where("keep_id <> z")
     )

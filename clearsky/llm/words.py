@@ -78,6 +78,14 @@ def shingles(words: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(out), inside
 
 
+def stretches(values: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` values from each place ``at`` on, by differences of running sums: for long stretches."""
+    power, inverse = _power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(mix(values) * power[: len(values)], out=sums[1:])
+    return mix((sums[at + k] - sums[at]) * inverse[at])
+
+
 def short_sequence(words: np.ndarray) -> np.uint64:
     """One hash for a whole sequence shorter than a shingle; never that of a shingle of other length by rule."""
     out = np.uint64(len(words))

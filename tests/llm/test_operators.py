@@ -328,6 +328,42 @@ def test_compact_windows_cover_every_passage():
                 assert any(x <= a and b - 1 <= z and values[c] == values[a:b].min() for x, c, z in found)
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(2)
+    found = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 4, 5, 300, 6, 40)] + [np.ones(30, np.uint64)]
+    got = [[] for _ in found]
+    for j, sigs, (text, left, c, right) in substring_dedup.windows(found, 5, 2):
+        for row in zip(text.tolist(), left.tolist(), c.tolist(), right.tolist(), sigs.tolist()):
+            got[row[0]].append((j, *row[1:]))
+    for t, rows in zip(found, got):
+        want = []
+        for j in range(2):
+            values = substring_dedup.mix(t ^ substring_dedup._SEEDS[j]).tolist()
+            for c, v in enumerate(values):
+                left, right = c, c
+                while left and values[left - 1] >= v:
+                    left -= 1
+                while right + 1 < len(values) and values[right + 1] >= v:
+                    right += 1
+                want += [(j, left, c, right, v)] * (right - left + 1 >= 5)
+        assert sorted(rows) == sorted(want)
+
+
+def test_repeated_lines_are_compared_once_a_diagonal(monkeypatch):
+    lines = np.tile(np.arange(1, 21, dtype=np.uint64), 40)
+    calls, grown = [], substring_dedup.grown
+    monkeypatch.setattr(substring_dedup, "grown", lambda *args: calls.append(1) or grown(*args))
+    at = list(range(0, 790, 3))
+    # A copy is one span. With other words on every second line the diagonals are looked at once, not once an anchor.
+    assert substring_dedup.widest(substring_dedup.verify_pair(lines, lines, at, 46, 0.8)) == [(0, 800, 1.0)]
+    assert len(calls) == 1
+    other = lines.copy()
+    other[::2] += np.arange(1000, 1400, dtype=np.uint64) * np.uint64(1000)
+    calls.clear()
+    assert substring_dedup.verify_pair(lines, other, [x for x in at if x % 2], 46, 0.8) == []
+    assert len(calls) <= len(lines) // 10
+
+
 def _planted(spark, rng, bodies):
     """Documents of foreign words with ``bodies`` (lists of words) in the middle, in order of their ids."""
     foreign = lambda n: [f"f{v}" for v in rng.integers(0, 1 << 40, n)]
