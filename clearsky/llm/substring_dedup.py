@@ -121,7 +121,9 @@ def signatures(texts: DataFrame, least: int, hashes: int) -> DataFrame:
         for batch in batches:
             rows = batch["t"].tolist()
             for a, b in slices(rows):
-                for _, sigs, (text, *_) in windows(tokens(rows[a:b]), least, hashes):
+                found = [(sigs, text) for _, sigs, (text, *_) in windows(tokens(rows[a:b]), least, hashes)]
+                if found:
+                    sigs, text = (np.concatenate(v) for v in zip(*found, strict=True))
                     yield pd.DataFrame({"doc_id": batch["i"].iloc[a + text].array, "sig": sigs.view(np.int64)})
 
     return texts.mapInPandas(made, f"doc_id {kind}, sig long")
@@ -136,22 +138,23 @@ def agreed(h: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, least: in
     wide = np.int64(1) << np.int64(32)
     places = (np.cumsum(first) - 1) * wide + c
     h, l, r = h[first], l[first], r[first]
+    if h[0] == h[-1]:
+        return []
     steps = np.zeros(int(r.max()) + 2, dtype=np.int64)
 
     def held(which, low, high):
         at = np.searchsorted(places, which * wide + low)
         return (at < len(places)) & (places[np.minimum(at, len(places) - 1)] <= which * wide + high)
 
-    starts = np.searchsorted(h, np.arange(h.max() + 2))
-    for i in range(h.max()):  # each window with those of all later functions
-        others = np.arange(starts[i + 1], len(h))
-        for a in range(starts[i], starts[i + 1], 512):
-            one = np.arange(a, min(a + 512, starts[i + 1]))
-            p, q = np.nonzero(np.minimum(r[one, None], r[others]) - np.maximum(l[one, None], l[others]) + 1 >= least)
-            m, n = one[p], others[q]
-            low, high = np.maximum(l[m], l[n]), np.minimum(r[m], r[n])
-            ok = held(m, low, high) & held(n, low, high)
-            steps += np.bincount(low[ok], minlength=len(steps)) - np.bincount(high[ok] + 1, minlength=len(steps))
+    for a in range(0, len(h), 512):  # each window with those of all later functions
+        one = np.arange(a, min(a + 512, len(h)))
+        others = np.arange(np.searchsorted(h, h[a], side="right"), len(h))
+        meet = np.minimum(r[one, None], r[others]) - np.maximum(l[one, None], l[others]) + 1 >= least
+        p, q = np.nonzero(meet & (h[one, None] < h[others]))
+        m, n = one[p], others[q]
+        low, high = np.maximum(l[m], l[n]), np.minimum(r[m], r[n])
+        ok = held(m, low, high) & held(n, low, high)
+        steps += np.bincount(low[ok], minlength=len(steps)) - np.bincount(high[ok] + 1, minlength=len(steps))
     inside = np.diff(np.concatenate([[0], (np.cumsum(steps) > 0).astype(np.int8), [0]]))
     return list(zip(np.flatnonzero(inside == 1).tolist(), (np.flatnonzero(inside == -1) - 1).tolist(), strict=True))
 
@@ -181,8 +184,12 @@ def picked(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grams = shingles(found, np.array([0, len(found)]), RUN)[0][: max(0, len(found) - RUN + 1)]
     if len(grams) < PICK:
         return grams[:0], np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams[::-1], PICK)
-    at = np.unique(len(grams) - 1 - (np.arange(len(views)) + views.argmin(axis=1)))
+    least, at = grams, np.arange(len(grams))
+    for j in range(1, PICK):
+        least, later = least[:-1], grams[j:]
+        at = np.where(later <= least, np.arange(j, len(grams)), at[:-1])
+        least = np.minimum(least, later)
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]  # they never go back
     return grams[at], at
 
 
@@ -234,11 +241,9 @@ def led(runs: DataFrame) -> DataFrame:
     leading = F.when(F.col("doc_id") == F.col("leader"), F.col("c"))
     return (
         runs.withColumn("leader", F.min("doc_id").over(of))
-        .withColumn("last", F.max("doc_id").over(of))
         .withColumn("a", F.min(leading).over(of))
         .withColumn("z", F.max(leading).over(of))
-        .where((F.col("leader") != F.col("last")) & (F.col("doc_id") != F.col("leader")))
-        .drop("last")
+        .where("doc_id <> leader")
     )
 
 
@@ -339,13 +344,14 @@ def verify_pair(own: np.ndarray, theirs: np.ndarray, anchors: list[int], least:
         counts += np.bincount(x - place + len(theirs), minlength=len(counts))
     likely = np.flatnonzero(counts >= least * similarity - 1)
     out: list[tuple[int, int, float]] = []
+    listed = at.tolist()
     whole = (0, 0)  # the widest equal stretch: spans inside it say nothing new
     for shift in (likely[np.argsort(-counts[likely], kind="stable")] - len(theirs)).tolist():
         low, high = max(0, shift), min(len(own), shift + len(theirs))
         if whole[0] <= low and high <= whole[1]:
             continue
         equal = own[low:high] == theirs[low - shift : high - shift]
-        places = at[np.searchsorted(at, low) : np.searchsorted(at, high)] - low
+        places = at[bisect.bisect_left(listed, low) : bisect.bisect_left(listed, high)] - low
         places = places[equal[places]]
         if not len(places):
             continue
@@ -451,29 +457,23 @@ def repeated_passages(
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, passages, anchors = (batch[x].tolist() for x in ("t", "passage", "anchors"))
-            which, rows = [], []
+            parts = []  # number of the row, start, end, similarity, run
             for a, b in slices(texts):
                 several = list(dict.fromkeys(texts[a:b]))  # a text comes once for each of its leaders
                 of = dict(zip(several, tokens(several), strict=True))
                 for i in range(a, b):
                     own, theirs, at = of[texts[i]], np.frombuffer(passages[i], np.uint64), np.asarray(anchors[i])
                     at = at[at < len(own)]  # another row of the id may be shorter
-                    made = [
-                        (x, y + WORDS - 1, alike, None) for x, y, alike in widest(verify_pair(own, theirs, at, least, similarity))
-                    ]
-                    which += [i] * len(made)
-                    rows += made
-                    opened = at[~inside_one([m[:2] for m in made], at)]
-                    if len(opened):
-                        grams = shingles(own, np.array([0, len(own)]), RUN)[0][opened].view(np.int64)
-                        which += [i] * len(opened)
-                        rows += [(c, None, None, g) for c, g in zip(opened.tolist(), grams.tolist(), strict=True)]
-            out = batch[["doc_id", "leader"]].iloc[which].reset_index(drop=True).set_axis(["doc_id", "keep_id"], axis=1)
-            for name, kind_, cells in zip(names, ("Int64", "Int64", "Float64", "Int64"), zip(*rows, strict=True) if rows else [()] * 4, strict=True):
-                out[name] = pd.array(cells, dtype=kind_)
-            yield out
-
-    names = ["start_word", "end_word", "similarity", "gram"]
+                    made = np.array(widest(verify_pair(own, theirs, at, least, similarity)), dtype=np.float64).reshape(-1, 3)
+                    low, high = made[:, 0].astype(np.int64), made[:, 1].astype(np.int64) + WORDS - 1
+                    opened = at[~inside_one(low, high, at)]
+                    grams = shingles(own, np.array([0, len(own)]), RUN)[0][opened].view(np.int64) if len(opened) else opened
+                    parts.append((np.full(len(low), i), low, high, made[:, 2], np.zeros(len(low), dtype=np.int64)))
+                    parts.append((np.full(len(opened), i), opened, np.full(len(opened), -1), np.zeros(len(opened)), grams))
+            if parts:
+                which, *cells = (np.concatenate(v) for v in zip(*parts, strict=True))
+                out = batch[["doc_id", "leader"]].iloc[which].reset_index(drop=True).set_axis(["doc_id", "keep_id"], axis=1)
+                yield out.assign(**dict(zip(("start_word", "end_word", "similarity", "gram"), cells, strict=True)))
     verdicts = stored(
         texts.join(offered, texts["i"] == offered["doc_id"])
         .select("doc_id", "t", "leader", "anchors", "passage")
@@ -482,16 +482,15 @@ def repeated_passages(
         ),
         "spans",
     )
-    spans = verdicts.where("gram IS NULL").drop("gram")
-    opened = verdicts.where("gram IS NOT NULL").select("doc_id", F.col("start_word").alias("c"), "gram")
+    spans = verdicts.where("end_word >= 0").drop("gram")
+    opened = verdicts.where("end_word < 0").select("doc_id", F.col("start_word").alias("c"), "gram")
     return merged(spans.unionByName(equal_passages(texts, runs, opened, spans, least, kind)))
 
 
-def inside_one(spans: list[tuple[int, int]], at: np.ndarray) -> np.ndarray:
-    """Which runs, by their first words, lie in one of the spans of words (start, end)."""
-    if not spans:
+def inside_one(starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which runs, by their first words, lie in one of the spans of words; these are in order."""
+    if not len(starts):
         return np.zeros(len(at), dtype=bool)
-    starts, ends = np.array(sorted(spans)).T
     k = np.searchsorted(starts, at, side="right") - 1
     return (k >= 0) & (np.maximum.accumulate(ends)[np.maximum(k, 0)] >= at + RUN + WORDS - 1)
 
@@ -513,11 +512,9 @@ def equal_passages(texts: DataFrame, runs: DataFrame, opened: DataFrame, spans:
     around = runs.join(left, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("c").alias("x"))
     made = lambda found, places: [passages_of(t, c, least) for t, c in zip(found, places, strict=True)]
     grams = stored(_by_text(texts, around, made, kind), "equal")
-    leaders = (
-        grams.groupBy("gram").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("z")).where("keep_id <> z")
-    )
+    of = Window.partitionBy("gram")
     return (
-        grams.join(leaders, "gram")
+        grams.withColumn("keep_id", F.min("doc_id").over(of))
         .where("doc_id <> keep_id")
         .select(
             "doc_id",
@@ -526,7 +523,6 @@ def equal_passages(texts: DataFrame, runs: DataFrame, opened: DataFrame, spans:
             (F.col("c") + least + WORDS - 1).cast("long").alias("end_word"),
             F.lit(1.0).alias("similarity"),
         )
-        .distinct()
     )
 
 
