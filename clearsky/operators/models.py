@@ -51,7 +51,7 @@ def random_forest(
     """
     checkpoint_folder(train.sparkSession)
     weighted = balanced_weights(_assembled(train, features), label).select("_features", label, "weight")
-    return RandomForestClassifier(
+    model = RandomForestClassifier(
         featuresCol="_features",
         labelCol=label,
         weightCol="weight",
@@ -61,6 +61,8 @@ def random_forest(
         cacheNodeIds=True,
         seed=seed,
     ).fit(weighted)
+    # A copy has no training summary: that of two classes holds the session, which tasks can't take once it has observed a write.
+    return model.copy()
 
 
 def boosted_trees(

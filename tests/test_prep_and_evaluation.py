@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from sessions import same
 
@@ -328,6 +329,14 @@ def test_forest_keeps_the_node_of_each_row(spark):
     assert [r["y_pred"] == r["label"] for r in models.score(forest, df).collect()] == [True] * 40
 
 
+def test_forest_of_two_classes_scores_after_an_observed_job(spark):
+    seen = Observation("rows")
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    df = spark.createDataFrame([(i % 2, [float(i % 2), float(i)]) for i in range(40)], "label int, features array<double>")
+    forest = models.random_forest(df, "label", trees=3, depth=4)
+    assert seen.get["n"] == 5 and [r["y_pred"] for r in models.score(forest, df).collect()] == [i % 2 for i in range(40)]
+
+
 def test_models_learn_and_explain(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 4))
