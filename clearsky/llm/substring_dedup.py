@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,7 @@ RUN = 8
 PICK = 7
 BAND = 8
 SIMILARITY = 0.8
+MATCHES = 1 << 20  # of two texts that are held at once
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (j + 1) % (1 << 64)) for j in range(8)]
 
 
@@ -113,15 +115,24 @@ def windows(found: list[np.ndarray], least: int, hashes: int) -> Iterator[tuple[
         yield j, of[c + places[text]], (text, left, c, right)
 
 
+def once(sigs: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different signatures of each text, whose numbers do not fall: repeated lines have many windows of one signature."""
+    order = np.argsort(sigs, kind="stable")
+    sigs, text = sigs[order], text[order]
+    new = np.ones(len(sigs), dtype=bool)
+    new[1:] = (sigs[1:] != sigs[:-1]) | (text[1:] != text[:-1])
+    return sigs[new], text[new]
+
+
 def signatures(texts: DataFrame, least: int, hashes: int) -> DataFrame:
-    """doc_id and sig of the windows of all ``texts`` (i, t)."""
+    """doc_id and sig of the windows of all ``texts`` (i, t), each signature once a text."""
     kind = texts.schema["i"].dataType.simpleString()
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = batch["t"].tolist()
             for a, b in slices(rows):
-                found = [(sigs, text) for _, sigs, (text, *_) in windows(tokens(rows[a:b]), least, hashes)]
+                found = [once(sigs, text) for _, sigs, (text, *_) in windows(tokens(rows[a:b]), least, hashes)]
                 if found:
                     sigs, text = (np.concatenate(v) for v in zip(*found, strict=True))
                     yield pd.DataFrame({"doc_id": batch["i"].iloc[a + text].array, "sig": sigs.view(np.int64)})
@@ -257,13 +268,29 @@ def candidates(runs: DataFrame, margin: int) -> DataFrame:
     )
 
 
-def grown(equal: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The longest stretch around each place ``at`` of a diagonal whose either side has ``similarity`` of equal tokens."""
-    sums = np.concatenate([[0], np.cumsum(equal - similarity)])
-    ahead = np.maximum.accumulate(sums[::-1])[::-1]  # the last sum that is not below a bound is the last such maximum
-    behind = np.minimum.accumulate(sums)
-    starts = np.searchsorted(-behind, -(sums[at + 1] + 1e-9), side="left")
-    return starts, np.searchsorted(-ahead, -(sums[at] - 1e-9), side="right") - 1
+def grown(
+    x: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, similarity: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The longest stretch around each match ``at`` whose either side has ``similarity`` of equal tokens, and its equal tokens.
+
+    Matches are places ``x`` on diagonals ``d`` (numbered from 0, in order of d, x), which reach from ``low`` to ``high``.
+    A sum gains q - p at a match and loses p at any other place, for ``similarity`` p / q: just before a match it is
+    lowest, just behind one it is highest. Each diagonal's sums are set below those of the one before.
+    """
+    share = Fraction(similarity).limit_denominator(1 << 20)
+    p, q = max(1, share.numerator), share.denominator
+    first = np.searchsorted(d, np.arange(len(low)))
+    before = q * (np.arange(len(x)) - first[d]) - p * (x - low[d])
+    before -= d * (2 * (p + q) * (int((high - low).max()) + 2))
+    behind = before + (q - p)
+    lowest = -np.minimum.accumulate(before)
+    highest = -np.maximum.accumulate(behind[::-1])[::-1]
+    of = d[at]
+    opens = np.searchsorted(lowest, -behind[at], side="left")
+    ends = np.searchsorted(highest, -before[at], side="right") - 1
+    starts = np.maximum(low[of], x[opens] - (behind[at] - before[opens]) // p)
+    # Between its first and last match a stretch holds all matches of the diagonal.
+    return starts, np.minimum(high[of], x[ends] + 1 + (behind[ends] - before[at]) // p), ends - opens + 1
 
 
 def matches(own: np.ndarray, order: np.ndarray, ranked: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -340,31 +367,54 @@ def verify_pair(own: np.ndarray, theirs: np.ndarray, anchors: list[int], least:
     at = np.unique(np.array(anchors, dtype=np.int64))
     # Equal tokens on each diagonal; too few of them make no passage.
     counts = np.zeros(len(own) + len(theirs), dtype=np.int64)
+    held, some = [], 0
     for x, place in matches(own, order, ranked, np.arange(len(own))):
+        some += len(x)
         counts += np.bincount(x - place + len(theirs), minlength=len(counts))
+        if some <= MATCHES:
+            held.append((x, x - place + len(theirs)))
     likely = np.flatnonzero(counts >= least * similarity - 1)
+    anchored = np.zeros(len(own) + 1, dtype=bool)
+    anchored[at] = True
     out: list[tuple[int, int, float]] = []
-    listed = at.tolist()
     whole = (0, 0)  # the widest equal stretch: spans inside it say nothing new
-    for shift in (likely[np.argsort(-counts[likely], kind="stable")] - len(theirs)).tolist():
-        low, high = max(0, shift), min(len(own), shift + len(theirs))
-        if whole[0] <= low and high <= whole[1]:
+    # The fullest diagonal, then the others in groups of bounded size.
+    ranks = likely[np.argsort(-counts[likely], kind="stable")]
+    sizes = np.cumsum(counts[ranks[1:]]) // MATCHES
+    groups = [ranks[:1], *np.split(ranks[1:], np.flatnonzero(np.diff(sizes)) + 1)]
+    for group in groups:
+        shift = group - len(theirs)
+        low, high = np.maximum(0, shift), np.minimum(len(own), shift + len(theirs))
+        new = (low < whole[0]) | (high > whole[1])
+        group, shift, low, high = group[new], shift[new], low[new], high[new]
+        if not len(group):
             continue
-        equal = own[low:high] == theirs[low - shift : high - shift]
-        places = at[bisect.bisect_left(listed, low) : bisect.bisect_left(listed, high)] - low
-        places = places[equal[places]]
-        if not len(places):
-            continue
-        starts, ends = grown(equal, places, similarity)
-        wide, done = ends - starts >= least, -1
-        for c, a, b in zip(places[wide].tolist(), starts[wide].tolist(), ends[wide].tolist(), strict=True):
-            if c >= done:
-                done = b
-                out.append((low + a, low + b, float(np.count_nonzero(equal[a:b]) / (b - a))))
-                if out[-1][2] == 1 and b - a > whole[1] - whole[0]:
-                    whole = (low + a, low + b)
-    # Words put in or left out move the diagonal: what no single diagonal covers is aligned over neighbouring ones.
+        if some <= MATCHES and len(group) > 1:
+            x, d = (np.concatenate(v) for v in zip(*held, strict=True))
+            number = np.full(len(counts), -1)
+            number[group] = np.arange(len(group))
+            d = number[d]
+            x, d = x[d >= 0], d[d >= 0]
+            by = np.argsort(d.astype(np.uint16) if len(group) < 1 << 16 else d, kind="stable")
+            x, d = x[by], d[by]
+        else:
+            found = [a + np.flatnonzero(own[a:b] == theirs[a - s : b - s]) for a, b, s in zip(low, high, shift, strict=True)]
+            x, d = np.concatenate(found), np.repeat(np.arange(len(group)), counts[group])
+        places = np.flatnonzero(anchored[x])
+        starts, ends, equal = grown(x, d, low, high, places, similarity)
+        wide = ends - starts >= least
+        starts, ends, equal, places = starts[wide], ends[wide], equal[wide], places[wide]
+        line = d[places] * (len(own) + 1)
+        after = np.searchsorted(line + x[places], line + ends)  # the next anchor behind the stretch
+        taken, k = [], 0
+        while k < len(after):
+            taken.append(k)
+            k = after.item(k)
+        starts, ends, alike = starts[taken], ends[taken], (equal / (ends - starts))[taken]
+        out += zip(starts.tolist(), ends.tolist(), alike.tolist(), strict=True)
+        whole = max([whole, *zip(starts[alike == 1].tolist(), ends[alike == 1].tolist(), strict=True)], key=lambda s: s[1] - s[0])
     covered = within([(a, b - 1) for a, b, _ in out], len(own))
+    # Words put in or left out move the diagonal: what no single diagonal covers is aligned over neighbouring ones.
     left = list(matches(own, order, ranked, at[~covered[at]]))
     if not left:
         return out

@@ -364,6 +364,44 @@ def test_repeated_lines_are_compared_once_a_diagonal(monkeypatch):
     assert len(calls) <= len(lines) // 10
 
 
+def test_many_diagonals_are_grown_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    lines = np.tile(np.arange(1, 11, dtype=np.uint64), 60)
+    # A foreign token now and then: every tenth diagonal passes, none as a whole.
+    own, theirs = lines.copy(), lines.copy()
+    own[rng.choice(600, 60, replace=False)] = rng.integers(1 << 20, 1 << 40, 60).astype(np.uint64)
+    calls, grown = [], substring_dedup.grown
+    monkeypatch.setattr(substring_dedup, "grown", lambda *args: calls.append(1) or grown(*args))
+    at = [x for x in range(600) if own[x] < 100]
+    want = []
+    for shift in range(-590, 600, 10):
+        low, high = max(0, shift), min(600, shift + 600)
+        sums = np.concatenate([[0], np.cumsum(np.where(own[low:high] == theirs[low - shift : high - shift], 1, -4))])
+        done = -1
+        for c in [x for x in at if low <= x < high]:
+            a = low + int(np.flatnonzero(sums <= sums[c - low + 1])[0])
+            b = low + int(np.flatnonzero(sums >= sums[c - low])[-1])
+            if b - a >= 46 and c >= done:
+                equal = np.count_nonzero(own[a:b] == theirs[a - shift : b - shift])
+                want.append((a, b, equal / (b - a)))
+                done = b
+    want = substring_dedup.widest(want)
+    assert substring_dedup.widest(substring_dedup.verify_pair(own, theirs, at, 46, 0.8)) == want
+    assert len(want) and len(calls) <= 2
+    monkeypatch.setattr(substring_dedup, "MATCHES", 1000)  # groups of bounded size
+    assert substring_dedup.widest(substring_dedup.verify_pair(own, theirs, at, 46, 0.8)) == want
+
+
+def test_signatures_come_once_a_text(spark):
+    rows = [(1, " ".join(["line"] * 400)), (2, " ".join(f"w{k % 30}" for k in range(300))), (2, " ".join(["line"] * 400)), (3, None)]
+    found = substring_dedup.signatures(spark.createDataFrame(rows, "i long, t string"), 46, 2).collect()
+    want = []
+    for i, t in rows:
+        sigs = [s for _, s, _ in substring_dedup.windows(substring_dedup.tokens([t]), 46, 2)]
+        want += [(i, s) for s in set(np.concatenate(sigs).view(np.int64).tolist())] if sigs else []
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def _planted(spark, rng, bodies):
     """Documents of foreign words with ``bodies`` (lists of words) in the middle, in order of their ids."""
     foreign = lambda n: [f"f{v}" for v in rng.integers(0, 1 << 40, n)]
