@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Model, Transformer
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +12,8 @@ from pyspark.sql import functions as F
 from clearsky.functions.labels import cnr_rule
 from clearsky.functions.scalars import argmax, softmax
 from clearsky.operators.boosting import BoostedTrees, fit_boosted_trees
+from clearsky.operators.forest import Forest, fit_forest
 from clearsky.operators.ordered import attach
-from clearsky.operators.prep import balanced_weights
-from clearsky.session import checkpoint_folder
 
 
 def majority_class(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
@@ -42,27 +40,13 @@ def _assembled(df: DataFrame, features: str) -> DataFrame:
 
 def random_forest(
     train: DataFrame, label: str, features: str = "features", trees: int = 500, depth: int = 30, seed: int = 42
-) -> Model:
-    """Class-balanced forest with at least five rows per leaf.
+) -> Forest:
+    """Class-balanced forest with at least five rows per leaf (see ``forest.py``).
 
-    Spark limits the depth to 30. ``features`` is an array column. Each row keeps the node it has
-    reached in every tree, cut from its lineage as the trees grow: without that, all trees so far go
-    out with every group of nodes and each row walks them again from the root.
+    ``features`` is an array column. Spark's forest adds up a full histogram per node and partition, which
+    is most of its time where trees are deep; this one finishes nodes whose rows fit a task in one task.
     """
-    checkpoint_folder(train.sparkSession)
-    weighted = balanced_weights(_assembled(train, features), label).select("_features", label, "weight")
-    model = RandomForestClassifier(
-        featuresCol="_features",
-        labelCol=label,
-        weightCol="weight",
-        numTrees=trees,
-        maxDepth=depth,
-        minInstancesPerNode=5,
-        cacheNodeIds=True,
-        seed=seed,
-    ).fit(weighted)
-    # A copy has no training summary: that of two classes holds the session, which tasks can't take once it has observed a write.
-    return model.copy()
+    return fit_forest(train, label, features, trees, depth, least_rows=5, seed=seed)
 
 
 def boosted_trees(
@@ -73,9 +57,9 @@ def boosted_trees(
     return fit_boosted_trees(train, label, features, rounds, depth, rate, seed=seed)
 
 
-def score(model: Transformer | BoostedTrees, df: DataFrame, features: str = "features") -> DataFrame:
+def score(model: Transformer | BoostedTrees | Forest, df: DataFrame, features: str = "features") -> DataFrame:
     """``y_pred`` and ``y_prob`` (one number per class) of each row."""
-    if isinstance(model, BoostedTrees):
+    if isinstance(model, (BoostedTrees, Forest)):
         return model.score(df, features)
     out = model.transform(_assembled(df, features))
     if "probability" in out.columns:
@@ -88,7 +72,7 @@ def score(model: Transformer | BoostedTrees, df: DataFrame, features: str = "fea
 
 
 def score_horizons(
-    models: dict[str, Transformer], df: DataFrame, truths: dict[str, str], features: str = "features", keep: Sequence[str] = ()
+    models: dict[str, Transformer | BoostedTrees | Forest], df: DataFrame, truths: dict[str, str], features: str = "features", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Predictions of one model per horizon, stacked with ``horizon`` and ``y_true``.
 
@@ -107,7 +91,7 @@ def score_horizons(
     return rows.select(*keep, F.inline(F.array(*each)))
 
 
-def ensemble_importance(model: Model, names: Sequence[str], df: DataFrame, top: int = 15) -> DataFrame:
+def ensemble_importance(model: Model | Forest, names: Sequence[str], df: DataFrame, top: int = 15) -> DataFrame:
     """The model's own importances, the ``top`` ones, as a share of the largest."""
     values = [float(v) for v in model.featureImportances.toArray()]
     rows = df.sparkSession.createDataFrame(list(zip(names, values, strict=True)), "feature string, importance double")
@@ -122,7 +106,7 @@ def _top_share(rows: DataFrame, top: int) -> DataFrame:
 
 
 def permutation_importance(
-    model: Transformer, df: DataFrame, names: Sequence[str], label: str, row_id: str, features: str = "features",
+    model: Transformer | BoostedTrees | Forest, df: DataFrame, names: Sequence[str], label: str, row_id: str, features: str = "features",
     top: int = 15, seed: int = 42,
 ) -> DataFrame:
     """How much accuracy is lost when one feature is shuffled among the rows.

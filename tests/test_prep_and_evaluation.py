@@ -13,7 +13,7 @@ from sessions import same
 
 from clearsky.functions import labels
 from clearsky.operators import evaluate as ev
-from clearsky.operators import boosting, models, neighbours, oversample, prep
+from clearsky.operators import boosting, forest as forests, models, neighbours, oversample, prep
 from clearsky.operators.neighbours import nearest
 from clearsky.operators.tables import clip, feature_columns, nan_to_null, repaired_splits
 
@@ -356,6 +356,86 @@ def test_models_learn_and_explain(spark):
     assert stacked.groupBy("horizon").count().where("count = 400").count() == 2
 
 
+def plain_tree(bins, y, times, weights, columns, least, depth):
+    """Counts per class of the leaves, by plain recursion; ``columns`` are tried in every node."""
+    counts = np.bincount(y, times, len(weights))
+
+    def worth(c):
+        return ((c * weights) ** 2).sum() / (c * weights).sum()
+
+    best = (1e-9, None)
+    for f in columns if depth else []:
+        for b in range(forests.BINS - 1):
+            low = bins[:, f] <= b
+            left, right = (np.bincount(y[m], times[m], len(weights)) for m in (low, ~low))
+            if min(left.sum(), right.sum()) >= least:
+                gain = worth(left) + worth(right) - worth(counts)
+                if gain > best[0] + 1e-12:
+                    best = (gain, low)
+    if best[1] is None:
+        return [tuple(counts)]
+    return [leaf for m in (best[1], ~best[1]) for leaf in plain_tree(bins[m], y[m], times[m], weights, columns, least, depth - 1)]
+
+
+@pytest.mark.parametrize("cells", [forests.CELLS, 200])
+def test_subtrees_grow_like_plain_recursion(monkeypatch, cells):
+    """A few nodes at a time or all at once; rows drawn 0 times or more; limits on depth and rows of a leaf."""
+    monkeypatch.setattr(forests, "CELLS", cells)
+    rng = np.random.default_rng(5)
+    bins, y, times = rng.integers(0, 32, (600, 3)).astype(np.uint8), rng.integers(0, 3, 600), rng.poisson(1.0, 600)
+    weights = np.array([0.5, 1.0, 2.0])
+    for depth, least in ((30, 5), (3, 1), (0, 5)):
+        piece, lost = forests.grown(bins, y, times, weights, depth, least, 3, [1])
+        assert sorted(map(tuple, piece.counts)) == sorted(plain_tree(bins, y, times, weights, range(3), least, depth))
+        back = forests.Piece.unpacked(piece.packed(), 3)
+        at = back.places(bins)
+        assert (back.feature[at] == forests.LEAF).all()
+        leaf = (np.cumsum(back.feature == forests.LEAF) - 1)[at]
+        held = np.stack([np.bincount(leaf[y == c], times[y == c], len(back.counts)) for c in range(3)], axis=1)
+        assert (held == back.counts).all() and (lost > 0).any() == (depth > 0)
+
+
+def leaves_of(model, x):
+    """Rows counted in all leaves of each tree, and how many pieces each has."""
+    k = len(model.weights)
+    tops = [forests.Piece.unpacked(t, k) for t in model.tops]
+    rest = [[forests.Piece.unpacked(p, k) for p in below.values()] for below in model.rest]
+    return [sum(p.counts.sum() for p in [top, *below]) for top, below in zip(tops, rest)], [len(below) for below in rest]
+
+
+@pytest.mark.parametrize("trees", [7, 100])
+def test_forest_is_the_same_job_where_rows_fit_no_task(spark, monkeypatch, trees):
+    """Large nodes are cut level by level over all blocks, what is left is finished in tasks: no row is lost."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(700, 4)).round(2)
+    x[:, 3] = rng.integers(0, 3, 700)
+    y = (x[:, 1] > 0).astype(int) + (x[:, 3] > 1)
+    rows = [(i, int(a), [float(v) for v in r]) for i, (a, r) in enumerate(zip(y, x))]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    monkeypatch.setattr(forests, "BLOCK_ROWS", 100)
+    whole = models.random_forest(df, "label", trees=trees, depth=8)
+    monkeypatch.setattr(forests, "LOCAL_BYTES", 12 * 150)  # 150 rows of four features
+    cut = models.random_forest(df, "label", trees=trees, depth=8)
+    (all_rows, one), (cut_rows, many) = leaves_of(whole, x), leaves_of(cut, x)
+    assert one == [1] * trees and min(many) > 3 and all(500 < n < 900 for n in all_rows)
+    assert sorted(cut_rows) == pytest.approx(sorted(all_rows), abs=120)  # draws belong to blocks, whose rows may differ
+    for model in (whole, cut):
+        scored = models.score(model, df).collect()
+        assert sum(r["y_pred"] == r["label"] for r in scored) > 670
+        assert all(abs(sum(r["y_prob"]) - 1) < 1e-9 and min(r["y_prob"]) >= 0 for r in scored)
+        assert model.importances.sum() == pytest.approx(1) and set(np.argsort(model.importances)[2:]) == {1, 3}
+
+
+def test_forest_cuts_rare_values_and_grows_below_thirty(spark):
+    """A value of 6 rows in 200 is no quantile but is cut; Spark's forest refused more than 30 levels."""
+    rows = [(int(i < 6), [float(i < 6), 7.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "label int, features array<double>").repartition(3)
+    edges = forests.feature_edges(df, "features", 2)
+    assert edges[0].tolist() == [0.5] and edges[1].tolist() == []
+    model = models.random_forest(df, "label", trees=20, depth=40)
+    assert [r["y_pred"] for r in models.score(model, df).collect()] == [r["label"] for r in df.collect()]
+
+
 def plain_boosting(model, x, y, w, rounds, depth, rate):
     """The same trees from whole arrays, without blocks, groups of features or sampling."""
     bins, k = model.binned(x), len(model.classes)
