@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from clearsky.operators import evaluate as ev
 from clearsky.operators import boosting, forest as forests, models, neighbours, oversample, prep
 from clearsky.operators.neighbours import nearest
 from clearsky.operators.tables import clip, feature_columns, nan_to_null, repaired_splits
+from clearsky.session import shared_folder
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 10, 30, 70])
@@ -165,6 +167,38 @@ def test_nearest_rows_in_small_slices(spark, monkeypatch):
         assert [x["other"] for x in r["near"]] == near
 
 
+def bytes_below(spark):
+    folder = Path(shared_folder(spark, "any").removeprefix("file:")).parent
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+def test_what_a_search_writes_grows_with_rows_not_with_visits(spark, monkeypatch):
+    """Vectors without structure: every query visits every block, and no visit is written."""
+    monkeypatch.setattr(neighbours, "PART_ROWS", 100)
+    rng, written = np.random.default_rng(6), []
+    for n in (400, 1600):
+        v = rng.normal(size=(n, 32))
+        df = spark.createDataFrame([(0, i, x) for i, x in enumerate(v.tolist())], "label int, id long, v array<double>").cache()
+        df.count()
+        before = bytes_below(spark)
+        found = {r["id"]: [x["other"] for x in r["near"]] for r in nearest(df, 3, pivots=4, block_rows=20).collect()}
+        written.append(bytes_below(spark) - before)
+        for i in range(0, n, 97):
+            assert found[i] == [int(j) for j in np.argsort(((v - v[i]) ** 2).sum(axis=1), kind="stable") if j != i][:3]
+        assert len(found) == n
+    assert written[1] < 4.5 * written[0]
+
+
+def test_rows_of_one_id_share_a_list(spark):
+    """Rows that repeat an id are no neighbours of each other, and have one list, as from one window per id."""
+    rows = [(0, i // 2, [float(i), 0.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "label int, id long, v array<double>").repartition(3)
+    got = {r["id"]: [(x["d"], x["other"]) for x in r["near"]] for r in nearest(df, 4, pivots=3, block_rows=4).collect()}
+    for i in range(10):
+        every = sorted((abs(a - b) ** 2, j) for a in (2 * i, 2 * i + 1) for j in range(10) if j != i for b in (2 * j, 2 * j + 1))
+        assert got[i] == [(float(d), j) for d, j in every[:4]]
+
+
 def test_synthetic_rows_lie_between_neighbours(spark):
     rows, df = make_classes(spark)
     sizes = oversample.class_sizes(df, "y")
