@@ -218,6 +218,22 @@ def test_synthetic_rows_lie_between_neighbours(spark):
     assert len(hot) == 160 and all(r["end"] == [5.0] * 6 for r in hot)
 
 
+def test_windows_are_made_once(spark):
+    """Oversampling reads its windows several times; what makes them runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = [("train", [[1.0, 2.0], [3.0, float(i)]], int(i > 7), 1, 2) for i in range(10)]
+    w = spark.createDataFrame(rows, "split string, X array<array<float>>, y_5s int, y_15s int, y_30s int").mapInPandas(counted, "split string, X array<array<float>>, y_5s int, y_15s int, y_30s int")
+    out = oversample.oversample_windows(w, classes=(0, 1))
+    assert out.where("synthetic").count() == 6 and out.where("not synthetic").count() == 10
+    assert out.where("size(X) = 2 and size(X[0]) = 2").count() == 16 and made.value == 10
+
+
 def test_oversampling_skips_and_repeats(spark):
     _, df = make_classes(spark)
     flat = df.select("y", *[F.get("f", F.lit(i)).alias(f"c{i}") for i in range(6)])
