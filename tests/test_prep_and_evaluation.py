@@ -189,14 +189,24 @@ def test_what_a_search_writes_grows_with_rows_not_with_visits(spark, monkeypatch
     assert written[1] < 4.5 * written[0]
 
 
-def test_rows_of_one_id_share_a_list(spark):
-    """Rows that repeat an id are no neighbours of each other, and have one list, as from one window per id."""
-    rows = [(0, i // 2, [float(i), 0.0]) for i in range(20)]
+@pytest.mark.parametrize("part_rows", [3, 8_000])
+def test_rows_of_one_id_share_a_list(spark, monkeypatch, part_rows):
+    """Copies under one id are no neighbours of each other. Each counts a row of its own block once, and one of
+    another block as often as there are copies, whatever the tiles."""
+    monkeypatch.setattr(neighbours, "PART_ROWS", part_rows)
+    rows = [(0, i, [float(i * i), 0.0]) for i in range(10) for _ in range(1 + (i % 4 == 0))]
     df = spark.createDataFrame(rows, "label int, id long, v array<double>").repartition(3)
-    got = {r["id"]: [(x["d"], x["other"]) for x in r["near"]] for r in nearest(df, 4, pivots=3, block_rows=4).collect()}
+    pivot = np.array(df.select("v").orderBy(F.xxhash64("v"), "v").first()["v"])
+    order = sorted(rows, key=lambda r: (np.linalg.norm(np.array(r[2]) - pivot), r[1]))
+    got = {r["id"]: [(x["d"], x["other"]) for x in r["near"]] for r in nearest(df, 4, pivots=1, block_rows=4).collect()}
     for i in range(10):
-        every = sorted((abs(a - b) ** 2, j) for a in (2 * i, 2 * i + 1) for j in range(10) if j != i for b in (2 * j, 2 * j + 1))
-        assert got[i] == [(float(d), j) for d, j in every[:4]]
+        mine = [n for n, r in enumerate(order) if r[1] == i]
+        every = []
+        for n in mine:
+            for m, r in enumerate(order):
+                if r[1] != i:
+                    every += [((r[2][0] - i * i) ** 2, r[1])] * (1 if m // 4 == n // 4 else len(mine))
+        assert got[i] == sorted(every)[:4]
 
 
 def test_synthetic_rows_lie_between_neighbours(spark):
